@@ -7,7 +7,6 @@ import base64
 import heapq
 import json
 import re
-from collections.abc import Callable
 
 import regex
 import xxhash
@@ -23,31 +22,46 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def merge(parts: list, lookup: Callable) -> list:
+#: Bits of a token id in the key of a pair.
+ID_BITS = 24
+
+
+def pair(a: int, b: int) -> int:
+    return a << ID_BITS | b
+
+
+def merge(parts: list[int], ranks: dict[int, int], merged: list[int] | None = None) -> list[int]:
     """Merge the pair of least rank, the leftmost of equals, until none is left.
 
-    parts: symbols; lookup((a, b)): (rank, merged symbol) or None. A heap holds the pairs, links join the living."""
+    ranks: by pair(a, b); merged: the id that a merge of each rank makes (None: the rank itself). A heap holds rank
+    and place of the pairs, links join the living; entries whose pair has changed since are passed over."""
     n = len(parts)
     if n < 2:
         return parts
-    parts, after, before = list(parts), [*range(1, n), -1], [-1, *range(n - 1)]
-    heap = [(found[0], i, i + 1, found[1], a, b) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if (found := lookup((a, b)))]
+    get, bits, end = ranks.get, n.bit_length(), n
+    heap = [r << bits | i for i in range(n - 1) if (r := get(parts[i] << ID_BITS | parts[i + 1])) is not None]
+    if not heap:
+        return parts
+    parts, after, before = [*parts, -1], list(range(1, n + 1)), list(range(-1, n))
+    mask = (1 << bits) - 1
     heapq.heapify(heap)
     push, pop = heapq.heappush, heapq.heappop
     while heap:
-        _, i, j, merged, a, b = pop(heap)
-        if parts[i] != a or after[i] != j or parts[j] != b:
-            continue  # one of the two has been merged since
-        parts[i], parts[j] = merged, None
+        top = pop(heap)
+        i, r = top & mask, top >> bits
+        a, j = parts[i], after[i]
+        if a < 0 or j == end or get(a << ID_BITS | parts[j]) != r:
+            continue
+        new = parts[i] = r if merged is None else merged[r]
+        parts[j] = -1
         k = after[i] = after[j]
-        if k >= 0:
-            before[k] = i
-            if found := lookup((merged, parts[k])):
-                push(heap, (found[0], i, k, found[1], merged, parts[k]))
+        before[k] = i
+        if k != end and (r := get(new << ID_BITS | parts[k])) is not None:
+            push(heap, r << bits | i)
         h = before[i]
-        if h >= 0 and (found := lookup((parts[h], merged))):
-            push(heap, (found[0], h, i, found[1], parts[h], merged))
-    return [p for p in parts if p is not None]
+        if h >= 0 and (r := get(parts[h] << ID_BITS | new)) is not None:
+            push(heap, r << bits | h)
+    return [p for p in parts if p >= 0]
 
 
 class Pretokens:
@@ -75,19 +89,23 @@ class JsonVocabulary:
         model = whole["model"]
         self.vocab: dict[str, int] = model["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.merges = {(a, b): (rank, a + b) for rank, (a, b) in enumerate(pairs)}
+        self.ranks = {pair(self.vocab[a], self.vocab[b]): rank for rank, (a, b) in enumerate(pairs)}
+        self.merged = [self.vocab[a + b] for a, b in pairs]
+        self.byte_ids = [self.vocab[c] for _, c in sorted(byte_letters().items())]
         self.added = [t["content"] for t in whole["added_tokens"]]
-        self.letters = byte_letters()
-
-    def symbols(self, piece: str) -> str:
-        return piece.encode().decode("latin-1").translate(self.letters)
 
-    def merged(self, symbols: str) -> list[str]:
-        return merge(list(symbols), self.merges.get)
+    def encode(self, piece: bytes) -> list[int]:
+        return merge([self.byte_ids[b] for b in piece], self.ranks, self.merged)
 
     def whole(self) -> set[str]:
-        """Proof for each vocabulary string: merging it from its bytes gives one token, itself."""
-        return {s for s in self.vocab if self.merged(s) == [s]}
+        """Proof for each vocabulary string that is text: merging it from its bytes gives one token, itself."""
+        byte_of, found = {c: b for b, c in byte_letters().items()}, set()
+        for s, i in self.vocab.items():
+            if all(c in byte_of for c in s):
+                raw = bytes(byte_of[c] for c in s)
+                if self.encode(raw) == [i]:
+                    found.add(raw.decode(errors="surrogateescape"))
+        return found
 
 
 def tiktoken_ranks(path: str) -> dict[bytes, int]:
@@ -95,6 +113,11 @@ def tiktoken_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def tiktoken_pairs(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Rank of each pair of tokens whose bytes together are a token; that token is the merged one."""
+    return {pair(ranks[t[:k]], ranks[t[k:]]): r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+
+
 class PerfectHash:
     """Minimal perfect hash of byte strings by hash and displace: n slots for n keys, one number a bucket.
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalspark.llm.bpe import PATTERN, PerfectHash, Pretokens, merge, tiktoken_ranks
+from zonalspark.llm.bpe import PATTERN, PerfectHash, Pretokens, merge, tiktoken_pairs, tiktoken_ranks
 from zonalspark.llm.common import keyed_text, read
 
 #: Entries that a task keeps of chunks and pre-tokens it has encoded before it starts anew.
@@ -25,7 +25,8 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         self.tokens = sorted(ranks, key=ranks.get)
         self.ids = [ranks[t] for t in self.tokens]
-        self.ranks = ranks
+        self.pairs = tiktoken_pairs(ranks)
+        self.byte_ids = [ranks[bytes([b])] for b in range(256)]
         self.bytes_of = dict(zip(self.ids, self.tokens, strict=True))
         self.hash = PerfectHash(self.tokens)
         self.pattern = pattern
@@ -43,10 +44,6 @@ class Codec:
         self.__dict__.update(state)
         self.start()
 
-    def lookup(self, pair: tuple[bytes, bytes]) -> tuple[int, bytes] | None:
-        rank = self.ranks.get(ab := pair[0] + pair[1])
-        return None if rank is None else (rank, ab)
-
     def piece(self, piece: str) -> bytes:
         """Ids of a pre-token as little-endian unsigned 32-bit integers."""
         out = self.pieces.get(piece)
@@ -58,8 +55,8 @@ class Codec:
             if self.tokens[i] == raw:
                 out = struct.pack("<I", self.ids[i])
             else:
-                got = merge([raw[k : k + 1] for k in range(len(raw))], self.lookup)
-                out = struct.pack(f"<{len(got)}I", *map(self.ranks.__getitem__, got))
+                got = merge([self.byte_ids[b] for b in raw], self.pairs)
+                out = struct.pack(f"<{len(got)}I", *got)
             self.pieces[piece] = out
         return out
 

@@ -37,10 +37,16 @@ def gram_hash(of: str, i: Column, k: int) -> Column:
     return F.xxhash64(*(F.get(F.col(of), i + j) for j in range(k)))
 
 
+def held_as(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that is worked out once: a plain one is put in the place of each mention of it, and lambdas
+    would work it out again for each element. A generator of one row isn't."""
+    return rows.select(*rows.columns, F.explode(F.array(value)).alias(name))
+
+
 def hashed(rows: DataFrame) -> DataFrame:
     """rows(words) with wh, a hash of each word, and grams, a hash of each run of GRAM words."""
-    rows = rows.withColumn("wh", F.transform("words", lambda w: F.xxhash64(w)))
-    return rows.withColumn("grams", F.transform(up_to(F.size("words") - GRAM), lambda i: gram_hash("wh", i, GRAM)))
+    rows = held_as(rows, "wh", F.transform("words", lambda w: F.xxhash64(w)))
+    return held_as(rows, "grams", F.transform(up_to(F.size("words") - GRAM), lambda i: gram_hash("wh", i, GRAM)))
 
 
 def winnowed(grams: str) -> Column:
@@ -51,10 +57,11 @@ def winnowed(grams: str) -> Column:
 def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """window (words), n (their number), items (ids that hold it), hash and offset: its least gram hash and where the
     gram begins (for fewer words than WINDOW: the hash of all of them, and 0)."""
-    rows = hashed(benchmark.select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("words"))).where(F.size("words") > 0)
+    rows = held_as(benchmark.select(F.col(item).cast("string").alias("item"), text), "words", words(F.col(text))).where(F.size("words") > 0)
     n = F.least(F.size("words"), F.lit(WINDOW))
     every = rows.select("item", F.explode(F.transform(up_to(F.size("words") - n), lambda i: F.slice("words", i + 1, n))).alias("window"))
-    items = hashed(every.groupBy("window").agg(F.collect_set("item").alias("items")).withColumnRenamed("window", "words")).withColumn("n", F.size("words"))
+    items = hashed(every.groupBy("window").agg(F.collect_set("item").alias("items")).withColumnRenamed("window", "words"))
+    items = items.withColumn("n", F.size("words"))
     least = F.array_min("grams")
     full = F.col("n") == WINDOW
     return items.select(F.col("words").alias("window"), "n", "items", F.when(full, least).otherwise(F.xxhash64("n", "words")).alias("hash"), F.when(full, F.array_position("grams", least).cast("int") - 1).otherwise(0).alias("offset"))
@@ -93,14 +100,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         held = {n: [] for n in [*short, WINDOW]}
         for r in bench.select("n", "hash").distinct().collect():
             held[r.n].append(r.hash)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key), words(F.col(text)).alias("words"))
-    rows = hashed(rows).withColumn("kept", winnowed("grams"))
+    rows = hashed(held_as(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key), text), "words", words(F.col(text))).drop(text))
     if held is not None:
-        rows = rows.withColumn("kept", F.filter("kept", lambda h: h.isin(held[WINDOW])))
-        rows = rows.withColumn("hits", found_positions(short, held))
+        rows = held_as(rows, "kept", F.filter(winnowed("grams"), lambda h: h.isin(held[WINDOW])))
+        rows = held_as(rows, "hits", found_positions(short, held))
         rows = stored(rows.select("row", key, F.size("words").cast("long").alias("n_words"), F.when(F.size("hits") > 0, F.col("words")).alias("words"), "hits"), "hits")
         spans = rows.where(F.size("hits") > 0).select("row", "words", F.explode("hits").alias("hit")).select("row", "words", "hit.*")
     else:
+        rows = held_as(rows, "kept", winnowed("grams"))
         rows = stored(rows.select("row", key, F.size("words").cast("long").alias("n_words"), "words", found_positions(short, None).alias("hits")), "hits")
         seen = rows.select("row", F.explode("hits").alias("hit")).select("row", "hit.*").join(bench.select("n", "hash").distinct(), ["n", "hash"])
         spans = seen.join(rows.select("row", "words"), "row")
@@ -123,8 +130,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM benchmark),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
 bw AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS g
        FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS i FROM b WHERE len(w) > 0)),
 ns AS (SELECT DISTINCT n FROM bw),

@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from zonalspark.llm.common import keyed_text, read
 
 #: Labelled documents that training uses at most, those of the least hash of their id.
-SAMPLE = 3000
-BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 18, 16, 8, 0.5, 11
+SAMPLE = 2500
+BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 18, 16, 5, 0.5, 11
 GRAMS = (2, 3, 4)
 #: Words that a task keeps the rows of before it starts anew.
-MEMO = 500_000
+MEMO = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -32,27 +32,48 @@ class Features:
     def __init__(self, buckets: int = BUCKETS, grams: tuple[int, ...] = GRAMS):
         self.buckets, self.grams = buckets, grams
 
-    def word(self, word: str) -> list[int]:
-        """Rows of a word: itself and its character n-grams between bounds."""
-        marked, h = f"<{word}>", xxhash.xxh3_64_intdigest
-        out = [h(word.encode()) % self.buckets]
-        for n in self.grams:
-            out += [h(marked[i : i + n].encode()) % self.buckets for i in range(len(marked) - n + 1)]
-        return out
+    def place(self, hashes: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            mixed = hashes * MIX
+        return ((mixed >> np.uint64(20)) % np.uint64(self.buckets)).astype(np.int64)
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash of each word; rows of all words (themselves and the n-grams of their bytes between bounds) and the
+        number of the word that each row belongs to."""
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+        marked = [b"<" + w.encode() + b">" for w in words]
+        lengths = np.fromiter(map(len, marked), np.int64, len(words))
+        of = np.repeat(np.arange(len(words)), lengths)
+        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(of))  # bytes up to the word's end
+        letters = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64) + np.uint64(1)
+        rows, owners = [self.place(hashes)], [np.arange(len(words))]
+        h = np.zeros(len(letters), np.uint64)
+        with np.errstate(over="ignore"):
+            for n in range(1, max(self.grams) + 1):
+                h = h[: len(letters) - n + 1] * np.uint64(257) + letters[n - 1 :]
+                if n in self.grams:
+                    inside = left[: len(h)] >= n
+                    rows.append(self.place((h[inside] + np.uint64(n)) * MIX))
+                    owners.append(of[: len(h)][inside])
+        return hashes, np.concatenate(rows), np.concatenate(owners)
 
     def pairs(self, hashes: np.ndarray) -> np.ndarray:
-        """Rows of neighbouring words, from the words' hashes."""
+        """Rows of neighbouring words, from the words' hashes. A word after itself counts as a repetition, whichever
+        word it is."""
         with np.errstate(over="ignore"):
-            mixed = (hashes[:-1] * MIX + hashes[1:]) * MIX
-        return ((mixed >> np.uint64(20)) % np.uint64(self.buckets)).astype(np.int64)
+            mixed = hashes[:-1] * MIX + hashes[1:]
+        return self.place(np.where(hashes[:-1] == hashes[1:], np.uint64(1), mixed))
 
     def rows(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Distinct rows of a text and how often each occurs."""
         words = text.split()
-        own = {w: self.word(w) for w in set(words)}
-        every = [r for w in words for r in own[w]]
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in words), np.uint64, len(words))
-        return np.unique(np.concatenate([np.array(every, np.int64), self.pairs(hashes)]), return_counts=True)
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        distinct, at, n = np.unique(np.array(words, dtype=object), return_inverse=True, return_counts=True)
+        hashes, rows, owners = self.words(distinct.tolist())
+        every, back = np.unique(np.concatenate([rows, self.pairs(hashes[at])]), return_inverse=True)
+        counts = np.bincount(back, weights=np.concatenate([n[owners], np.ones(len(words) - 1)]), minlength=len(every))
+        return every, counts
 
 
 def train(texts: list[str], labels: list[int], features: Features, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, float]:
@@ -95,15 +116,14 @@ class Scorer:
         self.sums, self.counts, self.hashes = (np.zeros(1024, k) for k in (np.float64, np.float64, np.uint64))
 
     def learn(self, words: set[str]) -> None:
-        if len(self.at) + len(words) > MEMO:
-            self.start()
-        need = len(self.at) + len(words)
+        words = list(words)
+        at, need = len(self.at), len(self.at) + len(words)
         if need > len(self.sums):
             self.sums, self.counts, self.hashes = (np.concatenate([x, np.zeros(max(need, len(x)), x.dtype)]) for x in (self.sums, self.counts, self.hashes))
-        for w in words:
-            i = self.at[w] = len(self.at)
-            rows = self.features.word(w)
-            self.sums[i], self.counts[i], self.hashes[i] = self.table[rows].sum(), len(rows), xxhash.xxh3_64_intdigest(w.encode())
+        self.hashes[at:need], rows, owners = self.features.words(words)
+        self.sums[at:need] = np.bincount(owners, self.table[rows], len(words))
+        self.counts[at:need] = np.bincount(owners, minlength=len(words))
+        self.at.update(zip(words, range(at, need), strict=True))
 
     def score(self, text: str) -> float:
         words = text.split()
@@ -111,9 +131,10 @@ class Scorer:
         if words:
             distinct = set(words)
             if new := distinct.difference(self.at):
+                if len(self.at) + len(new) > MEMO:
+                    self.start()
+                    new = distinct
                 self.learn(new)
-                if len(self.at) < len(distinct) or not distinct <= self.at.keys():  # the memory was emptied
-                    self.learn(distinct.difference(self.at))
             at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
             pairs = self.features.pairs(self.hashes[at])
             z += (self.sums[at].sum() + self.table[pairs].sum(dtype=np.float64)) / (self.counts[at].sum() + len(pairs))

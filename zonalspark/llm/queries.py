@@ -1,11 +1,17 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
 from zonalspark.llm.byte_bpe import op5_byte_bpe
+from zonalspark.llm.decontamination import OP9_SQL, op9_decontamination
+from zonalspark.llm.fingerprints import op7_fingerprints
+from zonalspark.llm.quality import op6_quality
 from zonalspark.llm.token_counts import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_quality": op6_quality,
+    "op7_fingerprints": op7_fingerprints,
+    "op9_decontamination": op9_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op9_decontamination": OP9_SQL}

@@ -27,14 +27,13 @@ class Counter:
         self.known: dict[str, int] = {}
 
     def piece(self, piece: str) -> int:
-        s = self.v.symbols(piece)
-        if s in self.whole:
+        if piece in self.whole:
             return 1
-        n = self.pieces.get(s)
+        n = self.pieces.get(piece)
         if n is None:
             if len(self.pieces) >= MEMO:
                 self.pieces.clear()
-            n = self.pieces[s] = len(self.v.merged(s))
+            n = self.pieces[piece] = len(self.v.encode(piece.encode()))
         return n
 
     def plain(self, text: str) -> int:
