@@ -5,12 +5,14 @@ from zonalspark.llm.decontamination import OP9_SQL, op9_decontamination
 from zonalspark.llm.fingerprints import op7_fingerprints
 from zonalspark.llm.html_extraction import op3_html_extraction
 from zonalspark.llm.lm_scoring import op10_lm_scoring
+from zonalspark.llm.ngram_join import op2_ngram_join
 from zonalspark.llm.quality import op6_quality
 from zonalspark.llm.token_counts import op1_token_counts
 from zonalspark.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_ngram_join": op2_ngram_join,
     "op3_html_extraction": op3_html_extraction,
     "op4_toxicity": op4_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
