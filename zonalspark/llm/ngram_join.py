@@ -31,6 +31,9 @@ CELLS, TIMES, COMMON = 1 << 20, 20, 200
 #: Grams that a task counts at once; documents that are searched in one task; documents of a large group that go to each
 #: of its parts first; ids up to which a side is broadcast.
 TOKENS, PART, LEADERS, BROADCAST = 1_500_000, 100, 3, 1_000_000
+#: What merging an entry costs against probing for one, from which DivideSkip takes how many long lists to set aside;
+#: and the bands of partners' sizes, as shares of a set's own, that are searched one by one, each with its own overlap.
+MERGE_COST, BANDS = 0.0005, (0.8, 0.85, 0.9, 0.95, 1.0)
 MEMO = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -283,13 +286,13 @@ class Union:
         return True
 
 
-def divide_skip(query: np.ndarray, lists: list[np.ndarray], needed: int) -> list[int]:
+def divide_skip(lists: list[np.ndarray], needed: int) -> list[int]:
     """Members of at least `needed` of the sorted lists: heap-merge the short ones, probe the long ones."""
-    lists = sorted((x for x in lists if len(x)), key=len)
+    lists = sorted(lists, key=len)
     if len(lists) < needed:
         return []
     longest = len(lists[-1])
-    aside = min(needed - 1, int(needed / (0.01 * math.log(longest + 1) + 1)))
+    aside = min(needed - 1, int(needed / (MERGE_COST * math.log(longest + 1) + 1)))
     short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
     out, at, n = [], -1, 0
 
@@ -315,58 +318,71 @@ def divide_skip(query: np.ndarray, lists: list[np.ndarray], needed: int) -> list
     return out
 
 
-def links(sets: list[np.ndarray], group: list[int], queries: list[bool] | None = None) -> list[tuple[int, int]]:
-    """Links that join what isn't joined yet: indices of sets that link and whose groups (and links so far) differ.
+def links(sets: list[np.ndarray], group: list[int], queries: list[bool]) -> tuple[list[tuple[int, int]], tuple[int, float]]:
+    """Links that join what isn't joined yet (indices of sets that link and whose groups, and links so far, differ),
+    and the set that has most in common with the others, with how many of them hold one of its grams on average.
 
-    group: numbers of groups that are joined already; queries: pairs need one of these at least."""
+    group: sets of one number are joined already; queries: pairs need one of these at least."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     sizes = np.array([len(sets[i]) for i in order])
-    union, first = Union(len(sets)), {}
-    for i, g in enumerate(group):
-        union.join(i, first.setdefault(g, i))
-    tokens = np.concatenate([sets[i] for i in order]) if sets else np.zeros(0, np.uint64)
+    union, first = Union(len(order)), {}
+    for k, i in enumerate(order):
+        union.join(k, first.setdefault(group[i], k))
+    tokens = np.concatenate([sets[i] for i in order])
     owner = np.repeat(np.arange(len(order)), sizes)
     by = np.argsort(tokens, kind="stable")  # owners stay in order within a list
-    listed, starts, counts = np.unique(tokens[by], return_index=True, return_counts=True)
-    owners, own_label = owner[by], np.array(order)
-    ask = np.array(queries, bool)[own_label] if queries else np.ones(len(order), bool)
-    out = []
-    for q, i in enumerate(order):
-        n = len(sets[i])
-        if not n:
+    listed, back, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    owners, ask = owner[by], np.array([queries[i] for i in order])
+    likeness = np.bincount(owner, counts[back], len(order)) / np.maximum(1, sizes)
+    ends, out = np.cumsum(sizes), []
+    for q in range(len(order)):
+        n = int(sizes[q])
+        low = int(np.searchsorted(sizes, -(-SIMILARITY * n // 100)))  # partners before q, so no larger
+        if low >= q or not (ask[q] or ask[low:q].any()):
             continue
-        low = np.searchsorted(sizes, -(-SIMILARITY * n // 100))  # smaller partners only, of those before q
-        at = np.searchsorted(listed, sets[i])
-        lists = []
-        for s, c in zip(starts[at].tolist(), counts[at].tolist(), strict=True):
-            if c > 1:
-                own = owners[s : s + c]
-                own = own[np.searchsorted(own, low) : np.searchsorted(own, q)]
-                own = own[union.label[own_label[own]] != union.label[i]]
-                if not ask[q]:
-                    own = own[ask[own]]
-                lists.append(own)
-        for c in divide_skip(sets[i], lists, -(-SIMILARITY * n // 100)):
-            j = int(own_label[c])
-            if union.label[j] != union.label[i]:
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if both >= required(n, len(sets[j])):
-                    union.join(i, j)
-                    out.append((i, j))
-    return out
+        at = back[ends[q] - n : ends[q]]
+        at = at[counts[at] > 1]
+        c = counts[at]
+        lists = np.repeat(np.arange(len(at)), c)
+        entries = owners[np.repeat(starts[at] - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(c.sum())]
+        keep = (entries >= low) & (entries < q) & (union.label[entries] != union.label[q])
+        if not ask[q]:
+            keep &= ask[entries]
+        lists, entries = lists[keep], entries[keep]
+        for k in range(len(BANDS) - 1):
+            least = max(math.ceil(BANDS[k] * n), int(sizes[low]))
+            needed = required(n, least)
+            band = (sizes[entries] >= least) & (sizes[entries] < BANDS[k + 1] * n) if k < len(BANDS) - 2 else sizes[entries] >= least
+            in_band = lists[band]
+            if len(in_band) < needed:
+                continue
+            cuts = np.flatnonzero(np.diff(in_band)) + 1
+            if len(cuts) + 1 < needed:
+                continue
+            for j in divide_skip(np.split(entries[band], cuts), needed):
+                if union.label[j] != union.label[q]:
+                    a, b = sets[order[q]], sets[order[j]]
+                    if len(np.intersect1d(a, b, assume_unique=True)) >= required(n, len(b)):
+                        union.join(q, j)
+                        out.append((order[q], order[j]))
+    best = int(np.argmax(likeness))
+    return out, (order[best], float(likeness[best]))
 
 
 def searched(rows: DataFrame) -> DataFrame:
-    """a, b: links found in each group of rows(grp, part, id, piece, query, grams)."""
+    """a, b: links found in each group of rows(grp, part, id, piece, query, grams); and for each group a row without b
+    that names the set most like the others, with grp and likeness."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
 
         def found() -> pa.RecordBatch:
             distinct = list({r[2]: r for r in sorted(held, key=lambda r: r[4])}.values())
-            pairs = links([np.frombuffer(r[5], np.uint64) for r in distinct], [r[3] for r in distinct], [r[4] for r in distinct])
             ids = [r[2] for r in distinct]
-            return pa.RecordBatch.from_arrays([pa.array([ids[x[k]] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            pairs, (best, like) = links([np.frombuffer(r[5], np.uint64) for r in distinct], [r[3] for r in distinct], [r[4] for r in distinct])
+            a, b = [*(ids[x] for x, _ in pairs), ids[best]], [*(ids[y] for _, y in pairs), None]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([at[0]] * len(a), pa.int64()), pa.array([like] * len(a), pa.float64())], names=["a", "b", "grp", "like"])
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -378,7 +394,7 @@ def searched(rows: DataFrame) -> DataFrame:
         if len(held) > 1:
             yield found()
 
-    return rows.select("grp", "part", "id", "piece", "query", "grams").repartition("grp", "part").sortWithinPartitions("grp", "part").mapInArrow(run, "a long, b long")
+    return rows.select("grp", "part", "id", "piece", "query", "grams").repartition("grp", "part").sortWithinPartitions("grp", "part").mapInArrow(run, "a long, b long, grp long, like double")
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -409,21 +425,25 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     chosen = texts.join(F.broadcast(wanted) if few else wanted, key).select(key, "grp", "size", "text").mapInArrow(sets, "id long, grp long, size long, grams binary")
     chosen = stored(chosen, "ngram-sets")
     parts = F.ceil(F.col("size") / PART)
-    dealt_rows = chosen.withColumn("part", F.pmod(F.xxhash64("id"), parts)).withColumn("piece", F.col("id")).withColumn("query", F.lit(True))
-    # a few leaders of a large group meet all its parts, so that most of it is joined at once
-    lead = members.where(F.col("size") > PART).groupBy("grp").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.col("size") / (8 * LEADERS)).cast("long")) == 0, F.col("id")))), 1, LEADERS).alias("ids")).select("grp", F.explode("ids").alias("id"))
-    leaders = chosen.join(lead, ["grp", "id"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).withColumn("piece", F.col("id")).withColumn("query", F.lit(True))
-    edges = stored(searched(dealt_rows.unionByName(leaders)), "ngram-links")
+    part = F.pmod(F.xxhash64("id"), parts)
+    to_all = F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))
+    first = stored(searched(chosen.withColumn("part", part).withColumn("piece", F.col("id")).withColumn("query", F.lit(True))), "ngram-links")
+    edges = first.where("b is not null").select("a", "b")
+    large = chosen.where(F.col("size") > PART)
+    # of a large group, the sets most like the others meet all its parts, so that most of it is joined at once
+    leaders = first.where("b is null").groupBy("grp").agg(F.slice(F.sort_array(F.collect_set(F.struct("like", "a")), False), 1, LEADERS).alias("best")).select("grp", F.explode("best.a").alias("id"))
+    leading = large.join(leaders, ["grp", "id"]).withColumn("part", to_all).withColumn("query", F.lit(True))
+    met = large.withColumn("part", part).withColumn("query", F.lit(False)).unionByName(leading).withColumn("piece", F.col("id"))
+    edges = edges.union(stored(searched(met), "ngram-links").where("b is not null").select("a", "b"))
     pieces = connected_components(edges)
     # what a large group has outside its largest piece is searched in all its parts
-    large = chosen.where(F.col("size") > PART).join(pieces.withColumnRenamed("node", "id"), "id", "left").withColumn("piece", F.coalesce("component", "id")).drop("component")
+    large = large.join(pieces.withColumnRenamed("node", "id"), "id", "left").withColumn("piece", F.coalesce("component", "id")).drop("component")
     main = large.groupBy("grp", "piece").agg(F.count(F.lit(1)).alias("k")).groupBy("grp").agg(F.max_by("piece", F.struct("k", "piece")).alias("main"), F.count(F.lit(1)).alias("pieces")).where("pieces > 1")
     main = stored(main, "ngram-main")
     if main.limit(1).count():
         rest = large.join(main, "grp").withColumn("query", F.col("piece") != F.col("main")).drop("main", "pieces")
-        asked = rest.where("query").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)))
-        again = rest.withColumn("part", F.pmod(F.xxhash64("id"), parts)).unionByName(asked)
-        pieces = connected_components(edges.union(stored(searched(again), "ngram-links")))
+        again = rest.withColumn("part", part).unionByName(rest.where("query").withColumn("part", to_all))
+        pieces = connected_components(edges.union(stored(searched(again), "ngram-links").where("b is not null").select("a", "b")))
     linked = classes.join(pieces.withColumnRenamed("node", "id"), "id", "left").select("mark", F.coalesce("component", "id").alias("component_id"))
     full = own.where("n > 0").join(linked, "mark").select(key, F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(own.where("n = 0").select(key, F.col("n").alias("n_shingles"), F.col(key).alias("component_id")))
