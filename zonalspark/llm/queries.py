@@ -7,6 +7,7 @@ from zonalspark.llm.html_extraction import op3_html_extraction
 from zonalspark.llm.lm_scoring import op10_lm_scoring
 from zonalspark.llm.ngram_join import op2_ngram_join
 from zonalspark.llm.quality import op6_quality
+from zonalspark.llm.suffix_dedup import op8_suffix_dedup
 from zonalspark.llm.token_counts import op1_token_counts
 from zonalspark.llm.toxicity import op4_toxicity
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality": op6_quality,
     "op7_fingerprints": op7_fingerprints,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_lm_scoring": op10_lm_scoring,
 }
