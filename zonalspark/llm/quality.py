@@ -19,7 +19,7 @@ from zonalspark.llm.common import keyed_text, read
 
 #: Labelled documents that training uses at most, those of the least hash of their id.
 SAMPLE = 2500
-BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 18, 16, 5, 0.5, 11
+BUCKETS, DIM, STEPS, RATE, SEED = 1 << 18, 16, 12_500, 0.5, 11
 GRAMS = (2, 3, 4)
 #: Words that a task keeps the rows of before it starts anew.
 MEMO = 1_000_000
@@ -76,17 +76,17 @@ class Features:
         return every, counts
 
 
-def train(texts: list[str], labels: list[int], features: Features, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, float]:
+def train(texts: list[str], labels: list[int], features: Features, dim: int = DIM, steps: int = STEPS, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, float]:
     """The learned score of each table row (logit of class 1 over class 0), and the bias."""
     rng = np.random.default_rng(seed)
     docs = [features.rows(t) for t in texts]
     table = rng.uniform(-1 / dim, 1 / dim, (features.buckets, dim)).astype(np.float32)
     out, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
-    steps, done = max(1, epochs * len(docs)), 0
-    for _ in range(epochs):
+    done = 0
+    while done < steps and docs:
         for i in rng.permutation(len(docs)):
             rows, n = docs[i]
-            lr = rate * (1 - done / steps)
+            lr = rate * max(0.0, 1 - done / steps)
             done += 1
             if not len(rows):
                 continue
@@ -160,17 +160,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     return Scorer(*train([r.text for r in taken], [r.label for r in taken], features), features)
 
 
-def score(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, score (0 to 1) of every row; null and empty texts get the bias alone. One pass, no shuffle; the table that
-    is broadcast has a fixed size (1 MB)."""
+def score(docs: DataFrame, scorer: Scorer, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """Columns keep and the score (0 to 1) of every row; null and empty texts get the bias alone. One pass, no shuffle;
+    the table that is broadcast has a fixed size (1 MB). Other columns are not read."""
     shared = docs.sparkSession.sparkContext.broadcast((scorer.table, scorer.bias, scorer.features))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(*shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(own.score, batch.column(1).to_pylist()), pa.float64())], names=[key, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(map(own.score, batch.column(0).to_pylist()), pa.float64())], names=[*keep, name])
 
-    return keyed_text(docs, key, text).mapInArrow(run, f"{key} long, score double")
+    rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")), *keep)
+    return rows.mapInArrow(run, docs.select(*keep).schema.add(name, "double"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
