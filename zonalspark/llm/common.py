@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +41,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def keyed_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the key and the text, null texts as empty ones."""
     return docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Arrays of one length in few bytes: alike bytes of a column side by side, compressed."""
+    head = np.array([len(columns[0]), *(c.dtype.itemsize for c in columns)], np.int64).tobytes()
+    planes = (np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T).tobytes() for c in columns)
+    return zstandard.compress(head + b"".join(planes), 1)
+
+
+def unpack(data: bytes, *types: type) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    n, at, out = int(raw[:8].view(np.int64)[0]), 8 * (1 + len(types)), []
+    for size, kind in zip(raw[8:at].view(np.int64).tolist(), types, strict=True):
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(kind)[:, 0] if n else np.zeros(0, kind))
+        at += n * size
+    return out

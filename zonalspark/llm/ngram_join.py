@@ -21,16 +21,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalspark.llm.common import keyed_text, read, stored
+from zonalspark.llm.common import keyed_text, pack, read, stored, unpack
 from zonalspark.llm.components import connected_components
 
 WORDS, SIMILARITY = 5, 80  # words a gram, per cent
 #: Cells of the sketch that tells common grams from others (8 MB), and how many times the mean of a cell a gram must
 #: reach, and how often it must be there at least, to count as common.
 CELLS, TIMES, COMMON = 1 << 20, 20, 200
-#: Grams that a task counts at once; documents that are searched in one task; documents of a large group that go to each
+#: Grams of a bucket, which a task counts at once; grams that a task holds before it packs them; documents that are searched in one task; documents of a large group that go to each
 #: of its parts first; ids up to which a side is broadcast.
-TOKENS, PART, LEADERS, BROADCAST = 1_500_000, 100, 3, 1_000_000
+TOKENS, FLUSH, PART, LEADERS, BROADCAST = 2_500_000, 4_000_000, 100, 3, 1_000_000
+DROPPED = 24  # bits of a gram's hash that only choose its bucket
 #: What merging an entry costs against probing for one, from which DivideSkip takes how many long lists to set aside;
 #: and the bands of partners' sizes, as shares of a set's own, that are searched one by one, each with its own overlap.
 MERGE_COST, BANDS = 0.0005, (0.8, 0.85, 0.9, 0.95, 1.0)
@@ -121,8 +122,9 @@ def sketch(scanned: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def dealt_grams(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
-    """bucket, kind, data: packed rows of a task. Kind 0: grams that aren't common, by gram (48 bits of its hash: what
-    collides is only compared once more). Kind 1: for each document its n, and kind 2 its common grams, by document."""
+    """bucket, kind, data: packed rows of a task. Kind 0: grams that aren't common, by gram (40 bits of its hash and its
+    bucket: what collides is only compared once more) and its class. Kind 1: for each class its n,
+    and kind 2 its common grams."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,30 +138,25 @@ def dealt_grams(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
             sizes = np.array([len(x[1]) for x in held], np.int64)
             tokens = np.concatenate([x[1] for x in held])
             at = np.repeat(np.arange(len(held), dtype=np.uint32), sizes)
-            order = np.argsort(tokens)
-            tokens, at = tokens[order], at[order]
-            bucket = (tokens >> np.uint64(16)) % np.uint64(buckets)
+            bucket = ((tokens & np.uint64((1 << DROPPED) - 1)) % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((tokens, bucket))
+            tokens, at = tokens[order] >> np.uint64(DROPPED), at[order]
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             out: list[tuple[int, int, bytes]] = []
-            by = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=np.uint64))
             for b in range(buckets):
-                own = by[cuts[b] : cuts[b + 1]]
-                if len(own):
+                if (own := slice(cuts[b], cuts[b + 1])).start < own.stop:
                     used, local = np.unique(at[own], return_inverse=True)
-                    planes = np.ascontiguousarray((tokens[own] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].T)
-                    local_planes = np.ascontiguousarray(local.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
-                    head = np.array([len(own), len(used)], np.int64).tobytes()
-                    out.append((b, 0, zstandard.compress(head + planes.tobytes() + local_planes.tobytes() + nodes[used].tobytes(), 1)))
+                    out.append((b, 0, pack(tokens[own], local.astype(np.uint32)) + nodes[used].tobytes() + len(used).to_bytes(8, "little")))
             which = (nodes.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
             lengths = np.array([len(x[2]) for x in held], np.int64)
             for b in np.unique(which):
                 own = np.flatnonzero(which == b)
-                n = sizes[own] + lengths[own]
-                out.append((int(b), 1, np.stack([nodes[own], n]).tobytes()))
+                out.append((int(b), 1, pack(nodes[own], sizes[own] + lengths[own])))
                 if lengths[own].sum():
-                    out.append((int(b), 2, np.stack([np.repeat(nodes[own], lengths[own]), np.concatenate([held[i][2] for i in own]).view(np.int64)]).tobytes()))
+                    out.append((int(b), 2, pack(np.repeat(nodes[own], lengths[own]), np.concatenate([held[i][2] for i in own]))))
             held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "data"])
+            for i in range(0, len(out), 64):
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out[i : i + 64]], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "data"])
 
         n = 0
         for batch in batches:
@@ -170,7 +167,7 @@ def dealt_grams(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
                     hot = shared.value[(g % np.uint64(CELLS)).astype(np.int64)]
                     held.append((node_of(mark), g[~hot], g[hot]))
                     n += len(g)
-                    if n >= 2 * TOKENS:
+                    if n >= FLUSH:
                         yield from flush()
                         n = 0
         yield from flush()
@@ -179,36 +176,50 @@ def dealt_grams(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
 
 
 def shared_grams(dealt: DataFrame, buckets: int) -> DataFrame:
-    """bucket (by document), data: node, gram, document frequency of grams in two classes or more."""
+    """bucket, kind, data: kinds 1 and 2 as they come; kind 3, by class: class, gram and document frequency of grams that
+    aren't common and are in two classes or more. Buckets of a task are worked out one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for batch in batches:
-            for b, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = np.frombuffer(zstandard.decompress(data), np.uint8)
-                n, used = raw[:16].view(np.int64).tolist()
-                tokens = np.zeros((n, 8), np.uint8)
-                tokens[:, :6] = raw[16 : 16 + 6 * n].reshape(6, n).T
-                local = np.ascontiguousarray(raw[16 + 6 * n : 16 + 10 * n].reshape(4, n).T).view(np.uint32)[:, 0]
-                nodes = np.frombuffer(raw[16 + 10 * n :].tobytes(), np.int64)
-                parts.setdefault(b, []).append((tokens.view(np.uint64)[:, 0], nodes[local]))
-        for found in parts.values():
-            tokens, nodes = (np.concatenate(x) for x in zip(*found, strict=True))
+        at, held = None, []
+
+        def found() -> pa.RecordBatch:
+            tokens, nodes = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             order = np.lexsort((nodes, tokens))
             tokens, nodes = tokens[order], nodes[order]
             new = np.ones(len(tokens), bool)
             new[1:] = (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])
             tokens, nodes = tokens[new], nodes[new]
-            _, back, df = np.unique(tokens, return_inverse=True, return_counts=True)
-            keep = df[back] > 1
-            tokens, nodes, df = tokens[keep], nodes[keep], df[back][keep]
+            first = np.ones(len(tokens), bool)
+            first[1:] = tokens[1:] != tokens[:-1]
+            df = np.diff(np.concatenate([np.flatnonzero(first), [len(tokens)]]))
+            df = np.repeat(df, df)
+            keep = df > 1
+            tokens, nodes, df = tokens[keep], nodes[keep], df[keep]
             which = (nodes.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(which, kind="stable")
-            cuts = np.searchsorted(which[by], np.arange(buckets + 1))
-            out = [(b, np.stack([nodes[i], tokens[i].view(np.int64), df[i]]).tobytes()) for b in range(buckets) if len(i := by[cuts[b] : cuts[b + 1]])]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([3] * len(out), pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "kind", "data"])
+            order = np.lexsort((nodes, which))
+            cuts = np.searchsorted(which[order], np.arange(buckets + 1))
+            out = [(b, pack(nodes[i], (tokens[i] * np.uint64(buckets) + np.uint64(at)).view(np.int64), df[i])) for b in range(buckets) if len(i := order[cuts[b] : cuts[b + 1]])]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([3] * len(out), pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "kind", "data"])
+
+        for batch in batches:
+            passed = []
+            for b, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind:
+                    passed.append((b, kind, data))
+                    continue
+                if b != at and held:
+                    yield found()
+                at = b
+                n = int.from_bytes(data[-8:], "little")
+                tokens, local = unpack(data[: -8 - 8 * n], np.uint64, np.uint32)
+                held.append((tokens, np.frombuffer(data[-8 - 8 * n : -8], np.int64)[local]))
+            if passed:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in passed], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "data"])
+        if held:
+            yield found()
 
-    return dealt.where("kind = 0").repartition(buckets, "bucket").select("bucket", "data").mapInArrow(run, "bucket int, kind int, data binary")
+    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, kind int, data binary")
 
 
 def prefixes(rows: DataFrame, buckets: int) -> DataFrame:
@@ -217,23 +228,31 @@ def prefixes(rows: DataFrame, buckets: int) -> DataFrame:
     n - ceil(0.8 n) + 1 links with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, rest = [np.zeros((2, 0), np.int64)], [np.zeros((3, 0), np.int64)]
+        at, sizes, rest = None, [], []
+
         for batch in batches:
-            for kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for b, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != at and at is not None:
+                    yield from of_bucket(sizes, rest)
+                    sizes, rest = [], []
+                at = b
                 if kind == 1:
-                    sizes.append(np.frombuffer(data, np.int64).reshape(2, -1))
+                    sizes.append(np.stack(unpack(data, np.int64, np.int64)))
                 elif kind == 2:
-                    pair = np.frombuffer(data, np.int64).reshape(2, -1)
-                    rest.append(np.concatenate([pair, np.full((1, pair.shape[1]), 1 << 60)]))
+                    nodes, grams = unpack(data, np.int64, np.int64)
+                    rest.append(np.stack([nodes, grams, np.full(len(nodes), 1 << 60)]))
                 else:
-                    rest.append(np.frombuffer(data, np.int64).reshape(3, -1))
+                    rest.append(np.stack(unpack(data, np.int64, np.int64, np.int64)))
+        if at is not None:
+            yield from of_bucket(sizes, rest)
+
+    def of_bucket(sizes: list[np.ndarray], rest: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if not rest:
+            return
         size, found = np.concatenate(sizes, 1), np.concatenate(rest, 1)
         nodes, first = np.unique(size[0], return_index=True)
         n = size[1][first]
-        order = np.lexsort((found[1], found[2], found[0]))
-        found = found[:, order]
-        if not found.shape[1]:
-            return
+        found = found[:, np.lexsort((found[1], found[2], found[0]))]
         new = np.ones(found.shape[1], bool)  # a class that several tasks met sent its common grams each time
         new[1:] = (found[:2, 1:] != found[:2, :-1]).any(0)
         found = found[:, new]
@@ -245,7 +264,7 @@ def prefixes(rows: DataFrame, buckets: int) -> DataFrame:
         keep = np.arange(found.shape[1]) - np.repeat(start, count) < np.repeat(take, count)
         yield pa.RecordBatch.from_arrays([pa.array(found[1][keep]), pa.array(found[0][keep])], names=["gram", "node"])
 
-    return rows.repartition(buckets, "bucket").select("kind", "data").mapInArrow(run, "gram long, node long")
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "gram long, node long")
 
 
 def star_edges(listed: DataFrame) -> DataFrame:
@@ -318,11 +337,11 @@ def divide_skip(lists: list[np.ndarray], needed: int) -> list[int]:
     return out
 
 
-def links(sets: list[np.ndarray], group: list[int], queries: list[bool]) -> tuple[list[tuple[int, int]], tuple[int, float]]:
+def links(sets: list[np.ndarray], group: list[int], guests: list[bool]) -> tuple[list[tuple[int, int]], tuple[int, float]]:
     """Links that join what isn't joined yet (indices of sets that link and whose groups, and links so far, differ),
     and the set that has most in common with the others, with how many of them hold one of its grams on average.
 
-    group: sets of one number are joined already; queries: pairs need one of these at least."""
+    group: sets of one number are joined already; guests, if there are any, pair with others only, and others with them."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     sizes = np.array([len(sets[i]) for i in order])
     union, first = Union(len(order)), {}
@@ -332,23 +351,28 @@ def links(sets: list[np.ndarray], group: list[int], queries: list[bool]) -> tupl
     owner = np.repeat(np.arange(len(order)), sizes)
     by = np.argsort(tokens, kind="stable")  # owners stay in order within a list
     listed, back, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-    starts = np.concatenate([[0], np.cumsum(counts)])
-    owners, ask = owner[by], np.array([queries[i] for i in order])
+    guest = np.array([guests[i] for i in order])
+    sides = []
+    for side in (True, False) if guest.any() else (None, None):  # the lists that a guest and that another searches
+        own = by if side is None else by[guest[owner[by]] != side]
+        held = np.bincount(back[own], minlength=len(listed))
+        sides.append((owner[own], held, np.cumsum(held) - held))
     likeness = np.bincount(owner, counts[back], len(order)) / np.maximum(1, sizes)
     ends, out = np.cumsum(sizes), []
     for q in range(len(order)):
         n = int(sizes[q])
         low = int(np.searchsorted(sizes, -(-SIMILARITY * n // 100)))  # partners before q, so no larger
-        if low >= q or not (ask[q] or ask[low:q].any()):
+        if low >= q:
             continue
+        owners, held, starts = sides[0 if guest[q] else 1]
         at = back[ends[q] - n : ends[q]]
-        at = at[counts[at] > 1]
-        c = counts[at]
+        at = at[held[at] > 0]
+        c = held[at]
+        if len(at) < required(n, int(sizes[low])):
+            continue
         lists = np.repeat(np.arange(len(at)), c)
         entries = owners[np.repeat(starts[at] - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(c.sum())]
         keep = (entries >= low) & (entries < q) & (union.label[entries] != union.label[q])
-        if not ask[q]:
-            keep &= ask[entries]
         lists, entries = lists[keep], entries[keep]
         for k in range(len(BANDS) - 1):
             least = max(math.ceil(BANDS[k] * n), int(sizes[low]))
@@ -371,7 +395,7 @@ def links(sets: list[np.ndarray], group: list[int], queries: list[bool]) -> tupl
 
 
 def searched(rows: DataFrame) -> DataFrame:
-    """a, b: links found in each group of rows(grp, part, id, piece, query, grams); and for each group a row without b
+    """a, b: links found in each group of rows(grp, part, id, piece, guest, grams); and for each group a row without b
     that names the set most like the others, with grp and likeness."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,7 +418,7 @@ def searched(rows: DataFrame) -> DataFrame:
         if len(held) > 1:
             yield found()
 
-    return rows.select("grp", "part", "id", "piece", "query", "grams").repartition("grp", "part").sortWithinPartitions("grp", "part").mapInArrow(run, "a long, b long, grp long, like double")
+    return rows.select("grp", "part", "id", "piece", "guest", "grams").repartition("grp", "part").sortWithinPartitions("grp", "part").mapInArrow(run, "a long, b long, grp long, like double")
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -408,8 +432,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     buckets = max(4, -(-total // TOKENS))
     own = scanned.where("part is null").select(key, "n", "mark", "node")
     classes = stored(own.where("n > 0").groupBy("mark").agg(F.min(key).alias("id"), F.first("n").alias("n"), F.first("node").alias("node")), "ngram-classes")
-    dealt = stored(dealt_grams(texts, common, buckets), "ngram-dealt")
-    rows = dealt.where("kind > 0").unionByName(shared_grams(dealt, buckets))
+    rows = shared_grams(dealt_grams(texts, common, buckets), buckets)
     groups = connected_components(star_edges(prefixes(rows, buckets)))
     named = classes.join(groups, "node").select("id", "component")
     sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("grp"))
@@ -426,14 +449,18 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     chosen = stored(chosen, "ngram-sets")
     parts = F.ceil(F.col("size") / PART)
     part = F.pmod(F.xxhash64("id"), parts)
-    to_all = F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))
-    first = stored(searched(chosen.withColumn("part", part).withColumn("piece", F.col("id")).withColumn("query", F.lit(True))), "ngram-links")
+
+    def to_others(rows: DataFrame) -> DataFrame:
+        """rows as guests of all parts but their own."""
+        return rows.withColumn("own", part).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).where("part <> own").drop("own").withColumn("guest", F.lit(True))
+
+    first = stored(searched(chosen.withColumn("part", part).withColumn("piece", F.col("id")).withColumn("guest", F.lit(False))), "ngram-links")
     edges = first.where("b is not null").select("a", "b")
     large = chosen.where(F.col("size") > PART)
     # of a large group, the sets most like the others meet all its parts, so that most of it is joined at once
     leaders = first.where("b is null").groupBy("grp").agg(F.slice(F.sort_array(F.collect_set(F.struct("like", "a")), False), 1, LEADERS).alias("best")).select("grp", F.explode("best.a").alias("id"))
-    leading = large.join(leaders, ["grp", "id"]).withColumn("part", to_all).withColumn("query", F.lit(True))
-    met = large.withColumn("part", part).withColumn("query", F.lit(False)).unionByName(leading).withColumn("piece", F.col("id"))
+    leading = to_others(large.join(leaders, ["grp", "id"]))
+    met = large.withColumn("part", part).withColumn("guest", F.lit(False)).unionByName(leading).withColumn("piece", F.col("id"))
     edges = edges.union(stored(searched(met), "ngram-links").where("b is not null").select("a", "b"))
     pieces = connected_components(edges)
     # what a large group has outside its largest piece is searched in all its parts
@@ -441,8 +468,8 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     main = large.groupBy("grp", "piece").agg(F.count(F.lit(1)).alias("k")).groupBy("grp").agg(F.max_by("piece", F.struct("k", "piece")).alias("main"), F.count(F.lit(1)).alias("pieces")).where("pieces > 1")
     main = stored(main, "ngram-main")
     if main.limit(1).count():
-        rest = large.join(main, "grp").withColumn("query", F.col("piece") != F.col("main")).drop("main", "pieces")
-        again = rest.withColumn("part", part).unionByName(rest.where("query").withColumn("part", to_all))
+        rest = large.join(main, "grp")
+        again = rest.withColumn("part", part).withColumn("guest", F.lit(False)).unionByName(to_others(rest.where("piece <> main"))).drop("main", "pieces")
         pieces = connected_components(edges.union(stored(searched(again), "ngram-links").where("b is not null").select("a", "b")))
     linked = classes.join(pieces.withColumnRenamed("node", "id"), "id", "left").select("mark", F.coalesce("component", "id").alias("component_id"))
     full = own.where("n > 0").join(linked, "mark").select(key, F.col("n").alias("n_shingles"), "component_id")
