@@ -23,7 +23,8 @@ def query(name: str, sql: str | None, *views: str):
     return put
 
 
-TASK_ORDER = [F.desc("float_value"), F.asc("task_id"), F.asc("update_time"), F.asc("geom_id")]
+def task_order():
+    return [F.desc("float_value"), F.asc("task_id"), F.asc("update_time"), F.asc("geom_id")]
 
 
 @query("task_candidates", "SELECT req_id, geom_id, label, po_name, count(*) AS n FROM fx_tasks GROUP BY ALL", "fx_tasks")
@@ -39,7 +40,7 @@ def task_new_only(s, d):
 
 @query("queue_topk", "SELECT task_id, geom_id, float_value FROM fx_tasks WHERE status = 0 ORDER BY float_value DESC, task_id, update_time, geom_id LIMIT 1000", "fx_tasks")
 def queue_topk(s, d):
-    return control.queue(view(s, d, "fx_tasks"), 1000, TASK_ORDER, F.col("status") == 0).select("task_id", "geom_id", "float_value")
+    return control.queue(view(s, d, "fx_tasks"), 1000, task_order(), F.col("status") == 0).select("task_id", "geom_id", "float_value")
 
 
 @query("queue_release_stale", "SELECT task_id, CASE WHEN status = -1 AND update_time < TIMESTAMP '1998-01-01' - INTERVAL 30 MINUTE THEN 0 ELSE status END AS status FROM fx_tasks", "fx_tasks")
@@ -104,18 +105,19 @@ def search_ilike(s, d):
     return view(s, d, "fx_catalog").where(F.col("title").ilike("%re%") | F.col("type").ilike("%BRASS%")).select("id", "title")
 
 
-TAGS = F.split("title", " ")
+def tags():
+    return F.split("title", " ")
 
 
 @query("preset_match", "SELECT id FROM fx_catalog WHERE source_name = 'Brand#11' AND group_level BETWEEN 1 AND 40 AND list_contains(string_split(title, ' '), string_split(title, ' ')[1])", "fx_catalog")
 def preset_match(s, d):
-    wanted = F.array(F.get(TAGS, 0))
-    return view(s, d, "fx_catalog").where((F.col("source_name") == "Brand#11") & F.col("group_level").between(1, 40) & (F.size(F.array_except(wanted, TAGS)) == 0)).select("id")
+    wanted = F.array(F.get(tags(), 0))
+    return view(s, d, "fx_catalog").where((F.col("source_name") == "Brand#11") & F.col("group_level").between(1, 40) & (F.size(F.array_except(wanted, tags())) == 0)).select("id")
 
 
 @query("category_list", "SELECT DISTINCT lower(t) AS tag FROM (SELECT unnest(string_split(title, ' ')) AS t FROM fx_catalog) WHERE t <> ''", "fx_catalog")
 def category_list(s, d):
-    return view(s, d, "fx_catalog").select(F.explode(TAGS).alias("t")).where("t <> ''").select(F.lower("t").alias("tag")).distinct()
+    return view(s, d, "fx_catalog").select(F.explode(tags()).alias("t")).where("t <> ''").select(F.lower("t").alias("tag")).distinct()
 
 
 @query("group_by_level", "SELECT CASE WHEN group_level > 45 THEN 'Unspecified' ELSE CAST(group_level AS VARCHAR) END AS level, count(*) AS n FROM fx_catalog GROUP BY ALL", "fx_catalog")
@@ -125,7 +127,7 @@ def group_by_level(s, d):
 
 @query("group_by_tag", "SELECT t AS tag, count(DISTINCT id) AS n FROM (SELECT id, unnest(string_split(title, ' ')) AS t FROM fx_catalog) GROUP BY t", "fx_catalog")
 def group_by_tag(s, d):
-    return view(s, d, "fx_catalog").select("id", F.explode_outer(TAGS).alias("tag")).groupBy("tag").agg(F.count_distinct("id").alias("n"))
+    return view(s, d, "fx_catalog").select("id", F.explode_outer(tags()).alias("tag")).groupBy("tag").agg(F.count_distinct("id").alias("n"))
 
 
 @query("featured_topk", "SELECT id, val FROM fx_catalog WHERE group_level < 25 ORDER BY val DESC, id LIMIT 12", "fx_catalog")

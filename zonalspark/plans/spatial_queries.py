@@ -65,18 +65,22 @@ def points_query(name: str, outcomes: dict[str, tuple[str, str]], build):
     query(name, f"{POINTS} SELECT geom_id, {cols} FROM fx_features LEFT JOIN fx_points ON {POINT_IN} GROUP BY geom_id")(lambda spark, d: S.filter_aggregate(view(spark, d, "fx_features"), view(spark, d, "fx_points"), build()))
 
 
-ONE, VALUE = F.lit, lambda: F.col("value")
+def value():
+    """The default outcome."""
+    return F.col("value")
+
+
 points_query("points_within_count", {"event_count": ("1", "event_id IS NOT NULL")}, lambda: {"event_count": (F.lit(1), F.lit(True))})
-points_query("points_within_sum", {"total": ("value", "true")}, lambda: {"total": (VALUE(), F.lit(True))})
+points_query("points_within_sum", {"total": ("value", "true")}, lambda: {"total": (value(), F.lit(True))})
 RANGE = {"value": {"type": "range", "start": 10, "end": 50}}
-points_query("points_filter_range", {"total": ("value", "value BETWEEN 10 AND 50")}, lambda: {"total": (VALUE(), S.filter_of(RANGE))})
+points_query("points_filter_range", {"total": ("value", "value BETWEEN 10 AND 50")}, lambda: {"total": (value(), S.filter_of(RANGE))})
 KINDS = {"event_type": {"type": "categorical", "selected": ["click", "purchase"]}, "user_id": {"type": "categorical", "selected": []}, "note": "ignored"}
-points_query("points_filter_in", {"total": ("value", "event_type IN ('click', 'purchase')")}, lambda: {"total": (VALUE(), S.filter_of(KINDS))})
+points_query("points_filter_in", {"total": ("value", "event_type IN ('click', 'purchase')")}, lambda: {"total": (value(), S.filter_of(KINDS))})
 ONE_KEY = {"event_type": {"type": "categorical", "selected": ["click", "purchase", "no such"], "aggregate": False}, "value": {"type": "range", "start": 1, "end": 80, "aggregate": False}}
-points_query("points_disaggregate_1key", {S.safe_label(k): ("value", f"event_type = '{k}' AND value BETWEEN 1 AND 80") for k in ("click", "purchase", "no such")}, lambda: {label: (VALUE(), p) for label, p in S.disaggregations(ONE_KEY)})
+points_query("points_disaggregate_1key", {S.safe_label(k): ("value", f"event_type = '{k}' AND value BETWEEN 1 AND 80") for k in ("click", "purchase", "no such")}, lambda: {label: (value(), p) for label, p in S.disaggregations(ONE_KEY)})
 TWO_KEYS = {"event_type": {"type": "categorical", "selected": ["click", "view"], "aggregate": False}, "user_id": {"type": "categorical", "selected": [1, 2, 3], "aggregate": False}}
 points_query("points_disaggregate_2key", {f"{k}_{u}": ("1", f"event_type = '{k}' AND user_id = {u}") for k in ("click", "view") for u in (1, 2, 3)}, lambda: {label: (F.lit(1), p) for label, p in S.disaggregations(TWO_KEYS)})
-points_query("points_conditional_sum", {"inside": ("value", "true"), "large": ("value", "value > 90")}, lambda: {"inside": (VALUE(), F.lit(True)), "large": (VALUE(), F.col("value") > 90)})
+points_query("points_conditional_sum", {"inside": ("value", "true"), "large": ("value", "value > 90")}, lambda: {"inside": (value(), F.lit(True)), "large": (value(), F.col("value") > 90)})
 
 POLYS = with_views("fx_features", "fx_polys")
 AREA = "greatest(0, least(f.maxx, p.maxx) - greatest(f.minx, p.minx)) * greatest(0, least(f.maxy, p.maxy) - greatest(f.miny, p.miny))"
