@@ -5,24 +5,46 @@ the last return the columns of documents."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonalspark.llm import byte_bpe, decontamination, ngram_join, quality, suffix_dedup
-from zonalspark.llm.common import read, stored
+from zonalspark.llm.common import forget, read, recorded, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Ids of removed documents up to this number are broadcast (8 MB), beyond it they are joined by a shuffle.
 BROADCAST = 1_000_000
 
 
+#: Intermediate tables of the last stage that ran.
+LEFT: list[str] = []
+
+
+def stage(f: Callable) -> Callable:
+    """When a stage begins, the one before has been written, so the tables that it used go."""
+
+    @wraps(f)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        forget(spark, LEFT)
+        with recorded() as paths:
+            out = f(spark, docs, sf_dir)
+        LEFT.extend(paths)
+        return out
+
+    return begin
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs whose doc_id isn't in ids."""
     ids = stored(ids.distinct(), "removed")
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "doc_id", "left_anti").select(*COLUMNS)
 
 
+@stage
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; their texts stay as they are, nulls too."""
     scorer = quality.fit(docs, read(spark, sf_dir, "labels"))
@@ -30,6 +52,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.score(both, scorer, "content", COLUMNS, "quality_score").where("quality_score >= 0.5").select(*COLUMNS)
 
 
+@stage
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies; of repeated ids one row."""
     groups = stored(ngram_join.similar(docs).select("doc_id", "component_id"), "near-copies")
@@ -38,6 +61,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.dropDuplicates(["doc_id"]) if repeated else kept
 
 
+@stage
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the bytes of repeated strings; of a character that is cut through no byte stays."""
     left = suffix_dedup.dedup(docs, keep=("doc_id", "lang", "source"))
@@ -46,12 +70,14 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
+@stage
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no, or too little, of the benchmark."""
     found = decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"))
     return without(docs, found.where("contaminated").select("doc_id"))
 
 
+@stage
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and of what they decode to."""
     return byte_bpe.digests(byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
@@ -65,6 +91,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    for name, f in STAGES[:-1]:
+        docs = stored(f(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

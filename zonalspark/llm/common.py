@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import zstandard
@@ -25,13 +27,37 @@ def shared_dir(spark: SparkSession) -> str:
     return here
 
 
+#: Paths of tables that stored() writes while somebody records them.
+RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that are stored inside."""
+    RECORDS.append([])
+    try:
+        yield RECORDS[-1]
+    finally:
+        RECORDS.pop()
+
+
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    paths.clear()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder as Parquet and read it again: cuts lineage and survives lost executors.
 
-    The folder goes when the session's JVM ends."""
+    The folder goes when the session's JVM ends, or by forget()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for own in RECORDS[-1:]:
+        own.append(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

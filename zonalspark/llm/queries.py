@@ -5,7 +5,7 @@ from zonalspark.llm.decontamination import OP9_SQL, op9_decontamination
 from zonalspark.llm.fingerprints import op7_fingerprints
 from zonalspark.llm.html_extraction import op3_html_extraction
 from zonalspark.llm.lm_scoring import op10_lm_scoring
-from zonalspark.llm.ngram_join import op2_ngram_join
+from zonalspark.llm.ngram_join import OP2_SQL, op2_ngram_join
 from zonalspark.llm.quality import op6_quality
 from zonalspark.llm.suffix_dedup import op8_suffix_dedup
 from zonalspark.llm.token_counts import op1_token_counts
@@ -24,4 +24,4 @@ QUERIES = {
     "op10_lm_scoring": op10_lm_scoring,
 }
 
-ORACLE_SQL = {"op9_decontamination": OP9_SQL}
+ORACLE_SQL = {"op2_ngram_join": OP2_SQL, "op9_decontamination": OP9_SQL}
