@@ -27,16 +27,17 @@ BASE = with_views("fx_features", "fx_pixels")
 
 def zonal(stat: str, nodata: bool = True):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        out = S.zonal_stats(view(spark, d, "fx_features"), view(spark, d, "fx_pixels"), ["label"], F.col("is_nodata") if nodata else None)
-        value = F.col(stat) if stat == "count" else F.round(stat, 2)
+        pixels = view(spark, d, "fx_pixels").withColumn("val", F.col("val").cast("decimal(18,2)"))  # sums are then exact
+        out = S.zonal_stats(view(spark, d, "fx_features"), pixels, ["label"], F.col("is_nodata") if nodata else None)
+        value = F.col("count") if stat == "count" else F.col("sum").cast("double") / F.col("count") if stat == "mean" else F.col(stat).cast("double")
         return out.select("geom_id", "label", value.alias(stat))
 
     return run
 
 
-for stat, sql in {"min": "min(val)", "max": "max(val)", "mean": "avg(val)", "sum": "sum(val)", "count": "count(val)"}.items():
-    rounded = sql if stat == "count" else f"round({sql}, 2)"
-    query(f"zonal_{stat}", f'{BASE} SELECT geom_id, label, {rounded} AS "{stat}" FROM fx_features JOIN fx_pixels ON {IN_BOX} WHERE NOT is_nodata GROUP BY ALL')(zonal(stat))
+EXACT = "CAST(sum(CAST(val AS DECIMAL(18, 2))) AS DOUBLE)"
+for stat, sql in {"min": "min(val)", "max": "max(val)", "mean": f"{EXACT} / count(val)", "sum": EXACT, "count": "count(val)"}.items():
+    query(f"zonal_{stat}", f'{BASE} SELECT geom_id, label, {sql} AS "{stat}" FROM fx_features JOIN fx_pixels ON {IN_BOX} WHERE NOT is_nodata GROUP BY ALL')(zonal(stat))
 query("zonal_nodata", f"{BASE} SELECT geom_id, label, count(val) AS count FROM fx_features JOIN fx_pixels ON {IN_BOX} GROUP BY ALL")(zonal("count", False))
 
 EMPTY = "class = '5-LOW' AND label = 1995 AND x < -20"
