@@ -78,8 +78,11 @@ def found_positions(short: list[int], held: dict[int, list[int]] | None) -> Colu
     inside = lambda n: (lambda h: h.isin(held[n])) if held else (lambda h: F.lit(True))
     # Only grams whose hash winnowing kept somewhere in the document
     parts = [structs(WINDOW, F.col("grams"), lambda h: F.array_contains(F.col("kept"), h))]
-    for n in short:
-        parts.append(structs(n, F.transform(up_to(F.size("words") - n), lambda i, n=n: F.xxhash64(F.lit(n), F.slice("words", i + 1, n))), inside(n)))
+
+    def run_hashes(n: int) -> Column:
+        return F.transform(up_to(F.size("words") - n), lambda i: F.xxhash64(F.lit(n), F.slice("words", i + 1, n)))
+
+    parts += [structs(n, run_hashes(n), inside(n)) for n in short]
     return F.concat(*parts)
 
 
