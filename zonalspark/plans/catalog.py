@@ -1,7 +1,7 @@
 """All queries of the package but those of the training-data operators."""
 
-from zonalspark.plans import geometry_queries, listing_queries, relational_queries, spatial_queries
+from zonalspark.plans import geometry_queries, listing_queries, relational_queries, spatial_queries, upkeep_queries
 
-MODULES = (spatial_queries, relational_queries, listing_queries, geometry_queries)
+MODULES = (spatial_queries, relational_queries, listing_queries, geometry_queries, upkeep_queries)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
