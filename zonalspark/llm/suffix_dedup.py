@@ -183,8 +183,9 @@ def runs(docs: DataFrame, filters: dict[int, tuple[int, bytes]], buckets: int) -
 
 
 def refine(group: np.ndarray, owner: np.ndarray, low: np.ndarray, contexts: list[bytes]) -> np.ndarray:
-    """Whether each suffix has an equal in its group for LENGTH bytes: group (number of anchor and distance), owner
-    (context), low (where in the context it begins). Rounds of STEP bytes split intervals, single ones leave."""
+    """Number of the interval of each suffix that has an equal in its group for LENGTH bytes, -1 for others: group
+    (number of anchor and distance), owner (context), low (where in the context it begins). Rounds of STEP bytes split
+    intervals, single ones leave."""
     whole = np.frombuffer(b"".join(contexts), np.uint8)
     begins = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])[:-1]
     start = begins[owner] + low
@@ -204,8 +205,8 @@ def refine(group: np.ndarray, owner: np.ndarray, low: np.ndarray, contexts: list
         interval = np.cumsum(new) - 1
         several = np.bincount(interval)[interval] > 1 if len(interval) else np.zeros(0, bool)
         alive, interval = alive[several], interval[several]
-    out = np.zeros(len(group), bool)
-    out[alive] = True
+    out = np.full(len(group), -1, np.int64)
+    out[alive] = interval
     return out
 
 
@@ -222,27 +223,42 @@ def strings(contexts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def merged(contexts: DataFrame) -> DataFrame:
-    """sig, a, b: runs of repeated strings, b down to a bytes before the anchor. For an anchor of very many contexts
-    rows with a word instead (two halves of a hash of anchor, distance and string), to be counted by it."""
+    """sig, a, b: runs of repeated strings, b down to a bytes before the anchor. An anchor of very many contexts is
+    worked out GROUP contexts at a time; then rows with a word (two halves of a hash of anchor, distance and string) and
+    k, how often it is there (2: or more), to be counted by it: one for each string that is single in its part, and one
+    for all equal ones of a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["sig", "a", "b", "w1", "w2"]
+        names = ["sig", "a", "b", "w1", "w2", "k"]
 
-        def batch_of(sig: list, a: list, b: list, w1: list | None = None, w2: list | None = None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(w1 or [None] * len(sig), pa.int64()), pa.array(w2 or [None] * len(sig), pa.int64())], names=names)
+        def batch_of(sig: list, a: list, b: list, *words: list) -> pa.RecordBatch:
+            types = (pa.int64(), pa.int64(), pa.int32())
+            rest = [pa.array(w, t) for w, t in zip(words, types, strict=True)] if words else [pa.nulls(len(sig), t) for t in types]
+            return pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), *rest], names=names)
+
+        def runs_of(found: np.ndarray, owner: np.ndarray, distance: np.ndarray, contexts: list[list]) -> tuple[list, list, list]:
+            where = np.flatnonzero(found)
+            if not len(where):
+                return [], [], []
+            cut = np.concatenate([[0], np.flatnonzero((np.diff(where) > 1) | (np.diff(owner[where]) != 0)) + 1, [len(where)]])
+            first, last = where[cut[:-1]], where[cut[1:] - 1]
+            return [contexts[o][1] for o in owner[first].tolist()], distance[last].tolist(), distance[first].tolist()
 
         def spread(own: list[list]) -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(own), 200):
-                sig, a, w1, w2 = [], [], [], []
-                for anchor, s, lo, hi, n, data in own[at : at + 200]:
-                    for i in range(lo - hi + 1):
-                        x, y = struct.unpack("<qq", xxhash.xxh3_128_digest(data[i : i + LENGTH] + struct.pack("<qI", anchor, lo - i)))
-                        for _ in range(min(n, 2)):
-                            sig.append(s)
-                            a.append(lo - i)
-                            w1.append(x)
-                            w2.append(y)
-                yield batch_of(sig, a, a, w1, w2)
+            owner, distance, low = strings(own)
+            interval = refine(distance, owner, low, [c[5] for c in own])
+            copied = np.array([c[4] > 1 for c in own])[owner]
+            yield batch_of(*runs_of(copied | (interval >= 0), owner, distance, own))
+            alone = np.flatnonzero(interval < 0)
+            shared = np.flatnonzero(interval >= 0)
+            shared = shared[np.unique(interval[shared], return_index=True)[1]]
+            told = np.concatenate([alone, shared])
+            often = np.concatenate([1 + copied[alone], np.full(len(shared), 2)])
+            for at in range(0, len(told), 20_000):
+                part = told[at : at + 20_000].tolist()
+                at_anchor = distance[part].tolist()
+                words = [struct.unpack("<qq", xxhash.xxh3_128_digest(own[o][5][i : i + LENGTH] + struct.pack("<qI", own[o][0], d))) for o, i, d in zip(owner[part].tolist(), low[part].tolist(), at_anchor, strict=True)]
+                yield batch_of([own[o][1] for o in owner[part].tolist()], at_anchor, at_anchor, [w[0] for w in words], [w[1] for w in words], often[at : at + 20_000].tolist())
 
         def settle(groups: list[list[list]]) -> Iterator[pa.RecordBatch]:
             sig, a, b, rest, numbers = [], [], [], [], []
@@ -258,16 +274,10 @@ def merged(contexts: DataFrame) -> DataFrame:
             if rest:
                 owner, distance, low = strings(rest)
                 group = np.array(numbers, np.int64)[owner] * (LENGTH + 1) + distance
-                found = refine(group, owner, low, [c[5] for c in rest])
-                single = np.array([c[4] == 1 for c in rest])
-                found &= single[owner]
-                where = np.flatnonzero(found)
-                if len(where):
-                    cut = np.concatenate([[0], np.flatnonzero((np.diff(where) > 1) | (np.diff(owner[where]) != 0)) + 1, [len(where)]])
-                    for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                        sig.append(rest[owner[where[i]]][1])
-                        b.append(int(distance[where[i]]))
-                        a.append(int(distance[where[j - 1]]))
+                found = refine(group, owner, low, [c[5] for c in rest]) >= 0
+                found &= np.array([c[4] == 1 for c in rest])[owner]
+                for held, new in zip((sig, a, b), runs_of(found, owner, distance, rest), strict=True):
+                    held += new
             if sig:
                 yield batch_of(sig, a, b)
 
@@ -298,7 +308,7 @@ def merged(contexts: DataFrame) -> DataFrame:
             groups.append(list(own.values()))
         yield from settle(groups)
 
-    return contexts.select("anchor", "sig", "lo", "hi", "n", "bytes").repartition("anchor").sortWithinPartitions("anchor", "sig").mapInArrow(run, "sig binary, a int, b int, w1 long, w2 long")
+    return contexts.select("anchor", "sig", "lo", "hi", "n", "bytes").repartition("anchor").sortWithinPartitions("anchor", "sig").mapInArrow(run, "sig binary, a int, b int, w1 long, w2 long, k int")
 
 
 def cut_out(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -340,8 +350,8 @@ def dedup(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     filters = {r.bucket: (r.bits, bytes(r["filter"])) for r in repeated_anchors(rows, buckets).toLocalIterator()}
     found = stored(runs(rows, filters, buckets), "suffix-runs")
     verdicts = stored(merged(found.where("place is null")), "suffix-repeats")
-    spread = verdicts.where("w1 is not null").select("sig", "a", "w1", "w2")
-    often = spread.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
+    spread = verdicts.where("w1 is not null").select("sig", "a", "w1", "w2", "k")
+    often = spread.groupBy("w1", "w2").agg(F.sum("k").alias("n")).where("n > 1").select("w1", "w2")
     repeats = verdicts.where("w1 is null").select("sig", "a", "b").unionByName(spread.join(often, ["w1", "w2"]).select("sig", "a", F.col("a").alias("b")))
     places = found.where("place is not null").select("sig", "d1", "d2", "place").distinct()
     spans = places.join(repeats.distinct(), "sig").groupBy("d1", "d2").agg(F.collect_list(F.struct((F.col("place") - F.col("b")).alias("a"), (F.col("place") - F.col("a") + LENGTH).alias("b"))).alias("spans"))
