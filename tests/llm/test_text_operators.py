@@ -1,8 +1,10 @@
 """Training-data operators: edge cases of their tables, and plain versions of what SQL can't express."""
 
 import hashlib
+import math
 import random
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -215,6 +217,36 @@ def test_lm_scores_prefer_the_target(spark):
     assert min(r.score for r in out if r.doc_id % 2) > max(r.score for r in out if not r.doc_id % 2)
 
 
+def test_lm_counts_keep_words_and_bigrams_apart(spark):
+    """Losses are those of counts of the words and bigrams themselves, whatever the chunks are."""
+    rows = [(k, text(40, k) + f" only{k} only{k}x") for k in range(60)] + [(7, text(9, 7)), (None, "alpha beta"), (90, None)]
+    targets = {k for k in range(0, 60, 3)}
+    ones, twos = ([Counter(), Counter()] for _ in range(2))
+    split = [(k, (t or "").lower().split()) for k, t in rows]
+    for k, w in split:
+        for m in (0, 1) if k in targets else (1,):
+            ones[m].update(w)
+            twos[m].update(zip([None, *w], w))
+    totals, v = [sum(c.values()) for c in ones], len(ones[1])
+    want = []
+    for k, w in split:
+        loss = []
+        for m in (0, 1):
+            mine, by = (m == 1 or k in targets), totals[0] / totals[1] if m else 1.0
+            own1, own2 = (Counter(w), Counter(zip([None, *w], w))) if mine else (Counter(), Counter())
+            n, s = (totals[m] - mine * len(w)) * by, 0.0
+            for a, b in zip([None, *w], w):
+                c2, c1 = (twos[m][a, b] - own2[a, b]) * by, (ones[m][b] - own1[b]) * by
+                c0 = c2 if a is None else (ones[m][a] - own1[a]) * by
+                s -= math.log((c2 + 4 * (c1 + 1) / (n + v)) / (max(c0, c2) + 4))
+            loss.append(s / len(w) if w else 0.0)
+        want.append((str(k), len(w), *(round(x, 8) for x in (*loss, loss[1] - loss[0]))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for chunk in (lm_scoring.CHUNK, 500):
+        out = lm_scoring.score(docs, spark.createDataFrame([(k,) for k in targets], "doc_id long"), chunk=chunk).collect()
+        assert sorted((str(r.doc_id), r.n_tokens, *(round(x, 8) + 0.0 for x in r[2:])) for r in out) == sorted(want)
+
+
 def labelled(spark, bad: str):
     rows = [(k, text(60, k) + (f" {bad} {bad}x {text(5, k)} {bad}" if k % 4 == 0 else "")) for k in range(240)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -1,9 +1,13 @@
 """LM scoring (operator 10): cross-entropy difference.
 
-A target and a background model, both word bigrams interpolated with unigrams, count the same hashed vocabulary over
-the target documents and over all documents; the background's counts are scaled to the target's size, so the two are
-matched. A document's score is the mean over its tokens of background loss less target loss: above 0 it is more like
-the target. A document's own counts are taken out of both models before it is scored.
+A target and a background model, both word bigrams interpolated with unigrams, count the same vocabulary over the target
+documents and over all documents; the background's counts are scaled to the target's size, so the two are matched. A
+document's score is the mean over its tokens of background loss less target loss: above 0 it is more like the target. A
+document's own counts are taken out of both models before it is scored.
+
+Words and bigrams are counted by 64-bit keys, so the models grow with the corpus. Tasks cut their documents into chunks
+and send each range of keys the chunk's distinct keys with their counts; a range adds them up and answers each chunk
+with the sums of its keys. The answers meet the chunk's documents, which take the same way.
 """
 
 from __future__ import annotations
@@ -14,31 +18,32 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalspark.llm.common import keyed_text, read, stored
+from zonalspark.llm.common import keyed_text, pack, read, stored, unpack
 
-#: Bytes of text for each slot of the bigram table, and the fewest and most slots: the tables grow with the corpus up to
-#: LARGEST (2 models x 8 million slots x 4 bytes), which bounds what is broadcast.
-BYTES_A_SLOT, SMALLEST, LARGEST = 192, 1 << 16, 1 << 23
-#: Unigram slots for each bigram slot, weight of the unigrams, ranges that counts are added up in.
-SHARE, KAPPA, RANGES = 8, 4.0, 64
+#: Bytes of text of a chunk, and of the corpus for each range of keys; fewest ranges.
+CHUNK, RANGES = 16 << 20, 16
+#: Weight of the unigrams.
+KAPPA = 4.0
 #: Target ids up to this number are broadcast (8 MB), beyond it they are joined by a shuffle.
 BROADCAST = 1_000_000
 MEMO = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 START = np.uint64(0x5851F42D4C957F2D)
+ONE = np.uint64(1)
+SENT = "chunk long, part int, docs boolean, data binary"
 
 
-class Slots:
-    """Unigram and bigram slots of the words of texts; the unigram slots are the vocabulary that both models share."""
+class Keys:
+    """Keys of the words of texts and of their bigrams: words are even, bigrams odd."""
 
-    def __init__(self, bigrams: int):
-        self.bigrams, self.unigrams, self.known = np.uint64(bigrams), np.uint64(max(1, bigrams // SHARE)), {}
+    def __init__(self):
+        self.known: dict[str, int] = {}
 
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Unigram slot of each word and of the word before it (-1 at the start), and bigram slot."""
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         words = text.lower().split()
         known = self.known
         if len(known) > MEMO:
@@ -48,109 +53,160 @@ class Slots:
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         with np.errstate(over="ignore"):
             before = np.concatenate([[START], h[:-1]]) if len(h) else h
-            pair = ((before * MIX + h) * MIX) >> np.uint64(24)
-        one = ((h >> np.uint64(20)) % self.unigrams).astype(np.int64)
-        return one, np.concatenate([[-1], one[:-1]]) if len(one) else one, (pair % self.bigrams).astype(np.int64)
-
-
-def count(docs: DataFrame, bigrams: int, key: str) -> DataFrame:
-    """part (slot range), counts (binary: int64 sums for target and background, all slots of the range).
-
-    Tasks add up whole partitions first and pass on only slots that they have met; ranges are then added up in a
-    stream, so no task holds more than its ranges."""
-    slots = bigrams + max(1, bigrams // SHARE)  # bigrams, then unigrams
-    width = -(-slots // RANGES)
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sums = Slots(bigrams), [np.zeros(slots, np.int64) for _ in range(2)]
-        for batch in batches:
-            for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                one, _, two = own.of(text)
-                both = np.concatenate([two, one + bigrams])
-                np.add.at(sums[1], both, 1)
-                if target:
-                    np.add.at(sums[0], both, 1)
-        for part in range(RANGES):
-            at = slice(part * width, (part + 1) * width)
-            met = np.flatnonzero(sums[1][at]).astype(np.int32)
-            if len(met):
-                packed = np.stack([np.diff(met, prepend=0), sums[0][at][met], sums[1][at][met]]).astype(np.uint32)
-                planes = np.ascontiguousarray(packed.view(np.uint8).reshape(3, -1, 4).transpose(0, 2, 1))  # alike bytes together
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zstandard.compress(planes.tobytes(), 1)], pa.binary())], names=["part", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+            return h & ~ONE, ((before * MIX + h) * MIX) | ONE
+
+    def chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys in order, the place among them of each word, then of each bigram, and words of each text."""
+        both = [self.of(t) for t in texts]
+        sizes = np.array([len(one) for one, _ in both], np.int64)
+        keys, at = np.unique(np.concatenate([x[k] for k in (0, 1) for x in both]), return_inverse=True)
+        return keys, at, sizes
+
+
+def rows_of(chunks: list, parts: list, docs: list, data: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(parts, pa.int32()), pa.array(docs, pa.bool_()), pa.array(data, pa.binary())], names=["chunk", "part", "docs", "data"])
+
+
+def dealt(docs: DataFrame, ranges: int, size: int) -> DataFrame:
+    """One row for each chunk with its documents, and one for each chunk and range of keys with the chunk's distinct keys
+    in it (none too) and their counts among targets and all."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, number = Keys(), TaskContext.get().partitionId() << 32
+
+        def sent(held: pa.Table) -> pa.RecordBatch:
+            target = np.array(held.column(2).to_pylist(), bool)
+            keys, at, sizes = own.chunk(held.column(1).to_pylist())
+            marks = np.tile(np.repeat(target, sizes), 2)
+            among, every = np.bincount(at[marks], minlength=len(keys)).astype(np.uint32), np.bincount(at, minlength=len(keys)).astype(np.uint32)
+            part = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+            ends = np.searchsorted(part, np.arange(ranges + 1).astype(np.uint64))
+            data = []
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                data.append(pack(np.diff(keys[a:b], prepend=np.uint64(0)), among[a:b], every[a:b]))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held.schema) as out:
+                out.write_table(held)
+            data.append(zstandard.compress(sink.getvalue(), 1))
+            return rows_of([number] * (ranges + 1), [*range(ranges), ((number >> 32) + (number & 0xFFFFFFFF)) % ranges], [False] * ranges + [True], data)
+
+        held, weight = [], 0
         for batch in batches:
-            for part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(3, 4, -1)
-                step, target, background = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint32)[:, :, 0].astype(np.int64)
-                own = sums.setdefault(part, np.zeros((2, width), np.int64))
-                at = np.cumsum(step)
-                own[0, at] += target
-                own[1, at] += background
-        for part, own in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([own.astype(np.float32).tobytes()], pa.binary())], names=["part", "counts"])
-
-    parts = docs.select("text", "target").mapInArrow(tally, "part int, counts binary")
-    return parts.repartition(RANGES, "part").mapInArrow(add, "part int, counts binary")
+            ends = np.cumsum([len(t) for t in batch.column(1).to_pylist()])
+            begin = 0
+            while begin < batch.num_rows:
+                done = int(ends[begin - 1]) if begin else 0
+                stop = min(batch.num_rows, int(np.searchsorted(ends, done + size - weight)) + 1)
+                held.append(batch.slice(begin, stop - begin))
+                weight += int(ends[stop - 1]) - done
+                begin = stop
+                if weight >= size:
+                    yield sent(pa.Table.from_batches(held))
+                    held, weight, number = [], 0, number + 1
+        if held:
+            yield sent(pa.Table.from_batches(held))
+
+    return docs.mapInArrow(cut, SENT)
+
+
+def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents as they are; for each chunk's keys of a range, the range's sums of them, after the range's number of
+    distinct words and its sums of words."""
+    chunks, parts, keys, counts = [], [], [], []
+    for batch in batches:
+        for chunk, part, docs, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if docs:
+                yield rows_of([chunk], [part], [True], [data])
+                continue
+            step, among, every = unpack(data, np.uint64, np.uint32, np.uint32)
+            chunks.append(chunk)
+            parts.append(part)
+            keys.append(np.cumsum(step, dtype=np.uint64))
+            counts.append((among, every))
+    if not chunks:
+        return
+    ends = np.cumsum([0, *map(len, keys)])
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    # float sums of whole numbers are exact to 2^53
+    sums = [np.bincount(at, np.concatenate([c[k] for c in counts]), len(found)).astype(np.int64) for k in (0, 1)]
+    word = found & ONE == 0
+    head = np.array([word.sum(), sums[0][word].sum(), sums[1][word].sum()], np.int64).tobytes()
+    for a in range(0, len(chunks), 500):
+        some = range(a, min(a + 500, len(chunks)))
+        data = [head + pack(*(s[at[ends[i] : ends[i + 1]]] for s in sums)) for i in some]
+        yield rows_of([chunks[i] for i in some], [parts[i] for i in some], [False] * len(some), data)
 
 
 def marked(docs: DataFrame, target_ids: DataFrame, key: str, text: str) -> DataFrame:
     """key, text, target: whether the key is among target_ids (distinct)."""
     ids = target_ids.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key)).distinct().withColumn("target", F.lit(True))
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST else ids
-    return keyed_text(docs, key, text).join(ids, key, "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    few = ids.count() <= BROADCAST
+    rows = keyed_text(docs, key, text).join(F.broadcast(ids) if few else ids, key, "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    # chunks must be the same when a lost task runs again, so the order of a shuffle is fixed
+    return rows if few else stored(rows, "lm-marked")
 
 
-def score(docs: DataFrame, target_ids: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, target_ids: DataFrame, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """key, n_tokens, target_loss, background_loss (nats a token), score (their difference) of every row.
 
     Null, empty and blank texts have no tokens, losses and a score of 0; without target documents all scores are those
     of even unigrams against the background; repeated rows stay and count as often as they are there."""
-    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    bigrams = min(LARGEST, max(SMALLEST, 1 << (size // BYTES_A_SLOT).bit_length()))
-    rows = marked(docs, target_ids, key, text)
-    slots = bigrams + max(1, bigrams // SHARE)
-    width = -(-slots // RANGES)
-    tables = np.zeros((2, width * RANGES), np.float32)
-    for r in stored(count(rows, bigrams, key), "lm-counts").toLocalIterator():
-        tables[:, r.part * width : (r.part + 1) * width] = np.frombuffer(r.counts, np.float32).reshape(2, width)
-    shared = spark.sparkContext.broadcast(tables[:, :slots])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, counts = Slots(bigrams), shared.value
-        totals = counts[:, bigrams:].sum(1, dtype=np.float64)
+    ranges = max(RANGES, -(-size // chunk))
+
+    def scored(data: bytes, answers: dict[int, bytes], own: Keys) -> pa.RecordBatch:
+        held = pa.ipc.open_stream(zstandard.decompress(data)).read_all()
+        in_target = held.column(2).to_pylist()
+        keys, at, sizes = own.chunk(held.column(1).to_pylist())
+        heads = np.array([np.frombuffer(answers[r], np.int64, 3) for r in range(ranges)])
+        v, *totals = (int(x) for x in heads.sum(0))
+        packed = [unpack(answers[r][24:], np.int64, np.int64) for r in range(ranges)]
+        counts = [np.concatenate([p[k] for p in packed]).astype(np.float64) for k in (0, 1)]
+        if len(counts[0]) != len(keys):
+            raise RuntimeError("the keys of a chunk have changed between two reads of its documents")
         scale = totals[0] / totals[1] if totals[1] else 1.0
-        v = slots - bigrams
 
-        def loss(k: int, mine: bool, one, before, two, ones, pres, twos) -> float:
-            c2 = np.maximum(0.0, counts[k, two] - mine * twos)
-            c1 = np.maximum(0.0, counts[k, bigrams + one] - mine * ones)
+        def loss(k: int, mine: bool, one, two, ones, pres, twos) -> float:
+            c2 = np.maximum(0.0, counts[k][two] - mine * twos)
+            c1 = np.maximum(0.0, counts[k][one] - mine * ones)
             # the context's count; a document's start counts as often as documents do, and its share is left to unigrams
-            c0 = np.where(before >= 0, np.maximum(0.0, counts[k, bigrams + before] - mine * pres), c2)
+            c0 = np.concatenate([c2[:1], np.maximum(0.0, counts[k][one[:-1]] - mine * pres[1:])])
             n = max(0.0, totals[k] - mine * len(one))
             if k:
                 c2, c1, c0, n = c2 * scale, c1 * scale, c0 * scale, n * scale
             p1 = (c1 + 1) / (n + v)
             return float(-np.log((c2 + KAPPA * p1) / (np.maximum(c0, c2) + KAPPA)).mean())
 
+        ends, losses = np.concatenate([[0], np.cumsum(sizes)]), []
+        for i, n in enumerate(sizes.tolist()):
+            if not n:
+                losses.append((0.0, 0.0))
+                continue
+            one, two = at[ends[i] : ends[i + 1]], at[ends[-1] + ends[i] : ends[-1] + ends[i + 1]]
+            _, at1, k1 = np.unique(one, return_inverse=True, return_counts=True)
+            _, at2, k2 = np.unique(two, return_inverse=True, return_counts=True)
+            ones = k1[at1]
+            pres = np.concatenate([[0], ones[:-1]])
+            losses.append(tuple(loss(k, bool(k) or in_target[i], one, two, ones, pres, k2[at2]) for k in (0, 1)))
+        ids = held.column(0).combine_chunks()
+        return pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), *(pa.array([x[k] for x in losses], pa.float64()) for k in (0, 1)), pa.array([b - a for a, b in losses], pa.float64())], names=[key, "n_tokens", "target_loss", "background_loss", "score"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, texts, answers = Keys(), {}, {}
         for batch in batches:
-            n, losses = [], []
-            for text_, in_target in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                one, before, two = own.of(text_)
-                n.append(len(one))
-                if not len(one):
-                    losses.append((0.0, 0.0))
-                    continue
-                _, at1, k1 = np.unique(one, return_inverse=True, return_counts=True)
-                _, at2, k2 = np.unique(two, return_inverse=True, return_counts=True)
-                ones = k1[at1]
-                pres = np.concatenate([[0], ones[:-1]])
-                losses.append(tuple(loss(k, bool(k) or in_target, one, before, two, ones, pres, k2[at2]) for k in (0, 1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array([x[k] for x in losses], pa.float64()) for k in (0, 1)), pa.array([b - a for a, b in losses], pa.float64())], names=[key, "n_tokens", "target_loss", "background_loss", "score"])
-
-    return rows.mapInArrow(run, f"{key} long, n_tokens long, target_loss double, background_loss double, score double")
+            for number, part, is_docs, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if is_docs:
+                    texts[number] = data
+                else:
+                    answers.setdefault(number, {})[part] = data
+                if number in texts and len(answers.get(number, ())) == ranges:
+                    yield scored(texts.pop(number), answers.pop(number), own)
+        if texts or answers:
+            raise RuntimeError("a chunk lacks its documents or an answer")
+
+    sent = dealt(marked(docs, target_ids, key, text).select(key, "text", "target"), ranges, chunk)
+    sums = sent.repartitionById(ranges, F.col("part")).mapInArrow(answered, SENT)
+    return sums.repartition(ranges, "chunk").mapInArrow(met, f"{key} long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
