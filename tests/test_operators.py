@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from zonalspark.functions.scalar import formula
 from zonalspark.operators import charts, control, geometry, spatial
+from zonalspark.sources.fixtures import view
 from zonalspark.sources.vector import read_geojson, write_geojson
 
 BOXES = [(1, 0.0, 0.0, 10.0, 10.0), (2, 10.0, 0.0, 20.0, 10.0)]
@@ -70,6 +71,18 @@ def test_upsert_and_islands(spark):
     assert control.runs_of_numbers(years, ["k"], "y").first().text == "2000-2002, 2005, 2007, 2008"
 
 
+def test_places_of_a_whole_queue_need_no_task_with_a_whole_status(spark):
+    rows = view(spark, "/root/testdata/sf0.001", "fx_requests")
+    out = control.places(rows, "status", [("priority", True), ("submit_time", False), ("req_id", False)])
+    want, n = [], {}
+    for r in sorted(rows.collect(), key=lambda r: (-r.priority, r.submit_time, r.req_id)):
+        n[r.status] = n.get(r.status, 0) + 1
+        want.append((r.req_id, n[r.status]))
+    assert sorted((r.req_id, r.place) for r in out.collect()) == sorted(want)
+    alone = control.places(rows.withColumn("status", F.lit(7)), "status", [("req_id", False)])
+    assert alone.select(F.spark_partition_id()).distinct().count() > 1 and alone.agg(F.count_distinct("place"), F.max("place")).first()[:] == (len(want),) * 2
+
+
 def test_geojson_round_trip(spark, tmp_path):
     ring = geometry.box_ring(*(F.col(c) for c in spatial.BOX))
     rows = spark.createDataFrame(BOXES, "geom_id long, minx double, miny double, maxx double, maxy double").withColumn("ring", ring)

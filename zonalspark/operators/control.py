@@ -27,6 +27,21 @@ def queue(tasks: DataFrame, n: int, order: list[Column], available: Column) -> D
     return tasks.where(available).orderBy(*order).limit(n)
 
 
+def places(rows: DataFrame, by: str, order: list[tuple[str, bool]]) -> DataFrame:
+    """by, the columns of order (name, whether descending; a total order) and place from 1 within by. Rows are put in order
+    range by range, and places follow from the counts of the ranges before, so no value of by is sorted in one task."""
+    names = list(dict.fromkeys([by, *(c for c, _ in order)]))
+    sorting = [F.desc(c) if down else F.asc(c) for c, down in order]
+    # both uses below need all columns, so the ranges are made once; a given number of ranges isn't coalesced
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = rows.select(*names).repartitionByRange(n, F.asc(by), *sorting).withColumn("_part", F.spark_partition_id())
+    held = parts.groupBy(by, "_part").agg(F.count(F.lit(1)).alias("_held"))
+    before = held.withColumn("_before", F.sum("_held").over(Window.partitionBy(by).orderBy("_part")) - F.col("_held")).select(F.col(by).alias("_by"), F.col("_part").alias("_at"), "_before")
+    placed = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_part", by).orderBy(*sorting)))
+    both = placed.join(F.broadcast(before), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_at")))
+    return both.select(*names, (F.col("_before") + F.col("_n")).cast("long").alias("place"))
+
+
 def release_stale(tasks: DataFrame, now: Column, minutes: int = 30, running: int = 2, waiting: int = 0) -> DataFrame:
     """Tasks that run for longer than `minutes` wait again."""
     stale = (F.col("status") == running) & (F.col("update_time") < now - F.expr(f"interval {minutes} minutes"))

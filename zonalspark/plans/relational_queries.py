@@ -60,8 +60,8 @@ def request_complete(s, d):
 
 @query("request_queue_order", "SELECT req_id, row_number() OVER (PARTITION BY status ORDER BY priority DESC, submit_time, req_id) AS place FROM fx_requests WHERE contact % 10 = 3", "fx_requests")
 def request_queue_order(s, d):
-    order = Window.partitionBy("status").orderBy(F.desc("priority"), "submit_time", "req_id")
-    return view(s, d, "fx_requests").where("contact % 10 = 3").select("req_id", F.row_number().over(order).cast("long").alias("place"))
+    order = [("priority", True), ("submit_time", False), ("req_id", False)]
+    return control.places(view(s, d, "fx_requests").where("contact % 10 = 3"), "status", order).select("req_id", "place")
 
 
 YEARS = list(range(1992, 2003))
