@@ -1,11 +1,15 @@
 """Edge cases of the operators."""
 
+import itertools
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from zonalspark.functions.scalar import formula
 from zonalspark.operators import charts, control, geometry, spatial
+from zonalspark.plans.relational_queries import QUERIES
 from zonalspark.sources.fixtures import view
 from zonalspark.sources.vector import read_geojson, write_geojson
 
@@ -57,6 +61,41 @@ def test_jenks_finds_the_gaps(spark):
     assert charts.jenks(rows, "v", 3) == [1.0, 3.0, 52.0, 100.0]
 
 
+def spread(values: dict[float, int], cuts: list[float]) -> float:
+    """Sum of squares within the classes that end at the cuts."""
+    out, low = 0.0, -math.inf
+    for cut in cuts[1:]:
+        own = [(v, w) for v, w in values.items() if low < v <= cut]
+        mean = sum(v * w for v, w in own) / sum(w for _, w in own)
+        out, low = out + sum(w * (v - mean) ** 2 for v, w in own), cut
+    return out
+
+
+def test_jenks_takes_every_distinct_value(spark):
+    values = {float(v): 1 + v * v % 7 for v in (1, 2, 4, 9, 11, 30, 31, 33, 70, 75, 76, 99)} | {500.0: 9901}
+    rows = spark.createDataFrame([(v,) for v, w in values.items() for _ in range(w)] + [(None,)], "v double")
+    keys = sorted(values)
+    for n in (2, 4, 5):
+        cuts = charts.jenks(rows, "v", n)
+        every = ([keys[0], *ends, keys[-1]] for ends in itertools.combinations(keys[:-1], n - 1))
+        assert len(cuts) == n + 1 and spread(values, cuts) == pytest.approx(min(spread(values, x) for x in every))
+    assert charts.jenks(rows, "v", 50) == [keys[0], *keys]
+    assert len(charts.jenks(rows, "v", 5, 10)) == 6
+
+
+def test_jenks_query_has_no_merged_classes(spark):
+    values = {}
+    for r in view(spark, "/root/testdata/sf0.01", "fx_catalog").collect():
+        values[r.val] = values.get(r.val, 0) + 1
+    v, w = (np.array(x) for x in zip(*sorted(values.items()), strict=True))
+    s0, s1, s2 = (np.concatenate([[0], np.cumsum(x)]) for x in (w, w * v, w * v * v))
+    best = np.concatenate([[0], np.full(len(v), np.inf)])
+    for _ in range(5):
+        best = np.array([np.inf] + [min(best[:j] + s2[j] - s2[:j] - (s1[j] - s1[:j]) ** 2 / (s0[j] - s0[:j])) for j in range(1, len(v) + 1)])
+    cuts = [r.cut for r in QUERIES["jenks5"](spark, "/root/testdata/sf0.01").orderBy("i").collect()]
+    assert len(v) > 300 and len(cuts) == 6 and spread(values, cuts) == pytest.approx(best[-1], rel=1e-9)
+
+
 def test_formula_rejects_what_it_does_not_know(spark):
     for text in ("[nope] + 1", "-1", "(1", "1 +", "1 ; 2"):
         with pytest.raises(ValueError):

@@ -356,4 +356,4 @@ def text_truncate(s, d):
 
 @query("jenks5", None)
 def jenks5(s, d):
-    return s.createDataFrame([(i, v) for i, v in enumerate(charts.jenks(view(s, d, "fx_catalog"), "val", 5, 300))], "i int, cut double")
+    return s.createDataFrame([(i, v) for i, v in enumerate(charts.jenks(view(s, d, "fx_catalog"), "val", 5))], "i int, cut double")
