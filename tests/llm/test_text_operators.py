@@ -202,6 +202,14 @@ def test_decontamination(spark, docs, nothing, monkeypatch, limits):
     assert by_id(decontamination.decontaminate(docs, bench.where("false")), "n_hit") == sorted(((k, 0) for k, _ in ROWS), key=repr)
 
 
+def test_pages_go_on_after_custom_and_self_closing_elements():
+    for tag in ("<svg class=x/>", "<svg/>", "<math />", '<svg class="a>b" viewBox="0 0 1 1"/>', "<video-player>one</video-player>", "<title-bar></title-bar>", "<select-menu>", "<svg-icon/>", "<template-x>two</template-x>"):
+        texts = " ".join(b.text for b in html_extraction.blocks(f"<p>a</p>{tag}<p>rest of the article</p>"))
+        assert texts.startswith("a") and texts.endswith("rest of the article"), tag
+    for tag in ("<svg class=x><text>no</text></svg>", "<video src='x'>no</video>", "<script>no</script>", "<svg><path d='m'/><text>no</text></svg>"):
+        assert [b.text for b in html_extraction.blocks(f"<p>a</p>{tag}<p>b</p>")] == ["a", "b"], tag
+
+
 def test_lm_scoring(spark, docs, nothing):
     target = spark.createDataFrame([(5,), (5,), (None,)], "doc_id long")
     out = {r.doc_id: r for r in lm_scoring.score(docs, target).collect()}
