@@ -36,6 +36,29 @@ def test_stages_keep_columns_and_clean_documents(spark):
     assert stages["byte_bpe"](spark, docs, DATA).count() == len(rows)
 
 
+def test_null_and_repeated_ids_lose_nothing_but_copies(spark):
+    own = [f"Words of text {k} stand alone with number {k * 7919} and so {k * 31} has nothing else {k * 17} to say." for k in range(9)]
+    rows = [(None, own[0]), (None, own[1]), (None, own[1]), (7, own[2]), (7, own[3]), (7, own[3]), (3, own[4]), (5, own[4]), (None, own[4]), (8, None), (8, None), (8, ""), (None, own[5]), (2, own[6]), (2, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = dict(corpus_pipeline.STAGES)["ngram_join"](spark, docs, DATA)
+    key = lambda r: (str(r[0]), str(r[1]))
+    # of one text the least id stays, nulls last; rows without words only once each
+    want = {}
+    for k, t in rows:
+        same = (k, t) if not t else t
+        want[same] = min([want.get(same, (k, t)), (k, t)], key=lambda r: (r[0] is None, r[0] or 0))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted(want.values(), key=key)
+
+
+def test_contaminated_rows_go_by_row(spark):
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").first().text
+    clean = "Nothing of this is in any item at all, it only speaks of plain weather over quiet hills."
+    rows = [(1, item), (1, clean), (None, item), (None, clean), (2, clean + " More.")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, DATA).collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == sorted((str(k), t) for k, t in rows if t != item)
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, DATA).collect()
     assert 0 < len(out) <= 200 and len({r.doc_id for r in out}) == len(out)
