@@ -60,7 +60,7 @@ def mvt_tile(s, d):
 
 @query("buffer_union", "SELECT fc_id, min(minx) - 0.5 AS minx, min(miny) - 0.5 AS miny, max(maxx) + 0.5 AS maxx, max(maxy) + 0.5 AS maxy FROM fx_features GROUP BY fc_id", "fx_features")
 def buffer_union(s, d):
-    """Extent of each collection, widened by half a degree."""
+    """Extent of each collection, widened by half a degree; neither a buffer of features nor their union."""
     ends = {"minx": F.min("minx") - 0.5, "miny": F.min("miny") - 0.5, "maxx": F.max("maxx") + 0.5, "maxy": F.max("maxy") + 0.5}
     return view(s, d, "fx_features").groupBy("fc_id").agg(*(v.alias(k) for k, v in ends.items()))
 
