@@ -1,10 +1,13 @@
-"""Suffix-array dedup (operator 8): merged shard orders by iterative interleave refinement.
+"""Dedup of repeated strings (operator 8): refinement by hashes of the suffixes at repeated anchors.
+
+This stands in for merging the shards' suffix orders by interleave refinement: no suffix array or Burrows-Wheeler
+transform is built, and no common prefixes are derived. The rows are exact up to equal hashes.
 
 A byte goes if a string of LENGTH bytes that covers it begins anywhere else too. Each such string has an anchor, its
 leftmost least gram hash, so equal strings have equal anchors at equal places, and only suffixes that begin in the runs
-of anchors seen twice have to be ordered. Every task orders and collapses the runs of its own shard. The shards'
-suffixes of one anchor are then merged without sorting them anew: all start in one interval, each round splits the
-intervals by the next STEP bytes, intervals of one suffix leave, and those left at depth LENGTH are the repeats.
+of anchors seen twice have to be compared. Every task collapses equal runs of its own by digest. The suffixes of
+one anchor then meet: all start in one interval, each round sorts by the hash of the next STEP bytes and splits the
+intervals by it, intervals of one suffix leave, and those left at depth LENGTH are the repeats.
 """
 
 from __future__ import annotations
