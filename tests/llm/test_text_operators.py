@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from zonalspark.llm import byte_bpe, decontamination, fingerprints, html_extraction, lm_scoring, ngram_join, quality, suffix_dedup, token_counts, toxicity
 from zonalspark.llm.bpe import PATTERN, JsonVocabulary, PerfectHash, tiktoken_ranks
+from zonalspark.llm.components import connected_components
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = "the quick brown fox jumps over a lazy dog while seven wizards quietly brew new potions in tall towers".split()
@@ -202,6 +203,13 @@ def test_decontamination(spark, docs, nothing, monkeypatch, limits):
     assert by_id(decontamination.decontaminate(docs, bench.where("false")), "n_hit") == sorted(((k, 0) for k, _ in ROWS), key=repr)
 
 
+def test_components_are_never_returned_unfinished(spark):
+    line = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    assert {r.component for r in connected_components(line).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        connected_components(line, most_rounds=1)
+
+
 def test_pages_go_on_after_custom_and_self_closing_elements():
     for tag in ("<svg class=x/>", "<svg/>", "<math />", '<svg class="a>b" viewBox="0 0 1 1"/>', "<video-player>one</video-player>", "<title-bar></title-bar>", "<select-menu>", "<svg-icon/>", "<template-x>two</template-x>"):
         texts = " ".join(b.text for b in html_extraction.blocks(f"<p>a</p>{tag}<p>rest of the article</p>"))

@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
 
     Each round takes, for every node, the least label among its neighbours and hooks it and its old label there, then
     halves paths; rounds are few (logarithmic in practice). Labels are written to the shared folder each round, so
-    lineage stays short. A node with very many neighbours is pre-aggregated map-side; nothing is gathered in a group."""
+    lineage stays short; labels that still change after most_rounds are an error. A node with very many neighbours is pre-aggregated map-side; nothing is gathered in a group."""
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     both = stored(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "cc-edges")
     labels = stored(both.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node")), "cc-labels")
@@ -29,5 +29,5 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         changed = jumped.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").limit(1).count()
         labels = jumped
         if not changed:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"labels of components still change after {most_rounds} rounds")
