@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from zonalspark.llm import byte_bpe, decontamination, fingerprints, html_extraction, html_training, lm_scoring, ngram_join, quality, suffix_dedup, token_counts, toxicity
 from zonalspark.llm.bpe import PATTERN, JsonVocabulary, PerfectHash, tiktoken_ranks
+from zonalspark.llm.common import pack
 from zonalspark.llm.components import connected_components
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -158,6 +159,53 @@ def test_suffix_dedup(spark, docs, nothing, monkeypatch, group):
     assert suffix_dedup.dedup(nothing).count() == 0
 
 
+def test_transforms_are_merged_in_byte_order():
+    """Shards' transforms against sorted suffixes, their inverse, and the merged order and intervals against plain ones."""
+    r = random.Random(1)
+    for trial in range(30):
+        base, shards, sent = "".join(r.choice("ab ") for _ in range(500)), [], []
+        for _ in range(r.randint(1, 4)):
+            own = []
+            for _ in range(r.randint(1, 8)):
+                i = r.randint(0, 160)
+                c = list(base[i : i + r.randint(200, 336)])
+                c[r.randrange(len(c))] = r.choice("abé")
+                own.append("".join(c).encode()[:336])
+            bucket = np.array([r.randint(0, 1) for _ in own], np.int32)
+            for b, numbers, before in suffix_dedup.transforms(own, bucket):
+                mine = [own[i] for i in numbers]
+                assert numbers.tolist() == np.flatnonzero(bucket == b).tolist()
+                suffixes = sorted((c[k:], j, k) for j, c in enumerate(mine) for k in range(len(c) + 1))
+                assert before.tolist() == [mine[j][k - 1] + 1 if k else 0 for _, j, k in suffixes]
+                if b == 0:
+                    meta = np.zeros(len(mine), suffix_dedup.META)
+                    meta["size"] = [len(c) for c in mine]
+                    shards += mine
+                    sent.append(len(mine).to_bytes(4, "little") + meta.tobytes() + pack(before))
+        if not sent:
+            continue
+        held = suffix_dedup.Collection(sent)
+        data, size, some = b"".join(shards), held.meta["size"].astype(np.int64), held.place >= 0
+        assert held.text.tobytes() == data
+        merged, starts, common = suffix_dedup.interleaved(held.text, held.begin, size, held.place[some], held.row_shard[some])
+        ends = np.repeat(held.begin + size, size)
+        order = [data[x : min(ends[x], x + 200)] for x in merged.tolist()]
+        assert order == sorted(order), trial
+        for i in range(1, len(order)):
+            whole = len(order[i]) == len(order[i - 1]) == 200
+            assert not whole or bool(starts[i]) == (order[i] != order[i - 1])
+            if whole and starts[i]:
+                assert common[i] == next(k for k in range(200) if order[i][k] != order[i - 1][k]) // 8
+
+
+def test_suffix_dedup_keeps_columns_of_any_name(docs):
+    renamed = docs.select("doc_id", "text", F.lit(1).alias("d1"), F.lit(2).alias("d2"), F.lit("x").alias("whole"), F.lit(True).alias("spans"), F.col("score").alias("own"))
+    names = ("doc_id", "text", "d1", "d2", "whole", "spans", "own")
+    out = suffix_dedup.dedup(renamed, keep=names)
+    assert out.columns == [*names, "n_bytes", "n_removed", "n_spans", "kept"]
+    assert sorted((r.n_bytes, r.own) for r in out.collect()) == sorted((len((t or "").encode()), "x") for _, t in ROWS)
+
+
 def test_fingerprints(docs, nothing):
     def canon(t):
         nfkc = lambda x: unicodedata.normalize("NFKC", x)

@@ -1,13 +1,16 @@
-"""Dedup of repeated strings (operator 8): refinement by hashes of the suffixes at repeated anchors.
-
-This stands in for merging the shards' suffix orders by interleave refinement: no suffix array or Burrows-Wheeler
-transform is built, and no common prefixes are derived. The rows are exact up to equal hashes.
+"""Dedup of repeated strings (operator 8): shards' Burrows-Wheeler transforms, merged by interleave refinement.
 
 A byte goes if a string of LENGTH bytes that covers it begins anywhere else too. Each such string has an anchor, its
-leftmost least gram hash, so equal strings have equal anchors at equal places, and only suffixes that begin in the runs
-of anchors seen twice have to be compared. Every task collapses equal runs of its own by digest. The suffixes of
-one anchor then meet: all start in one interval, each round sorts by the hash of the next STEP bytes and splits the
-intervals by it, intervals of one suffix leave, and those left at depth LENGTH are the repeats.
+leftmost least gram hash, so equal strings have equal anchors at equal places, and only strings whose anchor is there
+twice have to be ordered: they and the bytes around them, a run of one anchor each, are the collections below.
+
+Every task sorts the suffixes of its own runs, a shard, once and sends each bucket of anchors the shard's transform: the
+byte before each suffix, in order. A bucket inverts its shards' transforms by walking them backwards, which gives texts and
+suffix orders again, and merges the orders without sorting suffixes: it only keeps which shard each place of the merged
+order belongs to. A round puts STEP bytes before all suffixes in the present order, stably by those bytes, and reads off
+the shards anew; after k rounds places are right for the first k * STEP bytes, and two neighbours that part in a round have
+a common prefix of the rounds before. What has not parted when LENGTH bytes are compared, or nothing changes any more, is
+a repeated interval.
 """
 
 from __future__ import annotations
@@ -18,20 +21,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalspark.llm.common import read, stored
+from zonalspark.llm.common import pack, read, stored, unpack
 
-LENGTH, GRAM, STEP = 200, 64, 40
+LENGTH, GRAM, STEP = 200, 64, 8
 WIDTH = LENGTH - GRAM + 1  # grams in a string
-#: Anchors that a task counts at once, bits of the filter of repeated anchors (64 MB at most), suffixes that are refined at
-#: once, and contexts of one anchor up to which they are refined in one task.
-ANCHORS, LARGEST_FILTER, ITEMS, GROUP = 3_000_000, 1 << 29, 400_000, 2000
+#: Anchors that a task counts at once, bits of the filter of repeated anchors (64 MB at most), bytes of a shard, suffixes that
+#: are merged at once, bytes of text for each bucket, and for each task of the merge.
+ANCHORS, LARGEST_FILTER, SHARD, ITEMS, BUCKET, SHARE = 3_000_000, 1 << 29, 4_000_000, 2_000_000, 4 << 20, 256 << 20
+#: Places of an anchor from which its runs are dealt into parts of about so many, and how many such anchors the driver holds
+#: (the most frequent ones; less frequent ones stay whole).
+GROUP, HOT = 2000, 1_000_000
 PLACE = 20  # bits of a place in a chunk
 BASE = 0x9E3779B97F4A7C15 | 1
 MIX = np.uint64(0xD6E8FEB86659FD93)
+LOW = np.uint64(0xFFFFFFFF)
 
 
 class Powers:
@@ -87,7 +93,8 @@ def anchors(raw: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np
 
 
 def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, bits, filter: a bit map of the anchors of a bucket that are in two places or more."""
+    """bucket, bits, filter, hot: a bit map of the anchors of a bucket that are in two places or more, and those that are in
+    GROUP places or more, with how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, seen, held, n = Powers(), set(), [], 0
@@ -96,13 +103,11 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             if held:
                 keys, counts = np.unique(np.concatenate(held), return_counts=True)
                 held.clear()
-                bucket = keys % np.uint64(buckets)
-                out = []
-                for b in range(buckets):
-                    own = bucket == b
-                    if own.any():
-                        out.append((b, zstandard.compress(np.concatenate([keys[own], keys[own & (counts > 1)]]).tobytes(), 1)))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "keys"])
+                bucket = (keys % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                used, cuts = np.unique(bucket[order], return_index=True)
+                data = [pack(keys[own], counts[own].astype(np.uint32)) for own in np.split(order, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "keys"])
 
         for batch in batches:
             for text, mark in zip(batch.column(0).to_pylist(), zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True), strict=True):
@@ -116,42 +121,160 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         yield from flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for b, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts.setdefault(b, []).append(np.frombuffer(zstandard.decompress(keys), np.uint64))
-        for b, found in parts.items():
-            keys, counts = np.unique(np.concatenate(found), return_counts=True)
-            keys = keys[counts > 1]
+        at, held = None, []
+
+        def counted() -> pa.RecordBatch:
+            keys, places = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            keys, back = np.unique(keys, return_inverse=True)
+            n = np.bincount(back, places).astype(np.int64)
+            keys, n = keys[n > 1], n[n > 1]
             bits = min(LARGEST_FILTER // buckets, 1 << int(max(64, 16 * len(keys))).bit_length())
-            bits = 1 << (bits.bit_length() - 1)
+            bits = max(64, 1 << (bits.bit_length() - 1))
             flags = np.zeros(bits, bool)
             flags[((keys >> np.uint64(24)) % np.uint64(bits)).astype(np.int64)] = True
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([bits], pa.int64()), pa.array([np.packbits(flags).tobytes()], pa.binary())], names=["bucket", "bits", "filter"])
-
-    return docs.select("text", "d1", "d2").mapInArrow(run, "bucket int, keys binary").repartition(buckets, "bucket").mapInArrow(count, "bucket int, bits long, filter binary")
+            often = n >= GROUP
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([bits], pa.int64()), pa.array([np.packbits(flags).tobytes()], pa.binary()), pa.array([pack(keys[often], n[often])], pa.binary())], names=["bucket", "bits", "filter", "hot"])
 
-
-def runs(docs: DataFrame, filters: dict[int, tuple[int, bytes]], buckets: int) -> DataFrame:
-    """Rows of two kinds. Places: sig, d1, d2, place (of the anchor): where a run with a repeated anchor is. Contexts,
-    once a task: sig, anchor, lo, hi (strings begin lo down to hi bytes before the anchor), n (places), bytes."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
+        for batch in batches:
+            for b, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != at and held:
+                    yield counted()
+                at = b
+                held.append(unpack(keys, np.uint64, np.uint32))
+        if held:
+            yield counted()
+
+    counts = docs.select("text", "d1", "d2").mapInArrow(run, "bucket int, keys binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return counts.mapInArrow(count, "bucket int, bits long, filter binary, hot binary")
+
+
+class Repeated:
+    """Which anchors are in several places (some others pass too), and into how many parts those of very many are dealt."""
+
+    def __init__(self, rows: Iterator, buckets: int):
+        self.buckets = np.uint64(buckets)
+        self.bits, self.begin = np.ones(buckets, np.uint64), np.zeros(buckets, np.uint64)
+        maps, keys, n, at = [np.zeros(8, np.uint8)], [], [], 64
+        for r in rows:
+            self.bits[r.bucket], self.begin[r.bucket] = r.bits, at
+            maps.append(np.frombuffer(bytes(r["filter"]), np.uint8))
+            at += 8 * len(maps[-1])
+            own = unpack(bytes(r.hot), np.uint64, np.int64)
+            keys.append(own[0])
+            n.append(own[1])
+        self.map = np.concatenate(maps)
+        keys, n = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (keys, n))
+        most = np.argsort(n)[::-1][:HOT]
+        most = most[np.argsort(keys[most])]
+        self.hot, self.parts = keys[most], -(-n[most].astype(np.int64) // GROUP)
+
+    def several(self, keys: np.ndarray) -> np.ndarray:
+        bucket = (keys % self.buckets).astype(np.int64)
+        bit = self.begin[bucket] + (keys >> np.uint64(24)) % self.bits[bucket]
+        return (self.map[(bit >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8)) & 1 == 1
+
+    def dealt(self, keys: np.ndarray) -> np.ndarray:
+        """Parts of each anchor; 0 for those that stay whole."""
+        if not len(self.hot):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.hot, keys), len(self.hot) - 1)
+        return np.where(self.hot[at] == keys, self.parts[at], 0)
+
+
+#: What is known of a run beside its bytes: halves of its signature, anchor, lo and hi (strings begin lo down to hi bytes
+#: before the anchor), places, bytes, and whether its anchor is dealt into parts.
+META = np.dtype([("s1", "<u8"), ("s2", "<u8"), ("anchor", "<u8"), ("lo", "<i4"), ("hi", "<i4"), ("n", "<i8"), ("size", "<i4"), ("hot", "<i4")])
+
+
+def transforms(contexts: list[bytes], bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """bucket, its contexts (their numbers) and its transform, for each bucket: the byte before each suffix, empty ones too,
+    and 1 (0: there is none), by the order of suffixes; equal ones are in the order of contexts. Suffixes are sorted by
+    prefix doubling, all buckets at once."""
+    order = np.argsort(bucket, kind="stable")
+    used, first = np.unique(bucket[order], return_index=True)
+    sizes = np.array([len(contexts[i]) + 1 for i in order.tolist()], np.int64)
+    ends = np.cumsum(sizes)
+    total = int(ends[-1])
+    text = np.frombuffer(b"\xff".join([contexts[i] for i in order.tolist()]) + b"\xff", np.uint8) + np.uint8(1)  # 0 ends a context; no byte of UTF-8 is 255
+    left = (np.repeat(ends, sizes) - np.arange(total) - 1).astype(np.int32)  # bytes up to the end
+    local = np.repeat(np.searchsorted(first, np.arange(len(order)), "right") - 1, sizes).astype(np.uint64)
+    word = np.zeros(total, np.uint64)
+    for k in range(3):
+        word <<= np.uint64(8)
+        own = left >= k
+        word[own] |= text[np.flatnonzero(own) + k]
+    # buckets, words and places have 16, 24 and 24 bits
+    key = (local << np.uint64(48)) | (word << np.uint64(24)) | np.arange(total, dtype=np.uint64)
+    key.sort()
+    rows = (key & np.uint64((1 << 24) - 1)).astype(np.int32)
+    key >>= np.uint64(24)
+    new = np.ones(total, bool)
+    new[1:] = key[1:] != key[:-1]
+    del key, word, local
+    rank = np.zeros(total, np.int32)  # 1 + the place of the first of its interval
+    depth = 3
+    while True:
+        starts = np.flatnonzero(new)
+        sizes_of = np.diff(np.append(starts, total))
+        rank[rows] = np.repeat(starts, sizes_of) + 1
+        alive = np.flatnonzero(np.repeat(sizes_of > 1, sizes_of))
+        at = rows[alive]
+        done = depth > LENGTH + WIDTH  # longer than any context
+        later = at if done else np.where(left[at] >= depth, rank[np.minimum(at + depth, total - 1)], 0)
+        pairs = (rank[at].astype(np.uint64) << np.uint64(32)) | later.astype(np.uint64)
+        by = np.argsort(pairs)
+        rows[alive] = at[by]
+        if done or not len(alive):
+            break
+        pairs = pairs[by]
+        new[alive[1:]] |= pairs[1:] != pairs[:-1]
+        depth *= 2
+    before = text[rows - 1]  # the end of the context before is 0, as wanted; so is the last byte of all
+    bounds = np.append(first, len(order))
+    cuts = np.concatenate([[0], ends])[bounds]
+    for b, i, j, x, y in zip(used.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield b, order[i:j], before[x:y]
+
+
+def runs(docs: DataFrame, repeated: Repeated, buckets: int) -> DataFrame:
+    """Rows of two kinds. Places: sig, d1, d2, place (of the anchor): where a run with a repeated anchor is. Transforms of
+    shards: bucket, data (the runs' META and the transform)."""
+    shared = docs.sparkSession.sparkContext.broadcast(repeated)
+    names = ["sig", "d1", "d2", "place", "bucket", "data"]
+    types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = {b: (np.uint64(bits), np.frombuffer(data, np.uint8)) for b, (bits, data) in shared.value.items()}
-        powers, seen = Powers(), set()
+        repeated, powers, seen = shared.value, Powers(), set()
         held: dict[bytes, list] = {}
-        names = ["sig", "d1", "d2", "place", "anchor", "lo", "hi", "n", "bytes"]
-        types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        weight = 0
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-        def contexts() -> Iterator[pa.RecordBatch]:
-            rows = [(sig, None, None, None, *own) for sig, own in held.items()]
+        def shard() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            contexts = [own[4] for own in held.values()]
+            meta = np.zeros(len(held), META)
+            sigs = np.frombuffer(b"".join(held), "<u8").reshape(-1, 2)
+            meta["s1"], meta["s2"] = sigs[:, 0], sigs[:, 1]
+            for k, name in enumerate(("anchor", "lo", "hi", "n")):
+                meta[name] = [own[k] for own in held.values()]
+            meta["size"] = [len(c) for c in contexts]
+            parts = repeated.dealt(meta["anchor"])
+            meta["hot"] = parts > 0
+            with np.errstate(over="ignore"):
+                mixed = (meta["anchor"] + (meta["s1"] % np.maximum(parts, 1).astype(np.uint64)) * np.uint64(BASE % (1 << 64))) * MIX
             held.clear()
-            for i in range(0, len(rows), 4000):
-                yield batch_of(rows[i : i + 4000])
+            out = []
+            for b, own, before in transforms(contexts, ((mixed >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)):
+                out.append((None, None, None, None, b, len(own).to_bytes(4, "little") + meta[own].tobytes() + pack(before)))
+                if len(out) == 500:
+                    yield batch_of(out)
+                    out = []
+            if out:
+                yield batch_of(out)
 
         for batch in batches:
             places = []
@@ -161,162 +284,213 @@ def runs(docs: DataFrame, filters: dict[int, tuple[int, bytes]], buckets: int) -
                 seen.add(mark)
                 data = text.encode()
                 keys, at, first, last = anchors(np.frombuffer(data, np.uint8), powers)
-                bucket, keep = keys % np.uint64(buckets), np.zeros(len(keys), bool)
-                for b, (bits, own) in maps.items():
-                    mine = np.flatnonzero(bucket == b)
-                    bit = (keys[mine] >> np.uint64(24)) % bits
-                    keep[mine] = (own[(bit >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8)) & 1
-                for k in np.flatnonzero(keep).tolist():
+                for k in np.flatnonzero(repeated.several(keys)).tolist():
                     p, s, e = int(at[k]), int(first[k]), int(last[k])
                     own = data[s : e + LENGTH]
                     sig = xxhash.xxh3_128_digest(own + struct.pack("<II", p - s, p - e))
-                    places.append((sig, *mark, p, None, None, None, None, None))
+                    places.append((sig, *mark, p, None, None))
                     if sig in held:
                         held[sig][3] += 1
                     else:
-                        held[sig] = [int(keys[k].astype(np.int64)), p - s, p - e, 1, own]
+                        held[sig] = [int(keys[k]), p - s, p - e, 1, own]
+                        weight += len(own)
+                        if weight >= SHARD:
+                            yield from shard()
+                            weight = 0
+                if len(places) >= 10_000:
+                    yield batch_of(places)
+                    places = []
             if places:
                 yield batch_of(places)
-            if len(held) > 200_000:
-                yield from contexts()
-        yield from contexts()
-
-    kinds = "sig binary, d1 long, d2 long, place long, anchor long, lo int, hi int, n long, bytes binary"
-    return docs.select("text", "d1", "d2").mapInArrow(run, kinds)
-
-
-def refine(group: np.ndarray, owner: np.ndarray, low: np.ndarray, contexts: list[bytes]) -> np.ndarray:
-    """Number of the interval of each suffix that has an equal in its group for LENGTH bytes, -1 for others: group
-    (number of anchor and distance), owner (context), low (where in the context it begins). Rounds of STEP bytes split
-    intervals, single ones leave."""
-    whole = np.frombuffer(b"".join(contexts), np.uint8)
-    begins = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])[:-1]
-    start = begins[owner] + low
-    # a word of each place: the hash of the STEP bytes from there
-    up, down = POWERS.of(len(whole) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((whole.astype(np.uint64) + np.uint64(1)) * up[:-1])])
-        words = (sums[STEP:] - sums[:-STEP]) * down[: len(whole) - STEP + 1]
-        words = (words ^ (words >> np.uint64(31))) * MIX
-    alive, interval = np.arange(len(group)), group
-    for depth in range(0, LENGTH, STEP):
-        word = words[start[alive] + depth]
-        order = np.lexsort((word, interval))
-        interval, word, alive = interval[order], word[order], alive[order]
-        new = np.ones(len(alive), bool)
-        new[1:] = (interval[1:] != interval[:-1]) | (word[1:] != word[:-1])
-        interval = np.cumsum(new) - 1
-        several = np.bincount(interval)[interval] > 1 if len(interval) else np.zeros(0, bool)
-        alive, interval = alive[several], interval[several]
-    out = np.full(len(group), -1, np.int64)
-    out[alive] = interval
-    return out
-
-
-POWERS = Powers()
-
-
-def strings(contexts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """owner, distance to the anchor and place in the context of each string of contexts (.., lo, hi, .., bytes)."""
-    lo, hi = (np.array([c[k] for c in contexts], np.int64) for k in (2, 3))
-    counts = lo - hi + 1
-    owner = np.repeat(np.arange(len(contexts)), counts)
-    inside = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return owner, lo[owner] - inside, inside
-
-
-def merged(contexts: DataFrame) -> DataFrame:
-    """sig, a, b: runs of repeated strings, b down to a bytes before the anchor. An anchor of very many contexts is
-    worked out GROUP contexts at a time; then rows with a word (two halves of a hash of anchor, distance and string) and
-    k, how often it is there (2: or more), to be counted by it: one for each string that is single in its part, and one
-    for all equal ones of a part."""
+        yield from shard()
+
+    return docs.select("text", "d1", "d2").mapInArrow(run, "sig binary, d1 long, d2 long, place long, bucket int, data binary")
+
+
+class Collection:
+    """The runs of a bucket: META of all, shard of each, their bytes, and the suffix order of each shard, got by walking the
+    shards' transforms backwards from the ends of their runs, all runs at once."""
+
+    def __init__(self, rows: list[bytes]):
+        metas, befores = [], []
+        for data in rows:
+            n = int.from_bytes(data[:4], "little")
+            metas.append(np.frombuffer(data, META, n, 4))
+            befores.append(unpack(data[4 + n * META.itemsize :], np.uint8)[0])
+        self.meta = np.concatenate(metas)
+        self.shard = np.repeat(np.arange(len(metas)), [len(m) for m in metas])
+        before, bounds = np.concatenate(befores), np.cumsum([0, *map(len, befores)])
+        size = self.meta["size"].astype(np.int64)
+        self.begin = np.cumsum(size) - size
+        total = len(before)
+        self.row_shard = np.repeat(np.arange(len(metas), dtype=np.int32), np.diff(bounds))
+        key = (self.row_shard.astype(np.uint64) << np.uint64(40)) | (before.astype(np.uint64) << np.uint64(32)) | np.arange(total, dtype=np.uint64)
+        key.sort()
+        to = np.empty(total, np.int32)  # from a suffix to the one that is a byte longer
+        to[(key & LOW).astype(np.int64)] = np.arange(total, dtype=np.int32)
+        del key
+        self.text = np.zeros(int(size.sum()), np.uint8)
+        self.place = np.full(total, -1, np.int32)  # where in the text the suffix of a row begins; -1: it is empty
+        number = np.arange(len(size)) - np.repeat(np.cumsum([0, *(len(m) for m in metas[:-1])]), [len(m) for m in metas])
+        by = np.argsort(-size, kind="stable")  # the longest first
+        row, at, ends = (bounds[self.shard] + number)[by], (self.begin + size)[by], np.cumsum(np.bincount(size, minlength=2)[::-1])[::-1]
+        for step in range(1, int(size.max()) + 1):
+            n = int(ends[step])  # runs of so many bytes or more
+            row, at = row[:n], at[:n] - 1
+            self.text[at] = before[row] - np.uint8(1)
+            row = to[row]
+            self.place[row] = at
+
+
+def interleaved(text: np.ndarray, begin: np.ndarray, size: np.ndarray, order: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merges shards' orders of the suffixes of runs (text, where each begins, its size): order has the places of all
+    suffixes, shard after shard, shard the number of each. Returns the merged order, which of its places begin an
+    interval, that is, differ from the one before in the first LENGTH bytes, and in how many rounds of STEP bytes each
+    was found equal to the one before.
+
+    What is kept from round to round is only whose suffix each place of the merged order is; shards' own orders stay."""
+    n = len(text)
+    off = (np.arange(n) - np.repeat(begin, size)).astype(np.int32)
+    left = (np.repeat(begin + size, size) - np.arange(n)).astype(np.int32)
+    words = np.zeros(n, np.uint64)
+    for k in range(STEP):
+        words <<= np.uint64(8)
+        own = np.flatnonzero(left > k)
+        words[own] |= text[own + k].astype(np.uint64) + np.uint64(1)
+    rank = np.unique(words, return_inverse=True)[1].astype(np.uint64) << np.uint64(32)
+    del words
+    short = left[order] <= STEP
+    tails = order[short]  # what no other suffix precedes
+    whose = shard.astype(np.uint16) if len(shard) == 0 or shard.max() < 1 << 16 else shard
+    numbers = np.empty(n, whose.dtype)  # the shard of the suffix at a place of the text
+    numbers[order] = whose
+    merged, starts, common = order, np.zeros(n, bool), np.zeros(n, np.uint8)
+    index = np.arange(n, dtype=np.uint64)
+    for depth in range(LENGTH // STEP):
+        longer = off[merged] >= STEP
+        before = np.concatenate([tails, merged[longer] - STEP])
+        interval = np.concatenate([np.zeros(len(tails), np.int32), np.cumsum(starts, dtype=np.int32)[longer] + (depth > 0)])
+        key = rank[before] | index
+        key.sort()
+        by = (key & LOW).astype(np.int64)
+        key >>= np.uint64(32)
+        interval = interval[by]
+        new = np.ones(n, bool)
+        new[1:] = (key[1:] != key[:-1]) | (interval[1:] != interval[:-1])
+        now = numbers[before[by]]
+        same = np.array_equal(new, starts) and np.array_equal(now, whose)
+        whose, starts = now, new
+        common += ~new
+        if same:
+            break
+        at = np.argsort(whose, kind="stable")
+        merged = np.empty_like(order)
+        merged[at] = order
+    return merged, starts, common
+
+
+def settled(rows: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """sig, a, b, w1, w2, k of a bucket, see merged()."""
+    held = Collection(rows)
+    meta, shard = held.meta, held.shard
+    # equal runs of several shards become one
+    order = np.lexsort((shard, meta["s2"], meta["s1"]))
+    new = np.ones(len(meta), bool)
+    new[1:] = (meta["s1"][order][1:] != meta["s1"][order][:-1]) | (meta["s2"][order][1:] != meta["s2"][order][:-1])
+    kept = order[new]
+    n = np.add.reduceat(meta["n"][order], np.flatnonzero(new))
+    kept, n = kept[by := np.argsort(meta["anchor"][kept], kind="stable")], n[by]
+    key = meta["anchor"][kept]
+    group = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
+    hot = meta["hot"][kept] > 0
+    several = (np.bincount(group)[group] > 1) & (np.bincount(group, n == 1)[group] > 0)
+    whole = np.flatnonzero((n > 1) & ~hot)
+    if len(whole):
+        own = meta[kept[whole]]
+        yield found_rows(own, own["hi"], own["lo"])
+    asked = np.flatnonzero(several | hot)
+    if not len(asked):
+        return
+    sizes = np.cumsum(meta["size"][kept[asked]], dtype=np.int64)
+    # anchors that together have ITEMS suffixes are merged at once
+    share = (sizes - meta["size"][kept[asked]]) // ITEMS
+    share = share[np.searchsorted(group[asked], group[asked], "left")]
+    string = np.repeat(np.arange(len(meta), dtype=np.int32), meta["size"])[held.place]  # of each row
+    for s in np.unique(share).tolist():
+        own = asked[share == s]
+        yield from repeats(held, string, kept[own], n[own], hot[own])
+
+
+def found_rows(meta: np.ndarray, a: np.ndarray, b: np.ndarray, words: tuple[list, list, list] | None = None) -> pa.RecordBatch:
+    sig = np.ascontiguousarray(np.stack([meta["s1"], meta["s2"]], 1)).view("V16")[:, 0].tolist()
+    rest = [pa.array(w, t) for w, t in zip(words, SAID, strict=True)] if words else [pa.nulls(len(sig), t) for t in SAID]
+    return pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), *rest], names=["sig", "a", "b", "w1", "w2", "k"])
+
+
+SAID = (pa.int64(), pa.int64(), pa.int32())
+
+
+def repeats(held: Collection, string: np.ndarray, kept: np.ndarray, n: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What is found among the runs kept of a bucket (their numbers, places and whether their anchors are dealt)."""
+    meta = held.meta[kept]
+    size = meta["size"].astype(np.int64)
+    begin = np.cumsum(size) - size
+    number = np.full(len(held.meta), -1, np.int64)
+    number[kept] = np.arange(len(kept))
+    rows = np.flatnonzero((held.place >= 0) & (number[string] >= 0))
+    shift = begin - held.begin[kept]
+    order = (held.place[rows] + shift[number[string[rows]]]).astype(np.int32)
+    text = held.text[np.repeat(held.begin[kept] - begin, size) + np.arange(int(size.sum()))]
+    merged, starts, _ = interleaved(text, begin, size, order, held.row_shard[rows])
+    interval = np.empty(len(text), np.int32)
+    interval[merged] = np.cumsum(starts, dtype=np.int32) - 1
+    owner = np.repeat(np.arange(len(kept)), size)
+    place = np.arange(len(text)) - begin[owner]
+    begins = place <= size[owner] - LENGTH  # a string begins here
+    owner, interval, place = owner[begins], interval[begins], place[begins]
+    distance = meta["lo"][owner] - place
+    copied = (n > 1)[owner]
+    single = np.bincount(interval)[interval] == 1
+    found = np.flatnonzero(np.where(hot[owner], copied | ~single, ~single & ~copied))
+    if len(found):
+        cut = np.concatenate([[0], np.flatnonzero((np.diff(found) > 1) | (np.diff(owner[found]) != 0)) + 1, [len(found)]])
+        first, last = found[cut[:-1]], found[cut[1:] - 1]
+        yield found_rows(meta[owner[first]], distance[last], distance[first])
+    # strings of dealt anchors are told once a part
+    dealt = np.flatnonzero(hot[owner])
+    told = dealt[np.unique(interval[dealt], return_index=True)[1]]
+    often = np.where(single[told], 1 + copied[told], 2)
+    raw = text.tobytes()
+    for at in range(0, len(told), 20_000):
+        part = told[at : at + 20_000]
+        own = meta[owner[part]]
+        words = [struct.unpack("<qq", xxhash.xxh3_128_digest(raw[i : i + LENGTH] + struct.pack("<QI", a, d))) for i, a, d in zip((begin[owner[part]] + place[part]).tolist(), own["anchor"].tolist(), distance[part].tolist(), strict=True)]
+        yield found_rows(own, distance[part], distance[part], ([w[0] for w in words], [w[1] for w in words], often[at : at + 20_000].tolist()))
+
+
+def merged(shards: DataFrame, tasks: int) -> DataFrame:
+    """sig, a, b: runs of repeated strings, b down to a bytes before the anchor. Of anchors that are dealt into parts also rows
+    with a word (two halves of a hash of anchor, distance and string) and k, how often it is there (2: or more), to be
+    counted by it: one for each string of a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["sig", "a", "b", "w1", "w2", "k"]
-
-        def batch_of(sig: list, a: list, b: list, *words: list) -> pa.RecordBatch:
-            types = (pa.int64(), pa.int64(), pa.int32())
-            rest = [pa.array(w, t) for w, t in zip(words, types, strict=True)] if words else [pa.nulls(len(sig), t) for t in types]
-            return pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), *rest], names=names)
-
-        def runs_of(found: np.ndarray, owner: np.ndarray, distance: np.ndarray, contexts: list[list]) -> tuple[list, list, list]:
-            where = np.flatnonzero(found)
-            if not len(where):
-                return [], [], []
-            cut = np.concatenate([[0], np.flatnonzero((np.diff(where) > 1) | (np.diff(owner[where]) != 0)) + 1, [len(where)]])
-            first, last = where[cut[:-1]], where[cut[1:] - 1]
-            return [contexts[o][1] for o in owner[first].tolist()], distance[last].tolist(), distance[first].tolist()
-
-        def spread(own: list[list]) -> Iterator[pa.RecordBatch]:
-            owner, distance, low = strings(own)
-            interval = refine(distance, owner, low, [c[5] for c in own])
-            copied = np.array([c[4] > 1 for c in own])[owner]
-            yield batch_of(*runs_of(copied | (interval >= 0), owner, distance, own))
-            alone = np.flatnonzero(interval < 0)
-            shared = np.flatnonzero(interval >= 0)
-            shared = shared[np.unique(interval[shared], return_index=True)[1]]
-            told = np.concatenate([alone, shared])
-            often = np.concatenate([1 + copied[alone], np.full(len(shared), 2)])
-            for at in range(0, len(told), 20_000):
-                part = told[at : at + 20_000].tolist()
-                at_anchor = distance[part].tolist()
-                words = [struct.unpack("<qq", xxhash.xxh3_128_digest(own[o][5][i : i + LENGTH] + struct.pack("<qI", own[o][0], d))) for o, i, d in zip(owner[part].tolist(), low[part].tolist(), at_anchor, strict=True)]
-                yield batch_of([own[o][1] for o in owner[part].tolist()], at_anchor, at_anchor, [w[0] for w in words], [w[1] for w in words], often[at : at + 20_000].tolist())
-
-        def settle(groups: list[list[list]]) -> Iterator[pa.RecordBatch]:
-            sig, a, b, rest, numbers = [], [], [], [], []
-            for number, own in enumerate(groups):
-                for c in own:
-                    if c[4] > 1:
-                        sig.append(c[1])
-                        a.append(c[3])
-                        b.append(c[2])
-                if len(own) > 1 and any(c[4] == 1 for c in own):
-                    rest += own
-                    numbers += [number] * len(own)
-            if rest:
-                owner, distance, low = strings(rest)
-                group = np.array(numbers, np.int64)[owner] * (LENGTH + 1) + distance
-                found = refine(group, owner, low, [c[5] for c in rest]) >= 0
-                found &= np.array([c[4] == 1 for c in rest])[owner]
-                for held, new in zip((sig, a, b), runs_of(found, owner, distance, rest), strict=True):
-                    held += new
-            if sig:
-                yield batch_of(sig, a, b)
-
-        anchor, own, groups, items, many = None, {}, [], 0, False
+        at, held = None, []
         for batch in batches:
-            for key, sig, lo, hi, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != anchor:
-                    if many:
-                        yield from spread(list(own.values()))
-                    elif own and (len(own) > 1 or next(iter(own.values()))[4] > 1):
-                        groups.append(list(own.values()))
-                        items += sum(c[2] - c[3] + 1 for c in groups[-1])
-                    if items > ITEMS:
-                        yield from settle(groups)
-                        groups, items = [], 0
-                    anchor, own, many = key, {}, False
-                if sig in own:
-                    own[sig][4] += n
-                else:
-                    if len(own) >= GROUP:
-                        many = True
-                        yield from spread(list(own.values()))
-                        own = {}
-                    own[sig] = [key, sig, lo, hi, n, data]
-        if many:
-            yield from spread(list(own.values()))
-        elif own:
-            groups.append(list(own.values()))
-        yield from settle(groups)
-
-    return contexts.select("anchor", "sig", "lo", "hi", "n", "bytes").repartition("anchor").sortWithinPartitions("anchor", "sig").mapInArrow(run, "sig binary, a int, b int, w1 long, w2 long, k int")
-
-
-def cut_out(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """rows(text, whole, spans, *keep) with n_bytes, n_removed, n_spans and kept (binary)."""
-    schema = rows.select(*keep).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
+            for bucket, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != at and held:
+                    yield from settled(held)
+                    held = []
+                at = bucket
+                held.append(data)
+        if held:
+            yield from settled(held)
+
+    return shards.select("bucket", "data").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "sig binary, a int, b int, w1 long, w2 long, k int")
+
+
+def cut_out(rows: DataFrame) -> DataFrame:
+    """rows(text, whole, spans, own) as own's columns, n_bytes, n_removed, n_spans and kept (binary)."""
+    schema = rows.select("own").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,7 +511,7 @@ def cut_out(rows: DataFrame, keep: list[str]) -> DataFrame:
                 out.append((len(data), removed, n, b"".join(kept)))
             yield pa.RecordBatch.from_arrays([*batch.columns[3:], *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary())))], names=schema.names)
 
-    return rows.select("text", "whole", "spans", *keep).mapInArrow(run, schema)
+    return rows.select("text", "whole", "spans", "own").mapInArrow(run, schema).select("own.*", *schema.names[1:])
 
 
 def dedup(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -347,12 +521,13 @@ def dedup(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     if it has LENGTH bytes; matches never cross rows; an empty table gives no rows. keep may name any columns of docs
     that aren't called like the results."""
     whole_text = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(*keep, whole_text.alias("text")).withColumn("d1", F.xxhash64("text")).withColumn("d2", F.xxhash64(F.lit(3), "text"))
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    rows = docs.select(F.struct(*keep).alias("own"), whole_text.alias("text")).withColumn("d1", F.xxhash64("text")).withColumn("d2", F.xxhash64(F.lit(3), "text"))
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     buckets = max(1, -(-size // (WIDTH // 2 * ANCHORS)))
-    filters = {r.bucket: (r.bits, bytes(r["filter"])) for r in repeated_anchors(rows, buckets).toLocalIterator()}
-    found = stored(runs(rows, filters, buckets), "suffix-runs")
-    verdicts = stored(merged(found.where("place is null")), "suffix-repeats")
+    repeated = Repeated(repeated_anchors(rows, buckets).toLocalIterator(), buckets)
+    tasks = max(32, -(-size // SHARE))
+    found = stored(runs(rows, repeated, max(tasks, -(-size // BUCKET))), "suffix-runs")
+    verdicts = stored(merged(found.where("place is null"), tasks), "suffix-repeats")
     spread = verdicts.where("w1 is not null").select("sig", "a", "w1", "w2", "k")
     often = spread.groupBy("w1", "w2").agg(F.sum("k").alias("n")).where("n > 1").select("w1", "w2")
     repeats = verdicts.where("w1 is null").select("sig", "a", "b").unionByName(spread.join(often, ["w1", "w2"]).select("sig", "a", F.col("a").alias("b")))
@@ -360,7 +535,7 @@ def dedup(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     spans = places.join(repeats.distinct(), "sig").groupBy("d1", "d2").agg(F.collect_list(F.struct((F.col("place") - F.col("b")).alias("a"), (F.col("place") - F.col("a") + LENGTH).alias("b"))).alias("spans"))
     copies = rows.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2", F.lit(True).alias("whole"))
     marks = spans.join(copies, ["d1", "d2"], "full").withColumn("whole", F.coalesce("whole", F.lit(False)))
-    return cut_out(rows.join(marks, ["d1", "d2"], "left"), list(keep))
+    return cut_out(rows.join(marks, ["d1", "d2"], "left"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
