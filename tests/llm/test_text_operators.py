@@ -224,6 +224,31 @@ def test_fingerprints(docs, nothing):
     assert fingerprints.fingerprints(nothing).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["sparse", "null", "one", "repeated", "single"])
+def test_fingerprints_of_odd_ids(spark, ids):
+    """Next documents of ids that are hashes, null, all the same, repeated, and of one document; no window of all rows."""
+    r = random.Random(5)
+    n = 1 if ids == "single" else 150
+    key = {"sparse": lambda k: r.getrandbits(63) - (1 << 62), "null": lambda k: None if k % 3 else k, "one": lambda k: 7, "repeated": lambda k: k // 4, "single": lambda k: 3}[ids]
+    rows = [(key(k), f"{k} " + text(r.randint(1, 9), k)) for k in range(n)]
+    out = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+    found = out.collect()
+    assert sorted((str(x.doc_id), x.text) for x in found) == sorted((str(k), t) for k, t in rows)
+    # following next texts from any row leads through all rows once, in descending order of ids
+    after = {(x.text): x.next_text for x in found}
+    ids_of = dict((t, k) for k, t in rows)
+    at, seen = max(rows, key=lambda x: (x[0] is not None, x[0] or 0))[1], []
+    while at not in seen:
+        seen.append(at)
+        at = after[at]
+    assert len(seen) == len(ids_of)
+    turns = [ids_of[t] for t in seen]
+    turn = next((i for i in range(1, n) if (turns[i - 1] is None and turns[i] is not None) or (turns[i] is not None and turns[i - 1] is not None and turns[i] > turns[i - 1])), 0)
+    turns = turns[turn:] + turns[:turn]
+    assert turns == sorted(turns, key=lambda k: (k is None, -(k or 0)))
+
+
 @pytest.mark.parametrize("limits", [(50_000, 100_000), (0, 0)])
 def test_decontamination(spark, docs, nothing, monkeypatch, limits):
     monkeypatch.setattr(decontamination, "IN_PLAN", limits[0])

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from zonalspark.llm.common import keyed_text, read
 
-#: Neighbours are found inside ranges of so many ids.
-RANGE = 512
+#: Neighbours are found inside ranges of about so many bytes; fewest and most ranges (the driver holds a bound of each).
+RANGE, LEAST, MOST = 32 << 20, 32, 100_000
+#: Columns of the order of rows.
+ORDER = ("none", "down", "h1", "h2")
 
 
 def canonical(text: Column) -> Column:
@@ -46,19 +48,45 @@ def exact_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return grouped.select("h1", "h2", F.sha2("canon", 256).alias("digest"), "class_id", "n_copies")
 
 
+def bounds_of(rows: DataFrame, ranges: int) -> list[str]:
+    """The first order of each of so many ranges (fewer if they are few) of about as many rows, as JSON, in order. Only
+    orders move, and only these firsts reach the driver."""
+    cut = rows.select("at.*").repartitionByRange(ranges, *ORDER).select(F.spark_partition_id().alias("part"), F.struct(*ORDER).alias("at"))
+    return [r.at for r in cut.groupBy("part").agg(F.min("at").alias("least")).orderBy("least").select(F.to_json("least").alias("at")).collect()]
+
+
+def range_of(at: str, bounds: Column, n: int) -> Column:
+    """Number of the last of n bounds that isn't above `at`, by binary search."""
+
+    def step(s: Column, _: Column) -> Column:
+        half = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        up = F.get(bounds, half) <= F.col(at)
+        return F.struct(F.when(up, half + 1).otherwise(s["low"]).alias("low"), F.when(up, s["high"]).otherwise(half).alias("high"))
+
+    steps = F.sequence(F.lit(1), F.lit(max(1, n.bit_length())))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(n).alias("high")), lambda s, x: F.when(s["low"] < s["high"], step(s, x)).otherwise(s))
+    return found["low"] - 1
+
+
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, text, canon, next_text, next_canon: each row beside the next one in descending key order, after the last
-    the first. Ties of the key go by text; null keys come last.
-
-    Rows meet in ranges of RANGE ids; the head of each range also goes to the range above it, as its last row. Only
-    range numbers are ordered over the whole table."""
-    rows = keyed_text(docs, key, text).withColumn("at", F.coalesce(F.col(key), F.lit(-(1 << 62)))).withColumn("range", F.floor(F.col("at") / F.lit(RANGE)))
-    heads = rows.groupBy("range").agg(F.min(F.struct((-F.col("at")).alias("down"), F.col("text"))).alias("head"))
-    every = Window.orderBy("range")
-    above = rows.select("range").distinct().select("range", F.coalesce(F.lead("range").over(every), F.first("range").over(every.rowsBetween(Window.unboundedPreceding, 0))).alias("above"))
-    moved = heads.join(above, "range").select(F.lit(None).cast("long").alias(key), F.col("head.text").alias("text"), F.lit(0).cast("long").alias("at"), F.col("above").alias("range"), F.lit(1).alias("moved"))
-    both = rows.withColumn("moved", F.lit(0)).unionByName(moved).repartition("range").withColumn("canon", canonical(F.col("text")))
-    within = Window.partitionBy("range").orderBy("moved", F.desc("at"), "text")
+    the first. Null keys come last; ties of the key, null ones too, go by hashes of the text.
+
+    Rows are dealt into ranges of this order, cut by what is there, so sparse, repeated or null keys make no large
+    range (only equal rows stay together); the head of each range also goes to the range before it, as its last row. No
+    window is wider than a range."""
+    rows = keyed_text(docs, key, text)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.withColumn("at", F.struct(F.col(key).isNull().alias("none"), F.coalesce(F.bitwise_not(F.col(key)), F.lit(0)).alias("down"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(5), "text").alias("h2")))
+    firsts = bounds_of(rows, min(MOST, max(LEAST, -(-size // RANGE))))
+    n = max(1, len(firsts))
+    bounds = F.from_json(F.lit("[" + ",".join(firsts) + "]"), "array<struct<none:boolean,down:bigint,h1:bigint,h2:bigint>>")
+    own = rows.withColumn("range", range_of("at", bounds, len(firsts)))
+    here = F.struct(F.col("range"), F.lit(0).alias("moved"))
+    before = F.struct(F.pmod(F.col("range") - 1, F.lit(n)).alias("range"), F.lit(1).alias("moved"))
+    heads = F.when(F.get(bounds, F.col("range")) == F.col("at"), F.array(here, before)).otherwise(F.array(here))
+    both = own.select(key, "text", "at", F.explode(heads).alias("to")).select(key, "text", "at", "to.*").repartition("range").withColumn("canon", canonical(F.col("text")))
+    within = Window.partitionBy("range").orderBy("moved", "at")
     return both.select(key, "text", "canon", "moved", F.lead("text").over(within).alias("next_text"), F.lead("canon").over(within).alias("next_canon")).where("moved = 0").drop("moved")
 
 
