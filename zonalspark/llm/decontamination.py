@@ -54,17 +54,19 @@ def winnowed(grams: str) -> Column:
     return F.array_distinct(F.transform(up_to(F.size(grams) - SELECT), lambda i: F.array_min(F.slice(grams, i + 1, SELECT))))
 
 
-def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """window (words), n (their number), items (ids that hold it), hash and offset: its least gram hash and where the
-    gram begins (for fewer words than WINDOW: the hash of all of them, and 0)."""
+def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """window (words), w1 and w2 (a wide hash of it), n (their number), hash and offset: its least gram hash and where the
+    gram begins (for fewer words than WINDOW: the hash of all of them, and 0); and w1, w2, item: who holds it."""
     rows = held_as(benchmark.select(F.col(item).cast("string").alias("item"), text), "words", words(F.col(text))).where(F.size("words") > 0)
     n = F.least(F.size("words"), F.lit(WINDOW))
-    every = rows.select("item", F.explode(F.transform(up_to(F.size("words") - n), lambda i: F.slice("words", i + 1, n))).alias("window"))
-    items = hashed(every.groupBy("window").agg(F.collect_set("item").alias("items")).withColumnRenamed("window", "words"))
-    items = items.withColumn("n", F.size("words"))
+    every = rows.select("item", F.explode(F.transform(up_to(F.size("words") - n), lambda i: F.slice("words", i + 1, n))).alias("words"))
+    wide = (F.xxhash64("words").alias("w1"), F.xxhash64(F.lit(9), "words").alias("w2"))
+    held = every.select(*wide, "item").distinct()
+    items = hashed(every.select("words").distinct()).withColumn("n", F.size("words"))
     least = F.array_min("grams")
     full = F.col("n") == WINDOW
-    return items.select(F.col("words").alias("window"), "n", "items", F.when(full, least).otherwise(F.xxhash64("n", "words")).alias("hash"), F.when(full, F.array_position("grams", least).cast("int") - 1).otherwise(0).alias("offset"))
+    found = items.select(F.col("words").alias("window"), *wide, "n", F.when(full, least).otherwise(F.xxhash64("n", "words")).alias("hash"), F.when(full, F.array_position("grams", least).cast("int") - 1).otherwise(0).alias("offset"))
+    return found, held
 
 
 def found_positions(short: list[int], held: dict[int, list[int]] | None) -> Column:
@@ -94,8 +96,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     repeated rows of docs stay; repeated items count once for each item id. Other columns are not read.
 
     One pass over the texts; of its rows those with a benchmark hash carry their words on (written to the shared
-    folder), all others only their counts. Hits of a document meet in one group, bounded by its length."""
-    bench = stored(windows(benchmark, item, item_text), "windows")
+    folder), all others only their counts. Hits of a document meet in one group, bounded by its length, its items in another,
+    bounded by their number; what windows occur and who holds a window are kept as pairs."""
+    bench, holders = (stored(x, name) for x, name in zip(windows(benchmark, item, item_text), ("windows", "holders"), strict=True))
     short = sorted(r.n for r in bench.where(F.col("n") < WINDOW).select("n").distinct().collect())  # 12 at most
     n_hashes = bench.select("n", "hash").distinct().count()
     held: dict[int, list[int]] | None = None
@@ -118,10 +121,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     every = F.broadcast(bench) if small else bench
     at = F.col("at") - F.col("offset")
     same = spans.join(every, ["n", "hash"]).where((at >= 0) & (F.slice("words", F.greatest(at, F.lit(0)) + 1, F.col("n")) == F.col("window")))
-    covered = same.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(at.alias("a"), (at + F.col("n")).alias("b")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    same = stored(same.select("row", at.alias("a"), (at + F.col("n")).alias("b"), "w1", "w2"), "same")
+    covered = same.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
+    who = F.broadcast(holders) if holders.count() <= BROADCAST else holders
+    named = same.select("row", "w1", "w2").distinct().join(who, ["w1", "w2"]).select("row", "item").distinct()
+    named = named.groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     step = lambda s, x: F.struct(F.greatest(s["end"], x["b"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(s["end"], x["a"]))).alias("n"))
-    counts = covered.select("row", F.aggregate("spans", start, step, lambda s: s["n"]).cast("long").alias("n_hit"), "items")
+    counts = covered.select("row", F.aggregate("spans", start, step, lambda s: s["n"]).cast("long").alias("n_hit")).join(named, "row")
     out = rows.select("row", key, "n_words").join(counts, "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     items = F.coalesce("items", F.array().cast("array<string>"))
