@@ -27,8 +27,8 @@ def tile_box(z: Column, x: Column, y: Column) -> list[Column]:
 
 
 def safe_label(text: Column) -> Column:
-    """Letters and digits stay, anything else becomes _, which goes at the ends; 32 characters at most."""
-    return F.substring(F.btrim(F.regexp_replace(text, r"[^0-9A-Za-z]", "_"), F.lit("_")), 1, 32)
+    """Letters and digits stay, runs of anything else become one _, which goes at the ends; 32 characters at most."""
+    return F.substring(F.btrim(F.regexp_replace(text, r"[^0-9A-Za-z]+", "_"), F.lit("_")), 1, 32)
 
 
 def slug(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,30 @@ def release_stale(tasks: DataFrame, now: Column, minutes: int = 30, running: int
     return tasks.withColumn("status", F.when(stale, waiting).otherwise(F.col("status")))
 
 
+def retried(tasks: DataFrame, now: Column, failed: int = -1, waiting: int = 0) -> DataFrame:
+    """Failed tasks wait again, with one attempt more and a new update_time; others stay as they are."""
+    again = F.col("status") == failed
+    changed = {"status": F.lit(waiting), "attempts": F.col("attempts") + 1, "update_time": now}
+    return tasks.withColumns({k: F.when(again, v).otherwise(F.col(k)) for k, v in changed.items()})
+
+
+def requeued(requests: DataFrame, failed: int = -2, queued: int = -1) -> DataFrame:
+    """Failed requests are queued again."""
+    return requests.withColumn("status", F.when(F.col("status") == failed, queued).otherwise(F.col("status")))
+
+
+def preset_matches(rows: DataFrame, presets: list[dict], names: list[str], tags: str) -> DataFrame:
+    """rows with each preset they match: all that a preset says of `names` is equal and all its tags are there; what it
+    doesn't say matches anything. One pass: the list of matching presets is worked out in each row."""
+    found = []
+    for p in presets:
+        parts = [F.col(n).eqNullSafe(F.lit(p[n])) for n in names if p.get(n) is not None]
+        if p.get("tags"):
+            parts.append(F.forall(F.array(*map(F.lit, p["tags"])), lambda t: F.array_contains(F.col(tags), t)))
+        found.append(F.when(reduce(lambda a, b: a & b, parts, F.lit(True)), F.lit(p["name"])))
+    return rows.withColumn("preset", F.explode(F.array_compact(F.array(*found))))
+
+
 def complete(tasks: DataFrame, by: str = "req_id", done: int = 1) -> DataFrame:
     """Requests all of whose tasks are done."""
     counted = tasks.groupBy(by).agg(F.count("status").alias("n_tasks"), F.count_if(F.col("status") == done).alias("n_done"))
@@ -62,7 +88,7 @@ def pivoted(results: DataFrame, keys: list[str], name: str, value: str, names: l
 def decoded(rows: DataFrame) -> DataFrame:
     """text: the value of a tagged union (data_column says which of int_value, float_value, str_value holds)."""
     kind = F.col("data_column")
-    return rows.withColumn("text", F.when(kind == "int", F.col("int_value").cast("string")).when(kind == "float", F.format_string("%.2f", "float_value")).when(kind == "str", F.col("str_value")))
+    return rows.withColumn("text", F.when(kind == "int", F.col("int_value").cast("string")).when(kind == "float", F.col("float_value").cast("string")).when(kind == "str", F.col("str_value")))
 
 
 def bucket_counts(rows: DataFrame, at: str, unit: str) -> DataFrame:

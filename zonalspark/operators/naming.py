@@ -22,14 +22,25 @@ def without_none(name: Column, outcome: Column) -> Column:
 
 
 def filter_text(filters: dict) -> str:
-    """'key: a–b; key: x, y' of a filter catalogue."""
-    parts = []
-    for key, f in filters.items():
-        if isinstance(f, dict) and f.get("type") == "range":
-            parts.append(f"{key}: {f['start']}–{f['end']}")
-        elif isinstance(f, dict) and f.get("selected"):
-            parts.append(f"{key}: {', '.join(map(str, f['selected']))}")
-    return "; ".join(parts)
+    """'key: a–b; key: x, y' of a filter catalogue: ranges, selections (an empty one has nothing after the colon), other
+    dictionaries as JSON, and plain values as they are."""
+
+    def said(f) -> str:
+        kind = f.get("type") if isinstance(f, dict) else None
+        if kind == "range":
+            return f"{f.get('start')}–{f.get('end')}"
+        if kind == "categorical" and isinstance(f.get("selected"), list):
+            return ", ".join(map(str, f["selected"]))
+        return json.dumps(f) if isinstance(f, dict) else str(f)
+
+    return "; ".join(f"{key}: {said(f)}" for key, f in filters.items())
+
+
+def field_track(name: Column, label: Column) -> Column:
+    """A column's name as a track: without what is before the first point, the time label at its end and a leading word
+    for its kind, and with spaces for _."""
+    own = F.regexp_replace(F.regexp_replace(name, F.lit(r"^[^.]*\."), F.lit("")), F.concat(F.lit("[_.]?"), label, F.lit("$")), F.lit(""))
+    return F.regexp_replace(F.replace(own, F.lit("_"), F.lit(" ")), r"(?i)^(categorical|binary|numeric|ordinal)\s+", "")
 
 
 def period(at: Column, kind: Column) -> Column:
@@ -38,9 +49,9 @@ def period(at: Column, kind: Column) -> Column:
 
 
 def unique_names(rows: DataFrame, keys: list[str], name: str, order: str) -> DataFrame:
-    """Of equal names inside keys the second and later get _2, _3 .. in order of appearance."""
-    n = F.row_number().over(Window.partitionBy(*keys, name).orderBy(order))
-    return rows.withColumn(name, F.when(n > 1, F.concat(F.col(name), F.lit("_"), n.cast("string"))).otherwise(F.col(name)))
+    """Of equal names inside keys the second and later get _1, _2 .. in order of appearance."""
+    n = F.row_number().over(Window.partitionBy(*keys, name).orderBy(order)) - 1
+    return rows.withColumn(name, F.when(n > 0, F.concat(F.col(name), F.lit("_"), n.cast("string"))).otherwise(F.col(name)))
 
 
 def newest_labels(rows: DataFrame, keys: list[str], label: str, most: int = 25) -> DataFrame:

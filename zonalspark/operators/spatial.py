@@ -5,6 +5,7 @@ spans several cells is repeated once a cell; a point falls into one."""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from itertools import product
 
@@ -68,11 +69,13 @@ def zonal_stats(features: DataFrame, pixels: DataFrame, by: list[str], nodata: C
     return found.agg(F.min("val").alias("min"), F.max("val").alias("max"), F.avg("val").alias("mean"), F.sum("val").alias("sum"), F.count("val").alias("count"))
 
 
-def zonal_categories(features: DataFrame, pixels: DataFrame, classes: list[str]) -> DataFrame:
-    """Pixels of each class in each feature, 0 where there are none; classes is the mapping's list."""
-    counts = within(pixels.where(F.col("class").isin(classes)), features.select("geom_id", *BOX), "x", "y").groupBy("geom_id", "class").agg(F.count(F.lit(1)).alias("n"))
-    every = features.select("geom_id", F.explode(F.array(*map(F.lit, classes))).alias("class"))
-    return every.join(counts, ["geom_id", "class"], "left").select("geom_id", "class", F.coalesce("n", F.lit(0)).alias("n"))
+def zonal_categories(features: DataFrame, pixels: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Pixels of each class in each feature, named by the mapping; mapped classes without pixels have 0, values outside the
+    mapping keep their own name. One row a feature and class."""
+    named = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), F.col("class")), F.col("class")) if names else F.col("class")
+    counts = within(pixels, features.select("geom_id", *BOX), "x", "y").groupBy("geom_id", named.alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    every = features.select("geom_id", F.explode(F.array(*map(F.lit, sorted(set(names.values()))))).alias("class"))
+    return every.join(counts, ["geom_id", "class"], "full").select("geom_id", "class", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def filter_of(filters: dict) -> Column:
@@ -90,9 +93,8 @@ def filter_of(filters: dict) -> Column:
 
 
 def safe_label(value: str) -> str:
-    """Column-name part of a category: runs of other characters become _, trimmed, 32 characters at most."""
-    out = "".join(c if c.isalnum() else "_" for c in str(value)).strip("_")
-    return out[:32]
+    """Column-name part of a category: runs of anything but a-z, A-Z and 0-9 become _, trimmed, 32 characters at most."""
+    return re.sub("[^a-zA-Z0-9]+", "_", str(value)).strip("_")[:32]
 
 
 def disaggregations(filters: dict) -> list[tuple[str, Column]]:
@@ -123,8 +125,8 @@ def filter_aggregate(features: DataFrame, points: DataFrame, outcomes: dict[str,
 
 def area_weighted(features: DataFrame, polys: DataFrame, value: str) -> DataFrame:
     """Sum of value by the share of each polygon's area inside a feature, truncated toward zero; a polygon without area
-    counts 0."""
+    counts 0. Shares are added up as decimals, so the sum doesn't depend on the order of rows."""
     pairs = overlaps(polys, features)
     area = (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))
-    sums = pairs.groupBy(F.col("r_geom_id").alias("geom_id")).agg(F.round(F.sum(F.col(value) * F.coalesce(F.try_divide(F.col("area"), area), F.lit(0.0))), 6).cast("long").alias("weighted"))
+    sums = pairs.groupBy(F.col("r_geom_id").alias("geom_id")).agg(F.sum((F.col(value) * F.coalesce(F.try_divide(F.col("area"), area), F.lit(0.0))).cast("decimal(38,12)")).cast("long").alias("weighted"))
     return features.select("geom_id").join(sums, "geom_id", "left").fillna(0, ["weighted"])

@@ -39,11 +39,11 @@ def none_rename(s, d):
     return view(s, d, "fx_tasks").select("task_id", "geom_id", naming.without_none(name, outcome).alias("name"))
 
 
-@query("filter_description", "SELECT event_type, 'value: 10–50; event_type: click, view' AS filters, count(*) AS n FROM fx_points WHERE value BETWEEN 10 AND 50 AND event_type IN ('click', 'view') GROUP BY event_type", "fx_points")
+@query("filter_description", "SELECT event_type, 'value: 10–50; event_type: click, view; user_id: ; note: 3; mode: {\"type\": \"any\", \"of\": [1, null]}' AS filters, count(*) AS n FROM fx_points WHERE value BETWEEN 10 AND 50 AND event_type IN ('click', 'view') GROUP BY event_type", "fx_points")
 def filter_description(s, d):
     from zonalspark.operators.spatial import filter_of
 
-    filters = {"value": {"type": "range", "start": 10, "end": 50}, "event_type": {"type": "categorical", "selected": ["click", "view"]}, "note": 3}
+    filters = {"value": {"type": "range", "start": 10, "end": 50}, "event_type": {"type": "categorical", "selected": ["click", "view"]}, "user_id": {"type": "categorical", "selected": []}, "note": 3, "mode": {"type": "any", "of": [1, None]}}
     return view(s, d, "fx_points").where(filter_of(filters)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).withColumn("filters", F.lit(naming.filter_text(filters)))
 
 
@@ -81,7 +81,7 @@ def default_chart(s, d):
     return control.first_rows(tracks, ["source_name"], [F.desc("labels"), F.asc("type")]).select("source_name", F.col("type").alias("track"))
 
 
-@query("unique_names", "SELECT id, CASE WHEN k > 1 THEN concat(title, '_', CAST(k AS VARCHAR)) ELSE title END AS title FROM (SELECT id, title, row_number() OVER (PARTITION BY source_name, title ORDER BY id) AS k FROM fx_catalog)", "fx_catalog")
+@query("unique_names", "SELECT id, CASE WHEN k > 1 THEN concat(title, '_', CAST(k - 1 AS VARCHAR)) ELSE title END AS title FROM (SELECT id, title, row_number() OVER (PARTITION BY source_name, title ORDER BY id) AS k FROM fx_catalog)", "fx_catalog")
 def unique_names(s, d):
     return naming.unique_names(view(s, d, "fx_catalog"), ["source_name"], "title", "id").select("id", "title")
 
@@ -91,9 +91,9 @@ def newest_labels(s, d):
     return naming.newest_labels(view(s, d, "fx_tasks"), ["geom_id"], "label", 3)
 
 
-@query("request_results", "SELECT r.req_id, t.task_id, f.name, g.name AS collection FROM fx_requests r LEFT JOIN fx_tasks t USING (req_id) LEFT JOIN fx_features f USING (geom_id) LEFT JOIN fx_strips g ON g.geom_id = f.fc_id WHERE r.contact % 50 = 7", "fx_requests", "fx_tasks", "fx_features", "fx_strips")
+@query("request_results", "SELECT r.req_id, t.task_id, f.name, g.name AS collection FROM fx_requests r LEFT JOIN fx_tasks t USING (req_id) LEFT JOIN fx_features f USING (geom_id) LEFT JOIN fx_strips g ON g.geom_id = f.fc_id", "fx_requests", "fx_tasks", "fx_features", "fx_strips")
 def request_results(s, d):
-    requests = view(s, d, "fx_requests").where("contact % 50 = 7").select("req_id")
+    requests = view(s, d, "fx_requests").select("req_id")
     features = bounded(view(s, d, "fx_features").select("geom_id", "fc_id", "name"))
     collections = bounded(view(s, d, "fx_strips").select(F.col("geom_id").alias("fc_id"), F.col("name").alias("collection")))
     return requests.join(view(s, d, "fx_tasks").select("req_id", "task_id", "geom_id"), "req_id", "left").join(features, "geom_id", "left").join(collections, "fc_id", "left").select("req_id", "task_id", "name", "collection")

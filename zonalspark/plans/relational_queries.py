@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from zonalspark.functions import scalar
-from zonalspark.operators import charts, control
+from zonalspark.operators import charts, control, naming
 from zonalspark.sources.fixtures import view, with_views
 
 QUERIES: dict = {}
@@ -32,10 +32,10 @@ def task_candidates(s, d):
     return view(s, d, "fx_tasks").groupBy("req_id", "geom_id", "label", "po_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("task_new_only", "SELECT DISTINCT geom_id, label FROM fx_tasks t WHERE NOT EXISTS (SELECT 1 FROM fx_tasks k WHERE k.geom_id = t.geom_id AND k.label = t.label AND k.status = 1 AND k.req_id < 500)", "fx_tasks")
+@query("task_new_only", "SELECT DISTINCT geom_id, label, po_name FROM fx_tasks t WHERE NOT EXISTS (SELECT 1 FROM fx_tasks k WHERE k.geom_id = t.geom_id AND k.label = t.label AND k.po_name = t.po_name AND k.status = 1)", "fx_tasks")
 def task_new_only(s, d):
-    tasks = view(s, d, "fx_tasks")
-    return control.missing(tasks.select("geom_id", "label").distinct(), tasks.where("status = 1 and req_id < 500"), ["geom_id", "label"])
+    tasks, keys = view(s, d, "fx_tasks"), ["geom_id", "label", "po_name"]
+    return control.missing(tasks.select(*keys).distinct(), tasks.where("status = 1"), keys)
 
 
 @query("queue_topk", "SELECT task_id, geom_id, float_value FROM fx_tasks WHERE status = 0 ORDER BY float_value DESC, task_id, update_time, geom_id LIMIT 1000", "fx_tasks")
@@ -48,9 +48,16 @@ def queue_release_stale(s, d):
     return control.release_stale(view(s, d, "fx_tasks"), F.expr("timestamp_ntz '1998-01-01'"), 30, -1).select("task_id", "status")
 
 
-@query("queue_retry", "SELECT geom_id, count(*) AS retried FROM fx_tasks WHERE status = -1 GROUP BY geom_id", "fx_tasks")
+@query("queue_retry", "SELECT task_id, geom_id, CASE WHEN status = -1 THEN 0 ELSE status END AS status, CASE WHEN status = -1 THEN 2 ELSE 1 END AS attempts, CASE WHEN status = -1 THEN TIMESTAMP '2003-01-01' ELSE update_time END AS update_time FROM fx_tasks", "fx_tasks")
 def queue_retry(s, d):
-    return view(s, d, "fx_tasks").where("status = -1").groupBy("geom_id").agg(F.count(F.lit(1)).alias("retried"))
+    tasks = view(s, d, "fx_tasks").withColumn("attempts", F.lit(1))
+    return control.retried(tasks, F.expr("timestamp_ntz '2003-01-01'")).select("task_id", "geom_id", "status", "attempts", "update_time")
+
+
+@query("request_retry", "SELECT req_id, CASE WHEN status = -2 THEN -1 ELSE status END AS status FROM (SELECT req_id, CASE WHEN priority = 5 THEN -2 ELSE status END AS status FROM fx_requests)", "fx_requests")
+def request_retry(s, d):
+    rows = view(s, d, "fx_requests").withColumn("status", F.when(F.col("priority") == 5, -2).otherwise(F.col("status")))
+    return control.requeued(rows).select("req_id", "status")
 
 
 @query("request_complete", "SELECT req_id, count(status) AS n_tasks FROM fx_tasks GROUP BY req_id HAVING count(status) = sum(CASE WHEN status = 1 THEN 1 ELSE 0 END)", "fx_tasks")
@@ -58,10 +65,10 @@ def request_complete(s, d):
     return control.complete(view(s, d, "fx_tasks")).select("req_id", "n_tasks")
 
 
-@query("request_queue_order", "SELECT req_id, row_number() OVER (PARTITION BY status ORDER BY priority DESC, submit_time, req_id) AS place FROM fx_requests WHERE contact % 10 = 3", "fx_requests")
+@query("request_queue_order", "SELECT req_id, row_number() OVER (PARTITION BY status ORDER BY priority DESC, submit_time, req_id) AS place FROM fx_requests", "fx_requests")
 def request_queue_order(s, d):
     order = [("priority", True), ("submit_time", False), ("req_id", False)]
-    return control.places(view(s, d, "fx_requests").where("contact % 10 = 3"), "status", order).select("req_id", "place")
+    return control.places(view(s, d, "fx_requests"), "status", order).select("req_id", "place")
 
 
 YEARS = list(range(1992, 2003))
@@ -73,7 +80,7 @@ def result_pivot(s, d):
     return wide.select("geom_id", *(F.round(f"`{y}`", 2).alias(f"y{y}") for y in YEARS))
 
 
-@query("result_decode_union", "SELECT task_id, geom_id, CASE po_name WHEN 'O' THEN CAST(label AS VARCHAR) ELSE printf('%.2f', float_value) END AS text FROM fx_tasks", "fx_tasks")
+@query("result_decode_union", "SELECT task_id, geom_id, CASE po_name WHEN 'O' THEN CAST(label AS VARCHAR) ELSE CAST(float_value AS VARCHAR) END AS text FROM fx_tasks", "fx_tasks")
 def result_decode_union(s, d):
     kind = F.when(F.col("po_name") == "O", "int").otherwise("float")
     rows = view(s, d, "fx_tasks").select("task_id", "geom_id", kind.alias("data_column"), F.col("label").alias("int_value"), "float_value", F.lit(None).cast("string").alias("str_value"))
@@ -109,10 +116,14 @@ def tags():
     return F.split("title", " ")
 
 
-@query("preset_match", "SELECT id FROM fx_catalog WHERE source_name = 'Brand#11' AND group_level BETWEEN 1 AND 40 AND list_contains(string_split(title, ' '), string_split(title, ' ')[1])", "fx_catalog")
+#: Each names what it asks for; what it leaves out matches anything, and all its tags must be there.
+PRESETS = [{"name": "cold", "source_name": "Brand#11", "tags": ["cold"]}, {"name": "level", "group_level": 7}, {"name": "both", "type": "PROMO", "tags": ["small", "widget"]}, {"name": "all", "tags": []}]
+
+
+@query("preset_match", "SELECT 'cold' AS preset, id FROM fx_catalog WHERE source_name = 'Brand#11' AND list_contains(string_split(title, ' '), 'cold') UNION ALL SELECT 'level', id FROM fx_catalog WHERE group_level = 7 UNION ALL SELECT 'both', id FROM fx_catalog WHERE type = 'PROMO' AND list_contains(string_split(title, ' '), 'small') AND list_contains(string_split(title, ' '), 'widget') UNION ALL SELECT 'all', id FROM fx_catalog", "fx_catalog")
 def preset_match(s, d):
-    wanted = F.array(F.get(tags(), 0))
-    return view(s, d, "fx_catalog").where((F.col("source_name") == "Brand#11") & F.col("group_level").between(1, 40) & (F.size(F.array_except(wanted, tags())) == 0)).select("id")
+    rows = view(s, d, "fx_catalog").withColumn("tags", tags())
+    return control.preset_matches(rows, PRESETS, ["source_name", "type", "group_level"], "tags").select("preset", "id")
 
 
 @query("category_list", "SELECT DISTINCT lower(t) AS tag FROM (SELECT unnest(string_split(title, ' ')) AS t FROM fx_catalog) WHERE t <> ''", "fx_catalog")
@@ -246,11 +257,12 @@ def detect_binary(s, d):
     return view(s, d, "fx_catalog").agg((some & F.bool_and(F.col("group_level").isin(0, 1))).alias("level_binary"), (some & F.bool_and((F.col("group_level") % 2).isin(0, 1))).alias("parity_binary"))
 
 
-@query("field_track", "SELECT DISTINCT replace(regexp_replace(regexp_replace(concat('set.', po_name, '_mean_', CAST(label AS VARCHAR)), '^[^.]*\\.', ''), concat('[_.]?', CAST(label AS VARCHAR), '$'), ''), '_', ' ') AS track FROM fx_tasks", "fx_tasks")
+@query("field_track", "SELECT DISTINCT regexp_replace(replace(regexp_replace(regexp_replace(concat('set.', CASE WHEN status = 1 THEN 'Numeric_' WHEN status = 0 THEN 'a_binary_' ELSE '' END, po_name, '_mean_', CAST(label AS VARCHAR)), '^[^.]*\\.', ''), concat('[_.]?', CAST(label AS VARCHAR), '$'), ''), '_', ' '), '^(categorical|binary|numeric|ordinal)\\s+', '', 'i') AS track FROM fx_tasks", "fx_tasks")
 def field_track(s, d):
     label = F.col("label").cast("string")
-    name = F.concat(F.lit("set."), F.col("po_name"), F.lit("_mean_"), label)
-    return view(s, d, "fx_tasks").select(F.replace(F.regexp_replace(F.regexp_replace(name, F.lit(r"^[^.]*\."), F.lit("")), F.concat(F.lit("[_.]?"), label, F.lit("$")), F.lit("")), F.lit("_"), F.lit(" ")).alias("track")).distinct()
+    kind = F.when(F.col("status") == 1, "Numeric_").when(F.col("status") == 0, "a_binary_").otherwise("")
+    name = F.concat(F.lit("set."), kind, F.col("po_name"), F.lit("_mean_"), label)
+    return view(s, d, "fx_tasks").select(naming.field_track(name, label).alias("track")).distinct()
 
 
 @query("temporal_series", "SELECT CAST(label AS VARCHAR) AS label, round(avg(val), 4) AS mean, min(val) AS low, max(val) AS high FROM fx_pixels GROUP BY label", "fx_pixels")
@@ -339,9 +351,9 @@ def sha_dedupe(s, d):
     return view(s, d, "fx_polys").groupBy(F.sha2(text, 256).alias("h")).agg(F.min("poly_id").alias("poly_id"), F.count(F.lit(1)).alias("n"))
 
 
-@query("label_safe", "SELECT id, substr(trim(regexp_replace(concat(source_name, ' ', type, '!'), '[^0-9A-Za-z]', '_', 'g'), '_'), 1, 32) AS label FROM fx_catalog", "fx_catalog")
+@query("label_safe", "SELECT id, substr(trim(regexp_replace(concat(source_name, ' - ', type, '!?'), '[^0-9A-Za-z]+', '_', 'g'), '_'), 1, 32) AS label FROM fx_catalog", "fx_catalog")
 def label_safe(s, d):
-    return view(s, d, "fx_catalog").select("id", scalar.safe_label(F.concat("source_name", F.lit(" "), "type", F.lit("!"))).alias("label"))
+    return view(s, d, "fx_catalog").select("id", scalar.safe_label(F.concat("source_name", F.lit(" - "), "type", F.lit("!?"))).alias("label"))
 
 
 @query("slug", "SELECT id, trim(regexp_replace(lower(concat(source_name, ' / ', title)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM fx_catalog", "fx_catalog")

@@ -49,10 +49,11 @@ def zonal_empty_zone(spark, d):
     return S.within(pixels, view(spark, d, "fx_features"), "x", "y", "left").groupBy("geom_id").agg(F.count("val").alias("n"), F.round(F.sum("val"), 2).alias("total"))
 
 
-CLASSES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-ABSENT"]
+#: The mapping leaves out a class that there is, and has one that there isn't.
+CLASSES = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "5-LOW": "low", "6-ABSENT": "absent"}
 
 
-@query("zonal_categorical", f"{BASE}, c AS (SELECT unnest({CLASSES}) AS class), n AS (SELECT geom_id, p.class, count(*) AS n FROM fx_features JOIN fx_pixels p ON {IN_BOX} GROUP BY ALL) SELECT geom_id, class, coalesce(n, 0) AS n FROM fx_features CROSS JOIN c LEFT JOIN n USING (geom_id, class)")
+@query("zonal_categorical", f"{BASE}, c AS (SELECT unnest({list(CLASSES)}) AS raw, unnest({list(CLASSES.values())}) AS class), n AS (SELECT geom_id, coalesce(c.class, p.class) AS class, count(*) AS n FROM fx_features JOIN fx_pixels p ON {IN_BOX} LEFT JOIN c ON c.raw = p.class GROUP BY ALL) SELECT geom_id, class, coalesce(n, 0) AS n FROM (SELECT geom_id, class FROM fx_features CROSS JOIN c) FULL JOIN n USING (geom_id, class)")
 def zonal_categorical(spark, d):
     return S.zonal_categories(view(spark, d, "fx_features"), view(spark, d, "fx_pixels"), CLASSES)
 
@@ -92,7 +93,7 @@ def polygon_overlap_pairs(spark, d):
     return S.overlaps(view(spark, d, "fx_polys"), view(spark, d, "fx_features")).select("poly_id", F.col("r_geom_id").alias("geom_id"), F.round("area", 6).alias("area"))
 
 
-@query("polygon_area_weighted", f"{POLYS} SELECT f.geom_id, CAST(trunc(round(coalesce(sum(amount * ({AREA}) / nullif((p.maxx - p.minx) * (p.maxy - p.miny), 0)), 0), 6)) AS BIGINT) AS weighted FROM fx_features f LEFT JOIN fx_polys p ON {AREA} > 0 GROUP BY f.geom_id")
+@query("polygon_area_weighted", f"{POLYS} SELECT f.geom_id, CAST(trunc(coalesce(sum(CAST(amount * (({AREA}) / nullif((p.maxx - p.minx) * (p.maxy - p.miny), 0)) AS DECIMAL(38, 12))), 0)) AS BIGINT) AS weighted FROM fx_features f LEFT JOIN fx_polys p ON {AREA} > 0 GROUP BY f.geom_id")
 def polygon_area_weighted(spark, d):
     return S.area_weighted(view(spark, d, "fx_features"), view(spark, d, "fx_polys"), "amount")
 
@@ -159,9 +160,9 @@ def mercator(spark, d):
     return view(spark, d, "fx_features").select("geom_id", F.round(mercator_x(F.col("minx")), 3).alias("x"), F.round(mercator_y(F.col("miny")), 3).alias("y"))
 
 
-@query("tile_envelope", f"SELECT z, x, -{MERCATOR} + x * 2 * {MERCATOR} / (1 << z) AS minx, -{MERCATOR} + (x + 1) * 2 * {MERCATOR} / (1 << z) AS maxx, {MERCATOR} - (x + 1) * 2 * {MERCATOR} / (1 << z) AS miny, {MERCATOR} - x * 2 * {MERCATOR} / (1 << z) AS maxy FROM (SELECT CAST(r_regionkey AS INTEGER) AS z, CAST(r_regionkey / 2 AS INTEGER) AS x FROM region WHERE r_regionkey % 2 = 0)")
+@query("tile_envelope", f"SELECT z, x, -{MERCATOR} + x * 2 * {MERCATOR} / (1 << z) AS minx, -{MERCATOR} + (x + 1) * 2 * {MERCATOR} / (1 << z) AS maxx, {MERCATOR} - (x + 1) * 2 * {MERCATOR} / (1 << z) AS miny, {MERCATOR} - x * 2 * {MERCATOR} / (1 << z) AS maxy FROM (SELECT CAST(r_regionkey AS INTEGER) AS z, CAST(r_regionkey // 2 AS INTEGER) AS x FROM region)")
 def tile_envelope(spark, d):
     from zonalspark.functions.scalar import tile_box
 
-    tiles = spark.read.parquet(f"{d}/region.parquet").where("r_regionkey % 2 = 0").select(F.col("r_regionkey").cast("int").alias("z"), F.expr("cast(r_regionkey / 2 as int)").alias("x"))
+    tiles = spark.read.parquet(f"{d}/region.parquet").select(F.col("r_regionkey").cast("int").alias("z"), F.expr("cast(r_regionkey div 2 as int)").alias("x"))
     return tiles.select("z", "x", *tile_box(F.col("z"), F.col("x"), F.col("x")))
