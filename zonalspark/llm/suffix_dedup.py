@@ -6,17 +6,18 @@ twice have to be ordered: they and the bytes around them, a run of one anchor ea
 
 Every task sorts the suffixes of its own runs, a shard, once and sends each bucket of anchors the shard's transform: the
 byte before each suffix, in order. A bucket inverts its shards' transforms by walking them backwards, which gives texts and
-suffix orders again, and merges the orders without sorting suffixes: it only keeps which shard each place of the merged
-order belongs to. A round puts STEP bytes before all suffixes in the present order, stably by those bytes, and reads off
-the shards anew; after k rounds places are right for the first k * STEP bytes, and two neighbours that part in a round have
-a common prefix of the rounds before. What has not parted when LENGTH bytes are compared, or nothing changes any more, is
-a repeated interval.
+suffix orders again, and merges the orders by refining how they interleave: at first by the first bytes of the suffixes;
+then each round splits the intervals that are still open by where the suffixes come that begin as many bytes later as are
+compared so far, which doubles what is compared. Suffixes of one shard never change their order among themselves, settled
+intervals are not touched again, and neighbours that part in a round have a common prefix of what was compared before.
+What has not parted when LENGTH bytes are compared, or nothing changes any more, is a repeated interval.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +27,20 @@ from pyspark.sql import functions as F
 
 from zonalspark.llm.common import pack, read, stored, unpack
 
-LENGTH, GRAM, STEP = 200, 64, 8
+LENGTH, GRAM = 200, 64
 WIDTH = LENGTH - GRAM + 1  # grams in a string
 #: Anchors that a task counts at once, bits of the filter of repeated anchors (64 MB at most), bytes of a shard, suffixes that
-#: are merged at once, bytes of text for each bucket, and for each task of the merge.
-ANCHORS, LARGEST_FILTER, SHARD, ITEMS, BUCKET, SHARE = 3_000_000, 1 << 29, 4_000_000, 2_000_000, 4 << 20, 256 << 20
+#: are merged at once, bytes of text for each bucket, buckets that are sent together, and bytes of text for each task of the
+#: merge. Shards have fewer than 2^21 suffixes.
+ANCHORS, LARGEST_FILTER, SHARD, ITEMS, BUCKET, TOGETHER, SHARE = 3_000_000, 1 << 29, 1_900_000, 1_400_000, 4 << 20, 16, 256 << 20
 #: Places of an anchor from which its runs are dealt into parts of about so many, and how many such anchors the driver holds
 #: (the most frequent ones; less frequent ones stay whole).
 GROUP, HOT = 2000, 1_000_000
 PLACE = 20  # bits of a place in a chunk
 BASE = 0x9E3779B97F4A7C15 | 1
 MIX = np.uint64(0xD6E8FEB86659FD93)
-LOW = np.uint64(0xFFFFFFFF)
+LOW, BITS = np.uint64(0xFFFFFFFF), np.uint64(21)
+WORD = (1 << 21) - 1
 
 
 class Powers:
@@ -187,6 +190,14 @@ class Repeated:
 META = np.dtype([("s1", "<u8"), ("s2", "<u8"), ("anchor", "<u8"), ("lo", "<i4"), ("hi", "<i4"), ("n", "<i8"), ("size", "<i4"), ("hot", "<i4")])
 
 
+def sorted_by(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Sorted keys of two numbers and a place, of 21 bits each."""
+    key = (first.astype(np.uint64) << BITS) | second.astype(np.uint64)
+    key = (key << BITS) | np.arange(len(key), dtype=np.uint64)
+    key.sort()
+    return key
+
+
 def transforms(contexts: list[bytes], bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """bucket, its contexts (their numbers) and its transform, for each bucket: the byte before each suffix, empty ones too,
     and 1 (0: there is none), by the order of suffixes; equal ones are in the order of contexts. Suffixes are sorted by
@@ -198,20 +209,19 @@ def transforms(contexts: list[bytes], bucket: np.ndarray) -> Iterator[tuple[int,
     total = int(ends[-1])
     text = np.frombuffer(b"\xff".join([contexts[i] for i in order.tolist()]) + b"\xff", np.uint8) + np.uint8(1)  # 0 ends a context; no byte of UTF-8 is 255
     left = (np.repeat(ends, sizes) - np.arange(total) - 1).astype(np.int32)  # bytes up to the end
-    local = np.repeat(np.searchsorted(first, np.arange(len(order)), "right") - 1, sizes).astype(np.uint64)
-    word = np.zeros(total, np.uint64)
+    # at first buckets, 3 bytes (no more after an end) and places, of 16, 24 and 24 bits
+    key = np.repeat((np.searchsorted(first, np.arange(len(order)), "right") - 1).astype(np.uint64), sizes)
+    byte = text
     for k in range(3):
-        word <<= np.uint64(8)
-        own = left >= k
-        word[own] |= text[np.flatnonzero(own) + k]
-    # buckets, words and places have 16, 24 and 24 bits
-    key = (local << np.uint64(48)) | (word << np.uint64(24)) | np.arange(total, dtype=np.uint64)
+        if k:
+            byte = np.where(byte > 0, np.append(text[k:], np.zeros(k, np.uint8)), 0)
+        key = (key << np.uint64(8)) | byte
+    key = (key << np.uint64(24)) | np.arange(total, dtype=np.uint64)
     key.sort()
     rows = (key & np.uint64((1 << 24) - 1)).astype(np.int32)
     key >>= np.uint64(24)
     new = np.ones(total, bool)
     new[1:] = key[1:] != key[:-1]
-    del key, word, local
     rank = np.zeros(total, np.int32)  # 1 + the place of the first of its interval
     depth = 3
     while True:
@@ -219,16 +229,17 @@ def transforms(contexts: list[bytes], bucket: np.ndarray) -> Iterator[tuple[int,
         sizes_of = np.diff(np.append(starts, total))
         rank[rows] = np.repeat(starts, sizes_of) + 1
         alive = np.flatnonzero(np.repeat(sizes_of > 1, sizes_of))
+        if not len(alive):
+            break
         at = rows[alive]
         done = depth > LENGTH + WIDTH  # longer than any context
         later = at if done else np.where(left[at] >= depth, rank[np.minimum(at + depth, total - 1)], 0)
-        pairs = (rank[at].astype(np.uint64) << np.uint64(32)) | later.astype(np.uint64)
-        by = np.argsort(pairs)
-        rows[alive] = at[by]
-        if done or not len(alive):
+        key = sorted_by(rank[at], later)
+        rows[alive] = at[(key & np.uint64(WORD)).astype(np.int64)]
+        if done:
             break
-        pairs = pairs[by]
-        new[alive[1:]] |= pairs[1:] != pairs[:-1]
+        key >>= BITS
+        new[alive[1:]] |= key[1:] != key[:-1]
         depth *= 2
     before = text[rows - 1]  # the end of the context before is 0, as wanted; so is the last byte of all
     bounds = np.append(first, len(order))
@@ -237,9 +248,31 @@ def transforms(contexts: list[bytes], bucket: np.ndarray) -> Iterator[tuple[int,
         yield b, order[i:j], before[x:y]
 
 
+def packed(some: list[tuple[int, np.ndarray, np.ndarray]]) -> bytes:
+    """A shard's part of a group of buckets: number in the group, META and transform of each bucket."""
+    counts = np.zeros((TOGETHER, 2), np.int32)
+    for b, meta, before in some:
+        counts[b] = len(meta), len(before)
+    return counts.tobytes() + b"".join(meta.tobytes() for _, meta, _ in some) + pack(np.concatenate([before for *_, before in some]))
+
+
+def unpacked(rows: list[bytes]) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """META and transform of each shard, bucket by bucket."""
+    parts = []
+    for data in rows:
+        ends = np.cumsum(np.concatenate([np.zeros((1, 2), np.int64), np.frombuffer(data, np.int32, 2 * TOGETHER).reshape(-1, 2)]), 0)
+        head = 8 * TOGETHER
+        n = int(ends[-1, 0])
+        parts.append((ends, np.frombuffer(data, META, n, head), unpack(data[head + n * META.itemsize :], np.uint8)[0]))
+    for b in range(TOGETHER):
+        found = [(meta[e[b, 0] : e[b + 1, 0]], before[e[b, 1] : e[b + 1, 1]]) for e, meta, before in parts if e[b, 0] < e[b + 1, 0]]
+        if found:
+            yield found
+
+
 def runs(docs: DataFrame, repeated: Repeated, buckets: int) -> DataFrame:
     """Rows of two kinds. Places: sig, d1, d2, place (of the anchor): where a run with a repeated anchor is. Transforms of
-    shards: bucket, data (the runs' META and the transform)."""
+    shards: bucket (the number of a group of them), data."""
     shared = docs.sparkSession.sparkContext.broadcast(repeated)
     names = ["sig", "d1", "d2", "place", "bucket", "data"]
     types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
@@ -267,9 +300,9 @@ def runs(docs: DataFrame, repeated: Repeated, buckets: int) -> DataFrame:
             with np.errstate(over="ignore"):
                 mixed = (meta["anchor"] + (meta["s1"] % np.maximum(parts, 1).astype(np.uint64)) * np.uint64(BASE % (1 << 64))) * MIX
             held.clear()
-            out = []
-            for b, own, before in transforms(contexts, ((mixed >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)):
-                out.append((None, None, None, None, b, len(own).to_bytes(4, "little") + meta[own].tobytes() + pack(before)))
+            out, found = [], transforms(contexts, ((mixed >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32))
+            for group, some in groupby(found, lambda x: x[0] // TOGETHER):
+                out.append((None, None, None, None, group, packed([(b % TOGETHER, meta[own], before) for b, own, before in some])))
                 if len(out) == 500:
                     yield batch_of(out)
                     out = []
@@ -311,20 +344,15 @@ class Collection:
     """The runs of a bucket: META of all, shard of each, their bytes, and the suffix order of each shard, got by walking the
     shards' transforms backwards from the ends of their runs, all runs at once."""
 
-    def __init__(self, rows: list[bytes]):
-        metas, befores = [], []
-        for data in rows:
-            n = int.from_bytes(data[:4], "little")
-            metas.append(np.frombuffer(data, META, n, 4))
-            befores.append(unpack(data[4 + n * META.itemsize :], np.uint8)[0])
+    def __init__(self, shards: list[tuple[np.ndarray, np.ndarray]]):
+        metas, befores = ([x[k] for x in shards] for k in (0, 1))
         self.meta = np.concatenate(metas)
         self.shard = np.repeat(np.arange(len(metas)), [len(m) for m in metas])
         before, bounds = np.concatenate(befores), np.cumsum([0, *map(len, befores)])
         size = self.meta["size"].astype(np.int64)
         self.begin = np.cumsum(size) - size
         total = len(before)
-        self.row_shard = np.repeat(np.arange(len(metas), dtype=np.int32), np.diff(bounds))
-        key = (self.row_shard.astype(np.uint64) << np.uint64(40)) | (before.astype(np.uint64) << np.uint64(32)) | np.arange(total, dtype=np.uint64)
+        key = (np.repeat(np.arange(len(metas), dtype=np.uint64), np.diff(bounds)) << np.uint64(40)) | (before.astype(np.uint64) << np.uint64(32)) | np.arange(total, dtype=np.uint64)
         key.sort()
         to = np.empty(total, np.int32)  # from a suffix to the one that is a byte longer
         to[(key & LOW).astype(np.int64)] = np.arange(total, dtype=np.int32)
@@ -342,56 +370,59 @@ class Collection:
             self.place[row] = at
 
 
-def interleaved(text: np.ndarray, begin: np.ndarray, size: np.ndarray, order: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def interleaved(text: np.ndarray, begin: np.ndarray, size: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merges shards' orders of the suffixes of runs (text, where each begins, its size): order has the places of all
-    suffixes, shard after shard, shard the number of each. Returns the merged order, which of its places begin an
-    interval, that is, differ from the one before in the first LENGTH bytes, and in how many rounds of STEP bytes each
-    was found equal to the one before.
-
-    What is kept from round to round is only whose suffix each place of the merged order is; shards' own orders stay."""
+    suffixes, shard after shard. Returns the merged order, which of its places begin an interval, that is, differ from the
+    one before in the first LENGTH bytes, and how many bytes at least each was found to have in common with the one before."""
     n = len(text)
-    off = (np.arange(n) - np.repeat(begin, size)).astype(np.int32)
-    left = (np.repeat(begin + size, size) - np.arange(n)).astype(np.int32)
-    words = np.zeros(n, np.uint64)
-    for k in range(STEP):
-        words <<= np.uint64(8)
+    left = np.repeat(begin + size, size) - np.arange(n)
+    key, depth = np.zeros(n, np.uint64), 5  # 5 bytes and places, of 40 and 24 bits
+    for k in range(depth):
+        key <<= np.uint64(8)
         own = np.flatnonzero(left > k)
-        words[own] |= text[own + k].astype(np.uint64) + np.uint64(1)
-    rank = np.unique(words, return_inverse=True)[1].astype(np.uint64) << np.uint64(32)
-    del words
-    short = left[order] <= STEP
-    tails = order[short]  # what no other suffix precedes
-    whose = shard.astype(np.uint16) if len(shard) == 0 or shard.max() < 1 << 16 else shard
-    numbers = np.empty(n, whose.dtype)  # the shard of the suffix at a place of the text
-    numbers[order] = whose
-    merged, starts, common = order, np.zeros(n, bool), np.zeros(n, np.uint8)
-    index = np.arange(n, dtype=np.uint64)
-    for depth in range(LENGTH // STEP):
-        longer = off[merged] >= STEP
-        before = np.concatenate([tails, merged[longer] - STEP])
-        interval = np.concatenate([np.zeros(len(tails), np.int32), np.cumsum(starts, dtype=np.int32)[longer] + (depth > 0)])
-        key = rank[before] | index
-        key.sort()
-        by = (key & LOW).astype(np.int64)
-        key >>= np.uint64(32)
-        interval = interval[by]
-        new = np.ones(n, bool)
-        new[1:] = (key[1:] != key[:-1]) | (interval[1:] != interval[:-1])
-        now = numbers[before[by]]
-        same = np.array_equal(new, starts) and np.array_equal(now, whose)
-        whose, starts = now, new
-        common += ~new
-        if same:
-            break
-        at = np.argsort(whose, kind="stable")
-        merged = np.empty_like(order)
-        merged[at] = order
-    return merged, starts, common
+        key[own] |= text[own + k].astype(np.uint64) + np.uint64(1)
+    by, key = merged_by(key[order])
+    merged = order[by]
+    starts = np.ones(n, bool)
+    starts[1:] = key[1:] != key[:-1]
+    del key, by
+    common, interval = np.zeros(n, np.int16), np.empty(n, np.int32)
+    while True:
+        first = np.flatnonzero(starts)
+        sizes = np.diff(np.append(first, n))
+        open_ = np.flatnonzero(np.repeat(sizes > 1, sizes))
+        common[~starts] = depth
+        if depth == LENGTH or not len(open_):
+            return merged, starts, common
+        interval[merged] = np.repeat(first, sizes)
+        step = min(depth, LENGTH - depth)
+        at = merged[open_]
+        later = np.where(left[at] > step, interval[np.minimum(at + step, n - 1)] + 1, 0)
+        if n < WORD:
+            key = sorted_by(interval[at], later)
+            by = (key & np.uint64(WORD)).astype(np.int64)
+            key >>= BITS
+        else:
+            by = np.lexsort((later, interval[at]))
+            key = (interval[at].astype(np.uint64) << np.uint64(32) | later.astype(np.uint64))[by]
+        merged[open_] = at[by]
+        starts[open_[1:]] |= key[1:] != key[:-1]
+        depth += step
+
+
+def merged_by(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of words of 40 bits, and the words in it."""
+    if len(words) >= 1 << 24:
+        by = np.argsort(words, kind="stable")
+        return by, words[by]
+    key = (words << np.uint64(24)) | np.arange(len(words), dtype=np.uint64)
+    key.sort()
+    return (key & np.uint64((1 << 24) - 1)).astype(np.int64), key >> np.uint64(24)
 
 
-def settled(rows: list[bytes]) -> Iterator[pa.RecordBatch]:
+def settled(shards: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """sig, a, b, w1, w2, k of a bucket, see merged()."""
-    held = Collection(rows)
+    held = Collection(shards)
     meta, shard = held.meta, held.shard
     # equal runs of several shards become one
     order = np.lexsort((shard, meta["s2"], meta["s1"]))
@@ -441,7 +472,7 @@ def repeats(held: Collection, string: np.ndarray, kept: np.ndarray, n: np.ndarra
     shift = begin - held.begin[kept]
     order = (held.place[rows] + shift[number[string[rows]]]).astype(np.int32)
     text = held.text[np.repeat(held.begin[kept] - begin, size) + np.arange(int(size.sum()))]
-    merged, starts, _ = interleaved(text, begin, size, order, held.row_shard[rows])
+    merged, starts, _ = interleaved(text, begin, size, order)
     interval = np.empty(len(text), np.int32)
     interval[merged] = np.cumsum(starts, dtype=np.int32) - 1
     owner = np.repeat(np.arange(len(kept)), size)
@@ -478,12 +509,11 @@ def merged(shards: DataFrame, tasks: int) -> DataFrame:
         for batch in batches:
             for bucket, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != at and held:
-                    yield from settled(held)
+                    yield from chain.from_iterable(map(settled, unpacked(held)))
                     held = []
                 at = bucket
                 held.append(data)
-        if held:
-            yield from settled(held)
+        yield from chain.from_iterable(map(settled, unpacked(held)))
 
     return shards.select("bucket", "data").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "sig binary, a int, b int, w1 long, w2 long, k int")
 
@@ -526,7 +556,7 @@ def dedup(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     buckets = max(1, -(-size // (WIDTH // 2 * ANCHORS)))
     repeated = Repeated(repeated_anchors(rows, buckets).toLocalIterator(), buckets)
     tasks = max(32, -(-size // SHARE))
-    found = stored(runs(rows, repeated, max(tasks, -(-size // BUCKET))), "suffix-runs")
+    found = stored(runs(rows, repeated, TOGETHER * max(tasks, -(-size // (TOGETHER * BUCKET)))), "suffix-runs")
     verdicts = stored(merged(found.where("place is null"), tasks), "suffix-repeats")
     spread = verdicts.where("w1 is not null").select("sig", "a", "w1", "w2", "k")
     often = spread.groupBy("w1", "w2").agg(F.sum("k").alias("n")).where("n > 1").select("w1", "w2")
