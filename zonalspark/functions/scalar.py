@@ -39,6 +39,49 @@ def truncated(text: Column, length: int = 120, end: str = "…") -> Column:
     return F.when(F.char_length(text) > length, F.concat(F.substring(text, 1, length), F.lit(end))).otherwise(text)
 
 
+def absolute_url(url: Column) -> Column:
+    """https:// before an address without http:// or https://; nothing for none."""
+    return F.when(F.coalesce(url, F.lit("")) == "", "").when(F.rlike(url, F.lit("^https?://")), url).otherwise(F.concat(F.lit("https://"), url))
+
+
+def number_text(n: Column) -> Column:
+    """A number for people: grouped without decimals from 10,000 on, with one from 100, with three from 1, below with
+    three digits that count (of what isn't less than a millionth); a dash for none and what is not finite."""
+    size = F.abs(n)
+    small = F.format_string("%.3f", n)
+    for k in range(1, 6):
+        small = F.when(size < 10.0**-k, F.format_string(f"%.{k + 3}f", n)).otherwise(small)
+    out = F.when(n == 0, "0").when(size >= 10000, F.format_number(n, 0)).when(size >= 100, F.format_string("%.1f", n)).when(size >= 1, F.format_string("%.3f", n)).otherwise(small)
+    return F.when(n.isNull() | F.isnan(n) | (size == float("inf")), "—").otherwise(out)
+
+
+def html_escaped(text: Column) -> Column:
+    for c, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(c), F.lit(name))
+    return text
+
+
+def error_text(kind: Column, message: Column) -> Column:
+    """What an error says of itself, 100 characters at most."""
+    return F.substring(F.concat(kind, F.lit("('"), message, F.lit("')")), 1, 100)
+
+
+def title_case(text: Column) -> Column:
+    """_ as spaces; the first letter of each run of letters large, the others small."""
+    runs = F.split(F.replace(text, F.lit("_"), F.lit(" ")), r"(?<=[^\p{L}])(?=\p{L})")
+    return F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))), "")
+
+
+def cycled(index: Column, palette: list[str]) -> Column:
+    """A colour for an index; negative and large ones go round."""
+    return F.get(F.array(*map(F.lit, palette)), F.pmod(F.floor(index), F.lit(len(palette))).cast("int"))
+
+
+def line_width(level: Column) -> Column:
+    """Lines of levels 0 to 4 get thinner by half; others are 1.5."""
+    return F.when(level.between(0, 4), F.greatest(F.lit(0.75), 4.5 - level * 0.5)).otherwise(1.5)
+
+
 def short_hash(text: Column) -> Column:
     return F.substring(F.md5(text), 1, 8)
 

@@ -106,3 +106,38 @@ def runs_of_numbers(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
     one = F.when(F.col("_b") - F.col("_a") >= 2, F.concat_ws("-", "_a", "_b")).when(F.col("_b") > F.col("_a"), F.concat_ws(", ", "_a", "_b")).otherwise(F.col("_a").cast("string"))
     listed = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_a", one.alias("_t")))).alias("_l"))
     return listed.select(*keys, F.array_join(F.transform("_l", lambda x: x["_t"]), ", ").alias("text"))
+
+
+def runs_of_labels(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """text: if all labels of a group are whole numbers, their runs as runs_of_numbers has them, else all labels in order."""
+    whole = F.col(label).try_cast("long")
+    marked = rows.select(*keys, label).distinct().withColumn("_whole", F.when(whole.cast("string") == F.trim(label), whole))
+    numbers = marked.groupBy(*keys).agg(F.bool_and(F.col("_whole").isNotNull()).alias("_all"), F.array_sort(F.collect_list(label)).alias("_l"))
+    runs = runs_of_numbers(marked.join(numbers.where("_all").select(*keys), keys, "left_semi"), keys, "_whole")
+    return numbers.join(runs, keys, "left").select(*keys, F.coalesce("text", F.array_join("_l", ", ")).alias("text"))
+
+
+def candidates(coverage: DataFrame, features: DataFrame, collections: DataFrame, resources: DataFrame, options: DataFrame, datasets: DataFrame) -> DataFrame:
+    """resource_id, geom_id, po_id of all work that can be done: covered features of active collections that nobody
+    uploaded, with each resource and active option of an active dataset. Catalogue sides are filtered and joined with each
+    other first, so coverage is joined twice only."""
+    from zonalspark.operators.spatial import bounded
+
+    of_set = resources.select("dataset_id", "resource_id").join(options.where("active").select("dataset_id", "po_id"), "dataset_id").join(datasets.where("active").select("dataset_id"), "dataset_id", "left_semi")
+    held = features.select("geom_id", "fc_id").join(bounded(collections.where("active and not is_user_upload").select("fc_id")), "fc_id", "left_semi")
+    covered = coverage.where("status = 1").select("geom_id", "dataset_id").join(bounded(held.select("geom_id")), "geom_id")
+    return covered.join(bounded(of_set), "dataset_id").select("resource_id", "geom_id", "po_id")
+
+
+def in_phases(requests: DataFrame, queued: int = -1, processing: int = 0) -> DataFrame:
+    """req_id and place of all open requests: queued ones first, then those in process, each by priority and time."""
+    phased = requests.where(F.col("status").isin(queued, processing)).withColumn("phase", F.when(F.col("status") == queued, 0).otherwise(1))
+    placed = places(phased, "phase", [("priority", True), ("submit_time", False), ("req_id", False)])
+    first = phased.where("phase = 0").agg(F.count(F.lit(1)).alias("_n"))
+    return placed.crossJoin(F.broadcast(first)).select("req_id", (F.col("place") + F.when(F.col("phase") == 1, F.col("_n")).otherwise(0)).alias("place"))
+
+
+def merged_selection(first: DataFrame, second: DataFrame, key: str, order: str) -> DataFrame:
+    """key, part, order: first as it is, then what second has more, each in its own order."""
+    more = second.join(first.select(key), key, "left_anti")
+    return first.select(key, F.lit(0).alias("part"), order).unionByName(more.select(key, F.lit(1).alias("part"), order))

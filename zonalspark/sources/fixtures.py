@@ -31,16 +31,28 @@ VIEWS = {
     "fx_requests": """SELECT o_orderkey AS req_id, o_custkey AS contact, CAST(substr(o_orderpriority, 1, 1) AS INT) AS priority,
   CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN -1 ELSE 0 END AS status, o_orderdate AS submit_time FROM {orders}""",
     "fx_catalog": "SELECT p_partkey AS id, p_name AS title, p_type AS type, p_brand AS source_name, p_size AS group_level, p_retailprice AS val FROM {part}",
+    "fx_collections": "SELECT CAST(r_regionkey AS BIGINT) AS fc_id, r_name AS name, r_regionkey <> 3 AS active, r_regionkey = 4 AS is_user_upload FROM {region}",
+    "fx_sets": """SELECT CAST(r_regionkey AS BIGINT) AS dataset_id, lower(r_name) AS name, CASE WHEN r_regionkey IN (0, 2, 4) THEN concat('Set of ', r_name) END AS title,
+  CASE WHEN r_regionkey < 3 THEN 'raster' ELSE 'vector' END AS type, r_regionkey <> 1 AS active,
+  CASE WHEN r_regionkey = 0 THEN '{{"filters":{{"k":1}},"outcomes":["a","b"]}}' WHEN r_regionkey = 1 THEN '{{"filters":null}}' WHEN r_regionkey = 2 THEN '[]' END AS other FROM {region}""",
+    "fx_resources": """SELECT CAST(r_regionkey AS BIGINT) * 10000 + y AS resource_id, CAST(r_regionkey AS BIGINT) AS dataset_id, CAST(y AS STRING) AS label
+  FROM {region} CROSS JOIN (SELECT DISTINCT year(o_orderdate) AS y FROM {orders}) AS years""",
+    "fx_options": """SELECT CAST(r_regionkey * 10 + k AS BIGINT) AS po_id, CAST(r_regionkey AS BIGINT) AS dataset_id, short_name, active, public FROM {region}
+  CROSS JOIN (VALUES (0, 'mean', true, true), (1, 'sum', true, false), (2, 'count', false, true), (3, 'area', true, true)) AS o(k, short_name, active, public)""",
+    "fx_dated": """SELECT day, kind, CASE kind WHEN 0 THEN concat('grid_', y, '.tif') WHEN 1 THEN concat('grid_', y, '_', m, '.tif') WHEN 2 THEN concat('g', y, m, d, 'x2.tif') WHEN 3 THEN concat(y, '.', j, '.tif') WHEN 4 THEN 'grid.tif' ELSE concat('grid_', substr(y, 1, 3), 'x.tif') END AS fname,
+  CASE kind WHEN 0 THEN 'grid_YYYY.tif' WHEN 1 THEN 'grid_YYYY_MM.tif' WHEN 2 THEN 'gYYYYMMDD' WHEN 3 THEN 'YYYY.DDD.tif' WHEN 4 THEN 'grid.tif' ELSE 'grid_YYYY.tif' END AS mask
+  FROM (SELECT day, k AS kind, CAST(year(day) AS STRING) AS y, lpad(CAST(month(day) AS STRING), 2, '0') AS m, lpad(CAST(dayofmonth(day) AS STRING), 2, '0') AS d, lpad(CAST(dayofyear(day) AS STRING), 3, '0') AS j
+  FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM {orders}) AS days CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) AS kinds(k)) AS parts""",
     "fx_files": """SELECT DISTINCT concat('grid_', CAST(year(o_orderdate) AS STRING), '_', lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), '.tif') AS fname, 'grid_YYYY_MM.tif' AS mask FROM {orders}""",
 }
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name]
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in re.findall(r"\{(\w+)\}", text)}
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in re.findall(r"(?<!\{)\{(\w+)\}", text)}
     return spark.sql(text, **tables)
 
 
 def with_views(*names: str) -> str:
-    """The views as the beginning of a SQL query over the registered tables."""
-    return "WITH " + ",\n".join(f"{n} AS ({re.sub(r'[{}]', '', VIEWS[n])})" for n in names)
+    """The views as the beginning of a SQL query over the registered tables; doubled braces stand for one."""
+    return "WITH " + ",\n".join(f"{n} AS ({re.sub(r'([{}])[{}]?', lambda m: m[1] if len(m[0]) > 1 else '', VIEWS[n])})" for n in names)
