@@ -8,6 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from zonalspark.operators.spatial import bounded
+from zonalspark.operators.upkeep import five_numbers
+from zonalspark.sources.shared import written
+
 
 def histogram(rows: DataFrame, value: str, bins: int = 20) -> DataFrame:
     """bin, lo, n of equal-width bins from min to max, the last closed, empty ones with 0; one bin if min is max. Nulls
@@ -26,9 +30,10 @@ def histogram(rows: DataFrame, value: str, bins: int = 20) -> DataFrame:
 
 def ranked(rows: DataFrame, value: str) -> DataFrame:
     """rows with rank from 0 in the order of value and their number n. Ranks come from counts of each distinct value, so
-    only distinct values are put in one order, range by range."""
+    only distinct values are put in one order, range by range. Ranges are written, since they are read twice and must be
+    the same both times."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    parts = counts.repartitionByRange(value).withColumn("part", F.spark_partition_id())
+    parts, _ = written(counts.repartitionByRange(value).withColumn("part", F.spark_partition_id()), "ranges")
     before = parts.groupBy("part").agg(F.sum("c").alias("held"))
     offsets = before.withColumn("offset", F.sum("held").over(Window.orderBy("part")) - F.col("held")).select("part", "offset")
     within = Window.partitionBy("part").orderBy(value)
@@ -109,10 +114,10 @@ def jenks(rows: DataFrame, value: str, n: int = 5, most: int = 1_000_000) -> lis
 
 def box_plot(rows: DataFrame, by: str, value: str) -> DataFrame:
     """by, q1, median, q3, low, high (last values within 1.5 times the quartiles' distance), n_outliers."""
-    quarters = rows.groupBy(by).agg(*(F.expr(f"percentile({value}, {p})").alias(k) for k, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
+    quarters = bounded(five_numbers(rows, by, value).select(by, "q1", F.col("q2").alias("median"), "q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
-    return rows.join(F.broadcast(quarters), by).groupBy(by, "q1", "median", "q3").agg(F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"), F.count_if(~inside).alias("n_outliers"))
+    return rows.join(quarters, by).groupBy(by, "q1", "median", "q3").agg(F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"), F.count_if(~inside).alias("n_outliers"))
 
 
 def correlation(a: Column, b: Column) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from zonalspark.sources.shared import written
+
 
 def first_rows(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group by a total order."""
@@ -31,12 +33,12 @@ def queue(tasks: DataFrame, n: int, order: list[Column], available: Column) -> D
 
 def places(rows: DataFrame, by: str, order: list[tuple[str, bool]]) -> DataFrame:
     """by, the columns of order (name, whether descending; a total order) and place from 1 within by. Rows are put in order
-    range by range, and places follow from the counts of the ranges before, so no value of by is sorted in one task."""
+    range by range, and places follow from the counts of the ranges before, so no value of by is sorted in one task. Ranges
+    are written, since they are read twice and must be the same both times."""
     names = list(dict.fromkeys([by, *(c for c, _ in order)]))
     sorting = [F.desc(c) if down else F.asc(c) for c, down in order]
-    # both uses below need all columns, so the ranges are made once; a given number of ranges isn't coalesced
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = rows.select(*names).repartitionByRange(n, F.asc(by), *sorting).withColumn("_part", F.spark_partition_id())
+    parts, _ = written(rows.select(*names).repartitionByRange(n, F.asc(by), *sorting).withColumn("_part", F.spark_partition_id()), "places")
     held = parts.groupBy(by, "_part").agg(F.count(F.lit(1)).alias("_held"))
     before = held.withColumn("_before", F.sum("_held").over(Window.partitionBy(by).orderBy("_part")) - F.col("_held")).select(F.col(by).alias("_by"), F.col("_part").alias("_at"), "_before")
     placed = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_part", by).orderBy(*sorting)))

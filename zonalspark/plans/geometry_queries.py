@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from zonalspark.operators import geometry as G
 from zonalspark.sources.fixtures import view, with_views
+from zonalspark.sources.shared import shared_dir
 from zonalspark.streaming.requests import run_once
 
 QUERIES: dict = {}
@@ -76,7 +77,5 @@ def buffer_union(s, d):
 
 @query("stream_day_counts", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_day_counts(s, d):
-    name = f"day_counts_{uuid.uuid4().hex}"
-    base = s.conf.get("spark.checkpoint.dir", None) or "/tmp/zonalspark-streams"
-    counts = run_once(s, d, name, f"{base}/{name}")
+    counts = run_once(s, d, f"{shared_dir(s)}/day-counts-{uuid.uuid4().hex}")
     return counts.select(F.to_date("window.start").cast("string").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -12,13 +12,19 @@ def day_counts(events: DataFrame, at: str = "ts", late: str = "2 days") -> DataF
     return timed.groupBy(F.window("_at", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-def run_once(spark: SparkSession, source: str, table: str, checkpoint: str, pattern: str = "events.parquet") -> DataFrame:
-    """All of a folder's events through day_counts into a memory table, as one available-now run."""
+def run_once(spark: SparkSession, source: str, target: str, pattern: str = "events.parquet") -> DataFrame:
+    """All of a folder's events through day_counts, as one available-now run. Each batch writes the days that it changed,
+    a batch that runs again writes them over; of each day the last batch holds."""
+    from zonalspark.operators.control import first_rows
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/days/batch={number}")
+
     schema = spark.read.parquet(f"{source}/{pattern}").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(source)
-    run = day_counts(stream).writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run = day_counts(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(table)
+    return first_rows(spark.read.parquet(f"{target}/days"), ["window", "event_type"], [F.desc("batch")]).drop("batch")
 
 
 def merge_batch(target: str, keys: list[str], order: str):
