@@ -120,6 +120,14 @@ def test_ngram_join(spark, docs, nothing):
     assert ngram_join.similar(nothing).count() == 0
 
 
+def test_ngram_join_links_rows_without_a_key(spark):
+    base = text(61, 3).split()
+    near = " ".join([*base[:-1], "other"])
+    rows = [(5, " ".join(base)), (None, near), (None, near), (3, near + " more"), (None, "quite another text of several words"), (None, None), (None, "quite another text of several words"), (9, "")]
+    out = ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert by_id(out, "n_shingles", "component_id") == sorted([(5, 57, 3), (None, 57, 3), (None, 57, 3), (3, 58, 3), (None, 2, None), (None, 0, None), (None, 2, None), (9, 0, 9)], key=repr)
+
+
 def test_ngram_join_of_a_large_group(spark, monkeypatch):
     """Parts, leaders and guests: near copies of one text in parts of five."""
     monkeypatch.setattr(ngram_join, "PART", 5)

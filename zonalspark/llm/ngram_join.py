@@ -35,7 +35,8 @@ DROPPED = 24  # bits of a gram's hash that only choose its bucket
 #: What merging an entry costs against probing for one, from which DivideSkip takes how many long lists to set aside;
 #: and the bands of partners' sizes, as shares of a set's own, that are searched one by one, each with its own overlap.
 MERGE_COST, BANDS = 0.0005, (0.8, 0.85, 0.9, 0.95, 1.0)
-MEMO = 1_000_000
+#: Words, and their bytes, that a task keeps the hashes of before it starts anew.
+MEMO, HELD = 1_000_000, 32 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,17 +44,19 @@ class Grams:
     """Sorted distinct gram hashes of texts."""
 
     def __init__(self, words: int = WORDS):
-        self.n, self.known = words, {}
+        self.n, self.known, self.held = words, {}, 0
 
     def of(self, text: str) -> np.ndarray:
         words = text.encode().lower().split()  # of bytes: A-Z only, cut at 09-0D and 20
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > MEMO:
+        if len(known) > MEMO or self.held > HELD:
             known.clear()
+            self.held = 0
         for w in set(words).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w)
+            self.held += len(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = min(self.n, len(h))
         with np.errstate(over="ignore"):
@@ -219,7 +222,7 @@ def shared_grams(dealt: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield found()
 
-    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, kind int, data binary")
+    return dealt.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, "bucket int, kind int, data binary")
 
 
 def prefixes(rows: DataFrame, buckets: int) -> DataFrame:
@@ -264,7 +267,7 @@ def prefixes(rows: DataFrame, buckets: int) -> DataFrame:
         keep = np.arange(found.shape[1]) - np.repeat(start, count) < np.repeat(take, count)
         yield pa.RecordBatch.from_arrays([pa.array(found[1][keep]), pa.array(found[0][keep])], names=["gram", "node"])
 
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "gram long, node long")
+    return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, "gram long, node long")
 
 
 def star_edges(listed: DataFrame) -> DataFrame:
@@ -394,38 +397,52 @@ def links(sets: list[np.ndarray], group: list[int], guests: list[bool]) -> tuple
     return out, (order[best], float(likeness[best]))
 
 
-def searched(rows: DataFrame) -> DataFrame:
-    """a, b: links found in each group of rows(grp, part, id, piece, guest, grams); and for each group a row without b
-    that names the set most like the others, with grp and likeness."""
+def searched(rows: DataFrame, tasks: int) -> DataFrame:
+    """a, b: links found in each group (grp, part, slice) of rows(grp, part, slice, id, piece, guest, grams); and for each
+    group a row without b that names the set most like the others, with grp and likeness. tasks: how many share the work,
+    which is more than its bytes tell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
 
         def found() -> pa.RecordBatch:
-            distinct = list({r[2]: r for r in sorted(held, key=lambda r: r[4])}.values())
-            ids = [r[2] for r in distinct]
-            pairs, (best, like) = links([np.frombuffer(r[5], np.uint64) for r in distinct], [r[3] for r in distinct], [r[4] for r in distinct])
+            distinct = list({r[3]: r for r in sorted(held, key=lambda r: r[5])}.values())
+            ids = [r[3] for r in distinct]
+            pairs, (best, like) = links([np.frombuffer(r[6], np.uint64) for r in distinct], [r[4] for r in distinct], [r[5] for r in distinct])
             a, b = [*(ids[x] for x, _ in pairs), ids[best]], [*(ids[y] for _, y in pairs), None]
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([at[0]] * len(a), pa.int64()), pa.array([like] * len(a), pa.float64())], names=["a", "b", "grp", "like"])
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r[:2] != at:
+                if r[:3] != at:
                     if len(held) > 1:
                         yield found()
-                    at, held = r[:2], []
+                    at, held = r[:3], []
                 held.append(r)
         if len(held) > 1:
             yield found()
 
-    return rows.select("grp", "part", "id", "piece", "guest", "grams").repartition("grp", "part").sortWithinPartitions("grp", "part").mapInArrow(run, "a long, b long, grp long, like double")
+    keys = ("grp", "part", "slice")
+    return rows.select(*keys, "id", "piece", "guest", "grams").repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long, grp long, like double")
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id of every row: the smallest key reachable by links of SIMILARITY or more.
 
     Null, empty and blank texts have no grams and link with nothing; texts of fewer words than WORDS are one gram;
-    equal sets are one class; repeated rows stay; an empty table gives no rows. Other columns are not read."""
+    equal sets are one class; repeated rows stay; an empty table gives no rows. Rows with a null key link as others do:
+    if there are any, rows are numbered first; a component of null keys only has a null component_id. Other columns are
+    not read."""
+    if not docs.where(F.col(key).isNull()).limit(1).count():
+        return similar_keyed(docs, key, text)
+    rows = stored(keyed_text(docs, key, text).withColumn("row_no", F.monotonically_increasing_id()), "ngram-numbered")
+    found = stored(similar_keyed(rows, "row_no", "text").join(rows.select("row_no", key), "row_no"), "ngram-found")
+    least = found.groupBy("component_id").agg(F.min(key).alias("least"))
+    return found.join(least, "component_id").select(key, "n_shingles", F.col("least").alias("component_id"))
+
+
+def similar_keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """similar() of rows that all have a key."""
     texts = keyed_text(docs, key, text)
     scanned = stored(scan(texts, key), "ngram-scan")
     common, total = sketch(scanned)
@@ -437,7 +454,8 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     named = classes.join(groups, "node").select("id", "component")
     sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("grp"))
     members = stored(named.join(sizes.where("size > 1"), "component").select("id", "grp", "size"), "ngram-members")
-    few = members.count() <= BROADCAST
+    n_members = members.count()
+    few, tasks = n_members <= BROADCAST, max(32, -(-n_members // (5 * PART)))
     grams = Grams()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -454,23 +472,27 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         """rows as guests of all parts but their own."""
         return rows.withColumn("own", part).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).where("part <> own").drop("own").withColumn("guest", F.lit(True))
 
-    first = stored(searched(chosen.withColumn("part", part).withColumn("piece", F.col("id")).withColumn("guest", F.lit(False))), "ngram-links")
+    first = stored(searched(chosen.withColumn("part", part).withColumn("piece", F.col("id")).withColumn("guest", F.lit(False)).withColumn("slice", F.lit(0)), tasks), "ngram-links")
     edges = first.where("b is not null").select("a", "b")
     large = chosen.where(F.col("size") > PART)
     # of a large group, the sets most like the others meet all its parts, so that most of it is joined at once
     leaders = first.where("b is null").groupBy("grp").agg(F.slice(F.sort_array(F.collect_set(F.struct("like", "a")), False), 1, LEADERS).alias("best")).select("grp", F.explode("best.a").alias("id"))
     leading = to_others(large.join(leaders, ["grp", "id"]))
-    met = large.withColumn("part", part).withColumn("guest", F.lit(False)).unionByName(leading).withColumn("piece", F.col("id"))
-    edges = edges.union(stored(searched(met), "ngram-links").where("b is not null").select("a", "b"))
+    met = large.withColumn("part", part).withColumn("guest", F.lit(False)).unionByName(leading).withColumn("piece", F.col("id")).withColumn("slice", F.lit(0))
+    edges = edges.union(stored(searched(met, tasks), "ngram-links").where("b is not null").select("a", "b"))
     pieces = connected_components(edges)
     # what a large group has outside its largest piece is searched in all its parts
     large = large.join(pieces.withColumnRenamed("node", "id"), "id", "left").withColumn("piece", F.coalesce("component", "id")).drop("component")
-    main = large.groupBy("grp", "piece").agg(F.count(F.lit(1)).alias("k")).groupBy("grp").agg(F.max_by("piece", F.struct("k", "piece")).alias("main"), F.count(F.lit(1)).alias("pieces")).where("pieces > 1")
+    main = large.groupBy("grp", "piece").agg(F.count(F.lit(1)).alias("k")).groupBy("grp").agg(F.max_by("piece", F.struct("k", "piece")).alias("main"), F.count(F.lit(1)).alias("pieces"), F.sum("k").alias("all"), F.max("k").alias("most")).where("pieces > 1")
+    main = main.select("grp", "main", F.ceil((F.col("all") - F.col("most")) / PART).cast("int").alias("slices"))
     main = stored(main, "ngram-main")
     if main.limit(1).count():
+        # a task holds a part and a slice of the guests, about PART of each
         rest = large.join(main, "grp")
-        again = rest.withColumn("part", part).withColumn("guest", F.lit(False)).unionByName(to_others(rest.where("piece <> main"))).drop("main", "pieces")
-        pieces = connected_components(edges.union(stored(searched(again), "ngram-links").where("b is not null").select("a", "b")))
+        guests = to_others(rest.where("piece <> main")).withColumn("slice", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("slices")).cast("int"))
+        members_ = rest.withColumn("part", part).withColumn("guest", F.lit(False)).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        again = members_.unionByName(guests).drop("main", "slices")
+        pieces = connected_components(edges.union(stored(searched(again, 4 * tasks), "ngram-links").where("b is not null").select("a", "b")))
     linked = classes.join(pieces.withColumnRenamed("node", "id"), "id", "left").select("mark", F.coalesce("component", "id").alias("component_id"))
     full = own.where("n > 0").join(linked, "mark").select(key, F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(own.where("n = 0").select(key, F.col("n").alias("n_shingles"), F.col(key).alias("component_id")))
