@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from zonalspark.llm.bpe import PATTERN, PerfectHash, Pretokens, merge, tiktoken_pairs, tiktoken_ranks
 from zonalspark.llm.common import keyed_text, read
 
-#: Entries that a task keeps of chunks and pre-tokens it has encoded before it starts anew.
-MEMO = 600_000
+#: Entries, and bytes of chunks, that a task keeps of what it has encoded before it starts anew; pre-tokens of more characters
+#: than LONG aren't kept.
+MEMO, HELD, LONG = 600_000, 32 << 20, 64
 
 
 class Codec:
@@ -36,9 +37,10 @@ class Codec:
         self.split = Pretokens(self.pattern)
         self.pieces: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("split", "pieces", "known")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("split", "pieces", "known", "held")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -57,7 +59,8 @@ class Codec:
             else:
                 got = merge([self.byte_ids[b] for b in raw], self.pairs)
                 out = struct.pack(f"<{len(got)}I", *got)
-            self.pieces[piece] = out
+            if len(piece) <= LONG:
+                self.pieces[piece] = out
         return out
 
     def encode(self, text: str) -> bytes:
@@ -65,10 +68,12 @@ class Codec:
         if chunks is None:
             return b"".join(map(self.piece, self.split.find(text)))
         known, rest = self.known, chunks[1:]
-        if len(known) >= MEMO:
+        if len(known) >= MEMO or self.held >= HELD:
             known.clear()
+            self.held = 0
         for c in set(rest).difference(known):
             known[c] = b"".join(map(self.piece, self.split.find(" " + c)))
+            self.held += len(c)
         return b"".join([*map(self.piece, self.split.find(chunks[0])), *map(known.__getitem__, rest)])
 
     def decode(self, ids: bytes) -> bytes:

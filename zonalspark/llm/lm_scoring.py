@@ -30,7 +30,8 @@ CHUNK, RANGES = 16 << 20, 16
 KAPPA = 4.0
 #: Target ids up to this number are broadcast (8 MB), beyond it they are joined by a shuffle.
 BROADCAST = 1_000_000
-MEMO = 1_000_000
+#: Words, and their bytes, that a task keeps the hashes of before it starts anew.
+MEMO, HELD = 1_000_000, 32 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 START = np.uint64(0x5851F42D4C957F2D)
 ONE = np.uint64(1)
@@ -42,14 +43,17 @@ class Keys:
 
     def __init__(self):
         self.known: dict[str, int] = {}
+        self.held = 0
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         words = text.lower().split()
         known = self.known
-        if len(known) > MEMO:
+        if len(known) > MEMO or self.held > HELD:
             known.clear()
+            self.held = 0
         for w in set(words).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w)
+            self.held += len(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         with np.errstate(over="ignore"):
             before = np.concatenate([[START], h[:-1]]) if len(h) else h

@@ -21,8 +21,8 @@ from zonalspark.llm.common import keyed_text, read
 SAMPLE = 2500
 BUCKETS, DIM, STEPS, RATE, SEED = 1 << 18, 16, 12_500, 0.5, 11
 GRAMS = (2, 3, 4)
-#: Words that a task keeps the rows of before it starts anew.
-MEMO = 1_000_000
+#: Words, and characters of them, that a task keeps the sums of before it starts anew.
+MEMO, HELD = 1_000_000, 32 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -113,11 +113,13 @@ class Scorer:
 
     def start(self) -> None:
         self.at: dict[str, int] = {}
+        self.held = 0
         self.sums, self.counts, self.hashes = (np.zeros(1024, k) for k in (np.float64, np.float64, np.uint64))
 
     def learn(self, words: set[str]) -> None:
         words = list(words)
         at, need = len(self.at), len(self.at) + len(words)
+        self.held += sum(map(len, words))
         if need > len(self.sums):
             self.sums, self.counts, self.hashes = (np.concatenate([x, np.zeros(max(need, len(x)), x.dtype)]) for x in (self.sums, self.counts, self.hashes))
         self.hashes[at:need], rows, owners = self.features.words(words)
@@ -131,7 +133,7 @@ class Scorer:
         if words:
             distinct = set(words)
             if new := distinct.difference(self.at):
-                if len(self.at) + len(new) > MEMO:
+                if len(self.at) + len(new) > MEMO or self.held > HELD:
                     self.start()
                     new = distinct
                 self.learn(new)

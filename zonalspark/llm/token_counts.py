@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from zonalspark.llm.bpe import JsonVocabulary, Pretokens
 from zonalspark.llm.common import keyed_text, read
 
-#: Entries that a task keeps of chunks and pre-tokens it has counted before it starts anew.
-MEMO = 800_000
+#: Entries, and characters of chunks, that a task keeps of what it has counted before it starts anew; pre-tokens of more
+#: characters than LONG aren't kept.
+MEMO, HELD, LONG = 800_000, 32 << 20, 64
 
 
 class Counter:
@@ -25,6 +26,7 @@ class Counter:
         self.v, self.whole, self.split = vocabulary, whole, Pretokens()
         self.pieces: dict[str, int] = {}
         self.known: dict[str, int] = {}
+        self.held = 0
 
     def piece(self, piece: str) -> int:
         if piece in self.whole:
@@ -33,7 +35,9 @@ class Counter:
         if n is None:
             if len(self.pieces) >= MEMO:
                 self.pieces.clear()
-            n = self.pieces[piece] = len(self.v.encode(piece.encode()))
+            n = len(self.v.encode(piece.encode()))
+            if len(piece) <= LONG:
+                self.pieces[piece] = n
         return n
 
     def plain(self, text: str) -> int:
@@ -41,12 +45,14 @@ class Counter:
         if chunks is None:
             return sum(map(self.piece, self.split.find(text)))
         known = self.known
-        if len(known) >= MEMO:
+        if len(known) >= MEMO or self.held >= HELD:
             known.clear()
+            self.held = 0
         first = sum(map(self.piece, self.split.find(chunks[0])))
         rest = chunks[1:]
         for c in set(rest).difference(known):
             known[c] = sum(map(self.piece, self.split.find(" " + c)))
+            self.held += len(c)
         return first + sum(map(known.__getitem__, rest))
 
     def count(self, text: str) -> int:
