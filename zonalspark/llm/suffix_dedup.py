@@ -106,6 +106,8 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             if held:
                 keys, counts = np.unique(np.concatenate(held), return_counts=True)
                 held.clear()
+                if not len(keys):
+                    return
                 bucket = (keys % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 used, cuts = np.unique(bucket[order], return_index=True)
