@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from zonalspark.llm import byte_bpe, decontamination, fingerprints, html_extraction, html_training, lm_scoring, ngram_join, quality, suffix_dedup, token_counts, toxicity
@@ -368,6 +369,97 @@ def test_quality_on_held_out(spark, docs, nothing):
     assert quality.score(nothing, quality.fit(nothing, labels.where("false"))).count() == 0
 
 
+def test_quality_scores_and_training_are_those_of_plain_versions():
+    """Features by slices of strings, the mean of their rows, a softmax layer and one step of descent, all written out."""
+    f = quality.Features(buckets=997)
+    hashed = lambda w: f.place(np.array([w], np.uint64))[0]
+    mix = int(quality.MIX)
+
+    def plain_rows(t: str) -> Counter:
+        words, out = t.split(), Counter()
+        for w in words:
+            h = xxhash.xxh3_64_intdigest(w)
+            out[hashed(h)] += 1
+            marked = b"<" + w.encode() + b">"
+            for n in quality.GRAMS:
+                for i in range(len(marked) - n + 1):
+                    g = 0
+                    for c in marked[i : i + n]:
+                        g = (g * 257 + c + 1) % (1 << 64)
+                    out[hashed((g + n) * mix % (1 << 64))] += 1
+        for a, b in zip(words, words[1:]):
+            x, y = (xxhash.xxh3_64_intdigest(w) for w in (a, b))
+            out[hashed(1 if a == b else (x * mix + y) % (1 << 64))] += 1
+        return out
+
+    texts = ["One two two three.", "", "é ａ 中文 mixed words", text(40, 4), "a a a b"]
+    for t in texts:
+        rows, n = f.rows(t)
+        assert dict(zip(rows.tolist(), n.tolist(), strict=True)) == plain_rows(t)
+    r = np.random.default_rng(3)
+    table, bias = r.normal(size=997).astype(np.float32), 0.3
+    scorer = quality.Scorer(table, bias, f)
+    for t in texts:
+        own = plain_rows(t)
+        z = bias + (sum(float(table[k]) * v for k, v in own.items()) / sum(own.values()) if own else 0.0)
+        assert scorer.score(t) == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6)
+    # one step from the seed's start: rows move by their share (times 20, at most 1) of the gradient, the bias by a tenth
+    dim, rate, t = 4, 0.5, texts[0]
+    start = np.random.default_rng(7).uniform(-1 / dim, 1 / dim, (997, dim)).astype(np.float32)
+    got, got_bias = quality.train([t], [1], f, dim, 1, rate, 7)
+    p = np.array([0.5 - 0.0, 0.5 - 1.0])  # of an output layer of zeros
+    own = plain_rows(t)
+    mean = sum(start[k].astype(float) * v for k, v in own.items()) / sum(own.values())
+    layer = -rate * np.outer(mean, p)
+    assert got_bias == pytest.approx(-rate * 0.1 * (p[1] - p[0]), abs=1e-6)
+    assert np.allclose(got, start @ (layer[:, 1] - layer[:, 0]), atol=1e-5)
+    # from the second step on rows move too
+    got, _ = quality.train([t, t], [1, 1], f, dim, 2, rate, 7)
+    z = mean @ layer + -rate * 0.1 * p
+    q = np.exp(z) / np.exp(z).sum() - np.array([0.0, 1.0])
+    lr = rate * 0.5
+    moved = start.astype(float).copy()
+    for k, v in own.items():
+        moved[k] -= lr * min(1.0, 20 * v / sum(own.values())) * (layer @ q)
+    layer = layer - lr * np.outer(mean, q)
+    assert np.allclose(got, moved @ (layer[:, 1] - layer[:, 0]), atol=1e-5)
+
+
+def test_toxicity_scores_and_gradient_are_those_of_plain_versions():
+    r = random.Random(9)
+    texts = [" ".join(r.choice(("grim", "grimly", "calm", "calmer", "day", "night")) for _ in range(r.randint(0, 12))) for _ in range(40)]
+    y = [r.randrange(toxicity.GRADES) for _ in texts]
+    found = [toxicity.words(t) for t in texts]
+    assert found[0] == Counter(texts[0].split()) + Counter("^" + w[:k] for w in texts[0].split() for k in toxicity.BEGINNINGS if len(w) > k)
+    names = sorted({w for f in found for w in f})
+    number = {w: i for i, w in enumerate(names)}
+
+    def loss(at) -> float:
+        cuts, total = [at[len(names)]], sum(toxicity.DECAY / 2 * w * w for w in at[: len(names)])
+        for g in at[len(names) + 1 :]:
+            cuts.append(cuts[-1] + math.exp(g))
+        for f, grade in zip(found, y, strict=True):
+            z = sum(at[number[w]] * (1 + math.log(n)) for w, n in f.items())
+            for k, c in enumerate(cuts):
+                p = 1 / (1 + math.exp(c - z))
+                total -= math.log(p if grade > k else 1 - p)
+        return total
+
+    entries = [(i, number[w], 1 + math.log(n)) for i, f in enumerate(found) for w, n in f.items()]
+    doc, col, x = (np.array(c) for c in zip(*entries, strict=True))
+    at = np.array([r.uniform(-0.5, 0.5) for _ in names] + [0.4, -0.3, 0.2])
+    got = toxicity.gradient(at, doc, col, x, np.array(y)[:, None] > np.arange(toxicity.GRADES - 1))
+    for i in range(len(at)):
+        step = np.zeros(len(at))
+        step[i] = 1e-5
+        assert got[i] == pytest.approx((loss(at + step) - loss(at - step)) / 2e-5, rel=1e-4, abs=1e-6)
+    cuts = [0.4, 0.4 + math.exp(-0.3), 0.4 + math.exp(-0.3) + math.exp(0.2)]
+    model = toxicity.Model({w: float(at[i]) for w, i in number.items()}, cuts)
+    for t, f in zip(texts, found, strict=True):
+        z = sum(at[number[w]] * (1 + math.log(n)) for w, n in f.items())
+        assert model.above(t) == pytest.approx([1 / (1 + math.exp(c - z)) for c in cuts])
+
+
 def test_toxicity_on_held_out(spark, docs, nothing):
     own, labels = labelled(spark, "grumblefoul")
     model = toxicity.fit(own, labels)

@@ -99,6 +99,20 @@ def grades(found: list[Counter], toxic: list[int], features: list[str]) -> list[
     return [1 + int(np.searchsorted(cuts, s, "left")) if y else 0 for s, y in zip(amount, toxic, strict=True)]
 
 
+def gradient(at: np.ndarray, doc: np.ndarray, col: np.ndarray, x: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Slope of the thresholds' log losses and the penalty at the unknowns: weights, the first threshold, logarithms of the
+    gaps to the next. doc, col, x: document, feature and value of each entry; above: whether a document is above each
+    threshold."""
+    n = len(at) - above.shape[1]
+    w, gaps = at[:n], np.exp(at[n + 1 :])
+    cuts = at[n] + np.concatenate([[0.0], np.cumsum(gaps)])
+    z = np.bincount(doc, w[col] * x, len(above))
+    wrong = 1 / (1 + np.exp(np.clip(cuts - z[:, None], -50, 50))) - above
+    down = -wrong.sum(0)
+    later = np.cumsum(down[::-1])[::-1]
+    return np.concatenate([np.bincount(col, wrong.sum(1)[doc] * x, n) + DECAY * w, [later[0]], later[1:] * gaps])
+
+
 def train(texts: list[str], toxic: list[int]) -> Model:
     """Gradient steps over the whole sample on the sum of the thresholds' log losses, with a small penalty on weights."""
     found = [words(t) for t in texts]
@@ -115,13 +129,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     mean, square = np.zeros_like(at), np.zeros_like(at)
     above = np.array(y)[:, None] > np.arange(GRADES - 1)
     for step in range(1, STEPS + 1):
-        w, gaps = at[: len(number)], np.exp(at[len(number) + 1 :])
-        cuts = at[len(number)] + np.concatenate([[0.0], np.cumsum(gaps)])
-        z = np.bincount(doc, w[col] * x, len(found))
-        wrong = 1 / (1 + np.exp(np.clip(cuts - z[:, None], -50, 50))) - above
-        down = -wrong.sum(0)
-        later = np.cumsum(down[::-1])[::-1]
-        g = np.concatenate([np.bincount(col, wrong.sum(1)[doc] * x, len(number)) + DECAY * w, [later[0]], later[1:] * gaps])
+        g = gradient(at, doc, col, x, above)
         mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
         at = at - RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
     cuts = at[len(number)] + np.concatenate([[0.0], np.cumsum(np.exp(at[len(number) + 1 :]))])
