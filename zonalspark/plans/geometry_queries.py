@@ -6,7 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from zonalspark.functions.scalar import MERCATOR
 from zonalspark.operators import geometry as G
+from zonalspark.operators.regions import union_boxes
+from zonalspark.operators.spatial import within_rings
 from zonalspark.sources.fixtures import view, with_views
 from zonalspark.sources.shared import shared_dir
 from zonalspark.streaming.requests import run_once
@@ -53,7 +56,7 @@ def point_in_ring(s, d):
     return tried.select("poly_id", "a", "b", G.point_in_ring(p["x"], p["y"], F.col("ring")).alias("inside"))
 
 
-@query("simplify_tier")
+@query("simplify_tier", "SELECT poly_id, 4 AS n_points, round((maxx - minx) * (maxy - miny), 6) AS area FROM fx_polys", "fx_polys")
 def simplify_tier(s, d):
     """Boxes with many points along an edge, simplified for zoom 9: the corners stay."""
     edge = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.struct((F.col("minx") + (F.col("maxx") - F.col("minx")) * i / 20).alias("x"), F.col("miny").alias("y")))
@@ -62,17 +65,32 @@ def simplify_tier(s, d):
     return G.simplified(many, "ring", G.TOLERANCES[9]).select("poly_id", F.size("ring").alias("n_points"), F.round(G.ring_area(F.col("ring")), 6).alias("area"))
 
 
-@query("mvt_tile")
+EDGE = 2 * MERCATOR / 64
+NORTH = f"{MERCATOR} - ln(tan((90 + lat) * pi() / 360)) / (pi() / 180) * {MERCATOR} / 180"
+
+
+@query("mvt_tile", f"SELECT tx, ty, count(*) AS n, min(px) AS low, max(px) AS high FROM (SELECT tx, ty, CAST(floor((east - tx * {EDGE}) / {EDGE} * 4096) AS INTEGER) AS px FROM (SELECT east, CAST(floor(east / {EDGE}) AS INTEGER) AS tx, CAST(floor(({NORTH}) / {EDGE}) AS INTEGER) AS ty FROM (SELECT lon * {MERCATOR} / 180 + {MERCATOR} AS east, lat FROM fx_points))) GROUP BY tx, ty", "fx_points")
 def mvt_tile(s, d):
     """Points of each tile of zoom 6, quantised to the tile's grid."""
     return G.quantised(view(s, d, "fx_points"), "lon", "lat", 6).groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"), F.min("px").alias("low"), F.max("px").alias("high"))
 
 
-@query("buffer_union", "SELECT fc_id, min(minx) - 0.5 AS minx, min(miny) - 0.5 AS miny, max(maxx) + 0.5 AS maxx, max(maxy) + 0.5 AS maxy FROM fx_features GROUP BY fc_id", "fx_features")
+@query("buffer_union", ", b AS (SELECT fc_id, minx - 0.5 AS minx, miny - 0.5 AS miny, maxx + 0.5 AS maxx, maxy + 0.5 AS maxy FROM fx_features), x AS (SELECT fc_id, v AS lo, lead(v) OVER (PARTITION BY fc_id ORDER BY v) AS hi FROM (SELECT fc_id, minx AS v FROM b UNION SELECT fc_id, maxx FROM b)), y AS (SELECT fc_id, v AS lo, lead(v) OVER (PARTITION BY fc_id ORDER BY v) AS hi FROM (SELECT fc_id, miny AS v FROM b UNION SELECT fc_id, maxy FROM b)) SELECT fc_id, round(sum((x.hi - x.lo) * (y.hi - y.lo)), 4) AS area FROM x JOIN y USING (fc_id) WHERE EXISTS (SELECT 1 FROM b WHERE b.fc_id = x.fc_id AND b.minx <= x.lo AND b.maxx >= x.hi AND b.miny <= y.lo AND b.maxy >= y.hi) GROUP BY fc_id", "fx_features")
 def buffer_union(s, d):
-    """Extent of each collection, widened by half a degree; neither a buffer of features nor their union."""
-    ends = {"minx": F.min("minx") - 0.5, "miny": F.min("miny") - 0.5, "maxx": F.max("maxx") + 0.5, "maxy": F.max("maxy") + 0.5}
-    return view(s, d, "fx_features").groupBy("fc_id").agg(*(v.alias(k) for k, v in ends.items()))
+    """Area of what the features of each collection cover, each widened by half a degree with square corners."""
+    wide = {"minx": F.col("minx") - 0.5, "miny": F.col("miny") - 0.5, "maxx": F.col("maxx") + 0.5, "maxy": F.col("maxy") + 0.5}
+    return union_boxes(view(s, d, "fx_features").withColumns(wide), "fc_id").groupBy("fc_id").agg(F.round(F.sum((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))), 4).alias("area"))
+
+
+@query("points_in_triangles", "SELECT poly_id, count(event_id) AS n, round(coalesce(sum(CAST(value AS DECIMAL(18, 4))), 0)::DOUBLE, 4) AS total FROM fx_polys LEFT JOIN fx_points ON lon > minx + 0.0033 AND lat > miny + 0.0017 AND (lon - minx - 0.0033) / (maxx - minx) + (lat - miny - 0.0017) / (maxy - miny) < 1 GROUP BY poly_id", "fx_polys", "fx_points")
+def points_in_triangles(s, d):
+    """Events within regions that are no boxes; regions without any have 0."""
+    at = lambda x, y: F.struct((F.col(x) + 0.0033).alias("x"), (F.col(y) + 0.0017).alias("y"))
+    regions = view(s, d, "fx_polys").select(F.col("poly_id").alias("geom_id"), F.array(at("minx", "miny"), at("maxx", "miny"), at("minx", "maxy")).alias("ring"))
+    points = view(s, d, "fx_points").select("event_id", F.col("value").cast("decimal(18,4)").alias("value"), "lon", "lat")
+    found = within_rings(points, regions, "lon", "lat").groupBy("geom_id").agg(F.count("event_id").alias("n"), F.sum("value").alias("total"))
+    every = regions.select("geom_id").join(found, "geom_id", "left")
+    return every.select(F.col("geom_id").alias("poly_id"), F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("total", F.lit(0)).cast("double"), 4).alias("total"))
 
 
 @query("stream_day_counts", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
