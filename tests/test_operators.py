@@ -1,17 +1,20 @@
 """Edge cases of the operators."""
 
+import hashlib
 import itertools
 import math
+import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from zonalspark.functions.scalar import formula
-from zonalspark.operators import charts, control, geometry, spatial
+from zonalspark.operators import charts, control, geometry, ingest, processors, regions, spatial
 from zonalspark.plans.relational_queries import QUERIES
 from zonalspark.sources.fixtures import view
-from zonalspark.sources.vector import read_geojson, write_geojson
+from zonalspark.sources.vector import read_geojson, write_csv, write_geojson
+from zonalspark.streaming.requests import merge_batch
 
 BOXES = [(1, 0.0, 0.0, 10.0, 10.0), (2, 10.0, 0.0, 20.0, 10.0)]
 
@@ -132,6 +135,53 @@ def test_geojson_round_trip(spark, tmp_path):
     assert sorted(r.a for r in back.select(geometry.ring_area(F.col("ring")).alias("a")).collect()) == [100.0, 100.0]
 
 
+def test_uploads_have_limits(spark):
+    rows = spark.range(6)
+    assert ingest.upload_fits(rows, 10, 6) and not ingest.upload_fits(rows, 10, 5) and not ingest.upload_fits(rows, ingest.BYTES + 1, 6)
+
+
+def test_discovery_wants_one_file_or_a_mask(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "a.tif").write_text("x")
+    assert [r.fname for r in ingest.discovered(spark, str(tmp_path), ".tif").collect()] == ["a.tif"]
+    (tmp_path / "b.tif").write_text("xy")
+    assert sorted(r.length for r in ingest.discovered(spark, str(tmp_path), ".tif", "Y").collect()) == [1, 2]
+    for extension in (".tif", ".none"):
+        with pytest.raises(ValueError):
+            ingest.discovered(spark, str(tmp_path), extension)
+
+
+def test_csv_round_trip(spark, tmp_path):
+    write_csv(spark.createDataFrame([(1, "a,b"), (2, None)], "k int, v string"), str(tmp_path / "out"))
+    assert sorted((r.k, r.v) for r in spark.read.option("header", True).csv(str(tmp_path / "out")).collect()) == [("1", "a,b"), ("2", None)]
+
+
+def test_batches_keep_the_newest_row_of_a_key(spark, tmp_path):
+    merge = merge_batch(str(tmp_path), ["k"], "t")
+    merge(spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, t int"), 0)
+    for _ in range(2):  # a batch that runs again changes nothing
+        merge(spark.createDataFrame([(2, "c", 2), (2, "d", 3), (3, "e", 1)], "k int, v string, t int"), 1)
+    assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "v1")).collect()) == [(1, "a"), (2, "d"), (3, "e")]
+
+
+def test_statistics_are_found_by_name_only(spark, boxes):
+    assert processors.arguments("n", {"name": "o", "k": 1}, {"k": 2}, {"a": "b"}) == {"name": "n_" + hashlib.md5(b'{"k": 2}').hexdigest()[:8], "k": 2, "category_map": {"a": "b"}}
+    assert processors.arguments("n", {"name": "o"}, None) == {"name": "o"}
+    with pytest.raises(ValueError):
+        processors.run("os.system", boxes, boxes)
+
+
+def test_binary_geometries_of_both_byte_orders():
+    ring = [{"x": 0.0, "y": 1.5}, {"x": 2.0, "y": 0.0}, {"x": 1.0, "y": 3.0}]
+    closed = [*ring, ring[0]]
+    big = struct.pack(">BII", 0, 3, 1) + struct.pack(">I8d", 4, *(v for p in closed for v in (p["x"], p["y"])))
+    with_system = struct.pack("<BIII", 1, 3 | 0x20000000, 4326, 1) + struct.pack("<I8d", 4, *(v for p in closed for v in (p["x"], p["y"])))
+    several = struct.pack("<BII", 1, 6, 1) + regions.to_wkb(ring)
+    for data in (regions.to_wkb(ring), big, with_system, several):
+        assert regions.from_wkb(data) == ring
+    assert regions.from_wkb(struct.pack("<BIdd", 1, 1, 0.0, 0.0)) is None and regions.from_wkb(struct.pack("<BII", 1, 3, 0)) == []
+
+
 def test_simplify_keeps_corners():
     line = np.array([(x / 10, 0.0) for x in range(11)] + [(1.0, 1.0)])
     assert geometry.simplify_points(line, 0.01).tolist() == [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0]]

@@ -4,6 +4,7 @@ A polygon is an array of points struct(x, y), the first not repeated at the end.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,6 +86,40 @@ def simplified(rows: DataFrame, ring: str, tolerance: float) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+def coverage_simplified(rows: DataFrame, key: str, by: str, ring: str, tolerance: float) -> DataFrame:
+    """rows(key, by, ring) with the rings of a collection (by) simplified so that borders that two of them share stay the
+    same: points where more than two lines of a collection meet stay, and what lies between them is simplified in one
+    direction, whichever ring it is of. Points meet by their coordinates in a shuffle; no collection is gathered."""
+    n = F.size(ring)
+    near = lambda i: F.get(F.col(ring), F.pmod(i, n))
+    points = rows.select(key, by, F.explode(F.transform(F.col(ring), lambda p, i: F.struct(i.alias("i"), p.alias("p"), F.array(near(i - 1), near(i + 1)).alias("near")))).alias("v")).select(key, by, "v.*")
+    ways = points.select(by, "p", F.explode("near").alias("q")).distinct().groupBy(by, "p").agg(F.count(F.lit(1)).alias("ways")).where("ways > 2").select(by, "p", F.lit(True).alias("stays"))
+    marked = points.drop("near").join(ways, [by, "p"], "left")
+    rings = marked.groupBy(key, by).agg(F.array_sort(F.collect_list(F.struct("i", "p", F.coalesce("stays", F.lit(False)).alias("stays")))).alias(ring))
+
+    def shorten(found: list[dict]) -> list[dict]:
+        points = [(v["p"]["x"], v["p"]["y"]) for v in found]
+        ends = [i for i, v in enumerate(found) if v["stays"]]
+        if not ends:  # an island: its least point and the one farthest from it
+            first = points.index(min(points))
+            ends = sorted({first, max(range(len(points)), key=lambda i: (math.dist(points[i], points[first]), points[i]))})
+        out: list[tuple] = []
+        for a, b in zip(ends, [*ends[1:], ends[0] + len(points)], strict=True):
+            arc = [points[i % len(points)] for i in range(a, b + 1)]
+            turned = (arc[-1], arc[-2]) < (arc[0], arc[1])
+            left = simplify_points(np.array(arc[::-1] if turned else arc), tolerance).tolist()
+            out += (left[::-1] if turned else left)[:-1]
+        return [{"x": float(x), "y": float(y)} for x, y in (out if len(out) >= 3 else points)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(map(shorten, batch.column(2).to_pylist()), kind)], names=[key, by, ring])
+
+    kinds = dict(rows.dtypes)
+    return rings.mapInArrow(run, f"{key} {kinds[key]}, {by} {kinds[by]}, {ring} {RING}")
+
+
 def tile_of(lon: Column, lat: Column, zoom: int) -> tuple[Column, Column]:
     """Column and row of the map tile that a point is in."""
     from zonalspark.functions.scalar import MERCATOR, mercator_x, mercator_y

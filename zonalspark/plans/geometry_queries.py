@@ -65,6 +65,19 @@ def simplify_tier(s, d):
     return G.simplified(many, "ring", G.TOLERANCES[9]).select("poly_id", F.size("ring").alias("n_points"), F.round(G.ring_area(F.col("ring")), 6).alias("area"))
 
 
+@query("coverage_simplify", "SELECT geom_id, 4 + CASE WHEN geom_id % 5 < 4 THEN 1 ELSE 0 END + CASE WHEN geom_id % 5 > 0 THEN 1 ELSE 0 END AS n_points, CAST(400 + CASE WHEN geom_id % 5 < 4 THEN 10 ELSE 0 END - CASE WHEN geom_id % 5 > 0 THEN 10 ELSE 0 END AS DOUBLE) AS area FROM fx_features", "fx_features")
+def coverage_simplify(s, d):
+    """Cells of a grid whose upright borders between cells bulge by one degree to the east and have many points besides:
+    the bulge stays, the same on both sides, and all other points but the corners go."""
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    steps = [F.lit(k / 8) for k in range(8)]
+    x0, x1, y0, y1 = (F.col(c) for c in ("minx", "maxx", "miny", "maxy"))
+    bulge = lambda k, x: x + F.when((F.abs(x) < 50) & (k > 0), (0.5 - F.abs(k - 0.5)) * 2).otherwise(0)
+    ring = [at(x0 + (x1 - x0) * k, y0) for k in steps] + [at(bulge(k, x1), y0 + (y1 - y0) * k) for k in steps] + [at(x1 + (x0 - x1) * k, y1) for k in steps] + [at(bulge(1 - k, x0) if i else x0, y1 + (y0 - y1) * k) for i, k in enumerate(steps)]
+    grid = view(s, d, "fx_features").select("geom_id", F.lit(1).alias("grp"), F.array(*ring).alias("ring"))
+    return G.coverage_simplified(grid, "geom_id", "grp", "ring", 0.1).select("geom_id", F.size("ring").alias("n_points"), F.round(G.ring_area(F.col("ring")), 6).alias("area"))
+
+
 EDGE = 2 * MERCATOR / 64
 NORTH = f"{MERCATOR} - ln(tan((90 + lat) * pi() / 360)) / (pi() / 180) * {MERCATOR} / 180"
 

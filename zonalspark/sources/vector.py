@@ -1,4 +1,4 @@
-"""Vector sources: GeoJSON feature collections, read and written with Spark's own JSON reader and writer."""
+"""Vector sources and result tables: GeoJSON feature collections and CSV, by Spark's own readers and writers."""
 
 from __future__ import annotations
 
@@ -23,3 +23,8 @@ def write_geojson(rows: DataFrame, path: str, properties: list[str], ring: str =
     coordinates = F.array(F.transform(closed, lambda p: F.array(p["x"], p["y"])))
     feature = F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), F.struct(F.lit("Polygon").alias("type"), coordinates.alias("coordinates")).alias("geometry"))
     rows.select(F.to_json(feature)).write.mode("overwrite").text(path)
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """A wide result table with a head line in every file; tasks write side by side."""
+    rows.write.mode("overwrite").option("header", True).csv(path)
