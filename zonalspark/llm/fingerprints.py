@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from zonalspark.llm.common import keyed_text, read
 
-#: Neighbours are found inside ranges of about so many bytes; fewest and most ranges (the driver holds a bound of each).
-RANGE, LEAST, MOST = 32 << 20, 32, 100_000
+#: Neighbours are found inside ranges of about so many bytes; fewest and most ranges (the driver holds a bound of each); bytes
+#: for each task, small enough to be sorted in memory.
+RANGE, LEAST, MOST, SHARE = 4 << 20, 32, 100_000, 16 << 20
 #: Columns of the order of rows.
 ORDER = ("none", "down", "h1", "h2")
 
@@ -85,7 +86,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     here = F.struct(F.col("range"), F.lit(0).alias("moved"))
     before = F.struct(F.pmod(F.col("range") - 1, F.lit(n)).alias("range"), F.lit(1).alias("moved"))
     heads = F.when(F.get(bounds, F.col("range")) == F.col("at"), F.array(here, before)).otherwise(F.array(here))
-    both = own.select(key, "text", "at", F.explode(heads).alias("to")).select(key, "text", "at", "to.*").repartition("range").withColumn("canon", canonical(F.col("text")))
+    both = own.select(key, "text", "at", F.explode(heads).alias("to")).select(key, "text", "at", "to.*").repartition(max(LEAST, -(-size // SHARE)), "range").withColumn("canon", canonical(F.col("text")))
     within = Window.partitionBy("range").orderBy("moved", "at")
     return both.select(key, "text", "canon", "moved", F.lead("text").over(within).alias("next_text"), F.lead("canon").over(within).alias("next_canon")).where("moved = 0").drop("moved")
 
