@@ -129,9 +129,24 @@ def test_ngram_join_links_rows_without_a_key(spark):
     assert by_id(out, "n_shingles", "component_id") == sorted([(5, 57, 3), (None, 57, 3), (None, 57, 3), (3, 58, 3), (None, 2, None), (None, 0, None), (None, 2, None), (9, 0, 9)], key=repr)
 
 
+def test_lists_of_grams_are_joined_by_stars(spark):
+    r = random.Random(2)
+    rows = sorted({(g, r.randrange(1 << 40)) for g in (1, 2, 3, 9) for _ in range(r.choice((1, 40, 300)))} | {(4, 5), (4, 5), (1, 7), (2, 7)})
+    edges = ngram_join.star_edges(spark.createDataFrame(rows, "gram long, node long").repartition(3)).collect()
+    label = {v: v for _, v in rows}
+    for _ in range(20):
+        for e in edges:
+            label[e.a] = label[e.b] = min(label[e.a], label[e.b])
+    for g in (3, 4, 9):
+        assert len({label[v] for x, v in rows if x == g}) == 1
+    assert len({label[v] for x, v in rows if x in (1, 2)}) == 1 and len({label[v] for _, v in rows}) == 4
+    assert len(edges) <= len(rows) + 16
+
+
 def test_ngram_join_of_a_large_group(spark, monkeypatch):
     """Parts, leaders and guests: near copies of one text in parts of five."""
     monkeypatch.setattr(ngram_join, "PART", 5)
+    monkeypatch.setattr(ngram_join, "GUESTS", 6)
     monkeypatch.setattr(ngram_join, "COMMON", 8)
     r, rows = random.Random(8), []
     base = text(70, 9).split()

@@ -31,6 +31,8 @@ CELLS, TIMES, COMMON = 1 << 20, 20, 200
 #: Grams of a bucket, which a task counts at once; grams that a task holds before it packs them; documents that are searched in one task; documents of a large group that go to each
 #: of its parts first; ids up to which a side is broadcast.
 TOKENS, FLUSH, PART, LEADERS, BROADCAST = 2_500_000, 4_000_000, 100, 3, 1_000_000
+#: Parts of a gram's list, and guests that a task holds beside a part of a large group.
+SALTS, GUESTS = 16, 2000
 DROPPED = 24  # bits of a gram's hash that only choose its bucket
 #: What merging an entry costs against probing for one, from which DivideSkip takes how many long lists to set aside;
 #: and the bands of partners' sizes, as shares of a set's own, that are searched one by one, each with its own overlap.
@@ -271,24 +273,35 @@ def prefixes(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def star_edges(listed: DataFrame) -> DataFrame:
-    """a, b: each class of a gram's list with the first of the list. Lists are read in order, as a stream."""
+    """a, b: edges that join all classes of a gram's list: each with the first of its part of the list, and those firsts
+    with the first of them. Lists are dealt into SALTS parts, so a long one isn't read in one task."""
+    parts = listed.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    found = stored(stars(parts, "gram", "salt"), "ngram-stars")
+    firsts = found.where("b is null").select("gram", F.col("a").alias("node"))
+    return found.where("b is not null").select("a", "b").union(stars(firsts, "gram").where("b is not null").select("a", "b")).distinct()
+
+
+def stars(listed: DataFrame, *keys: str) -> DataFrame:
+    """gram, a, b: each class of a list with the first of it, and the first with a null b. Lists are read in order, as a
+    stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, first = None, 0
+        at, first = None, 0
         for batch in batches:
-            g, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(g):
+            *lists, v = (c.to_numpy() for c in batch.columns)
+            if not len(v):
                 continue
-            new = np.ones(len(g), bool)
-            new[1:] = g[1:] != g[:-1]
-            heads = v[np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))].copy()
-            if g[0] == gram:
-                heads[: np.argmax(new[1:]) + 1 if new[1:].any() else len(g)] = first
-            gram, first = g[-1], heads[-1]
-            keep = heads != v
-            yield pa.RecordBatch.from_arrays([pa.array(heads[keep]), pa.array(v[keep])], names=["a", "b"])
+            new = np.ones(len(v), bool)
+            new[1:] = np.any([x[1:] != x[:-1] for x in lists], 0)
+            heads = v[np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))].copy()
+            if tuple(x[0] for x in lists) == at:
+                heads[: np.argmax(new[1:]) + 1 if new[1:].any() else len(v)] = first
+                new[0] = False
+            at, first = tuple(x[-1] for x in lists), heads[-1]
+            keep = (heads != v) | new
+            yield pa.RecordBatch.from_arrays([pa.array(lists[0][keep]), pa.array(heads[keep]), pa.array(v[keep], mask=new[keep])], names=["gram", "a", "b"])
 
-    return listed.repartition("gram").sortWithinPartitions("gram", "node").mapInArrow(run, "a long, b long").distinct()
+    return listed.select(*keys, "node").repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "gram long, a long, b long")
 
 
 class Union:
@@ -484,10 +497,10 @@ def similar_keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     # what a large group has outside its largest piece is searched in all its parts
     large = large.join(pieces.withColumnRenamed("node", "id"), "id", "left").withColumn("piece", F.coalesce("component", "id")).drop("component")
     main = large.groupBy("grp", "piece").agg(F.count(F.lit(1)).alias("k")).groupBy("grp").agg(F.max_by("piece", F.struct("k", "piece")).alias("main"), F.count(F.lit(1)).alias("pieces"), F.sum("k").alias("all"), F.max("k").alias("most")).where("pieces > 1")
-    main = main.select("grp", "main", F.ceil((F.col("all") - F.col("most")) / PART).cast("int").alias("slices"))
+    main = main.select("grp", "main", F.ceil((F.col("all") - F.col("most")) / GUESTS).cast("int").alias("slices"))
     main = stored(main, "ngram-main")
     if main.limit(1).count():
-        # a task holds a part and a slice of the guests, about PART of each
+        # a task holds a part of PART members and a slice of GUESTS guests
         rest = large.join(main, "grp")
         guests = to_others(rest.where("piece <> main")).withColumn("slice", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("slices")).cast("int"))
         members_ = rest.withColumn("part", part).withColumn("guest", F.lit(False)).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
