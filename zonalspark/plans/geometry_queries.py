@@ -78,11 +78,12 @@ def coverage_simplify(s, d):
     return G.coverage_simplified(grid, "geom_id", "grp", "ring", 0.1).select("geom_id", F.size("ring").alias("n_points"), F.round(G.ring_area(F.col("ring")), 6).alias("area"))
 
 
-EDGE = 2 * MERCATOR / 64
-NORTH = f"{MERCATOR} - ln(tan((90 + lat) * pi() / 360)) / (pi() / 180) * {MERCATOR} / 180"
+#: With an exponent, so that they are floats in SQL, too.
+HALF, WHOLE, EDGE = (f"{x!r}e0" for x in (MERCATOR, 2 * MERCATOR, 2 * MERCATOR / 64))
+NORTH = f"{HALF} - ln(tan((90 + lat) * pi() / 360)) / (pi() / 180) * {HALF} / 180"
 
 
-@query("mvt_tile", f"SELECT tx, ty, count(*) AS n, min(px) AS low, max(px) AS high FROM (SELECT tx, ty, CAST(floor((east - tx * {EDGE}) / {EDGE} * 4096) AS INTEGER) AS px FROM (SELECT east, CAST(floor(east / {2 * MERCATOR} * 64) AS INTEGER) AS tx, CAST(floor(({NORTH}) / {2 * MERCATOR} * 64) AS INTEGER) AS ty FROM (SELECT lon * {MERCATOR} / 180 + {MERCATOR} AS east, lat FROM fx_points))) GROUP BY tx, ty", "fx_points")
+@query("mvt_tile", f"SELECT tx, ty, count(*) AS n, min(px) AS low, max(px) AS high FROM (SELECT tx, ty, CAST(floor((east - tx * {EDGE}) / {EDGE} * 4096) AS INTEGER) AS px FROM (SELECT east, CAST(floor(east / {WHOLE} * 64) AS INTEGER) AS tx, CAST(floor(({NORTH}) / {WHOLE} * 64) AS INTEGER) AS ty FROM (SELECT lon * {HALF} / 180 + {HALF} AS east, lat FROM fx_points))) GROUP BY tx, ty", "fx_points")
 def mvt_tile(s, d):
     """Points of each tile of zoom 6, quantised to the tile's grid."""
     return G.quantised(view(s, d, "fx_points"), "lon", "lat", 6).groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"), F.min("px").alias("low"), F.max("px").alias("high"))
