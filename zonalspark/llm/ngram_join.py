@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalspark.llm.common import keyed_text, pack, read, stored, unpack
+from zonalspark.llm.common import keyed_text, pack, read, stored, trimmed, unpack
 from zonalspark.llm.components import connected_components
 
 WORDS, SIMILARITY = 5, 80  # words a gram, per cent
@@ -30,7 +30,7 @@ WORDS, SIMILARITY = 5, 80  # words a gram, per cent
 CELLS, TIMES, COMMON = 1 << 20, 20, 200
 #: Grams of a bucket, which a task counts at once; grams that a task holds before it packs them; documents that are searched in one task; documents of a large group that go to each
 #: of its parts first; ids up to which a side is broadcast.
-TOKENS, FLUSH, PART, LEADERS, BROADCAST = 2_500_000, 4_000_000, 100, 3, 1_000_000
+TOKENS, FLUSH, PART, LEADERS, BROADCAST = 2_500_000, 2_000_000, 100, 3, 1_000_000
 #: Parts of a gram's list, and guests that a task holds beside a part of a large group.
 SALTS, GUESTS = 16, 2000
 DROPPED = 24  # bits of a gram's hash that only choose its bucket
@@ -104,7 +104,7 @@ def scan(docs: DataFrame, key: str) -> DataFrame:
             for part, own in enumerate(np.split(cells, 64)):
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zstandard.compress(own.astype(np.uint32).tobytes(), 1)], pa.binary()), *(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int64()))], names=names)
 
-    return docs.mapInArrow(run, f"part int, counts binary, {key} long, n long, mark binary, node long")
+    return docs.mapInArrow(trimmed(run), f"part int, counts binary, {key} long, n long, mark binary, node long")
 
 
 def sketch(scanned: DataFrame) -> tuple[np.ndarray, int]:
@@ -121,7 +121,7 @@ def sketch(scanned: DataFrame) -> tuple[np.ndarray, int]:
 
     cells = np.zeros(CELLS, np.int64)
     width = CELLS // 64
-    for r in scanned.where("part is not null").select("part", "counts").repartition(64, "part").mapInArrow(add, "part int, counts binary").toLocalIterator():
+    for r in scanned.where("part is not null").select("part", "counts").repartition(64, "part").mapInArrow(trimmed(add), "part int, counts binary").toLocalIterator():
         cells[r.part * width : (r.part + 1) * width] = np.frombuffer(r.counts, np.int64)
     return cells > max(COMMON, TIMES * cells.mean()), int(cells.sum())
 
@@ -177,7 +177,7 @@ def dealt_grams(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
                         n = 0
         yield from flush()
 
-    return docs.mapInArrow(run, "bucket int, kind int, data binary")
+    return docs.mapInArrow(trimmed(run), "bucket int, kind int, data binary")
 
 
 def shared_grams(dealt: DataFrame, buckets: int) -> DataFrame:
@@ -224,7 +224,7 @@ def shared_grams(dealt: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield found()
 
-    return dealt.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, "bucket int, kind int, data binary")
+    return dealt.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(trimmed(run), "bucket int, kind int, data binary")
 
 
 def prefixes(rows: DataFrame, buckets: int) -> DataFrame:
@@ -269,7 +269,7 @@ def prefixes(rows: DataFrame, buckets: int) -> DataFrame:
         keep = np.arange(found.shape[1]) - np.repeat(start, count) < np.repeat(take, count)
         yield pa.RecordBatch.from_arrays([pa.array(found[1][keep]), pa.array(found[0][keep])], names=["gram", "node"])
 
-    return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, "gram long, node long")
+    return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(trimmed(run), "gram long, node long")
 
 
 def star_edges(listed: DataFrame) -> DataFrame:
@@ -301,7 +301,7 @@ def stars(listed: DataFrame, *keys: str) -> DataFrame:
             keep = (heads != v) | new
             yield pa.RecordBatch.from_arrays([pa.array(lists[0][keep]), pa.array(heads[keep]), pa.array(v[keep], mask=new[keep])], names=["gram", "a", "b"])
 
-    return listed.select(*keys, "node").repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "gram long, a long, b long")
+    return listed.select(*keys, "node").repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(trimmed(run), "gram long, a long, b long")
 
 
 class Union:
@@ -436,7 +436,7 @@ def searched(rows: DataFrame, tasks: int) -> DataFrame:
             yield found()
 
     keys = ("grp", "part", "slice")
-    return rows.select(*keys, "id", "piece", "guest", "grams").repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long, grp long, like double")
+    return rows.select(*keys, "id", "piece", "guest", "grams").repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(trimmed(run), "a long, b long, grp long, like double")
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -476,7 +476,7 @@ def similar_keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([grams.of(t).tobytes() for t in batch.column(3).to_pylist()], pa.binary())], names=["id", "grp", "size", "grams"])
 
     wanted = members.withColumnRenamed("id", key)
-    chosen = texts.join(F.broadcast(wanted) if few else wanted, key).select(key, "grp", "size", "text").mapInArrow(sets, "id long, grp long, size long, grams binary")
+    chosen = texts.join(F.broadcast(wanted) if few else wanted, key).select(key, "grp", "size", "text").mapInArrow(trimmed(sets), "id long, grp long, size long, grams binary")
     chosen = stored(chosen, "ngram-sets")
     parts = F.ceil(F.col("size") / PART)
     part = F.pmod(F.xxhash64("id"), parts)

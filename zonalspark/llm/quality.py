@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalspark.llm.common import keyed_text, read
+from zonalspark.llm.common import keyed_text, read, trimmed
 
 #: Labelled documents that training uses at most, those of the least hash of their id.
 SAMPLE = 2500
@@ -173,7 +173,7 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text", keep: tuple[str,
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(map(own.score, batch.column(0).to_pylist()), pa.float64())], names=[*keep, name])
 
     rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")), *keep)
-    return rows.mapInArrow(run, docs.select(*keep).schema.add(name, "double"))
+    return rows.mapInArrow(trimmed(run), docs.select(*keep).schema.add(name, "double"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,14 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalspark.llm.common import pack, read, stored, unpack
+from zonalspark.llm.common import pack, read, stored, trimmed, unpack
 
 LENGTH, GRAM = 200, 64
 WIDTH = LENGTH - GRAM + 1  # grams in a string
 #: Anchors that a task counts at once, bits of the filter of repeated anchors (64 MB at most), bytes of a shard, suffixes that
 #: are merged at once, bytes of text for each bucket, buckets that are sent together, and bytes of text for each task of the
 #: merge. Shards have fewer than 2^21 suffixes.
-ANCHORS, LARGEST_FILTER, SHARD, ITEMS, BUCKET, TOGETHER, SHARE = 3_000_000, 1 << 29, 1_900_000, 1_400_000, 4 << 20, 16, 256 << 20
+ANCHORS, LARGEST_FILTER, SHARD, ITEMS, BUCKET, TOGETHER, SHARE = 1_500_000, 1 << 29, 1_900_000, 1_400_000, 4 << 20, 16, 256 << 20
 #: Places of an anchor from which its runs are dealt into parts of about so many, and how many such anchors the driver holds
 #: (the most frequent ones; less frequent ones stay whole).
 GROUP, HOT = 2000, 1_000_000
@@ -150,8 +150,8 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield counted()
 
-    counts = docs.select("text", "d1", "d2").mapInArrow(run, "bucket int, keys binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return counts.mapInArrow(count, "bucket int, bits long, filter binary, hot binary")
+    counts = docs.select("text", "d1", "d2").mapInArrow(trimmed(run), "bucket int, keys binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return counts.mapInArrow(trimmed(count), "bucket int, bits long, filter binary, hot binary")
 
 
 class Repeated:
@@ -339,7 +339,7 @@ def runs(docs: DataFrame, repeated: Repeated, buckets: int) -> DataFrame:
                 yield batch_of(places)
         yield from shard()
 
-    return docs.select("text", "d1", "d2").mapInArrow(run, "sig binary, d1 long, d2 long, place long, bucket int, data binary")
+    return docs.select("text", "d1", "d2").mapInArrow(trimmed(run), "sig binary, d1 long, d2 long, place long, bucket int, data binary")
 
 
 class Collection:
@@ -517,7 +517,7 @@ def merged(shards: DataFrame, tasks: int) -> DataFrame:
                 held.append(data)
         yield from chain.from_iterable(map(settled, unpacked(held)))
 
-    return shards.select("bucket", "data").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "sig binary, a int, b int, w1 long, w2 long, k int")
+    return shards.select("bucket", "data").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(run), "sig binary, a int, b int, w1 long, w2 long, k int")
 
 
 def cut_out(rows: DataFrame) -> DataFrame:
@@ -543,7 +543,7 @@ def cut_out(rows: DataFrame) -> DataFrame:
                 out.append((len(data), removed, n, b"".join(kept)))
             yield pa.RecordBatch.from_arrays([*batch.columns[3:], *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary())))], names=schema.names)
 
-    return rows.select("text", "whole", "spans", "own").mapInArrow(run, schema).select("own.*", *schema.names[1:])
+    return rows.select("text", "whole", "spans", "own").mapInArrow(trimmed(run), schema).select("own.*", *schema.names[1:])
 
 
 def dedup(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
