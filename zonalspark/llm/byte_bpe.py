@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonalspark.llm.bpe import PATTERN, PerfectHash, Pretokens, merge, tiktoken_pairs, tiktoken_ranks
-from zonalspark.llm.common import keyed_text, read
+from zonalspark.llm.common import keyed_text, read, trimmed
 
 #: Entries, and bytes of chunks, that a task keeps of what it has encoded before it starts anew; pre-tokens of more characters
 #: than LONG aren't kept.
@@ -94,8 +94,9 @@ def encode(docs: DataFrame, path: str, pattern: str = PATTERN, key: str = "doc_i
                 part = batch.slice(at, 256)
                 ids = [codec.encode(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([codec.decode(x) for x in ids], pa.binary())], names=[key, "ids", "decoded"])
+        codec.start()  # the broadcast outlives the task, what it remembers need not
 
-    return keyed_text(docs, key, text).mapInArrow(run, f"{key} long, ids binary, decoded binary")
+    return keyed_text(docs, key, text).mapInArrow(trimmed(run), f"{key} long, ids binary, decoded binary")
 
 
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
