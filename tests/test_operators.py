@@ -3,14 +3,15 @@
 import hashlib
 import itertools
 import math
-import struct
+import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from zonalspark.functions.scalar import formula
-from zonalspark.operators import charts, control, geometry, ingest, processors, regions, spatial
+from zonalspark.operators import charts, control, geometry, ingest, processors, regions, shapes, spatial
 from zonalspark.plans.relational_queries import QUERIES
 from zonalspark.sources.fixtures import view
 from zonalspark.sources.vector import read_geojson, write_csv, write_geojson
@@ -127,12 +128,20 @@ def test_places_of_a_whole_queue_need_no_task_with_a_whole_status(spark):
 
 def test_geojson_round_trip(spark, tmp_path):
     ring = geometry.box_ring(*(F.col(c) for c in spatial.BOX))
-    rows = spark.createDataFrame(BOXES, "geom_id long, minx double, miny double, maxx double, maxy double").withColumn("ring", ring)
+    rows = spark.createDataFrame(BOXES, "geom_id long, minx double, miny double, maxx double, maxy double").withColumn("shape", F.array(F.array(ring), F.array(ring)))
     write_geojson(rows, str(tmp_path / "out"), ["geom_id"])
     lines = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
-    (tmp_path / "in.json").write_text('{"type": "FeatureCollection", "features": [' + ",".join(lines) + "]}")
+    odd = ['{"type": "Feature", "properties": null, "geometry": null}', '{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [1, 2]}}', '{"type": "Feature", "geometry": {"type": "Circle", "coordinates": [1, 2]}}', '{"type": "Feature", "geometry": {"type": "Point", "coordinates": [1, 2, 3]}}']
+    (tmp_path / "in.json").write_text('{"type": "FeatureCollection", "features": [' + ",".join(lines + odd) + "]}")
     back = read_geojson(spark, str(tmp_path / "in.json"))
-    assert sorted(r.a for r in back.select(geometry.ring_area(F.col("ring")).alias("a")).collect()) == [100.0, 100.0]
+    found = [(r.properties and r.properties.get("geom_id"), r.kind, r.problem, r.a) for r in back.select("*", shapes.shape_area(F.col("shape")).alias("a")).orderBy("feature").collect()]
+    assert sorted(found[:2]) == [("1", "MultiPolygon", None, 200.0), ("2", "MultiPolygon", None, 200.0)]
+    assert [x[1:3] for x in found[2:]] == [(None, "no geometry"), ("Polygon", "coordinates"), ("Circle", "kind"), ("Point", None)]
+    assert sorted(tuple(r) for r in ingest.skipped(back).collect()) == [("coordinates", 1), ("kind", 1), ("no geometry", 1)]
+    (tmp_path / "bare.json").write_text(lines[0])
+    (tmp_path / "none.json").write_text('{"type": "FeatureCollection", "features": null}')
+    assert read_geojson(spark, str(tmp_path / "bare.json")).count() == 1 and read_geojson(spark, str(tmp_path / "none.json")).count() == 0
+    assert read_geojson(spark, str(tmp_path / "out"), lines=True).count() == 2
 
 
 def test_uploads_have_limits(spark):
@@ -171,15 +180,44 @@ def test_statistics_are_found_by_name_only(spark, boxes):
         processors.run("os.system", boxes, boxes)
 
 
-def test_binary_geometries_of_both_byte_orders():
-    ring = [{"x": 0.0, "y": 1.5}, {"x": 2.0, "y": 0.0}, {"x": 1.0, "y": 3.0}]
-    closed = [*ring, ring[0]]
-    big = struct.pack(">BII", 0, 3, 1) + struct.pack(">I8d", 4, *(v for p in closed for v in (p["x"], p["y"])))
-    with_system = struct.pack("<BIII", 1, 3 | 0x20000000, 4326, 1) + struct.pack("<I8d", 4, *(v for p in closed for v in (p["x"], p["y"])))
-    several = struct.pack("<BII", 1, 6, 1) + regions.to_wkb(ring)
-    for data in (regions.to_wkb(ring), big, with_system, several):
-        assert regions.from_wkb(data) == ring
-    assert regions.from_wkb(struct.pack("<BIdd", 1, 1, 0.0, 0.0)) is None and regions.from_wkb(struct.pack("<BII", 1, 3, 0)) == []
+def plainly_simple(points):
+    """All pairs of sides, by exact whole numbers."""
+    n = len(points)
+    if n < 3 or len(set(points)) < n:
+        return False
+    sides = [(points[i], points[(i + 1) % n]) for i in range(n)]
+    for i, (a, b) in enumerate(sides):
+        for j, (c, d) in enumerate(sides[:i]):
+            ways = [regions.turn(*x) for x in ((a, b, c), (a, b, d), (c, d, a), (c, d, b))]
+            touched = {p for w, (s, e), p in zip(ways, ((a, b), (a, b), (c, d), (c, d)), (c, d, a, b), strict=True) if w == 0 and regions.on(s, e, p)}
+            if ways[0] * ways[1] < 0 and ways[2] * ways[3] < 0 or touched and not ((i - j) % n in (1, n - 1) and len(touched) == 1):
+                return False
+    return True
+
+
+def test_sweep_finds_what_all_pairs_find():
+    r, seen = random.Random(6), [0, 0]
+    for k in range(4000):
+        wide = r.choice([2, 3, 5, 30])
+        points = [(r.randint(0, wide), r.randint(0, wide)) for _ in range(r.randint(3, 7))]
+        if k % 3 == 0:  # around a middle, so that many are simple
+            points = sorted(set(points), key=lambda p: (math.atan2(p[1] - wide / 2.1, p[0] - wide / 1.9), p))
+        want = plainly_simple(points)
+        assert regions.simple_ring(np.array(points, float).reshape(-1, 2)) == want, points
+        seen[want] += 1
+    assert min(seen) > 200
+
+
+def test_sweep_of_a_long_ring(spark):
+    turn = np.linspace(0, 2 * np.pi, 100_000, endpoint=False)
+    ring = np.stack([np.cos(turn), np.sin(turn)], 1) * (1 + 0.3 * np.sin(50 * turn))[:, None]
+    began = time.time()
+    assert regions.simple_ring(ring)
+    crossed = ring.copy()
+    crossed[40_000] = -2 * ring[40_000]
+    assert not regions.simple_ring(crossed) and time.time() - began < 30
+    rows = spark.createDataFrame([(1, [{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 0.0}, {"x": 0.0, "y": 1.0}]), (2, None), (3, []), (4, [{"x": 0.0, "y": 0.0}, {"x": float("nan"), "y": 0.0}, {"x": 0.0, "y": 1.0}])], f"k int, ring {geometry.RING}")
+    assert sorted((x.k, x.valid) for x in regions.checked(rows).collect()) == [(1, True), (2, False), (3, False), (4, False)]
 
 
 def test_simplify_keeps_corners():

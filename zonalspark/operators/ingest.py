@@ -87,13 +87,34 @@ def uploaded(features: DataFrame) -> DataFrame:
     return features.where(F.col("geometry_type").isin(*KINDS)).withColumn("name", F.coalesce(name("name"), name("NAME")))
 
 
-def upload_problem(kind: Column, coordinates: Column, place: Column) -> Column:
-    """What is wrong with a feature of an upload: no geometry, another kind, or a coordinate out of range (of the first
-    SAMPLE features, by place from 0); null if nothing."""
-    bad = F.exists(coordinates, lambda p: ~(p["x"].between(-180, 180) & p["y"].between(-90, 90)))
+def taken(features: DataFrame) -> DataFrame:
+    """features(kind, coordinates: text of GeoJSON coordinates, ...) with shape, and problem where there is none: no geometry,
+    kind, or coordinates that aren't those of the kind. All parts and holes stay."""
+    from zonalspark.operators.shapes import parsed
+
+    held = features.withColumn("shape", parsed(F.col("kind"), F.col("coordinates")))
+    problem = F.when(F.col("kind").isNull(), "no geometry").when(~F.col("kind").isin(*KINDS), "kind").when(F.col("shape").isNull(), "coordinates")
+    return held.withColumn("problem", problem)
+
+
+def skipped(features: DataFrame, *by: str) -> DataFrame:
+    """by, problem, n: how many of taken() features of each upload are left out, for each reason."""
+    return features.where("problem is not null").groupBy(*by, "problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+def upload_problem(kind: Column, shape: Column, place: Column) -> Column:
+    """What is wrong with a feature of an upload: no geometry, another kind, or a coordinate out of range in any of its rings
+    (of the first SAMPLE features, by place from 0); null if nothing."""
+    bad = F.exists(F.flatten(F.flatten(shape)), lambda p: ~(p["x"].between(-180, 180) & p["y"].between(-90, 90)))
     return F.when(kind.isNull(), "no geometry").when(~kind.isin(*KINDS), "kind").when((place < SAMPLE) & bad, "coordinates")
 
 
+def uploads_fit(features: DataFrame, upload: str, size: str, most: int = MOST, bytes_: int = BYTES) -> DataFrame:
+    """upload, n, size, fits of many uploads at once: whether the features and bytes (summed) of each are within the limits."""
+    counted = features.groupBy(upload).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size"))
+    return counted.withColumn("fits", (F.col("n") <= most) & (F.col("size") <= bytes_))
+
+
 def upload_fits(features: DataFrame, size: int, most: int = MOST) -> bool:
     """Whether an upload of so many bytes is within both limits; counts no further than the limit."""
     return size <= BYTES and features.limit(most + 1).count() <= most

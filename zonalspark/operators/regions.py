@@ -1,145 +1,101 @@
-"""Whole regions: binary geometries, validity, buffers and unions.
+"""Units of distance, and validity of rings by a sweep.
 
 A ring is an array of points struct(x, y), the first not repeated at the end."""
 
 from __future__ import annotations
 
 import math
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from zonalspark.operators.geometry import RING
-
 #: Kilometres a unit, and kilometres of a degree on a sphere of 6,371.0088 km.
 UNITS = {"kilometers": 1.0, "miles": 1.609344, "meters": 0.001}
 DEGREE = 6371.0088 * math.pi / 180
 
 
-def per_batch(rows: DataFrame, column: str, kind: str, name: str, f) -> DataFrame:
-    """rows with name: f of each value of a column, in Arrow batches; null stays null."""
-    schema = StructType([*rows.schema.fields, *StructType.fromDDL(f"{name} {kind}").fields])
+def turn(a: tuple, b: tuple, c: tuple) -> int:
+    """1 if c lies to the left of the way from a to b, -1 to the right, 0 on it."""
+    v = (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    return (v > 0) - (v < 0)
+
+
+def on(a: tuple, b: tuple, c: tuple) -> bool:
+    """Whether c, on the line of a and b, lies between them."""
+    return min(a[0], b[0]) <= c[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= c[1] <= max(a[1], b[1])
+
+
+class Sweep:
+    """Whether two sides of a ring meet where they shouldn't: an upright line moves over the ring, the sides that it is on
+    are kept in order, and only neighbours in that order are compared."""
+
+    def __init__(self, points: list[tuple[float, float]]):
+        n = self.n = len(points)
+        self.sides = [tuple(sorted((points[i], points[(i + 1) % n]))) for i in range(n)]
+        self.order: list[int] = []
+
+    def meets(self, i: int, j: int) -> bool:
+        (a, b), (c, d) = self.sides[i], self.sides[j]
+        ways = turn(a, b, c), turn(a, b, d), turn(c, d, a), turn(c, d, b)
+        if ways[0] * ways[1] < 0 and ways[2] * ways[3] < 0:
+            return True
+        touched = {p for w, s, p in zip(ways, ((a, b), (a, b), (c, d), (c, d)), (c, d, a, b), strict=True) if w == 0 and on(*s, p)}
+        if not touched:
+            return False
+        # neighbours share one end and nothing else
+        return not ((i - j) % self.n in (1, self.n - 1) and len(touched) == 1 and touched <= {a, b} & {c, d})
+
+    def place(self, i: int) -> int:
+        """Where side i comes in the order, by its lesser end, then by its other one."""
+        p, q = self.sides[i]
+        low, high = 0, len(self.order)
+        while low < high:
+            mid = (low + high) // 2
+            a, b = self.sides[self.order[mid]]
+            way = turn(a, b, p) or turn(a, b, q)
+            if a[0] == b[0] and not way:
+                way = (p[1] > b[1]) - (p[1] < a[1])
+            if way > 0:
+                low = mid + 1
+            else:
+                high = mid
+        return low
+
+    def simple(self) -> bool:
+        events = sorted([(p, 0, i) for i, (p, _) in enumerate(self.sides)] + [(q, 1, i) for i, (_, q) in enumerate(self.sides)])
+        if any(p == q for p, q in self.sides):
+            return False
+        order = self.order
+        for _, ends, i in events:
+            if not ends:
+                at = self.place(i)
+                if any(0 <= k < len(order) and self.meets(order[k], i) for k in (at - 1, at)):
+                    return False
+                order.insert(at, i)
+            else:
+                at = order.index(i)
+                del order[at]
+                if 0 < at < len(order) and self.meets(order[at - 1], order[at]):
+                    return False
+        return True
+
+
+def simple_ring(points: np.ndarray) -> bool:
+    """Three finite points or more, and no two sides that cross or lie on each other; sides that follow each other may only
+    share their end."""
+    return len(points) > 2 and bool(np.isfinite(points).all()) and len(np.unique(points, axis=0)) == len(points) and Sweep(list(map(tuple, points.tolist()))).simple()
+
+
+def checked(rows: DataFrame, ring: str = "ring", name: str = "valid") -> DataFrame:
+    """rows with name: whether the ring is simple, by a sweep that takes about n log n steps; false for null and empty rings."""
+    schema, at = StructType([*rows.schema.fields, *StructType.fromDDL(f"{name} boolean").fields]), rows.columns.index(ring)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [None if x is None else f(x) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, to_arrow_type(schema[-1].dataType))], names=schema.names)
+            valid = [bool(r) and simple_ring(np.array([(p["x"], p["y"]) for p in r], float)) for r in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(valid, pa.bool_())], names=schema.names)
 
-    at = rows.columns.index(column)
     return rows.mapInArrow(run, schema)
-
-
-def to_wkb(ring: list[dict]) -> bytes:
-    """A polygon of one ring in well-known binary (little-endian, closed)."""
-    closed = [*ring, ring[0]] if ring else []
-    return struct.pack("<BII", 1, 3, 1) + struct.pack(f"<I{2 * len(closed)}d", len(closed), *(v for p in closed for v in (p["x"], p["y"])))
-
-
-def from_wkb(data: bytes) -> list[dict] | None:
-    """Outer ring of a polygon, or of the first one of a multi-polygon, of either byte order; null for other kinds."""
-    order = "<" if data[0] == 1 else ">"
-    kind, n = struct.unpack_from(f"{order}II", data, 1)
-    if kind & 0xFF == 6 and n:
-        return from_wkb(data[9:])
-    if kind & 0xFF != 3:
-        return None
-    at = 13 if kind & 0x20000000 else 9  # after a reference system, if there is one
-    n = struct.unpack_from(f"{order}I", data, at - 4)[0]
-    if not n:
-        return []
-    size = struct.unpack_from(f"{order}I", data, at)[0]
-    wide = 2 + bool(kind & 0x80000000) + bool(kind & 0x40000000)
-    points = np.frombuffer(data, f"{order}f8", size * wide, at + 4).reshape(size, wide)[:, :2]
-    if size > 1 and (points[0] == points[-1]).all():
-        points = points[:-1]
-    return [{"x": float(x), "y": float(y)} for x, y in points]
-
-
-def wkb_of(rows: DataFrame, ring: str = "ring") -> DataFrame:
-    return per_batch(rows, ring, "binary", "wkb", to_wkb)
-
-
-def rings_of(rows: DataFrame, wkb: str = "wkb") -> DataFrame:
-    return per_batch(rows, wkb, RING, "decoded", from_wkb)
-
-
-def valid_ring(ring: Column) -> Column:
-    """Whether a ring has three points or more, finite ones, and no two of its sides cross or lie on each other; sides
-    that follow each other may only share their end."""
-    n = F.size(ring)
-    finite = F.forall(ring, lambda p: (F.abs(p["x"]) < float("inf")) & (F.abs(p["y"]) < float("inf")))
-    end = lambda i: F.get(ring, i % n)
-    turn = lambda a, b, c: F.signum((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
-
-    def meet(i: Column, j: Column) -> Column:
-        a, b, c, d = end(i), end(i + 1), end(j), end(j + 1)
-        near = lambda p, q, r: r["x"].between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])) & r["y"].between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"]))
-        on = [(turn(p, q, r) == 0) & near(p, q, r) for p, q, r in ((a, b, c), (a, b, d), (c, d, a), (c, d, b))]
-        across = (turn(a, b, c) * turn(a, b, d) < 0) & (turn(c, d, a) * turn(c, d, b) < 0)
-        # neighbours share one end; they overlap if the other end of one lies on the other
-        after, before = on[1] | on[2], on[0] | on[3]
-        return F.when(j == i + 1, after).when((i == 0) & (j == n - 1), before).otherwise(across | on[0] | on[1] | on[2] | on[3])
-
-    sides = F.sequence(F.lit(0), n - 1)
-    crossed = F.exists(sides, lambda i: F.exists(F.filter(sides, lambda j: j > i), lambda j: meet(i, j)))
-    return F.coalesce((n >= 3) & finite & ~crossed, F.lit(False))
-
-
-def buffered(rows: DataFrame, distance: float, unit: str = "kilometers", steps: int = 8, ring: str = "ring") -> DataFrame:
-    """rows with the ring widened by a distance, round at the corners (steps sides a quarter circle), in a local plane
-    around the ring's middle. The ring's convex hull is what is widened, so notches are filled."""
-    km = distance * UNITS[unit]
-
-    def widen(points: list[dict]) -> list[dict]:
-        xy = np.array([(p["x"], p["y"]) for p in points], float)
-        mid = (xy.min(0) + xy.max(0)) / 2
-        scale = np.array([DEGREE * math.cos(math.radians(mid[1])), DEGREE])
-        hull = convex_hull((xy - mid) * scale)
-        side = np.roll(hull, -1, 0) - hull
-        out = np.arctan2(-side[:, 0], side[:, 1])  # directions away from the sides, which run against the clock
-        rim = []
-        for p, a, b in zip(hull, np.roll(out, 1), out, strict=True):
-            turn = (b - a) % (2 * math.pi)
-            angles = a + np.linspace(0, turn, max(2, 1 + math.ceil(turn / (math.pi / 2 / steps) - 1e-9)))
-            rim.append(p + km * np.stack([np.cos(angles), np.sin(angles)], 1))
-        return [{"x": float(x), "y": float(y)} for x, y in np.concatenate(rim) / scale + mid]
-
-    return per_batch(rows, ring, RING, "buffer", lambda points: widen(points) if points else [])
-
-
-def convex_hull(points: np.ndarray) -> np.ndarray:
-    """Corners against the clock."""
-    order = sorted(set(map(tuple, points.tolist())))
-    if len(order) < 3:
-        return np.array(order)
-
-    def half(given) -> list:
-        out: list = []
-        for p in given:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                out.pop()
-            out.append(p)
-        return out[:-1]
-
-    return np.array(half(order) + half(reversed(order)))
-
-
-def union_boxes(boxes: DataFrame, by: str) -> DataFrame:
-    """by, minx, miny, maxx, maxy: boxes that cover what the boxes of a group cover, and nothing twice.
-
-    Groups are cut into strips where a box begins or ends; of each strip the stretches that overlap are joined by a
-    running maximum. Strips are what is dealt out, so a large group isn't worked out in one task."""
-    area = boxes.where("maxx > minx and maxy > miny").select(by, "minx", "miny", "maxx", "maxy")
-    cuts = area.select(by, F.explode(F.array("minx", "maxx")).alias("x")).distinct()
-    strips = cuts.withColumn("to", F.lead("x").over(Window.partitionBy(by).orderBy("x"))).where("to is not null")
-    pieces = strips.join(area, by).where("minx <= x and maxx >= to").select(by, "x", "to", "miny", "maxy")
-    within = Window.partitionBy(by, "x").orderBy("miny", "maxy")
-    reach = F.max("maxy").over(within.rowsBetween(Window.unboundedPreceding, -1))
-    marked = pieces.withColumn("new", F.when(F.coalesce(F.col("miny") > reach, F.lit(True)), 1).otherwise(0)).withColumn("run", F.sum("new").over(within))
-    return marked.groupBy(by, F.col("x").alias("minx"), F.col("to").alias("maxx"), "run").agg(F.min("miny").alias("miny"), F.max("maxy").alias("maxy")).select(by, "minx", "miny", "maxx", "maxy")

@@ -45,15 +45,6 @@ def within(points: DataFrame, boxes: DataFrame, x: str, y: str, how: str = "inne
     return boxes.join(found.drop(*[c for c in kept if c != "geom_id"]), "geom_id", "left")
 
 
-def within_rings(points: DataFrame, regions: DataFrame, x: str, y: str, ring: str = "ring") -> DataFrame:
-    """Points within regions of any shape (geom_id, ring): those within a region's box by the grid join, then by its
-    ring. Points on a side may fall either way."""
-    from zonalspark.operators.geometry import point_in_ring, ring_bounds
-
-    boxes = regions.select("geom_id", ring, *ring_bounds(F.col(ring)))
-    return within(points, boxes, x, y).where(point_in_ring(F.col(x), F.col(y), F.col(ring))).drop(ring, *BOX)
-
-
 def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of boxes with a common interior, with area (planar) of the intersection. Columns of the right side are
     prefixed r_. A pair that meets in several cells counts once, in the cell of its lower corner."""
@@ -72,7 +63,7 @@ def contains(outer: DataFrame, inner: DataFrame) -> Column:
 
 def zonal_stats(features: DataFrame, pixels: DataFrame, by: list[str], nodata: Column | None = None) -> DataFrame:
     """min, max, mean, sum and count of pixels whose centre is in a feature, by feature and `by`; features without
-    pixels have a count of 0 and nulls. One aggregation; partial sums form map-side before the shuffle."""
+    pixels have no row. One aggregation; partial sums form map-side before the shuffle."""
     valid = pixels.where(~nodata) if nodata is not None else pixels
     found = within(valid, features.select("geom_id", *BOX), "x", "y").groupBy("geom_id", *by)
     return found.agg(F.min("val").alias("min"), F.max("val").alias("max"), F.avg("val").alias("mean"), F.sum("val").alias("sum"), F.count("val").alias("count"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from zonalspark.functions.scalar import MERCATOR
 from zonalspark.operators import geometry as G
-from zonalspark.operators.regions import union_boxes
-from zonalspark.operators.spatial import within_rings
+from zonalspark.operators.cells import within_shapes
+from zonalspark.operators.overlay import union_shapes
+from zonalspark.operators.shapes import crossed
 from zonalspark.sources.fixtures import view, with_views
 from zonalspark.sources.shared import shared_dir
 from zonalspark.streaming.requests import run_once
@@ -92,17 +93,18 @@ def mvt_tile(s, d):
 @query("buffer_union", ", b AS (SELECT fc_id, minx - 0.5 AS minx, miny - 0.5 AS miny, maxx + 0.5 AS maxx, maxy + 0.5 AS maxy FROM fx_features), x AS (SELECT fc_id, v AS lo, lead(v) OVER (PARTITION BY fc_id ORDER BY v) AS hi FROM (SELECT fc_id, minx AS v FROM b UNION SELECT fc_id, maxx FROM b)), y AS (SELECT fc_id, v AS lo, lead(v) OVER (PARTITION BY fc_id ORDER BY v) AS hi FROM (SELECT fc_id, miny AS v FROM b UNION SELECT fc_id, maxy FROM b)) SELECT fc_id, round(sum((x.hi - x.lo) * (y.hi - y.lo)), 4) AS area FROM x JOIN y USING (fc_id) WHERE EXISTS (SELECT 1 FROM b WHERE b.fc_id = x.fc_id AND b.minx <= x.lo AND b.maxx >= x.hi AND b.miny <= y.lo AND b.maxy >= y.hi) GROUP BY fc_id", "fx_features")
 def buffer_union(s, d):
     """Area of what the features of each collection cover, each widened by half a degree with square corners."""
-    wide = {"minx": F.col("minx") - 0.5, "miny": F.col("miny") - 0.5, "maxx": F.col("maxx") + 0.5, "maxy": F.col("maxy") + 0.5}
-    return union_boxes(view(s, d, "fx_features").withColumns(wide), "fc_id").groupBy("fc_id").agg(F.round(F.sum((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))), 4).alias("area"))
+    box = G.box_ring(F.col("minx") - 0.5, F.col("miny") - 0.5, F.col("maxx") + 0.5, F.col("maxy") + 0.5)
+    rings = union_shapes(view(s, d, "fx_features").select("fc_id", F.array(F.array(box)).alias("shape")), "fc_id")
+    return rings.groupBy("fc_id").agg(F.round(F.sum(crossed(F.col("ring")) / 2), 4).alias("area"))
 
 
 @query("points_in_triangles", "SELECT poly_id, count(event_id) AS n, round(coalesce(sum(CAST(value AS DECIMAL(18, 4))), 0)::DOUBLE, 4) AS total FROM fx_polys LEFT JOIN fx_points ON lon > minx + 0.0033 AND lat > miny + 0.0017 AND (lon - minx - 0.0033) / (maxx - minx) + (lat - miny - 0.0017) / (maxy - miny) < 1 GROUP BY poly_id", "fx_polys", "fx_points")
 def points_in_triangles(s, d):
     """Events within regions that are no boxes; regions without any have 0."""
     at = lambda x, y: F.struct((F.col(x) + 0.0033).alias("x"), (F.col(y) + 0.0017).alias("y"))
-    regions = view(s, d, "fx_polys").select(F.col("poly_id").alias("geom_id"), F.array(at("minx", "miny"), at("maxx", "miny"), at("minx", "maxy")).alias("ring"))
+    regions = view(s, d, "fx_polys").select(F.col("poly_id").alias("geom_id"), F.array(F.array(F.array(at("minx", "miny"), at("maxx", "miny"), at("minx", "maxy")))).alias("shape"))
     points = view(s, d, "fx_points").select("event_id", F.col("value").cast("decimal(18,4)").alias("value"), "lon", "lat")
-    found = within_rings(points, regions, "lon", "lat").groupBy("geom_id").agg(F.count("event_id").alias("n"), F.sum("value").alias("total"))
+    found = within_shapes(points, regions, "lon", "lat").groupBy("geom_id").agg(F.count("event_id").alias("n"), F.sum("value").alias("total"))
     every = regions.select("geom_id").join(found, "geom_id", "left")
     return every.select(F.col("geom_id").alias("poly_id"), F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("total", F.lit(0)).cast("double"), 4).alias("total"))
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
 from zonalspark.operators import geometry as G
-from zonalspark.operators import ingest, processors, regions
+from zonalspark.operators import ingest, overlay, processors, regions, shapes
 from zonalspark.sources.fixtures import view, with_views
+from zonalspark.sources.shared import shared_dir
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -28,12 +30,16 @@ def mask_kinds(s, d):
     return ingest.dated(view(s, d, "fx_dated").select("fname", "mask")).withColumn("temporal", F.col("temporal").cast("string"))
 
 
-TABLES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
-
-
-@query("file_discovery", f"SELECT unnest({[t + '.parquet' for t in TABLES]}) AS fname")
+@query("file_discovery", "SELECT fname, CAST(strftime(o_orderdate, '%Y%m') AS VARCHAR) AS label, count(*) AS n FROM (SELECT *, concat('grid_', strftime(o_orderdate, '%Y_%m'), '.tif') AS fname FROM orders) GROUP BY ALL")
 def file_discovery(s, d):
-    return ingest.discovered(s, d, ".parquet", "grid_YYYY").select("fname")
+    """A folder for each month's orders, as text; what is found there by name, dated by the mask, with the lines it holds."""
+    at = f"{shared_dir(s)}/discovery-{uuid.uuid4().hex}"
+    orders = s.read.parquet(f"{d}/orders.parquet")
+    orders.select(F.concat(F.lit("grid_"), F.date_format("o_orderdate", "yyyy_MM"), F.lit(".tif")).alias("fname"), F.col("o_orderkey").cast("string").alias("value")).repartition("fname").write.partitionBy("fname").text(at)
+    found = ingest.discovered(s, at, ".txt", "grid_YYYY_MM.tif").select(F.element_at(F.split("path", "/"), -2).alias("folder"))
+    names = found.select(F.substring_index("folder", "=", -1).alias("fname"), F.lit("grid_YYYY_MM.tif").alias("mask")).distinct()
+    lines = s.read.text(at).groupBy("fname").agg(F.count(F.lit(1)).alias("n"))
+    return ingest.dated(names).join(lines, "fname").select("fname", "label", "n")
 
 
 MODES = ("insert", "update", "update_or_insert")
@@ -94,7 +100,9 @@ def upload_checks(s, d):
     rows = view(s, d, "fx_polys")
     kind = F.when(F.col("amount") < 0, None).when(F.col("amount") < 1000, "Circle").otherwise("Polygon")
     ring = G.box_ring(F.col("minx") * 4, F.col("miny") * 2, F.col("maxx") * 4, F.col("maxy") * 2)
-    return rows.select("poly_id", ingest.upload_problem(kind, ring, F.col("poly_id")).alias("problem"))
+    small = F.array(F.array(G.box_ring(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0))))
+    # the box is the second part, after a small one that is always right
+    return rows.select("poly_id", ingest.upload_problem(kind, F.concat(small, F.array(F.array(ring))), F.col("poly_id")).alias("problem"))
 
 
 @query("selection_upserts", "SELECT event_type, props, min(event_id) AS first, max(event_id) AS event_id FROM events GROUP BY event_type, props")
@@ -125,9 +133,10 @@ def upload_metadata(s, d):
 def wkb_area(s, d):
     """Triangles written as well-known binary and read again."""
     at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    rows = view(s, d, "fx_polys").select("poly_id", F.array(at("minx", "miny"), at("maxx", "miny"), at("minx", "maxy"), at("minx", "miny")).alias("ring"))
-    rows = regions.rings_of(regions.wkb_of(rows.withColumn("ring", F.slice("ring", 1, 3))))
-    return rows.select("poly_id", F.round(G.ring_area(F.col("decoded")), 6).alias("area"), (F.octet_length("wkb") + 24).alias("size"))
+    ring = F.array(at("minx", "miny"), at("maxx", "miny"), at("minx", "maxy"))
+    rows = view(s, d, "fx_polys").select("poly_id", F.array(F.array(ring)).alias("shape"))
+    rows = shapes.decoded(shapes.encoded(rows, kind="Polygon"))
+    return rows.select("poly_id", F.round(shapes.shape_area(F.col("geometry.parts")), 6).alias("area"), (F.octet_length("wkb") + 24).alias("size"))
 
 
 @query("ring_validity", "SELECT poly_id, unnest(['box', 'bow', 'line', 'notched', 'spike', 'none']) AS shape, unnest([true, false, false, true, false, false]) AS valid FROM fx_polys", "fx_polys")
@@ -136,7 +145,7 @@ def ring_validity(s, d):
     shapes = {"box": ((0, 0), (1, 0), (1, 1), (0, 1)), "bow": ((0, 0), (1, 1), (1, 0), (0, 1)), "line": ((0, 0), (1, 0)), "notched": ((0, 0), (1, 0), (1, 1), (0.5, 0.5), (0, 1)), "spike": ((0, 0), (1, 0), (0.5, 0), (0.5, 1))}
     rings = F.array(*(F.struct(F.lit(k).alias("shape"), F.array(*(at(*p) for p in v)).alias("ring")) for k, v in shapes.items()), F.struct(F.lit("none").alias("shape"), F.lit(None).cast(G.RING).alias("ring")))
     rows = view(s, d, "fx_polys").select("poly_id", F.explode(rings).alias("r")).select("poly_id", "r.*")
-    return rows.select("poly_id", "shape", regions.valid_ring(F.col("ring")).alias("valid"))
+    return regions.checked(rows).select("poly_id", "shape", "valid")
 
 
 WIDE = f"(maxx - minx) * {regions.DEGREE!r} * cos(radians((miny + maxy) / 2))"
@@ -148,13 +157,15 @@ def buffer_area(s, d):
     """Square kilometres of boxes widened by 50 miles, with corners of eight sides."""
     rows = view(s, d, "fx_polys").withColumn("ring", G.box_ring(*(F.col(c) for c in ("minx", "miny", "maxx", "maxy"))))
     scale = F.cos(F.radians((F.col("miny") + F.col("maxy")) / 2)) * regions.DEGREE * regions.DEGREE
-    return regions.buffered(rows, 50, "miles").select("poly_id", F.round(G.ring_area(F.col("buffer")) * scale, 2).alias("area"))
+    widened = overlay.buffers(rows.select("poly_id", F.array(F.array("ring")).alias("shape")), "poly_id", 50, "miles")
+    area = widened.groupBy("poly_id").agg(F.sum(G.ring_area(F.col("ring"))).alias("area"))
+    return rows.join(area, "poly_id").select("poly_id", F.round(F.col("area") * scale, 2).alias("area"))
 
 
 @query("union_area", ", b AS (SELECT poly_id % 5 AS grp, minx, miny, maxx, maxy FROM fx_polys), x AS (SELECT grp, v AS lo, lead(v) OVER (PARTITION BY grp ORDER BY v) AS hi FROM (SELECT grp, minx AS v FROM b UNION SELECT grp, maxx FROM b)), y AS (SELECT grp, v AS lo, lead(v) OVER (PARTITION BY grp ORDER BY v) AS hi FROM (SELECT grp, miny AS v FROM b UNION SELECT grp, maxy FROM b)) SELECT grp, round(sum((x.hi - x.lo) * (y.hi - y.lo)), 4) AS area FROM x JOIN y USING (grp) WHERE EXISTS (SELECT 1 FROM b WHERE b.grp = x.grp AND b.minx <= x.lo AND b.maxx >= x.hi AND b.miny <= y.lo AND b.maxy >= y.hi) GROUP BY grp", "fx_polys")
 def union_area(s, d):
-    boxes = regions.union_boxes(view(s, d, "fx_polys").withColumn("grp", F.col("poly_id") % 5), "grp")
-    return boxes.groupBy("grp").agg(F.round(F.sum((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))), 4).alias("area"))
+    rows = view(s, d, "fx_polys").select((F.col("poly_id") % 5).alias("grp"), F.array(F.array(G.box_ring(*(F.col(c) for c in ("minx", "miny", "maxx", "maxy"))))).alias("shape"))
+    return overlay.union_shapes(rows, "grp").groupBy("grp").agg(F.round(F.sum(shapes.crossed(F.col("ring")) / 2), 4).alias("area"))
 
 
 IN_BOX = "x > minx AND x < maxx AND y > miny AND y < maxy"

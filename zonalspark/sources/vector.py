@@ -1,28 +1,36 @@
-"""Vector sources and result tables: GeoJSON feature collections and CSV, by Spark's own readers and writers."""
+"""Vector sources and result tables: GeoJSON features and CSV, by Spark's own readers and writers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "type string, features array<struct<type:string,properties:map<string,string>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>>"
+from zonalspark.operators.ingest import taken
 
+GEOMETRY = "struct<type:string,coordinates:string>"
+FEATURE = f"struct<type:string,properties:map<string,string>,geometry:{GEOMETRY}>"
+SCHEMA = f"type string, features array<{FEATURE}>, properties map<string,string>, geometry {GEOMETRY}"
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """feature, properties, ring (outer ring, closing point removed) of the polygons of one or many feature collections."""
-    whole = spark.read.schema(SCHEMA).option("multiLine", True).json(path)
-    each = whole.select(F.posexplode("features").alias("feature", "f")).where("f.geometry.type = 'Polygon'")
-    outer = F.get("f.geometry.coordinates", 0)
-    open_ring = F.when(F.get(outer, 0) == F.element_at(outer, -1), F.slice(outer, 1, F.size(outer) - 1)).otherwise(outer)
-    return each.select("feature", F.col("f.properties").alias("properties"), F.transform(open_ring, lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y"))).alias("ring"))
 
+def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """feature (its place), properties, kind, shape and problem of all features of the collections at path; a bare feature is
+    a collection of one. Features that can't be taken have no shape, and a problem says why; none is dropped.
 
-def write_geojson(rows: DataFrame, path: str, properties: list[str], ring: str = "ring") -> None:
-    """One feature a line (GeoJSON text sequence), so that tasks write side by side."""
-    closed = F.concat(F.col(ring), F.slice(ring, 1, 1))
-    coordinates = F.array(F.transform(closed, lambda p: F.array(p["x"], p["y"])))
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), F.struct(F.lit("Polygon").alias("type"), coordinates.alias("coordinates")).alias("geometry"))
-    rows.select(F.to_json(feature)).write.mode("overwrite").text(path)
+    A document is read in one task (uploads have 50 MB at most); with lines each line is a document, and files are split."""
+    whole = spark.read.schema(SCHEMA).option("multiLine", not lines).json(path)
+    bare = F.array(F.struct("type", "properties", "geometry"))
+    features = F.when(F.col("type") == "Feature", bare).otherwise(F.col("features"))
+    each = whole.select(F.posexplode(features).alias("feature", "f"))
+    return taken(each.select("feature", "f.properties", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"))).drop("coordinates")
+
+
+def write_geojson(rows: DataFrame, path: str, properties: list[str], shape: str = "shape") -> None:
+    """One feature a line (GeoJSON text sequence), each a multi-polygon of all parts and holes; tasks write side by side."""
+    ring = lambda r: F.transform(F.concat(r, F.slice(r, 1, 1)), lambda p: F.array(p["x"], p["y"]))
+    coordinates = F.transform(shape, lambda part: F.transform(part, ring))
+    geometry = F.when(F.col(shape).isNotNull(), F.struct(F.lit("MultiPolygon").alias("type"), coordinates.alias("coordinates")))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), geometry.alias("geometry"))
+    rows.select(F.to_json(feature, {"ignoreNullFields": "false"})).write.mode("overwrite").text(path)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
