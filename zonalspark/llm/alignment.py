@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from zonalspark.llm.bpe import byte_letters
 from zonalspark.llm.common import keyed_text, read, stored, trimmed
 
-#: Characters of texts, and distinct groups, after which a task closes its chunk; characters of words, and words, that it
-#: remembers before it starts anew; longer words aren't remembered.
+#: Characters of texts after which a task closes its chunk, and distinct groups after which it also numbers them anew;
+#: characters of words, and words, that it remembers before it starts anew; longer words aren't remembered.
 CHUNK, GROUPS, HELD, MEMO, LONG = 16 << 20, 400_000, 16 << 20, 500_000, 256
 #: A space that both tokenizers begin a token with, if no piece of the second holds a space after something else.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
@@ -46,6 +46,8 @@ class Aligner:
         self.bytes_a = {i: bytes(byte_of[c] for c in s) if all(c in byte_of for c in s) else s.encode() for s, i in self.a.get_vocab().items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.size_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 1)])
+        self.size_b = np.array(list(map(len, self.bytes_b)))
         # a space begins a piece of its own word only, so texts may be cut there; the first tokenizer never crosses one
         self.cuttable = not any(re.search("[^▁]▁", p) for p in pieces)
 
@@ -55,54 +57,78 @@ class Aligner:
             return [text]
         return BETWEEN.split(text) if ODD(text) else text.split(" ")
 
-    def groups(self, texts: list[str]) -> Iterator[tuple[list[str], int, int] | None]:
-        """For each text, led by a space, its groups as text, and how many tokens a and b give; None: bytes differ."""
-        found = zip(texts, self.a.encode_batch([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1), strict=True)
-        for text, a, b in found:
-            a = a.ids
-            whole = (" " + text).encode()
-            if b"".join(map(self.bytes_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
-                yield None
-                continue
-            out, i, j, at_a, at_b, from_a, from_b = [], 0, 0, 0, 0, 0, 0
-            while i < len(a):
-                if at_a <= at_b:
-                    at_a += len(self.bytes_a[a[i]])
-                    i += 1
-                else:
-                    at_b += len(self.bytes_b[b[j]])
-                    j += 1
-                while at_b < at_a:
-                    at_b += len(self.bytes_b[b[j]])
-                    j += 1
-                if at_a == at_b:
-                    out.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-                    from_a, from_b = i, j
-            yield out, len(a), len(b)
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of a and b of words joined by spaces and led by one; None where the bytes of either aren't the text's."""
+        text = " ".join(words)
+        a, b, raw = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text), (" " + text).encode()
+        if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
+            return None
+        return np.array(a, np.int64), np.array(b, np.int64)
 
 
 class Chunks:
-    """Interns groups of a task's texts; a chunk's groups are numbered from 0."""
+    """Interns groups of a task's texts: a group has a number in the task, and a chunk counts how often it occurs there."""
 
     def __init__(self, aligner: Aligner):
         self.aligner, self.number = aligner, 0
+        self.forget()
+
+    def forget(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.names: list[str] = []
         self.known: dict[str, tuple | None] = {}
         self.held = 0
         self.begin()
 
     def begin(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.counts = np.zeros(1024, np.int64)
-        self.chars = 0
-        self.known.clear()  # holds numbers of this chunk
-        self.held = 0
-
-    def entry(self, found: tuple | None) -> tuple | None:
+        self.counts, self.chars = np.zeros(1024, np.int64), 0
+
+    def intern(self, group: str) -> int:
+        number = self.ids.setdefault(group, len(self.names))
+        if number == len(self.names):
+            self.names.append(group)
+        return number
+
+    def entries(self, words: list[str]) -> list[tuple | None]:
+        """For each word, led by a space, the numbers of its groups (packed), their texts, and how many tokens a and b give;
+        None where bytes differ. Words are encoded side by side, which gives the same as one by one."""
+        found = self.aligner.encode(words)
         if found is None:
-            return None
-        own, n_a, n_b = found
-        ids = self.ids
-        return np.array([ids.setdefault(g, len(ids)) for g in own], np.uint32).tobytes(), ";".join(own), n_a, n_b
+            half = len(words) // 2
+            return [*self.entries(words[:half]), *self.entries(words[half:])] if half else [None]
+        a, b = found
+        ends_a, ends_b = np.cumsum(self.aligner.size_a[a]), np.cumsum(self.aligner.size_b[b])
+        shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        to_a, to_b = np.searchsorted(ends_a, shared), np.searchsorted(ends_b, shared)
+        from_a, from_b = (np.concatenate([[0], x[:-1] + 1]) for x in (to_a, to_b))
+        single = (from_a == to_a) & (from_b == to_b)
+        numbers = np.empty(len(shared), np.uint32)
+        pairs, back = np.unique(a[to_a[single]] << 32 | b[to_b[single]], return_inverse=True)
+        numbers[single] = np.array([self.intern(f"{p >> 32}|{p & 0xFFFFFFFF}") for p in pairs.tolist()], np.uint32)[back]
+        own_a, own_b = a.tolist(), b.tolist()
+        for k in np.flatnonzero(~single).tolist():
+            numbers[k] = self.intern(f"{','.join(map(str, own_a[from_a[k] : to_a[k] + 1]))}|{','.join(map(str, own_b[from_b[k] : to_b[k] + 1]))}")
+        ends = np.cumsum(np.fromiter((1 + len(w.encode()) for w in words), np.int64, len(words)))
+        cuts, n_a, n_b = (np.diff(np.searchsorted(x, ends) + 1, prepend=0).tolist() for x in (shared, ends_a, ends_b))
+        names, listed, out, at = self.names, numbers.tolist(), [], 0
+        for n, x, y in zip(cuts, n_a, n_b, strict=True):
+            out.append((numbers[at : at + n].tobytes(), ";".join([names[g] for g in listed[at : at + n]]), x, y))
+            at += n
+        return out
+
+    def learn(self, words: list[str]) -> dict[str, tuple | None]:
+        """Entries of new words; those of over LONG characters aren't remembered, but returned."""
+        plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
+        odd, fresh = set(words).difference(plain), {}
+        parts = [*(plain[i : i + 2048] for i in range(0, len(plain), 2048)), *([w] for w in odd)]
+        for part in parts:
+            for w, entry in zip(part, self.entries(part), strict=True):
+                if len(w) <= LONG:
+                    self.known[w] = entry
+                    self.held += len(w)
+                else:
+                    fresh[w] = entry
+        return fresh
 
     def add(self, text: str) -> tuple[int, int, int, str, bytes | None]:
         """n_a, n_b, n_groups, digest, and the numbers and counts of the text's distinct groups."""
@@ -113,33 +139,24 @@ class Chunks:
         if len(known) >= MEMO or self.held >= HELD:
             known.clear()
             self.held = 0
-        new = list(dict.fromkeys(w for w in words if w not in known))
-        fresh = {}
-        for at in range(0, len(new), 1024):
-            part = new[at : at + 1024]
-            for w, found in zip(part, self.aligner.groups(part), strict=True):
-                kept = self.entry(found)
-                if len(w) <= LONG:
-                    known[w] = kept
-                    self.held += len(w)
-                else:
-                    fresh[w] = kept
+        new = list(set(words).difference(known))
+        fresh = self.learn(new) if new else None
         get = known.__getitem__ if not fresh else lambda w: known[w] if w in known else fresh[w]
         entries = list(map(get, words))
         if None in entries:  # the words' bytes differ, the whole text's may still not
-            entries = [self.entry(next(self.aligner.groups([text])))] if len(words) > 1 else [None]
+            entries = self.entries([text]) if len(words) > 1 else [None]
             if entries[0] is None:
                 return 0, 0, 0, "", None
-        ids, texts, n_a, n_b = zip(*entries, strict=True)
-        ids = np.frombuffer(b"".join(ids), np.uint32)
-        distinct, n = np.unique(ids, return_counts=True)
-        if len(self.counts) < len(self.ids):
-            self.counts = np.concatenate([self.counts, np.zeros(len(self.ids), np.int64)])
+        numbers, texts, n_a, n_b = zip(*entries, strict=True)
+        numbers = np.frombuffer(b"".join(numbers), np.uint32)
+        distinct, n = np.unique(numbers, return_counts=True)
+        if len(self.counts) < len(self.names):
+            self.counts = np.concatenate([self.counts, np.zeros(len(self.names), np.int64)])
         self.counts[distinct] += n
-        return sum(n_a), sum(n_b), len(ids), hashlib.sha256(";".join(texts).encode()).hexdigest(), np.stack([distinct, n.astype(np.uint32)]).tobytes()
+        return sum(n_a), sum(n_b), len(numbers), hashlib.sha256(";".join(texts).encode()).hexdigest(), np.stack([distinct, n.astype(np.uint32)]).tobytes()
 
     def full(self) -> bool:
-        return self.chars >= CHUNK or len(self.ids) >= GROUPS
+        return self.chars >= CHUNK or len(self.names) >= GROUPS
 
 
 DOC = "n_a long, n_b long, n_groups long, groups_sha256 string, held binary"
@@ -156,13 +173,16 @@ def interned(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", tex
         chunks, part, tasks = Chunks(Aligner(path_a, path_b)), TaskContext.get().partitionId(), 1 << 20
 
         def closed() -> Iterator[pa.RecordBatch]:
-            grams, size = list(chunks.ids), len(chunks.ids)
-            for i in range(0, size, 50_000):
-                own = grams[i : i + 50_000]
-                columns = [pa.array(np.full(len(own), chunks.number * tasks + part)), *(pa.nulls(len(own), t) for t in types[1:7]), pa.array(own), pa.array(np.arange(i, i + len(own), dtype=np.int32)), pa.array(chunks.counts[i : i + len(own)])]
+            used = np.flatnonzero(chunks.counts)
+            for i in range(0, len(used), 50_000):
+                own = used[i : i + 50_000]
+                columns = [pa.array(np.full(len(own), chunks.number * tasks + part)), *(pa.nulls(len(own), t) for t in types[1:7]), pa.array([chunks.names[g] for g in own.tolist()]), pa.array(own.astype(np.int32)), pa.array(chunks.counts[own])]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
             chunks.number += 1
-            chunks.begin()
+            if len(chunks.names) >= GROUPS:
+                chunks.forget()
+            else:
+                chunks.begin()
 
         for batch in batches:
             rows: list[tuple] = []
@@ -233,7 +253,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text
                     continue
                 if table is None and at:
                     order = np.concatenate(at)
-                    table = np.zeros((2, len(order)), np.int64)
+                    table = np.zeros((2, int(order.max()) + 1), np.int64)
                     table[0, order], table[1, order] = np.concatenate(count), np.concatenate(best)
                 n_best, sums = [], []
                 for held in rows.column(9).to_pylist():
