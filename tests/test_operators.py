@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from zonalspark.functions.scalar import formula
-from zonalspark.operators import charts, control, geometry, ingest, processors, regions, shapes, spatial
+from zonalspark.operators import breaks, control, geometry, ingest, processors, regions, shapes, spatial
 from zonalspark.plans.relational_queries import QUERIES
 from zonalspark.sources.fixtures import view
 from zonalspark.sources.vector import read_geojson, write_csv, write_geojson
@@ -60,9 +60,13 @@ def test_correlation_guards(spark):
     assert rows.limit(1).agg(charts.correlation(F.col("a"), F.col("b")).alias("r")).first().r == 0.0
 
 
+def cuts_of(rows, value, n, size=7):
+    return [r.cut for r in breaks.jenks(rows, value, n, size).orderBy("i").collect()]
+
+
 def test_jenks_finds_the_gaps(spark):
     rows = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 50, 51, 52, 99, 100)], "v double")
-    assert charts.jenks(rows, "v", 3) == [1.0, 3.0, 52.0, 100.0]
+    assert cuts_of(rows, "v", 3) == [1.0, 3.0, 52.0, 100.0]
 
 
 def spread(values: dict[float, int], cuts: list[float]) -> float:
@@ -80,11 +84,33 @@ def test_jenks_takes_every_distinct_value(spark):
     rows = spark.createDataFrame([(v,) for v, w in values.items() for _ in range(w)] + [(None,)], "v double")
     keys = sorted(values)
     for n in (2, 4, 5):
-        cuts = charts.jenks(rows, "v", n)
+        cuts = cuts_of(rows, "v", n)
         every = ([keys[0], *ends, keys[-1]] for ends in itertools.combinations(keys[:-1], n - 1))
         assert len(cuts) == n + 1 and spread(values, cuts) == pytest.approx(min(spread(values, x) for x in every))
-    assert charts.jenks(rows, "v", 50) == [keys[0], *keys]
-    assert len(charts.jenks(rows, "v", 5, 10)) == 6
+    assert cuts_of(rows, "v", 50) == [keys[0], *keys]
+
+
+def test_jenks_of_many_skewed_values(spark):
+    """20,000 distinct values in 13 ranges against a plain programme over all of them; most rows hold few of the values."""
+    r = np.random.default_rng(3)
+    v = np.unique(np.round(np.exp(r.normal(0, 2, 24_000)) * 100, 6))[:20_000]
+    w = np.where(np.arange(len(v)) % 1000 == 0, 5_000, r.integers(1, 4, len(v)))
+    rows = spark.createDataFrame([(float(a), int(b)) for a, b in zip(v, w, strict=True)], "v double, w long")
+    every = rows.select("v", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))).alias("k"))
+    cuts = cuts_of(every, "v", 4, 1600)
+    x = v - np.average(v, weights=w)
+    s0, s1, s2 = (np.concatenate([[0], np.cumsum(y)]) for y in (w, w * x, w * x * x))
+    best = np.concatenate([[0], np.full(len(v), np.inf)])
+    for _ in range(4):
+        price = lambda i, j: best[i] + s2[j] - s2[i] - (s1[j] - s1[i]) ** 2 / (s0[j] - s0[i])  # noqa: B023, E731
+        best = np.array([np.inf] + [price(np.arange(j), j).min() for j in range(1, len(v) + 1)])
+    assert len(cuts) == 5 and cuts[0] == v[0] and cuts[-1] == v[-1]
+    assert spread(dict(zip(v.tolist(), w.tolist(), strict=True)), cuts) == pytest.approx(best[-1], rel=1e-9)
+
+
+def test_jenks_of_few_and_no_values(spark):
+    rows = spark.createDataFrame([(None,), (float("nan"),), (2.0,), (2.0,)], "v double")
+    assert cuts_of(rows, "v", 5) == [2.0, 2.0] and cuts_of(rows.where("v is null"), "v", 5) == []
 
 
 def test_jenks_query_has_no_merged_classes(spark):

@@ -45,12 +45,18 @@ def absolute_url(url: Column) -> Column:
 
 
 def number_text(n: Column) -> Column:
-    """A number for people: grouped without decimals from 10,000 on, with one from 100, with three from 1, below with
-    three digits that count (of what isn't less than a millionth); a dash for none and what is not finite."""
+    """A number for people: grouped without decimals from 10,000 on, with one from 100, with three from 1, below with three
+    digits that count, rounded before they are counted, from a millionth down with an exponent; a dash for none and what
+    is not finite."""
     size = F.abs(n)
-    small = F.format_string("%.3f", n)
-    for k in range(1, 6):
-        small = F.when(size < 10.0**-k, F.format_string(f"%.{k + 3}f", n)).otherwise(small)
+    exponent = F.floor(F.log10(size))
+    mantissa = F.round(size * F.pow(F.lit(10.0), -exponent), 2)
+    up = mantissa >= 10
+    tiny = F.concat(F.when(n < 0, "-").otherwise(""), F.format_string("%.2f", F.when(up, mantissa / 10).otherwise(mantissa)), F.lit("e"), (exponent + up.cast("int")).cast("string"))
+    small = tiny
+    for k in range(6, 0, -1):
+        small = F.when(F.round(size, k + 2) >= 10.0**-k, F.format_string(f"%.{k + 2}f", n)).otherwise(small)
+    small = F.when(F.round(size, 3) >= 1, F.format_string("%.2f", n)).otherwise(small)
     out = F.when(n == 0, "0").when(size >= 10000, F.format_number(n, 0)).when(size >= 100, F.format_string("%.1f", n)).when(size >= 1, F.format_string("%.3f", n)).otherwise(small)
     return F.when(n.isNull() | F.isnan(n) | (size == float("inf")), "—").otherwise(out)
 

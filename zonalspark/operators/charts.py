@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from itertools import combinations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,56 +61,6 @@ def class_of(value: Column, breaks: list[float]) -> Column:
     return F.when(value.isNotNull() & ~F.isnan(value), out)
 
 
-def least_ends(of, starts: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each j from starts + 1 to m the least of(i, j) over i from starts to j - 1, and the first i that gives it, where
-    that i never falls as j grows. Middles first: each halves the range of i that is left to both sides, level by level."""
-    least, first = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64)
-    jobs = np.array([[starts + 1, m, starts, m - 1]])  # from, to of j; from, to of i
-    while len(jobs):
-        a, b, lo, hi = jobs.T
-        j = (a + b) // 2
-        n = np.minimum(hi, j - 1) - lo + 1
-        begin = np.cumsum(n) - n
-        i = np.arange(n.sum()) - np.repeat(begin - lo, n)
-        cost = of(i, np.repeat(j, n))
-        least[j] = np.minimum.reduceat(cost, begin)
-        hit = np.where(cost == np.repeat(least[j], n), i, m)
-        first[j] = np.minimum.reduceat(hit, begin)
-        jobs = np.concatenate([np.stack([a, j - 1, lo, first[j]], 1), np.stack([j + 1, b, first[j], hi], 1)])
-        jobs = jobs[jobs[:, 0] <= jobs[:, 1]]
-    return least, first
-
-
-def jenks(rows: DataFrame, value: str, n: int = 5, most: int = 1_000_000) -> list[float]:
-    """Natural breaks (least squares within classes, exact dynamic programme) of the distinct values, weighted. Beyond
-    `most` distinct values, which the driver holds, of the means of so many classes of equally many distinct values."""
-    counted = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("w"))
-    distinct = counted.count()
-    counted = counted.withColumn("top", F.col("v"))
-    if distinct > most:
-        place = ranked(counted.select("v"), "v").select("v", F.floor(F.col("rank") * most / distinct).alias("k"))
-        counted = counted.join(place, "v").groupBy("k").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"), F.sum("w").alias("w"), F.max("top").alias("top"))
-    held = counted.select(*(F.col(c).cast("double") for c in ("v", "w", "top"))).toArrow()
-    v, w, top = (held.column(c).to_numpy() for c in ("v", "w", "top"))
-    if not len(v):
-        return []
-    order = np.argsort(v)
-    v, w, top = v[order], w[order], top[order]
-    first = float(v[0])
-    v = v - np.average(v, weights=w)
-    s0, s1, s2 = (np.concatenate([[0], np.cumsum(x)]) for x in (w, w * v, w * v * v))
-    cost = lambda i, j: (s2[j] - s2[i]) - (s1[j] - s1[i]) ** 2 / np.maximum(s0[j] - s0[i], 1e-300)
-    best, back = cost(0, np.arange(len(v) + 1)), []
-    for k in range(1, min(n, len(v))):
-        best, at = least_ends(lambda i, j: best[i] + cost(i, j), k, len(v))  # noqa: B023
-        back.append(at)
-    cuts, j = [len(v)], len(v)
-    for step in reversed(back):
-        j = int(step[j])
-        cuts.append(j)
-    return [first, *(float(top[c - 1]) for c in reversed(cuts))]
-
-
 def box_plot(rows: DataFrame, by: str, value: str) -> DataFrame:
     """by, q1, median, q3, low, high (last values within 1.5 times the quartiles' distance), n_outliers."""
     quarters = bounded(five_numbers(rows, by, value).select(by, "q1", F.col("q2").alias("median"), "q3"))

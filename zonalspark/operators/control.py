@@ -121,13 +121,13 @@ def runs_of_labels(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
 
 def candidates(coverage: DataFrame, features: DataFrame, collections: DataFrame, resources: DataFrame, options: DataFrame, datasets: DataFrame) -> DataFrame:
     """resource_id, geom_id, po_id of all work that can be done: covered features of active collections that nobody
-    uploaded, with each resource and active option of an active dataset. Catalogue sides are filtered and joined with each
+    uploaded (coverage: geom_id and dataset_id of covered pairs), with each resource and active option of an active dataset. Catalogue sides are filtered and joined with each
     other first, so coverage is joined twice only."""
     from zonalspark.operators.spatial import bounded
 
     of_set = resources.select("dataset_id", "resource_id").join(options.where("active").select("dataset_id", "po_id"), "dataset_id").join(datasets.where("active").select("dataset_id"), "dataset_id", "left_semi")
     held = features.select("geom_id", "fc_id").join(bounded(collections.where("active and not is_user_upload").select("fc_id")), "fc_id", "left_semi")
-    covered = coverage.where("status = 1").select("geom_id", "dataset_id").join(bounded(held.select("geom_id")), "geom_id")
+    covered = coverage.select("geom_id", "dataset_id").join(bounded(held.select("geom_id")), "geom_id")
     return covered.join(bounded(of_set), "dataset_id").select("resource_id", "geom_id", "po_id")
 
 

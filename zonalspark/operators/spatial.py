@@ -61,6 +61,14 @@ def contains(outer: DataFrame, inner: DataFrame) -> Column:
     return (outer.minx <= inner.minx) & (outer.miny <= inner.miny) & (outer.maxx >= inner.maxx) & (outer.maxy >= inner.maxy)
 
 
+def covered(features: DataFrame, datasets: DataFrame) -> DataFrame:
+    """geom_id, dataset_id: features whose box a dataset's box holds, rims included. A feature is looked up in the cell of its
+    lower corner, which any box that holds it reaches into."""
+    own = features.select("geom_id", *(F.col(c).alias(f"f_{c}") for c in BOX)).withColumns({"cx": cell(F.col("f_minx")), "cy": cell(F.col("f_miny"))})
+    met = own.join(bounded(cells_of_boxes(datasets.select("dataset_id", *BOX))), ["cx", "cy"])
+    return met.where("minx <= f_minx and miny <= f_miny and maxx >= f_maxx and maxy >= f_maxy").select("geom_id", "dataset_id")
+
+
 def zonal_stats(features: DataFrame, pixels: DataFrame, by: list[str], nodata: Column | None = None) -> DataFrame:
     """min, max, mean, sum and count of pixels whose centre is in a feature, by feature and `by`; features without
     pixels have no row. One aggregation; partial sums form map-side before the shuffle."""

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from zonalspark.functions import scalar
 from zonalspark.operators import charts, control
-from zonalspark.operators.spatial import bounded
-from zonalspark.plans.spatial_queries import coverage
+from zonalspark.operators.spatial import bounded, covered
 from zonalspark.sources.fixtures import view, with_views
 
 QUERIES: dict = {}
@@ -28,7 +27,7 @@ HOLDS = "e.minx <= f.minx AND e.miny <= f.miny AND e.maxx >= f.maxx AND e.maxy >
 
 @query("candidate_joins", f"SELECT r.resource_id, f.geom_id, o.po_id FROM fx_features f JOIN fx_datasets e ON {HOLDS} JOIN fx_collections c ON c.fc_id = f.fc_id JOIN fx_resources r ON r.dataset_id = e.dataset_id JOIN fx_options o ON o.dataset_id = e.dataset_id JOIN fx_sets d ON d.dataset_id = e.dataset_id WHERE o.active AND c.active AND NOT c.is_user_upload AND d.active", "fx_features", "fx_datasets", "fx_collections", "fx_resources", "fx_options", "fx_sets")
 def candidate_joins(s, d):
-    return control.candidates(coverage(s, d), *(view(s, d, f"fx_{n}") for n in ("features", "collections", "resources", "options", "sets")))
+    return control.candidates(covered(view(s, d, "fx_features"), view(s, d, "fx_datasets")), *(view(s, d, f"fx_{n}") for n in ("features", "collections", "resources", "options", "sets")))
 
 
 KEYED = "SELECT *, (label % 5) * 10000 + label AS resource_id, (label % 5) * 10 + CASE po_name WHEN 'O' THEN 0 ELSE 2 END AS po_id FROM fx_tasks"
@@ -170,11 +169,15 @@ def selection_merge(s, d):
     return control.merged_selection(first, second, "geom_id", "req_id")
 
 
-@query("number_text", "SELECT id, k, CASE WHEN v IS NULL THEN '—' WHEN abs(v) >= 10000 THEN format('{:,.0f}', v) WHEN abs(v) >= 100 THEN printf('%.1f', v) WHEN abs(v) >= 1 THEN printf('%.3f', v) WHEN v = 0 THEN '0' WHEN abs(v) >= 0.1 THEN printf('%.3f', v) WHEN abs(v) >= 0.01 THEN printf('%.4f', v) WHEN abs(v) >= 0.001 THEN printf('%.5f', v) WHEN abs(v) >= 0.0001 THEN printf('%.6f', v) ELSE printf('%.7f', v) END AS text FROM (SELECT id, k, CASE WHEN group_level = k THEN 0 WHEN group_level = k + 1 THEN NULL ELSE (val / 7 + 0.000123) * pow(10, 2 - k) * CASE WHEN group_level % 2 = 0 THEN -1 ELSE 1 END END AS v FROM fx_catalog CROSS JOIN (SELECT unnest(range(7)) AS k))", "fx_catalog")
+SMALL = "WHEN round(abs(v), 3) >= 1 THEN printf('%.2f', v) " + " ".join(f"WHEN round(abs(v), {k + 2}) >= 1e-{k} THEN printf('%.{k + 2}f', v)" for k in range(1, 7))
+TINY = "concat(CASE WHEN v < 0 THEN '-' ELSE '' END, CASE WHEN round(abs(v) * pow(10, -floor(log10(abs(v)))), 2) >= 10 THEN concat('1.00e', (floor(log10(abs(v))) + 1)::BIGINT) ELSE concat(printf('%.2f', abs(v) * pow(10, -floor(log10(abs(v))))), 'e', floor(log10(abs(v)))::BIGINT) END)"
+
+
+@query("number_text", f"SELECT id, k, CASE WHEN v IS NULL THEN '—' WHEN abs(v) >= 10000 THEN format('{{:,.0f}}', v) WHEN abs(v) >= 100 THEN printf('%.1f', v) WHEN abs(v) >= 1 THEN printf('%.3f', v) WHEN v = 0 THEN '0' {SMALL} ELSE {TINY} END AS text FROM (SELECT id, k, CASE WHEN group_level = k THEN 0 WHEN group_level = k + 1 THEN NULL WHEN group_level = k + 2 THEN 0.9999 * pow(10, -k) ELSE (val / 7 + 0.000123) * pow(10, 2 - k) * CASE WHEN group_level % 2 = 0 THEN -1 ELSE 1 END END AS v FROM fx_catalog CROSS JOIN (SELECT unnest(range(12)) AS k))", "fx_catalog")
 def number_text(s, d):
     level, k = F.col("group_level"), F.col("k")
-    v = F.when(level == k, 0.0).when(level == k + 1, None).otherwise((F.col("val") / 7 + 0.000123) * F.pow(F.lit(10.0), 2 - k) * F.when(level % 2 == 0, -1).otherwise(1))
-    rows = view(s, d, "fx_catalog").select("*", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("k"))
+    v = F.when(level == k, 0.0).when(level == k + 1, None).when(level == k + 2, 0.9999 * F.pow(F.lit(10.0), -k)).otherwise((F.col("val") / 7 + 0.000123) * F.pow(F.lit(10.0), 2 - k) * F.when(level % 2 == 0, -1).otherwise(1))
+    rows = view(s, d, "fx_catalog").select("*", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k"))
     return rows.select("id", "k", scalar.number_text(v).alias("text"))
 
 

@@ -138,9 +138,9 @@ def queue_two_phase(s, d):
     return view(s, d, "fx_requests").where("status in (-1, 0)").select("req_id", F.row_number().over(order).cast("long").alias("place"))
 
 
-@query("autocomplete", "SELECT id, title FROM fx_catalog WHERE starts_with(lower(title), 'p') ORDER BY title, id LIMIT 10", "fx_catalog")
+@query("autocomplete", "SELECT id, title FROM fx_catalog WHERE starts_with(lower(title), 'la') ORDER BY title, id LIMIT 10", "fx_catalog")
 def autocomplete(s, d):
-    return view(s, d, "fx_catalog").where(F.startswith(F.lower("title"), F.lit("p"))).orderBy("title", "id").limit(10).select("id", "title")
+    return view(s, d, "fx_catalog").where(F.startswith(F.lower("title"), F.lit("la"))).orderBy("title", "id").limit(10).select("id", "title")
 
 
 @query("extent_flags", "SELECT f.geom_id, d.dataset_id, d.minx <= f.maxx AND d.maxx >= f.minx AND d.miny <= f.maxy AND d.maxy >= f.miny AS overlaps FROM fx_features f CROSS JOIN fx_datasets d", "fx_features", "fx_datasets")

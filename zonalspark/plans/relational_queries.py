@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from zonalspark.functions import scalar
-from zonalspark.operators import charts, control, naming
+from zonalspark.operators import breaks, charts, control, naming
 from zonalspark.sources.fixtures import view, with_views
 
 QUERIES: dict = {}
@@ -32,9 +32,9 @@ def task_candidates(s, d):
     return view(s, d, "fx_tasks").groupBy("req_id", "geom_id", "label", "po_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("task_new_only", "SELECT DISTINCT geom_id, label, po_name FROM fx_tasks t WHERE NOT EXISTS (SELECT 1 FROM fx_tasks k WHERE k.geom_id = t.geom_id AND k.label = t.label AND k.po_name = t.po_name AND k.status = 1)", "fx_tasks")
+@query("task_new_only", "SELECT DISTINCT req_id, geom_id, label, po_name FROM fx_tasks t WHERE NOT EXISTS (SELECT 1 FROM fx_tasks k WHERE k.req_id = t.req_id AND k.geom_id = t.geom_id AND k.label = t.label AND k.po_name = t.po_name AND k.status = 1)", "fx_tasks")
 def task_new_only(s, d):
-    tasks, keys = view(s, d, "fx_tasks"), ["geom_id", "label", "po_name"]
+    tasks, keys = view(s, d, "fx_tasks"), ["req_id", "geom_id", "label", "po_name"]
     return control.missing(tasks.select(*keys).distinct(), tasks.where("status = 1"), keys)
 
 
@@ -329,10 +329,11 @@ def mask_parse(s, d):
     return view(s, d, "fx_files").select("fname", part("Y").alias("y"), part("M").alias("m"))
 
 
-@query("upsert_latest", "SELECT task_id, arg_max(status, struct_pack(a := float_value, b := status)) AS status, max(float_value) AS float_value FROM fx_tasks GROUP BY task_id", "fx_tasks")
+@query("upsert_latest", "SELECT task_id, last.status, last.value AS float_value FROM (SELECT task_id, max({'new': CASE WHEN status = 0 THEN 1 ELSE 0 END, 'value': float_value, 'status': status}) AS last FROM fx_tasks GROUP BY task_id)", "fx_tasks")
 def upsert_latest(s, d):
+    """Waiting tasks written over a table of the others: of a task in both, the waiting one stays."""
     tasks = view(s, d, "fx_tasks").select("task_id", "status", "float_value")
-    return control.upsert(tasks.limit(0), tasks, ["task_id"], [F.desc("float_value"), F.desc("status")])
+    return control.upsert(tasks.where("status <> 0"), tasks.where("status = 0"), ["task_id"], [F.desc("float_value"), F.desc("status")])
 
 
 @query("orphan_delete", "SELECT req_id FROM fx_requests WHERE req_id NOT IN (SELECT req_id FROM fx_tasks)", "fx_requests", "fx_tasks")
@@ -366,6 +367,11 @@ def text_truncate(s, d):
     return s.read.parquet(f"{d}/documents.parquet").select("doc_id", scalar.truncated(F.col("text")).alias("short"), scalar.short_hash(F.col("text")).alias("hash"))
 
 
-@query("jenks5", None)
+def jenks_level(k: int) -> str:
+    price = "b.best + greatest(0, p.s2 - q.s2 - (p.s1 - q.s1) * (p.s1 - q.s1) / (p.s0 - q.s0))"
+    return f"b{k} AS MATERIALIZED (SELECT j, (m).c AS best, (m).i AS prev FROM (SELECT p.j, min({{{{'c': {price}, 'i': b.j}}}}) AS m FROM p JOIN b{k - 1} b ON b.j < p.j JOIN p q ON q.j = b.j GROUP BY p.j))".replace("{{", "{").replace("}}", "}")
+
+
+@query("jenks5", ", c AS (SELECT CAST(val AS DOUBLE) AS v, count(*) AS w FROM fx_catalog GROUP BY 1), o AS (SELECT v, w, v - (SELECT sum(v * w) / sum(w) FROM c) AS x, row_number() OVER (ORDER BY v) AS j FROM c), p AS MATERIALIZED (SELECT j, v, sum(w) OVER g AS s0, sum(w * x) OVER g AS s1, sum(w * x * x) OVER g AS s2 FROM o WINDOW g AS (ORDER BY j)), b1 AS MATERIALIZED (SELECT j, greatest(0, s2 - s1 * s1 / s0) AS best, 0 AS prev FROM p), " + ", ".join(map(jenks_level, range(2, 6))) + ", e5 AS (SELECT max(j) AS j FROM p), " + ", ".join(f"e{k} AS (SELECT prev AS j FROM b{k + 1} JOIN e{k + 1} USING (j))" for k in range(4, 0, -1)) + " SELECT i, v AS cut FROM (SELECT 0 AS i, 1 AS j " + " ".join(f"UNION ALL SELECT {k}, j FROM e{k}" for k in range(1, 6)) + ") JOIN p USING (j)", "fx_catalog")
 def jenks5(s, d):
-    return s.createDataFrame([(i, v) for i, v in enumerate(charts.jenks(view(s, d, "fx_catalog"), "val", 5))], "i int, cut double")
+    return breaks.jenks(view(s, d, "fx_catalog"), "val", 5)

@@ -122,13 +122,13 @@ def coverage_contains(spark, d):
 
 @query("coverage_missing_pairs", f"{COVER} SELECT geom_id, dataset_id FROM fx_features f CROSS JOIN fx_datasets d WHERE NOT ({HOLDS})")
 def coverage_missing_pairs(spark, d):
-    known = coverage(spark, d).where("status = 1").select("geom_id", "dataset_id")
+    known = S.covered(view(spark, d, "fx_features"), view(spark, d, "fx_datasets"))
     return view(spark, d, "fx_features").select("geom_id").crossJoin(S.bounded(view(spark, d, "fx_datasets").select("dataset_id"))).join(known, ["geom_id", "dataset_id"], "left_anti")
 
 
 @query("coverage_covered_datasets", f"{COVER} SELECT dataset_id, count(*) AS n_features FROM fx_features f JOIN fx_datasets d ON {HOLDS} GROUP BY dataset_id")
 def coverage_covered_datasets(spark, d):
-    covered = coverage(spark, d).where("status = 1").groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_features"))
+    covered = S.covered(view(spark, d, "fx_features"), view(spark, d, "fx_datasets")).groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_features"))
     return view(spark, d, "fx_datasets").select("dataset_id").join(covered, "dataset_id")
 
 
@@ -136,7 +136,7 @@ def coverage_covered_datasets(spark, d):
 def coverage_dependency(spark, d):
     """Datasets with odd ids take their coverage from the one before."""
     of = view(spark, d, "fx_datasets").select("dataset_id", F.coalesce(F.when(F.col("dataset_id") % 2 == 1, F.col("dataset_id") - 1), "dataset_id").alias("source"))
-    covered = coverage(spark, d).where("status = 1").select("geom_id", F.col("dataset_id").alias("source"))
+    covered = S.covered(view(spark, d, "fx_features"), view(spark, d, "fx_datasets")).withColumnRenamed("dataset_id", "source")
     return covered.join(S.bounded(of), "source").select("dataset_id", "geom_id")
 
 

@@ -32,11 +32,11 @@ def filter_boolean(s, d):
     return flags.where(filter_of({"flag": {"type": "categorical", "selected": [True]}})).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("active_public", "SELECT id, source_name FROM fx_catalog WHERE group_level > 5 AND val > 1000 AND source_name IN (SELECT source_name FROM fx_catalog GROUP BY source_name HAVING max(group_level) >= 48)", "fx_catalog")
+@query("active_public", "SELECT id, source_name FROM fx_catalog WHERE group_level > 5 AND val > 910 AND source_name IN (SELECT source_name FROM fx_catalog GROUP BY source_name HAVING max(group_level) >= 48)", "fx_catalog")
 def active_public(s, d):
     rows = view(s, d, "fx_catalog")
     active = rows.groupBy("source_name").agg(F.max("group_level").alias("most")).where("most >= 48")
-    return rows.where("group_level > 5 and val > 1000").select("id", "source_name").join(bounded(active), "source_name", "left_semi").select("id", "source_name")
+    return rows.where("group_level > 5 and val > 910").select("id", "source_name").join(bounded(active), "source_name", "left_semi").select("id", "source_name")
 
 
 @query("status_lookup", "SELECT task_id, status FROM fx_tasks WHERE status IN (0, -1) AND req_id IN (1, 2, 3, 5, 8, 13, 21)", "fx_tasks")
