@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,36 +38,78 @@ DROPPED = 24  # bits of a gram's hash that only choose its bucket
 #: What merging an entry costs against probing for one, from which DivideSkip takes how many long lists to set aside;
 #: and the bands of partners' sizes, as shares of a set's own, that are searched one by one, each with its own overlap.
 MERGE_COST, BANDS = 0.0005, (0.8, 0.85, 0.9, 0.95, 1.0)
-#: Words, and their bytes, that a task keeps the hashes of before it starts anew.
-MEMO, HELD = 1_000_000, 32 << 20
+#: Bytes of text that are hashed at once, and what white space is.
+PIECE, SPACE = 1 << 20, re.compile(rb"[\x09-\x0D\x20]")
 MIX = np.uint64(0x9E3779B97F4A7C15)
+BASE = 0xD1342543DE82EF95
+#: Of each byte: 0 for white space, else the lower-cased byte and 1.
+CODES = np.array([0 if b == 32 or 9 <= b <= 13 else 1 + (b + 32 if 65 <= b <= 90 else b) for b in range(256)], np.uint64)
 
 
 class Grams:
-    """Sorted distinct gram hashes of texts."""
+    """Sorted distinct gram hashes of texts. A word's hash is the sum of its lower-cased bytes times powers of BASE, from the
+    start of the word on; sums over all bytes of a piece of text give those of its words at once."""
 
     def __init__(self, words: int = WORDS):
-        self.n, self.known, self.held = words, {}, 0
+        self.n = words
+        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of BASE and of its inverse; more than PIECE are not kept."""
+        up, down = self.up, self.down
+        if len(up) < n:
+            with np.errstate(over="ignore"):
+                both = []
+                for base in (BASE, pow(BASE, -1, 1 << 64)):
+                    steps = np.full(max(n, 1 << 16), base, np.uint64)
+                    steps[0] = 1
+                    both.append(np.multiply.accumulate(steps))
+            up, down = both
+            if n <= PIECE:
+                self.up, self.down = up, down
+        return up[:n], down[:n]
+
+    def hashes(self, raw: bytes) -> np.ndarray:
+        """Hashes of the words of a piece that no word crosses the ends of."""
+        codes = CODES[np.frombuffer(raw, np.uint8)]
+        inside = np.zeros(len(codes) + 2, np.int8)
+        inside[1:-1] = codes > 0
+        step = np.diff(inside)
+        first, last = np.flatnonzero(step > 0), np.flatnonzero(step < 0)
+        if not len(first):
+            return np.zeros(0, np.uint64)
+        up, down = self.powers(len(codes))
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(codes) + 1, np.uint64)
+            np.cumsum(codes * up, out=sums[1:])
+            h = (sums[last] - sums[first]) * down[first]
+            h = (h ^ (h >> np.uint64(31))) * MIX
+        return h ^ (h >> np.uint64(29))
+
+    def words(self, text: str) -> np.ndarray:
+        raw = text.encode()
+        if len(raw) <= PIECE:
+            return self.hashes(raw)
+        out, at = [], 0
+        while at < len(raw):  # pieces end before the first white space after PIECE bytes
+            cut = SPACE.search(raw, at + PIECE)
+            end = cut.start() if cut else len(raw)
+            out.append(self.hashes(raw[at:end]))
+            at = end
+        return np.concatenate(out)
 
     def of(self, text: str) -> np.ndarray:
-        words = text.encode().lower().split()  # of bytes: A-Z only, cut at 09-0D and 20
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > MEMO or self.held > HELD:
-            known.clear()
-            self.held = 0
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-            self.held += len(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        h = self.words(text)
+        if not len(h):
+            return h
         n = min(self.n, len(h))
         with np.errstate(over="ignore"):
             out = np.full(len(h) - n + 1, n, np.uint64)
             for i in range(n):
                 out = (out ^ (out >> np.uint64(29))) * MIX + h[i : len(h) - n + 1 + i]
             out = (out ^ (out >> np.uint64(32))) * MIX
-        return np.unique(out)
+        out.sort()
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def digest(grams: np.ndarray) -> bytes:
@@ -144,7 +187,7 @@ def dealt_grams(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
             tokens = np.concatenate([x[1] for x in held])
             at = np.repeat(np.arange(len(held), dtype=np.uint32), sizes)
             bucket = ((tokens & np.uint64((1 << DROPPED) - 1)) % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((tokens, bucket))
+            order = np.argsort(bucket.astype(np.uint64) << np.uint64(64 - DROPPED) | tokens >> np.uint64(DROPPED))
             tokens, at = tokens[order] >> np.uint64(DROPPED), at[order]
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             out: list[tuple[int, int, bytes]] = []
