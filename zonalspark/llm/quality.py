@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from zonalspark.llm.common import keyed_text, read, trimmed
 
-#: Labelled documents that training uses at most, those of the least hash of their id.
-SAMPLE = 2500
+#: Labelled documents that training uses at most, those of the least hash of their id, and the characters of one at most.
+SAMPLE, LONGEST = 2500, 1_000_000
 BUCKETS, DIM, STEPS, RATE, SEED = 1 << 18, 16, 12_500, 0.5, 11
 GRAMS = (2, 3, 4)
 #: Words, and characters of them, that a task keeps the sums of before it starts anew.
@@ -151,10 +151,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     """Learn from at most `sample` labelled documents outside the held-out third (crc32 of the id mod 3 is 1).
 
     The sample is the labelled ids of least hash, found with a top-k, so it depends on nothing else; only these
-    documents reach the driver. A label of null is none; a document with several labels has their majority."""
+    documents, of LONGEST characters at most, reach the driver. A label of null is none; a document with several labels has their majority."""
     ids = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).cast("long").alias(key)).agg((F.avg(label) >= 0.5).cast("int").alias("label"))
     some = ids.where(~held_out(key)).orderBy(F.xxhash64(key), key).limit(sample)
-    taken = keyed_text(docs, key, text).join(F.broadcast(some), key).collect()
+    taken = keyed_text(docs, key, text).where(F.char_length("text") <= LONGEST).join(F.broadcast(some), key).collect()
     features = Features()
     if not taken:
         return Scorer(np.zeros(features.buckets, np.float32), 0.0, features)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalspark.llm.common import keyed_text, read
+from zonalspark.llm.common import keyed_text, read, trimmed
 
 #: Labelled documents that training uses at most, those of the least hash of their id.
 SAMPLE = 4000
@@ -43,24 +43,31 @@ def value(n: int) -> float:
     return 1 + math.log(n)
 
 
-#: Pieces of text between white space that a task keeps the features of before it starts anew.
-MEMO = 1_000_000
+#: Pieces of text between white space, and their characters, that a task keeps the features of before it starts anew; longer
+#: pieces than LONG aren't kept. Labelled documents of more than LONGEST characters are not learned from.
+MEMO, HELD, LONG, LONGEST = 1_000_000, 16 << 20, 256, 1_000_000
 
 
 class Model:
     """Weights by feature, and the ordered thresholds."""
 
     def __init__(self, weights: dict[str, float], thresholds: list[float]):
-        self.weights, self.thresholds, self.known = weights, thresholds, {}
+        self.weights, self.thresholds, self.known, self.held = weights, thresholds, {}, 0
 
     def features(self, piece: str) -> tuple[str, ...]:
         """The features with a weight that a piece between white space holds, with repetitions."""
         out = tuple(f for f, n in words(piece).items() if f in self.weights for _ in range(n))
-        if len(self.known) >= MEMO:
-            self.known.clear()
-        self.known[piece] = out
+        if len(self.known) >= MEMO or self.held >= HELD:
+            self.forget()
+        if len(piece) <= LONG:
+            self.known[piece] = out
+            self.held += len(piece)
         return out
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.held = 0
+
     def above(self, text: str) -> list[float]:
         """P(grade > k) for each threshold k; they fall as k grows."""
         known, found = self.known, Counter()
@@ -142,12 +149,13 @@ def held_out(key: str = "doc_id") -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
-    """Learn from at most `sample` labelled documents outside the held-out third; only these reach the driver.
+    """Learn from at most `sample` labelled documents outside the held-out third, each of LONGEST characters at most; only
+    these reach the driver.
 
     A label of null is none; several labels of one document count as their majority; without labels every weight is 0."""
     ids = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).cast("long").alias(key)).agg((F.avg(label) >= 0.5).cast("int").alias("label"))
     some = ids.where(~held_out(key)).orderBy(F.xxhash64(key), key).limit(sample)
-    taken = sorted({r[key]: r for r in keyed_text(docs, key, text).join(F.broadcast(some), key).collect()}.values(), key=lambda r: r[key])
+    taken = sorted({r[key]: r for r in keyed_text(docs, key, text).where(F.char_length("text") <= LONGEST).join(F.broadcast(some), key).collect()}.values(), key=lambda r: r[key])
     return train([r.text for r in taken], [r.label for r in taken])
 
 
@@ -163,8 +171,9 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             above = [shared.value.above(t) for t in batch.column(1).to_pylist()]
             grade = [int(np.argmax(-np.diff([1.0, *p, 0.0]))) for p in above]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(sum, above), pa.float64()), pa.array([p[0] for p in above], pa.float64()), pa.array(grade, pa.int32()), pa.array([p[0] >= 0.5 for p in above], pa.bool_())], names=[key, "severity", "p_toxic", "grade", "toxic"])
+        shared.value.forget()  # the broadcast outlives the task, what it remembers need not
 
-    return keyed_text(docs, key, text).mapInArrow(run, f"{key} long, severity double, p_toxic double, grade int, toxic boolean")
+    return keyed_text(docs, key, text).mapInArrow(trimmed(run), f"{key} long, severity double, p_toxic double, grade int, toxic boolean")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
