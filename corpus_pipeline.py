@@ -20,19 +20,24 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 BROADCAST = 1_000_000
 
 
-#: Intermediate tables of the last stage that ran.
-LEFT: list[str] = []
+#: Intermediate tables of the last stage that ran in each application.
+LEFT: dict[str, list[str]] = {}
+#: Bytes of rows that go to a Python worker at once.
+BATCH = "8m"
 
 
 def stage(f: Callable) -> Callable:
-    """When a stage begins, the one before has been written, so the tables that it used go."""
+    """When a stage begins, the one before has been written, so the tables that it used go. Batches of rows that go to Python
+    workers are bounded by bytes, so what a task holds doesn't depend on how long texts are."""
 
     @wraps(f)
     def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        forget(spark, LEFT)
+        left = LEFT.setdefault(spark.sparkContext.applicationId, [])
+        forget(spark, left)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
         with recorded() as paths:
             out = f(spark, docs, sf_dir)
-        LEFT.extend(paths)
+        left.extend(paths)
         return out
 
     return begin
@@ -97,7 +102,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_classifier", good), ("ngram_join", distinct), ("suffix_dedup", unrepeated), ("decontamination", uncontaminated), ("byte_bpe", encoded)]
 
-#: SQL can't express the classifier; tests hold stages on small tables, none holds all of run() against a plain version.
+#: SQL can't express the classifier; tests hold all of run() against its stages written out plainly.
 ORACLE_SQL = None
 
 
