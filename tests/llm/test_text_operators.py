@@ -362,11 +362,26 @@ def test_lm_counts_keep_words_and_bigrams_apart(spark):
             loss.append(s / len(w) if w else 0.0)
         want.append((str(k), len(w), *(round(x, 8) for x in (*loss, loss[1] - loss[0]))))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for chunk in (lm_scoring.CHUNK, 500):
-        out = lm_scoring.score(docs, spark.createDataFrame([(k,) for k in targets], "doc_id long"), chunk=chunk).collect()
+    for chunk, parts in ((lm_scoring.CHUNK, 256), (500, 256), (500, 4)):  # the last by way of relays
+        out = lm_scoring.score(docs, spark.createDataFrame([(k,) for k in targets], "doc_id long"), chunk=chunk, most_parts=parts).collect()
         assert sorted((str(r.doc_id), r.n_tokens, *(round(x, 8) + 0.0 for x in r[2:])) for r in out) == sorted(want)
 
 
+def test_lm_rows_grow_with_the_corpus(spark):
+    """Rows that are sent on all ways, with small chunks, for a corpus and for one of four times its size."""
+    sent = []
+    for n in (200, 800):
+        docs = spark.createDataFrame([(k, text(20, k), k % 3 == 0) for k in range(n)], "doc_id long, text string, target boolean").coalesce(1)
+        size, parts = docs.agg(F.sum(F.octet_length("text"))).first()[0], 4
+        fan = -(-(-(-size // 500)) // parts)
+        first = lm_scoring.dealt(docs, parts, 500).cache()
+        pieces = lm_scoring.at_relays(first, parts)
+        told = lm_scoring.relayed(first, parts, fan)
+        assert told.select("chunk", "part").distinct().count() == told.count() == first.where("not docs").count()
+        sent.append(first.count() + 2 * lm_scoring.asked(pieces, parts, fan, 8).count() + told.count())
+    assert 3 < sent[1] / sent[0] < 5
+
+
 def labelled(spark, bad: str):
     rows = [(k, text(60, k) + (f" {bad} {bad}x {text(5, k)} {bad}" if k % 4 == 0 else "")) for k in range(240)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -6,8 +6,11 @@ document's score is the mean over its tokens of background loss less target loss
 document's own counts are taken out of both models before it is scored.
 
 Words and bigrams are counted by 64-bit keys, so the models grow with the corpus. Tasks cut their documents into chunks
-and send each range of keys the chunk's distinct keys with their counts; a range adds them up and answers each chunk
-with the sums of its keys. The answers meet the chunk's documents, which take the same way.
+and send each part of the keys the chunk's distinct keys with their counts; a range of keys adds them up and answers each
+chunk with the sums of its keys. The answers meet the chunk's documents, which take the same way. A chunk sends PARTS rows at
+most, however large the corpus is: where there are more ranges than that, relays between chunks and ranges add up what a
+group of chunks sends to a part, ask the part's ranges for it and answer the chunks, so rows grow with the corpus and not
+with its square.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from pyspark.sql import functions as F
 
 from zonalspark.llm.common import keyed_text, pack, read, stored, unpack
 
-#: Bytes of text of a chunk, and of the corpus for each range of keys; fewest ranges.
-CHUNK, RANGES = 16 << 20, 16
+#: Bytes of text of a chunk, and of the corpus for each range of keys; fewest ranges; most rows of keys that a chunk sends.
+CHUNK, RANGES, PARTS = 16 << 20, 16, 256
 #: Weight of the unigrams.
 KAPPA = 4.0
 #: Target ids up to this number are broadcast (8 MB), beyond it they are joined by a shuffle.
@@ -141,6 +144,72 @@ def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows_of([chunks[i] for i in some], [parts[i] for i in some], [False] * len(some), data)
 
 
+def summed(pieces: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Distinct keys of several chunks' pieces in order, the sums of their counts, and the place of each piece's keys."""
+    own = [unpack(data, np.uint64, np.uint32, np.uint32) for data in pieces]
+    keys = [np.cumsum(x[0], dtype=np.uint64) for x in own]
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = [np.bincount(at, np.concatenate([x[k] for x in own]), len(found)).astype(np.int64) for k in (1, 2)]
+    return found, sums, np.split(at, np.cumsum([len(k) for k in keys])[:-1])
+
+
+def by_node(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows of each node, the first column, which come side by side."""
+    node, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns[:width]), strict=True):
+            if row[0] != node:
+                if held:
+                    yield node, held
+                node, held = row[0], []
+            held.append(row)
+    if held:
+        yield node, held
+
+
+def at_relays(sent: DataFrame, parts: int) -> DataFrame:
+    """Rows of keys with the relay (node) that each goes to: one for each part and group of chunks, of which there are as many
+    as parts."""
+    node = (F.col("part") * F.lit(parts) + F.pmod(F.xxhash64("chunk"), F.lit(parts))).cast("long").alias("node")
+    return sent.where("not docs").select(node, "chunk", "part", "data")
+
+
+def asked(pieces: DataFrame, parts: int, fan: int, tasks: int) -> DataFrame:
+    """One row for each relay and range of its part: the keys of all its chunks with the sums of their counts."""
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = pack(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32))
+        for number, rows in by_node(batches, 4):
+            found, sums, _ = summed([r[3] for r in rows])
+            at = (found >> np.uint64(32)) * np.uint64(parts * fan) >> np.uint64(32)
+            used, first = np.unique(at, return_index=True)
+            cuts = [*first.tolist(), len(found)]
+            of = {r: pack(np.diff(found[a:b], prepend=np.uint64(0)), *(x[a:b].astype(np.uint32) for x in sums)) for r, a, b in zip(used.tolist(), cuts[:-1], cuts[1:], strict=True)}
+            every = range(rows[0][2] * fan, (rows[0][2] + 1) * fan)  # ranges without a key of the relay still say what they hold
+            yield rows_of([number] * fan, [*every], [False] * fan, [of.get(r, empty) for r in every])
+
+    return pieces.repartition(tasks, "node").sortWithinPartitions("node").mapInArrow(up, SENT)
+
+
+def relayed(sent: DataFrame, parts: int, fan: int) -> DataFrame:
+    """What answered() gives for rows of keys in parts, by way of relays: each adds up what a group of chunks sends to a part
+    and asks the `fan` ranges of the part."""
+    pieces, tasks = at_relays(sent, parts), max(32, parts * parts // 64)
+    told = asked(pieces, parts, fan, tasks).repartitionById(parts * fan, F.col("part")).mapInArrow(answered, SENT)
+    both = pieces.select("node", "chunk", "part", "data", F.lit(True).alias("piece")).unionByName(told.select(F.col("chunk").alias("node"), F.lit(0).cast("long").alias("chunk"), "part", "data", F.lit(False).alias("piece")))
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in by_node(batches, 5):
+            answers = [r[3] for r in sorted((r for r in rows if not r[4]), key=lambda r: r[2])]
+            own = [r for r in rows if r[4]]
+            head = np.sum([np.frombuffer(a, np.int64, 3) for a in answers], 0).astype(np.int64).tobytes()
+            sums = [np.concatenate(x) for x in zip(*(unpack(a[24:], np.int64, np.int64) for a in answers), strict=True)]
+            _, _, places = summed([r[3] for r in own])
+            yield rows_of([r[1] for r in own], [r[2] for r in own], [False] * len(own), [head + pack(*(x[at] for x in sums)) for at in places])
+
+    return both.repartition(tasks, "node").sortWithinPartitions("node").mapInArrow(down, SENT)
+
+
 def marked(docs: DataFrame, target_ids: DataFrame, key: str, text: str) -> DataFrame:
     """key, text, target: whether the key is among target_ids (distinct)."""
     ids = target_ids.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key)).distinct().withColumn("target", F.lit(True))
@@ -150,13 +219,17 @@ def marked(docs: DataFrame, target_ids: DataFrame, key: str, text: str) -> DataF
     return rows if few else stored(rows, "lm-marked")
 
 
-def score(docs: DataFrame, target_ids: DataFrame, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
+def score(docs: DataFrame, target_ids: DataFrame, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, most_parts: int = PARTS) -> DataFrame:
     """key, n_tokens, target_loss, background_loss (nats a token), score (their difference) of every row.
 
     Null, empty and blank texts have no tokens, losses and a score of 0; without target documents all scores are those
-    of even unigrams against the background; repeated rows stay and count as often as they are there."""
+    of even unigrams against the background; repeated rows stay and count as often as they are there. Other columns are not
+    read, so they may have any names; key is cast to long, and one that is no whole number is an error or null as the
+    session's casts are."""
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     ranges = max(RANGES, -(-size // chunk))
+    fan = -(-ranges // most_parts)  # ranges that a relay asks; 1: chunks ask them themselves
+    ranges = min(ranges, most_parts)
 
     def scored(data: bytes, answers: dict[int, bytes], own: Keys) -> pa.RecordBatch:
         held = pa.ipc.open_stream(zstandard.decompress(data)).read_all()
@@ -209,7 +282,11 @@ def score(docs: DataFrame, target_ids: DataFrame, key: str = "doc_id", text: str
             raise RuntimeError("a chunk lacks its documents or an answer")
 
     sent = dealt(marked(docs, target_ids, key, text).select(key, "text", "target"), ranges, chunk)
-    sums = sent.repartitionById(ranges, F.col("part")).mapInArrow(answered, SENT)
+    if fan > 1:
+        sent = stored(sent, "lm-sent")
+        sums = sent.where("docs").unionByName(relayed(sent, ranges, fan))
+    else:
+        sums = sent.repartitionById(ranges, F.col("part")).mapInArrow(answered, SENT)
     return sums.repartition(ranges, "chunk").mapInArrow(met, f"{key} long, n_tokens long, target_loss double, background_loss double, score double")
 
 
