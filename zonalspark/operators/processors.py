@@ -1,6 +1,7 @@
 """The named statistics: an explicit registry from a name to a function of features and a layer.
 
-Each takes features (geom_id and box), the layer's rows and arguments, and gives geom_id, name and value rows."""
+Each takes features (geom_id and box, or a shape of any form), the layer's rows and arguments, and gives geom_id, name and
+value rows. Rasters under shapes need the raster's grid among the arguments, polygons under shapes a shape of their own."""
 
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonalspark.operators import spatial
+from zonalspark.operators import cells, spatial
 
 REGISTRY: dict[str, Callable[..., DataFrame]] = {}
 
@@ -22,10 +23,14 @@ def processor(name: str):
     return put
 
 
+def shaped(rows: DataFrame) -> bool:
+    return "shape" in rows.columns
+
+
 def raster_statistic(stat: str):
-    def run(features: DataFrame, layer: DataFrame, name: str, nodata=None, **_) -> DataFrame:
+    def run(features: DataFrame, layer: DataFrame, name: str, nodata=None, grid=None, **_) -> DataFrame:
         """None where a feature has no pixels; their count is 0."""
-        found = spatial.zonal_stats(features, layer, [], nodata)
+        found = cells.zonal_shapes(features, layer, grid, None, nodata) if shaped(features) else spatial.zonal_stats(features, layer, [], nodata)
         value = F.coalesce(F.col(stat), F.lit(0)) if stat == "count" else F.col(stat)
         return features.select("geom_id").join(found, "geom_id", "left").select("geom_id", F.lit(name).alias("name"), value.cast("double").alias("value"))
 
@@ -37,8 +42,9 @@ for stat in ("min", "max", "mean", "sum", "count"):
 
 
 @processor("raster_categorical")
-def raster_categorical(features: DataFrame, layer: DataFrame, name: str, category_map: dict[str, str], **_) -> DataFrame:
-    found = spatial.zonal_categories(features, layer, category_map)
+def raster_categorical(features: DataFrame, layer: DataFrame, name: str, category_map: dict[str, str], grid=None, **_) -> DataFrame:
+    met = cells.pixels_within(layer, features.select("geom_id", "shape"), *grid) if shaped(features) else None
+    found = spatial.zonal_categories(features, layer, category_map, met)
     return found.select("geom_id", F.concat(F.lit(f"{name}_"), "class").alias("name"), F.col("n").cast("double").alias("value"))
 
 
@@ -66,13 +72,15 @@ def events_within(features: DataFrame, layer: DataFrame, name: str, field: str =
 
 @processor("polygons_weighted")
 def polygons_weighted(features: DataFrame, layer: DataFrame, name: str, outcome: str = "amount", **filters) -> DataFrame:
-    found = spatial.area_weighted(features, layer.where(spatial.filter_of(filters)), outcome)
+    weigh = cells.area_weighted_shapes if shaped(features) else spatial.area_weighted
+    found = weigh(features, layer.where(spatial.filter_of(filters)), outcome)
     return found.select("geom_id", F.lit(name).alias("name"), F.col("weighted").cast("double").alias("value"))
 
 
 @processor("boxes_overlapping")
 def boxes_overlapping(features: DataFrame, layer: DataFrame, name: str, **_) -> DataFrame:
-    counts = spatial.overlaps(layer, features).groupBy(F.col("r_geom_id").alias("geom_id")).agg(F.count(F.lit(1)).alias("value"))
+    pairs = cells.shape_overlaps(layer, features, "poly_id", "geom_id") if shaped(features) else spatial.overlaps(layer, features).withColumnRenamed("r_geom_id", "geom_id")
+    counts = pairs.groupBy("geom_id").agg(F.count(F.lit(1)).alias("value"))
     return features.select("geom_id").join(counts, "geom_id", "left").select("geom_id", F.lit(name).alias("name"), F.coalesce("value", F.lit(0)).cast("double").alias("value"))
 
 

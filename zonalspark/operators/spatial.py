@@ -77,11 +77,13 @@ def zonal_stats(features: DataFrame, pixels: DataFrame, by: list[str], nodata: C
     return found.agg(F.min("val").alias("min"), F.max("val").alias("max"), F.avg("val").alias("mean"), F.sum("val").alias("sum"), F.count("val").alias("count"))
 
 
-def zonal_categories(features: DataFrame, pixels: DataFrame, names: dict[str, str]) -> DataFrame:
+def zonal_categories(features: DataFrame, pixels: DataFrame, names: dict[str, str], met: DataFrame | None = None) -> DataFrame:
     """Pixels of each class in each feature, named by the mapping; mapped classes without pixels have 0, values outside the
-    mapping keep their own name. One row a feature and class."""
+    mapping keep their own name. One row a feature and class. met: pixels with the geom_id of their features, where these
+    are no boxes."""
     named = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), F.col("class")), F.col("class")) if names else F.col("class")
-    counts = within(pixels, features.select("geom_id", *BOX), "x", "y").groupBy("geom_id", named.alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    met = within(pixels, features.select("geom_id", *BOX), "x", "y") if met is None else met
+    counts = met.groupBy("geom_id", named.alias("class")).agg(F.count(F.lit(1)).alias("n"))
     every = features.select("geom_id", F.explode(F.array(*map(F.lit, sorted(set(names.values()))))).alias("class"))
     return every.join(counts, ["geom_id", "class"], "full").select("geom_id", "class", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -123,10 +125,21 @@ def whole_sum(value: Column, when: Column) -> Column:
     return F.coalesce(F.sum(number), F.lit(0.0)).cast("long")
 
 
+def located(points: DataFrame, features: DataFrame, x: str, y: str) -> DataFrame:
+    """points strictly within features, with geom_id: within their shapes, where features have a column shape, else their
+    boxes."""
+    if "shape" in features.columns:
+        from zonalspark.operators.cells import within_shapes
+
+        return within_shapes(points, features.select("geom_id", "shape"), x, y)
+    return within(points, features.select("geom_id", *BOX), x, y)
+
+
 def filter_aggregate(features: DataFrame, points: DataFrame, outcomes: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """One row a feature; a column for each outcome (value, predicate), in one aggregation. Features without points: 0."""
+    """One row a feature (box, or shape of any form); a column for each outcome (value, predicate), in one aggregation.
+    Features without points: 0."""
     marked = {f"w_{k}": v for k, (v, _) in outcomes.items()} | {f"p_{k}": p for k, (_, p) in outcomes.items()}
-    found = within(points.withColumns(marked), features.select("geom_id", *BOX), "lon", "lat").groupBy("geom_id")
+    found = located(points.withColumns(marked), features, "lon", "lat").groupBy("geom_id")
     sums = found.agg(*(whole_sum(F.col(f"w_{k}").cast("double"), F.col(f"p_{k}")).alias(k) for k in outcomes))
     return features.select("geom_id").join(sums, "geom_id", "left").fillna(0, list(outcomes))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from zonalspark.functions.scalar import MERCATOR
-from zonalspark.operators import cells, ingest, overlay, shapes
+from zonalspark.operators import cells, ingest, overlay, processors, shapes
 from zonalspark.operators.geometry import RING, box_ring
 from zonalspark.sources.fixtures import view, with_views
 from zonalspark.sources.shared import shared_dir
@@ -174,6 +174,38 @@ def triangle_weighted(s, d):
     return cells.area_weighted_shapes(feature_boxes(s, d), polys, "amount")
 
 
+AT_TRIANGLE = IN_TRIANGLE.replace("x >", "lon >").replace("(x -", "(lon -").replace("y >", "lat >").replace("(y -", "(lat -")
+SHARE = COMMON.replace("f.", "q.")
+
+
+@query(
+    "processor_shapes",
+    ", px AS (SELECT x, y, val, class FROM fx_pixels WHERE NOT is_nodata)"
+    + " SELECT poly_id AS geom_id, 'mean' AS name, round(avg(val), 4) AS value FROM fx_polys LEFT JOIN px ON {0} GROUP BY ALL UNION ALL SELECT poly_id, 'count', count(val) FROM fx_polys LEFT JOIN px ON {0} GROUP BY ALL".format(IN_TRIANGLE)
+    + f" UNION ALL SELECT poly_id, concat('class_', c), sum(n) FROM (SELECT poly_id, unnest(['low', 'none']) AS c, 0 AS n FROM fx_polys UNION ALL SELECT poly_id, CASE class WHEN '5-LOW' THEN 'low' ELSE class END, 1 FROM fx_polys JOIN px ON {IN_TRIANGLE}) GROUP BY ALL"
+    + f" UNION ALL SELECT poly_id, 'within', CAST(trunc(coalesce(sum(value), 0)) AS DOUBLE) FROM fx_polys LEFT JOIN fx_points ON {AT_TRIANGLE} GROUP BY ALL"
+    + f" UNION ALL SELECT poly_id, 'weighted', CAST(trunc(coalesce(sum(CAST(q.geom_id * (({SHARE}) * (p.maxx - p.minx) * (p.maxy - p.miny) / 400) AS DECIMAL(38, 9))), 0)) AS DOUBLE) FROM fx_polys p LEFT JOIN fx_features q ON ({SHARE}) * (p.maxx - p.minx) * (p.maxy - p.miny) > 1e-9 GROUP BY ALL"
+    + f" UNION ALL SELECT poly_id, 'overlapping', count(q.geom_id) FROM fx_polys p LEFT JOIN fx_features q ON ({SHARE}) * (p.maxx - p.minx) * (p.maxy - p.miny) > 1e-9 GROUP BY ALL",
+    "fx_polys",
+    "fx_features",
+    "fx_pixels",
+    "fx_points",
+)
+def processor_shapes(s, d):
+    """Statistics of the registry, by name, of features that are triangles."""
+    features = view(s, d, "fx_polys").select(F.col("poly_id").alias("geom_id"), triangle().alias("shape"))
+    pixels, events = view(s, d, "fx_pixels").where("not is_nodata"), view(s, d, "fx_points")
+    layer = feature_boxes(s, d).select(F.col("geom_id").alias("poly_id"), F.col("geom_id").cast("double").alias("amount"), "shape")
+    calls = [(f"raster_{k}", pixels, {"name": k, "grid": GRID}) for k in ("mean", "count")]
+    calls += [("raster_categorical", pixels, {"name": "class", "grid": GRID, "category_map": {"5-LOW": "low", "9-NONE": "none"}}), ("events_within", events, {"name": "within", "field": "value"})]
+    calls += [("polygons_weighted", layer, {"name": "weighted", "outcome": "amount"}), ("boxes_overlapping", layer, {"name": "overlapping"})]
+    out = None
+    for function, rows, arguments in calls:
+        found = processors.run(function, features, rows, **arguments).select("geom_id", "name", F.round("value", 4).alias("value"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 EDGE = 2 * MERCATOR / 16
 EAST = f"(CAST({{}} AS DOUBLE) * {MERCATOR!r}e0 / 180 + {MERCATOR!r}e0) / {EDGE!r}e0"
 SOUTH = f"({MERCATOR!r}e0 - ln(tan((90 + {{}}) * pi() / 360)) / (pi() / 180) * {MERCATOR!r}e0 / 180) / {EDGE!r}e0"
