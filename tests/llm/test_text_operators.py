@@ -490,6 +490,63 @@ def test_toxicity_scores_and_gradient_are_those_of_plain_versions():
         assert model.above(t) == pytest.approx([1 / (1 + math.exp(c - z)) for c in cuts])
 
 
+def test_toxicity_grades_and_steps_are_those_of_plain_versions(monkeypatch):
+    """Chosen features, grades and a few training steps, worked out one by one."""
+    r = random.Random(12)
+    texts = [" ".join(r.choice(WORDS[:9]) for _ in range(12)) + (" vile" * r.randint(1, 5) + " slur" * r.randint(0, 3) if k % 3 == 0 else "") for k in range(90)]
+    toxic = [int(k % 3 == 0) for k in range(90)]
+    found = [toxicity.words(t) for t in texts]
+    bad, good = sum(toxic), 90 - sum(toxic)
+    features = []
+    for f in sorted({f for x in found for f in x}):
+        a, b = (sum(f in x for x, y in zip(found, toxic, strict=True) if y == k) for k in (1, 0))
+        p = (a + b) / 90
+        if a + b >= max(3, bad // 50) and p < 1 and abs(a / bad - b / good) >= 5 * math.sqrt(p * (1 - p) * (1 / bad + 1 / good)):
+            features.append(f)
+    assert toxicity.chosen(found, toxic) == features and "vile" in features
+    marks = [f for f in features if sum(f in x for x, y in zip(found, toxic, strict=True) if y) / bad > sum(f in x for x, y in zip(found, toxic, strict=True) if not y) / good]
+    amount = [sum(1 + math.log(x[f]) for f in marks if f in x) for x in found]
+    ordered = sorted(a for a, y in zip(amount, toxic, strict=True) if y)
+
+    def quantile(q):
+        at = q * (len(ordered) - 1)
+        low = math.floor(at)
+        return ordered[low] + (at - low) * (ordered[min(low + 1, len(ordered) - 1)] - ordered[low])
+
+    want = [0 if not y else 1 + (a > quantile(1 / 3)) + (a > quantile(2 / 3)) for a, y in zip(amount, toxic, strict=True)]
+    assert toxicity.grades(found, toxic, features) == want and set(want) == {0, 1, 2, 3}
+    monkeypatch.setattr(toxicity, "STEPS", 3)
+    model = toxicity.train(texts, toxic)
+    at, mean, square = [0.0] * len(features) + [2.0, 0.0, 0.0], [0.0] * (len(features) + 3), [0.0] * (len(features) + 3)
+    for step in range(1, 4):
+        slope = [toxicity.DECAY * w for w in at[: len(features)]] + [0.0] * 3
+        gaps = [math.exp(at[-2]), math.exp(at[-1])]
+        cuts = [at[-3], at[-3] + gaps[0], at[-3] + sum(gaps)]
+        for x, g in zip(found, want, strict=True):
+            z = sum(at[i] * (1 + math.log(x[f])) for i, f in enumerate(features) if f in x)
+            for k, cut in enumerate(cuts):
+                wrong = 1 / (1 + math.exp(cut - z)) - (g > k)
+                for i, f in enumerate(features):
+                    slope[i] += wrong * (1 + math.log(x[f])) if f in x else 0.0
+                slope[-3] -= wrong
+                for j in range(2):
+                    slope[-2 + j] -= wrong * gaps[j] if k > j else 0.0
+        for i, g in enumerate(slope):
+            mean[i], square[i] = 0.9 * mean[i] + 0.1 * g, 0.99 * square[i] + 0.01 * g * g
+            at[i] -= toxicity.RATE * (mean[i] / (1 - 0.9**step)) / (math.sqrt(square[i] / (1 - 0.99**step)) + 1e-8)
+    assert [model.weights[f] for f in features] == pytest.approx(at[: len(features)], abs=1e-9)
+    assert model.thresholds == pytest.approx([at[-3], at[-3] + math.exp(at[-2]), at[-3] + math.exp(at[-2]) + math.exp(at[-1])])
+
+
+def test_toxicity_forgets_without_another_result(monkeypatch):
+    model = toxicity.Model({"vile": 1.0, "^bad": 0.5}, [0.0, 1.0, 2.0])
+    texts = ["vile words " + "x" * 300, "badly vile badness", "", "vile " * 40, text(50, 3)]
+    want = [model.above(t) for t in texts]
+    assert max(map(len, model.known)) <= toxicity.LONG and model.held == sum(map(len, model.known))
+    monkeypatch.setattr(toxicity, "HELD", 4)
+    assert [model.above(t) for t in texts * 2] == want * 2 and model.held <= 4 + toxicity.LONG
+
+
 def test_toxicity_on_held_out(spark, docs, nothing):
     own, labels = labelled(spark, "grumblefoul")
     model = toxicity.fit(own, labels)
