@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from zonalspark.functions.scalar import formula
-from zonalspark.operators import breaks, control, geometry, ingest, processors, regions, shapes, spatial
+from zonalspark.operators import breaks, control, geometry, ingest, processors, regions, shapes, spatial, upkeep
 from zonalspark.plans.relational_queries import QUERIES
 from zonalspark.sources.fixtures import view
 from zonalspark.sources.vector import read_geojson, write_csv, write_geojson
@@ -249,3 +249,20 @@ def test_sweep_of_a_long_ring(spark):
 def test_simplify_keeps_corners():
     line = np.array([(x / 10, 0.0) for x in range(11)] + [(1.0, 1.0)])
     assert geometry.simplify_points(line, 0.01).tolist() == [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0]]
+
+
+def test_coverages_keep_rows_without_a_ring(spark):
+    box = [{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 0.0}, {"x": 1.0, "y": 1.0}, {"x": 0.0, "y": 1.0}]
+    rows = spark.createDataFrame([(1, 1, box), (2, 1, None), (3, 1, [])], f"k int, grp int, ring {geometry.RING}")
+    assert sorted((r.k, r.ring and len(r.ring)) for r in geometry.coverage_simplified(rows, "k", "grp", "ring", 0.1).collect()) == [(1, 4), (2, None), (3, [])]
+
+
+def test_quartiles_of_one_large_group_are_spread(spark):
+    """Quantiles between two values, with ties, nulls and a group of one value; a null group is a group too."""
+    r = random.Random(8)
+    rows = [("hot", float(r.randint(0, 300))) for _ in range(3000)] + [("one", 4.0)] + [("two", 1.0), ("two", 2.0), (None, 5.0), (None, 7.0), ("none", None)]
+    frame = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {x.g: (x.q1, x.q2, x.q3) for x in upkeep.quartiles(frame, "g", "v").collect()}
+    want = {g: tuple(np.quantile([v for k, v in rows if k == g], (0.25, 0.5, 0.75))) for g in ("hot", "one", "two", None)}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
+    assert {x.g: x.n for x in upkeep.five_numbers(frame, "g", "v").collect()} == {"hot": 3000, "one": 1, "two": 2, None: 2, "none": 0}

@@ -266,3 +266,25 @@ def test_shapes_of_nothing(spark):
     assert overlay.union_shapes(none.withColumnRenamed("geom_id", "grp"), "grp").count() == 0
     assert cells.covering(none).count() == 0 and shapes.encoded(none).count() == 0
     assert pa.types.is_list(shapes.shapes_out([]).type)
+
+
+def test_union_of_a_coverage_with_crooked_borders(spark):
+    """Cells of a bent grid whose borders have many shared places: one ring is left, none of the inner borders."""
+    r, n, borders = random.Random(5), 6, {}
+    corner = {(i, j): (i * 3 + r.uniform(-1, 1) + 0.123456789012, j * 3 + r.uniform(-1, 1)) for i in range(n + 1) for j in range(n + 1)}
+
+    def border(a, b):
+        low, high = min(a, b), max(a, b)
+        if (low, high) not in borders:
+            p, q = corner[low], corner[high]
+            borders[low, high] = [(p[0] + (q[0] - p[0]) * t + r.uniform(-0.2, 0.2), p[1] + (q[1] - p[1]) * t + r.uniform(-0.2, 0.2)) for t in (0.25, 0.5, 0.75)]
+        return borders[low, high][:: 1 if low == a else -1]
+
+    cells_of = []
+    for i in range(n):
+        for j in range(n):
+            round_ = [(i, j), (i + 1, j), (i + 1, j + 1), (i, j + 1)]
+            cells_of.append([[[v for a, b in zip(round_, [*round_[1:], round_[0]], strict=True) for v in (corner[a], *border(a, b))]]])
+    rings = union_of(spark, [(1, s) for s in cells_of], size=float(1 << 32), sides=60)[1]
+    assert [(len(ring), hole) for ring, hole in rings] == [(n * 4 * 4, False)]
+    assert area_of(rings) == pytest.approx(sum(shapes.signed_area(np.array(s[0][0])) for s in cells_of), abs=1e-6)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonalspark.operators.spatial import bounded
-from zonalspark.operators.upkeep import five_numbers
+from zonalspark.operators.upkeep import quartiles
 from zonalspark.sources.shared import written
 
 
@@ -63,7 +63,7 @@ def class_of(value: Column, breaks: list[float]) -> Column:
 
 def box_plot(rows: DataFrame, by: str, value: str) -> DataFrame:
     """by, q1, median, q3, low, high (last values within 1.5 times the quartiles' distance), n_outliers."""
-    quarters = bounded(five_numbers(rows, by, value).select(by, "q1", F.col("q2").alias("median"), "q3"))
+    quarters = bounded(quartiles(rows, by, value).withColumnRenamed("q2", "median"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     return rows.join(quarters, by).groupBy(by, "q1", "median", "q3").agg(F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"), F.count_if(~inside).alias("n_outliers"))

@@ -89,7 +89,8 @@ def simplified(rows: DataFrame, ring: str, tolerance: float) -> DataFrame:
 def coverage_simplified(rows: DataFrame, key: str, by: str, ring: str, tolerance: float) -> DataFrame:
     """rows(key, by, ring) with the rings of a collection (by) simplified so that borders that two of them share stay the
     same: points where more than two lines of a collection meet stay, and what lies between them is simplified in one
-    direction, whichever ring it is of. Points meet by their coordinates in a shuffle; no collection is gathered."""
+    direction, whichever ring it is of. Points meet by their coordinates in a shuffle; no collection is gathered. Null and
+    empty rings stay as they are."""
     n = F.size(ring)
     near = lambda i: F.get(F.col(ring), F.pmod(i, n))
     points = rows.select(key, by, F.explode(F.transform(F.col(ring), lambda p, i: F.struct(i.alias("i"), p.alias("p"), F.array(near(i - 1), near(i + 1)).alias("near")))).alias("v")).select(key, by, "v.*")
@@ -117,7 +118,8 @@ def coverage_simplified(rows: DataFrame, key: str, by: str, ring: str, tolerance
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(map(shorten, batch.column(2).to_pylist()), kind)], names=[key, by, ring])
 
     kinds = dict(rows.dtypes)
-    return rings.mapInArrow(run, f"{key} {kinds[key]}, {by} {kinds[by]}, {ring} {RING}")
+    done = rings.mapInArrow(run, f"{key} {kinds[key]}, {by} {kinds[by]}, {ring} {RING}")
+    return done.unionByName(rows.where(F.coalesce(n, F.lit(0)) <= 0).select(key, by, F.col(ring).cast(RING).alias(ring)))
 
 
 def tile_of(lon: Column, lat: Column, zoom: int) -> tuple[Column, Column]:

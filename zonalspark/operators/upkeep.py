@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonalspark.operators.spatial import bounded
+from zonalspark.sources.shared import written
 
 
 def encoded(rows: DataFrame, kind: Column, value: Column, text: Column) -> DataFrame:
@@ -68,11 +69,34 @@ def extremes(rows: DataFrame, value: str, order: str, n: int) -> DataFrame:
     return reduce(DataFrame.unionByName, [rows.orderBy(o, order).limit(n).withColumn("side", F.lit(side)) for side, o in sides.items()])
 
 
-def five_numbers(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Count, mean, deviation, extremes and exact quartiles of each group. Values are counted first, so a large group
-    comes to its task as distinct values with their frequency."""
-    v, k = F.col(value), F.col("_k")
+def quartiles(rows: DataFrame, by: str, value: str, shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """by, q1, q2, ...: exact quantiles of each group, between two values in proportion. Values are counted, the distinct ones
+    are put in order range by range, and a rank is looked up where the counts of the values before say that it is: no task
+    holds a group. Ranges are written, since they are read twice and must be the same both times."""
+    v = F.col(value)
     counted = rows.where(v.isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_k"))
-    quartiles = F.percentile(v, F.array(*map(F.lit, (0.25, 0.5, 0.75))), k)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts, _ = written(counted.repartitionByRange(n, by, value).withColumn("_part", F.spark_partition_id()), "quartiles")
+    of = Window.partitionBy("_by")
+    held = parts.groupBy(F.col(by).alias("_by"), F.col("_part").alias("_at")).agg(F.sum("_k").alias("_held"))
+    before = held.select("_by", "_at", (F.sum("_held").over(of.orderBy("_at")) - F.col("_held")).alias("_before"), F.sum("_held").over(of).alias("_all"))
+    both = parts.join(bounded(before), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_at")))
+    within = Window.partitionBy("_part", by).orderBy(value)
+    ends = both.withColumn("_end", F.col("_before") + F.sum("_k").over(within))
+    first = F.col("_end") - F.col("_k")
+    place = lambda q: (F.col("_all") - 1) * F.lit(q)
+    at = lambda rank: F.max(F.when((first <= rank) & (rank < F.col("_end")), v))
+    found = ends.groupBy(by).agg(F.first("_all").alias("_all"), *(at(f(place(q))).alias(f"_{name}{k}") for k, q in enumerate(shares) for f, name in ((F.floor, "low"), (F.ceil, "high"))))
+
+    def between(k: int, q: float) -> Column:
+        low, high, rest = F.col(f"_low{k}"), F.col(f"_high{k}"), place(q) - F.floor(place(q))
+        return F.when(low == high, low.cast("double")).otherwise((1 - rest) * low + rest * high)
+
+    return found.select(by, *(between(k, q).alias(f"q{k + 1}") for k, q in enumerate(shares)))
+
+
+def five_numbers(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """Count, mean, deviation, extremes and exact quartiles of each group."""
+    v = F.col(value)
     moments = rows.groupBy(by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"))
-    return moments.join(counted.groupBy(by).agg(quartiles.alias("_q")), by, "left").withColumns({f"q{i + 1}": F.col("_q")[i] for i in range(3)}).drop("_q")
+    return moments.join(quartiles(rows, by, value).withColumnRenamed(by, "_of"), F.col(by).eqNullSafe(F.col("_of")), "left").drop("_of")
