@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from zonalspark.functions.scalar import formula
-from zonalspark.operators import breaks, control, geometry, ingest, processors, regions, shapes, spatial, upkeep
+from zonalspark.operators import breaks, charts, control, geometry, ingest, processors, regions, shapes, spatial, upkeep
 from zonalspark.plans.relational_queries import QUERIES
 from zonalspark.sources.fixtures import view
 from zonalspark.sources.vector import read_geojson, write_csv, write_geojson

@@ -183,7 +183,7 @@ def raster_sql(stat: str, value: str) -> str:
 @query(
     "processor_dispatch",
     ", px AS (SELECT x, y, val, class FROM fx_pixels WHERE NOT is_nodata) "
-    + " UNION ALL ".join([raster_sql("min", "min(val)"), raster_sql("max", "max(val)"), raster_sql("mean", "avg(val)"), raster_sql("sum", "sum(val)"), raster_sql("count", "count(val)")])
+    + " UNION ALL ".join([raster_sql("min", "min(val)"), raster_sql("max", "max(val)"), raster_sql("mean", "avg(val) + 1e-7"), raster_sql("sum", "sum(val)"), raster_sql("count", "count(val)")])
     + f" UNION ALL SELECT geom_id, concat('class_', c), CAST(sum(n) AS DOUBLE) FROM (SELECT geom_id, unnest(['low', 'none']) AS c, 0 AS n FROM fx_features UNION ALL SELECT geom_id, CASE class WHEN '5-LOW' THEN 'low' ELSE class END, 1 FROM fx_features JOIN px ON {IN_BOX}) GROUP BY geom_id, c"
     + f" UNION ALL SELECT geom_id, concat('events_{DIGEST}_', k), CAST(count(event_id) AS DOUBLE) FROM fx_features CROSS JOIN (SELECT unnest(['click', 'view']) AS k) LEFT JOIN fx_points ON {AT_BOX} AND event_type = k AND value BETWEEN 5 AND 90 GROUP BY geom_id, k"
     + f" UNION ALL SELECT geom_id, 'within', CAST(trunc(coalesce(sum(value), 0)) AS DOUBLE) FROM fx_features LEFT JOIN fx_points ON {AT_BOX} GROUP BY geom_id"
@@ -195,7 +195,8 @@ def raster_sql(stat: str, value: str) -> str:
     "fx_polys",
 )
 def processor_dispatch(s, d):
-    """Every statistic of the registry by its name, with the arguments of an option and of a task."""
+    """Every statistic of the registry by its name, with the arguments of an option and of a task. Means of eight prices may
+    end in half of the last digit, so a little is added before they are rounded."""
     features, events, polys = (view(s, d, f"fx_{n}") for n in ("features", "points", "polys"))
     pixels = view(s, d, "fx_pixels").where("not is_nodata")
     calls = [(f"raster_{k}", pixels, processors.arguments(k, None, None)) for k in ("min", "max", "mean", "sum", "count")]
@@ -203,6 +204,6 @@ def processor_dispatch(s, d):
     calls += [("events_within", events, processors.arguments("other", {"name": "within", "field": "value"}, None)), ("polygons_weighted", polys, processors.arguments("weighted", {"outcome": "amount"}, None)), ("boxes_overlapping", polys, processors.arguments("overlapping", None, None))]
     out = None
     for function, layer, arguments in calls:
-        found = processors.run(function, features, layer, **arguments).select("geom_id", "name", F.round("value", 4).alias("value"))
+        found = processors.run(function, features, layer, **arguments).select("geom_id", "name", F.round(F.col("value") + 1e-7, 4).alias("value"))
         out = found if out is None else out.unionByName(found)
     return out

@@ -181,7 +181,7 @@ SHARE = COMMON.replace("f.", "q.")
 @query(
     "processor_shapes",
     ", px AS (SELECT x, y, val, class FROM fx_pixels WHERE NOT is_nodata)"
-    + " SELECT poly_id AS geom_id, 'mean' AS name, round(avg(val), 4) AS value FROM fx_polys LEFT JOIN px ON {0} GROUP BY ALL UNION ALL SELECT poly_id, 'count', count(val) FROM fx_polys LEFT JOIN px ON {0} GROUP BY ALL".format(IN_TRIANGLE)
+    + " SELECT poly_id AS geom_id, 'mean' AS name, round(avg(val) + 1e-7, 4) AS value FROM fx_polys LEFT JOIN px ON {0} GROUP BY ALL UNION ALL SELECT poly_id, 'count', count(val) FROM fx_polys LEFT JOIN px ON {0} GROUP BY ALL".format(IN_TRIANGLE)
     + f" UNION ALL SELECT poly_id, concat('class_', c), sum(n) FROM (SELECT poly_id, unnest(['low', 'none']) AS c, 0 AS n FROM fx_polys UNION ALL SELECT poly_id, CASE class WHEN '5-LOW' THEN 'low' ELSE class END, 1 FROM fx_polys JOIN px ON {IN_TRIANGLE}) GROUP BY ALL"
     + f" UNION ALL SELECT poly_id, 'within', CAST(trunc(coalesce(sum(value), 0)) AS DOUBLE) FROM fx_polys LEFT JOIN fx_points ON {AT_TRIANGLE} GROUP BY ALL"
     + f" UNION ALL SELECT poly_id, 'weighted', CAST(trunc(coalesce(sum(CAST(q.geom_id * (({SHARE}) * (p.maxx - p.minx) * (p.maxy - p.miny) / 400) AS DECIMAL(38, 9))), 0)) AS DOUBLE) FROM fx_polys p LEFT JOIN fx_features q ON ({SHARE}) * (p.maxx - p.minx) * (p.maxy - p.miny) > 1e-9 GROUP BY ALL"
@@ -201,7 +201,7 @@ def processor_shapes(s, d):
     calls += [("polygons_weighted", layer, {"name": "weighted", "outcome": "amount"}), ("boxes_overlapping", layer, {"name": "overlapping"})]
     out = None
     for function, rows, arguments in calls:
-        found = processors.run(function, features, rows, **arguments).select("geom_id", "name", F.round("value", 4).alias("value"))
+        found = processors.run(function, features, rows, **arguments).select("geom_id", "name", F.round(F.col("value") + 1e-7, 4).alias("value"))
         out = found if out is None else out.unionByName(found)
     return out
 
