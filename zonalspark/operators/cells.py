@@ -18,7 +18,7 @@ from zonalspark.operators.spatial import bounded
 from zonalspark.sources.shared import written
 
 #: Edge of a coarse cell in degrees; sides of a cell beyond which it is split, and how often at most.
-CELL, SIDES, DEPTH = 8.0, 24, 8
+CELL, SIDES, DEPTH = 4.0, 24, 8
 #: Columns of a raster that one key of the join of pixels spans.
 BLOCK = 64
 
@@ -149,7 +149,8 @@ def within_shapes(points: DataFrame, shapes: DataFrame, x: str, y: str, key: str
     Points meet the shapes' cells by an equi-join on level and cell. In a cell that its shape fills a point is inside
     without a test, in others it is tested against the few sides that the cell has. Points on the line between two cells
     are tested against the whole shape. Keys are unique and not null."""
-    cells, _ = written(covering(shapes.select(key, "shape"), size, sides, depth), "covering")
+    box = dict(zip(("_w", "_s", "_e", "_n"), shape_bounds(F.col("shape")), strict=True))
+    cells, _ = written(covering(shapes.select(key, "shape"), size, sides, depth).withColumns(box), "covering")
     levels = sorted(r.level for r in cells.select("level").distinct().collect())
     cell = lambda v, level: F.floor(F.col(v) / F.lit(size / (1 << level))).cast("long")
     kind = "array<struct<level:int,cx:bigint,cy:bigint>>"
@@ -157,7 +158,8 @@ def within_shapes(points: DataFrame, shapes: DataFrame, x: str, y: str, key: str
     dealt = points.withColumn("_at", F.explode(at)).select(*points.columns, "_at.level", "_at.cx", "_at.cy")
     edge = F.lit(size) / F.pow(F.lit(2.0), F.col("level"))
     rim = (F.col(x) == F.col("cx") * edge) | (F.col(y) == F.col("cy") * edge)
-    met = dealt.join(bounded(cells), ["level", "cx", "cy"])
+    near = (F.col(x) >= F.col("_w")) & (F.col(x) <= F.col("_e")) & (F.col(y) >= F.col("_s")) & (F.col(y) <= F.col("_n"))
+    met = dealt.join(bounded(cells), ["level", "cx", "cy"]).where(near)
     inner = met.where(~rim & (F.col("whole") | strictly_within(F.col(x), F.col(y), F.col("shape"))))
     # a shape with such a point inside reaches into the cell that the point is dealt to, so none is missed
     tested = met.where(rim).drop("shape").join(bounded(shapes.select(key, "shape")), key).where(strictly_within(F.col(x), F.col(y), F.col("shape")))
