@@ -22,7 +22,7 @@ from itertools import chain, groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from zonalspark.llm.common import pack, read, stored, trimmed, unpack
@@ -546,6 +546,15 @@ def cut_out(rows: DataFrame) -> DataFrame:
     return rows.select("text", "whole", "spans", "own").mapInArrow(trimmed(run), schema).select("own.*", *schema.names[1:])
 
 
+def stretches(repeats: DataFrame) -> DataFrame:
+    """repeats(sig, a, b) with those of a run that touch or overlap as one, so a run that is in very many places meets them with
+    few rows. A run has WIDTH of them at most."""
+    own = Window.partitionBy("sig").orderBy("a", "b")
+    reach = F.max("b").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    marked = repeats.withColumn("new", F.coalesce((F.col("a") > reach + 1).cast("int"), F.lit(1)))
+    return marked.withColumn("stretch", F.sum("new").over(own)).groupBy("sig", "stretch").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("stretch")
+
+
 def dedup(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns keep, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the bytes left) of every row.
 
@@ -564,7 +573,7 @@ def dedup(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     often = spread.groupBy("w1", "w2").agg(F.sum("k").alias("n")).where("n > 1").select("w1", "w2")
     repeats = verdicts.where("w1 is null").select("sig", "a", "b").unionByName(spread.join(often, ["w1", "w2"]).select("sig", "a", F.col("a").alias("b")))
     places = found.where("place is not null").select("sig", "d1", "d2", "place").distinct()
-    spans = places.join(repeats.distinct(), "sig").groupBy("d1", "d2").agg(F.collect_list(F.struct((F.col("place") - F.col("b")).alias("a"), (F.col("place") - F.col("a") + LENGTH).alias("b"))).alias("spans"))
+    spans = places.join(stretches(repeats.distinct()), "sig").groupBy("d1", "d2").agg(F.collect_list(F.struct((F.col("place") - F.col("b")).alias("a"), (F.col("place") - F.col("a") + LENGTH).alias("b"))).alias("spans"))
     copies = rows.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2", F.lit(True).alias("whole"))
     marks = spans.join(copies, ["d1", "d2"], "full").withColumn("whole", F.coalesce("whole", F.lit(False)))
     return cut_out(rows.join(marks, ["d1", "d2"], "left"))
