@@ -72,7 +72,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_no")
     first = linked.groupBy("component_id").agg(F.min_by("row_no", order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = linked.join(first, "component_id").where("row_no <> first").select("row_no")
-    blank = stored(rows.join(groups.where("n_shingles = 0").select("row_no"), "row_no"), "blank")
+    wordless = stored(groups.where("n_shingles = 0").select("row_no"), "wordless")
+    blank = stored(rows.join(F.broadcast(wordless) if wordless.count() <= BROADCAST else wordless, "row_no"), "blank")
     again = blank.select("row_no").join(blank.groupBy(*COLUMNS).agg(F.min("row_no").alias("row_no")).select("row_no"), "row_no", "left_anti")
     return without(rows, copies.union(again))
 
