@@ -43,8 +43,11 @@ for stat in ("min", "max", "mean", "sum", "count"):
 
 @processor("raster_categorical")
 def raster_categorical(features: DataFrame, layer: DataFrame, name: str, category_map: dict[str, str], grid=None, **_) -> DataFrame:
-    met = cells.pixels_within(layer, features.select("geom_id", "shape"), *grid) if shaped(features) else None
-    found = spatial.zonal_categories(features, layer, category_map, met)
+    if shaped(features):
+        members, once = cells.forms(features.select("geom_id", "shape"), "geom_id")
+        found = cells.of_forms(members, spatial.zonal_categories(once, layer, category_map, cells.pixels_within(layer, once, *grid)), "geom_id")
+    else:
+        found = spatial.zonal_categories(features, layer, category_map)
     return found.select("geom_id", F.concat(F.lit(f"{name}_"), "class").alias("name"), F.col("n").cast("double").alias("value"))
 
 
@@ -79,8 +82,10 @@ def polygons_weighted(features: DataFrame, layer: DataFrame, name: str, outcome:
 
 @processor("boxes_overlapping")
 def boxes_overlapping(features: DataFrame, layer: DataFrame, name: str, **_) -> DataFrame:
-    pairs = cells.shape_overlaps(layer, features, "poly_id", "geom_id") if shaped(features) else spatial.overlaps(layer, features).withColumnRenamed("r_geom_id", "geom_id")
-    counts = pairs.groupBy("geom_id").agg(F.count(F.lit(1)).alias("value"))
+    if shaped(features):
+        counts = cells.overlap_counts(layer, features, "poly_id", "geom_id")
+    else:
+        counts = spatial.overlaps(layer, features).groupBy(F.col("r_geom_id").alias("geom_id")).agg(F.count(F.lit(1)).alias("value"))
     return features.select("geom_id").join(counts, "geom_id", "left").select("geom_id", F.lit(name).alias("name"), F.coalesce("value", F.lit(0)).cast("double").alias("value"))
 
 

@@ -137,11 +137,15 @@ def located(points: DataFrame, features: DataFrame, x: str, y: str) -> DataFrame
 
 def filter_aggregate(features: DataFrame, points: DataFrame, outcomes: dict[str, tuple[Column, Column]]) -> DataFrame:
     """One row a feature (box, or shape of any form); a column for each outcome (value, predicate), in one aggregation.
-    Features without points: 0."""
+    Features without points: 0. Points meet equal shapes once."""
+    from zonalspark.operators.cells import forms, of_forms
+
     marked = {f"w_{k}": v for k, (v, _) in outcomes.items()} | {f"p_{k}": p for k, (_, p) in outcomes.items()}
-    found = located(points.withColumns(marked), features, "lon", "lat").groupBy("geom_id")
+    members, once = forms(features.select("geom_id", "shape"), "geom_id") if "shape" in features.columns else (None, features)
+    found = located(points.withColumns(marked), once, "lon", "lat").groupBy("geom_id")
     sums = found.agg(*(whole_sum(F.col(f"w_{k}").cast("double"), F.col(f"p_{k}")).alias(k) for k in outcomes))
-    return features.select("geom_id").join(sums, "geom_id", "left").fillna(0, list(outcomes))
+    every = of_forms(members, sums, "geom_id", "left") if members else features.select("geom_id").join(sums, "geom_id", "left")
+    return every.fillna(0, list(outcomes))
 
 
 def area_weighted(features: DataFrame, polys: DataFrame, value: str) -> DataFrame:
