@@ -52,3 +52,12 @@ def test_statistics_by_name_join_each_shape_once(spark, rows, monkeypatch):
     assert (got[box], got[cut], got[none]) == (5, 5, 0)
     assert {n for n, _ in held} == {"within_shapes", "pixels_within", "form_overlaps"}
     assert all(max(sizes) <= 2 for _, sizes in held)
+
+
+def test_query_of_points_joins_different_triangles_only(spark, monkeypatch):
+    from zonalspark.plans import geometry_queries
+
+    held = []
+    counted(monkeypatch, geometry_queries, "within_shapes", held)
+    assert geometry_queries.points_in_triangles(spark, "/root/testdata/sf0.1").columns == ["poly_id", "n", "total"]
+    assert held == [("within_shapes", [180])]  # of 1,000

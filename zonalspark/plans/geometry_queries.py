@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from zonalspark.functions.scalar import MERCATOR
 from zonalspark.operators import geometry as G
-from zonalspark.operators.cells import within_shapes
+from zonalspark.operators.cells import forms, of_forms, within_shapes
 from zonalspark.operators.overlay import union_shapes
 from zonalspark.operators.shapes import crossed
 from zonalspark.sources.fixtures import view, with_views
@@ -104,8 +104,9 @@ def points_in_triangles(s, d):
     at = lambda x, y: F.struct((F.col(x) + 0.0033).alias("x"), (F.col(y) + 0.0017).alias("y"))
     regions = view(s, d, "fx_polys").select(F.col("poly_id").alias("geom_id"), F.array(F.array(F.array(at("minx", "miny"), at("maxx", "miny"), at("minx", "maxy")))).alias("shape"))
     points = view(s, d, "fx_points").select("event_id", F.col("value").cast("decimal(18,4)").alias("value"), "lon", "lat")
-    found = within_shapes(points, regions, "lon", "lat").groupBy("geom_id").agg(F.count("event_id").alias("n"), F.sum("value").alias("total"))
-    every = regions.select("geom_id").join(found, "geom_id", "left")
+    members, once = forms(regions, "geom_id")
+    found = within_shapes(points, once, "lon", "lat").groupBy("geom_id").agg(F.count("event_id").alias("n"), F.sum("value").alias("total"))
+    every = of_forms(members, found, "geom_id", "left")
     return every.select(F.col("geom_id").alias("poly_id"), F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("total", F.lit(0)).cast("double"), 4).alias("total"))
 
 
