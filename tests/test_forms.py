@@ -61,3 +61,14 @@ def test_query_of_points_joins_different_triangles_only(spark, monkeypatch):
     counted(monkeypatch, geometry_queries, "within_shapes", held)
     assert geometry_queries.points_in_triangles(spark, "/root/testdata/sf0.1").columns == ["poly_id", "n", "total"]
     assert held == [("within_shapes", [180])]  # of 1,000
+
+
+def test_zonal_statistics_join_each_shape_once(spark, rows, monkeypatch):
+    held = []
+    counted(monkeypatch, cells, "pixels_within", held)
+    pixels = spark.range(64).select((F.col("id") % 8 + 0.5).alias("x"), (F.floor(F.col("id") / 8) + 0.5).alias("y"), F.lit(2.0).alias("val"), (F.col("id") % 8 < 2).alias("west"))
+    got = {x.geom_id: (x["count"], x["sum"]) for x in cells.zonal_shapes(rows, pixels, GRID).collect()}
+    assert len(got) == COPIES + 1 and (got[0], got[1], got[COPIES]) == ((15, 30.0), (16, 32.0), (0, None))
+    got = {(x.geom_id, x.west): x["count"] for x in cells.zonal_shapes(rows, pixels, GRID, ["west"]).collect()}
+    assert len(got) == 2 * COPIES and (got[1, True], got[1, False]) == (8, 8)
+    assert all(max(sizes) <= 2 for _, sizes in held) and held
