@@ -72,3 +72,15 @@ def test_zonal_statistics_join_each_shape_once(spark, rows, monkeypatch):
     got = {(x.geom_id, x.west): x["count"] for x in cells.zonal_shapes(rows, pixels, GRID, ["west"]).collect()}
     assert len(got) == 2 * COPIES and (got[1, True], got[1, False]) == (8, 8)
     assert all(max(sizes) <= 2 for _, sizes in held) and held
+
+
+def test_weights_of_equal_polygons_keep_their_own_values(spark, rows, monkeypatch):
+    held = []
+    counted(monkeypatch, cells, "form_overlaps", held)
+    features = frame(spark, [(1, [BOX]), (2, [BOX]), (3, None)])
+    polys = rows.select(F.col("geom_id").alias("poly_id"), "shape").withColumn("amount", F.col("poly_id") * 18.0)
+    got = {x.geom_id: x.weighted for x in cells.area_weighted_shapes(features, polys, "amount").collect()}
+    # triangles have 14 of 18 inside
+    whole = sum(k * 18 if k % 2 else k * 14 for k in range(COPIES))
+    assert got[1] == got[2] and abs(got[1] - whole) <= 1 and got[3] == 0
+    assert held == [("form_overlaps", [2, 1])]
