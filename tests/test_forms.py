@@ -84,3 +84,12 @@ def test_weights_of_equal_polygons_keep_their_own_values(spark, rows, monkeypatc
     whole = sum(k * 18 if k % 2 else k * 14 for k in range(COPIES))
     assert got[1] == got[2] and abs(got[1] - whole) <= 1 and got[3] == 0
     assert held == [("form_overlaps", [2, 1])]
+
+
+def test_shared_areas_are_worked_out_once(spark, rows, monkeypatch):
+    held = []
+    counted(monkeypatch, cells, "form_overlaps", held)
+    layer = frame(spark, [(k, [BOX]) for k in range(5)] + [(9, [[[(90, 0), (91, 0), (91, 1)]]])], "poly_id long")
+    got = {(x.poly_id, x.geom_id): x.area for x in cells.shape_overlaps(layer, rows, "poly_id", "geom_id").collect()}
+    assert got == {(p, k): 16.0 if k % 2 else 14.0 for p in range(5) for k in range(COPIES)}
+    assert held == [("form_overlaps", [2, 2])]
