@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_shapes import BOX, frame
 
-from zonalspark.operators import cells, overlay, processors
+from zonalspark.operators import cells, overlay, processors, shapes
 
 COPIES, GRID = 40, (0.0, 0.0, 1.0, 1.0)
 CUT = [[(0, 0), (6, 0), (0, 6)]]
@@ -107,3 +107,15 @@ def test_equal_shapes_are_widened_once(spark, monkeypatch):
     assert all(rings[k] == rings[k % 2] for k in range(COPIES) if k != 3)
     assert rings[3] != rings[1]  # a line, of equal points, is another form
     assert len(held) == 1 and held[0][1][0] < 40
+
+
+def test_groups_of_the_same_shapes_are_united_once(spark, monkeypatch):
+    held = []
+    counted(monkeypatch, overlay, "united", held)
+    far = [[(2, 2), (9, 2), (9, 3), (2, 3)]]
+    sets = [[BOX], [BOX, far], [far, BOX, BOX], [far]]
+    rows = [(k, [s]) for k in range(COPIES) for s in sets[k % 4]] + [(None, [far]), (None, [BOX]), (COPIES, None)]
+    got = {x.grp: (x.n, x.area) for x in overlay.union_shapes(frame(spark, rows, "grp long").repartition(3), "grp").groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(shapes.crossed(F.col("ring")) / 2), 6).alias("area")).collect()}
+    area = {0: 16.0, 1: 21.0, 2: 21.0, 3: 7.0}
+    assert got == {k: (1, area[k % 4]) for k in range(COPIES)} | {None: (1, 21.0)}
+    assert held == [("united", [4])]  # one box, one strip, and both
