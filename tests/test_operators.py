@@ -266,3 +266,16 @@ def test_quartiles_of_one_large_group_are_spread(spark):
     want = {g: tuple(np.quantile([v for k, v in rows if k == g], (0.25, 0.5, 0.75))) for g in ("hot", "one", "two", None)}
     assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
     assert {x.g: x.n for x in upkeep.five_numbers(frame, "g", "v").collect()} == {"hot": 3000, "one": 1, "two": 2, None: 2, "none": 0}
+
+
+def test_unmet_keys_with_nulls_in_parts_of_bounded_size(spark):
+    rows = [(1, "a", 0), (1, "a", 1), (2, "a", 0), (2, "a", None), (3, None, 1), (None, "a", 1), (None, "a", 0), (4, "b", -1)]
+    tasks = spark.createDataFrame(rows, "req_id long, po_name string, status int")
+    keys = ["req_id", "po_name"]
+    tasks.createOrReplaceTempView("unmet_tasks")
+    told = spark.sql("SELECT DISTINCT req_id, po_name FROM unmet_tasks t WHERE NOT EXISTS (SELECT 1 FROM unmet_tasks k WHERE k.req_id = t.req_id AND k.po_name = t.po_name AND k.status = 1)")
+    got = control.unmet(tasks, keys, F.col("status") == 1)
+    assert sorted(map(str, got.collect())) == sorted(map(str, told.collect()))
+    many = control.unmet(spark.range(2000).withColumn("status", F.lit(0)), ["id"], F.col("status") == 1, 100)
+    assert many.count() == 2000
+    assert many.rdd.getNumPartitions() == 20

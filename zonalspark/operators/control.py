@@ -26,6 +26,16 @@ def missing(candidates: DataFrame, known: DataFrame, keys: list[str]) -> DataFra
     return candidates.join(known.select(*keys).distinct(), keys, "left_anti")
 
 
+def unmet(rows: DataFrame, keys: list[str], met: Column, held: int = 500_000) -> DataFrame:
+    """Distinct keys of which no row is met; as in SQL, keys with a null equal no others and stay. Rows are dealt by key into as
+    many partitions as have about `held` of them each, and one pass over each tells, so a task's memory doesn't grow."""
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // held))
+    known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys), F.coalesce(met, F.lit(False)))
+    dealt = rows.select(*keys, known.alias("_met")).repartition(n, *keys)
+    return dealt.groupBy(*keys).agg(F.max("_met").alias("_met")).where("not _met").drop("_met")
+
+
 def queue(tasks: DataFrame, n: int, order: list[Column], available: Column) -> DataFrame:
     """The first n available tasks. A top-k: partitions keep n rows each, no whole sort."""
     return tasks.where(available).orderBy(*order).limit(n)

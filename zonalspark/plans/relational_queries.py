@@ -34,8 +34,7 @@ def task_candidates(s, d):
 
 @query("task_new_only", "SELECT DISTINCT req_id, geom_id, label, po_name FROM fx_tasks t WHERE NOT EXISTS (SELECT 1 FROM fx_tasks k WHERE k.req_id = t.req_id AND k.geom_id = t.geom_id AND k.label = t.label AND k.po_name = t.po_name AND k.status = 1)", "fx_tasks")
 def task_new_only(s, d):
-    tasks, keys = view(s, d, "fx_tasks"), ["req_id", "geom_id", "label", "po_name"]
-    return control.missing(tasks.select(*keys).distinct(), tasks.where("status = 1"), keys)
+    return control.unmet(view(s, d, "fx_tasks"), ["req_id", "geom_id", "label", "po_name"], F.col("status") == 1)
 
 
 @query("queue_topk", "SELECT task_id, geom_id, float_value FROM fx_tasks WHERE status = 0 ORDER BY float_value DESC, task_id, update_time, geom_id LIMIT 1000", "fx_tasks")
