@@ -1,9 +1,11 @@
 """Streams with state: rows of features that arrive more than once, and heartbeats that fall silent."""
 
 import datetime
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from zonalspark.sources.fixtures import view
 from zonalspark.streaming.coverage import coverage_run
 from zonalspark.streaming.heartbeats import release_run
 
@@ -40,3 +42,22 @@ def test_silent_tasks_wait_again(spark, tmp_path):
     out = release_run(spark, f"{tmp_path}/beats", str(tmp_path / "out"), groups=2)
     assert sorted(map(tuple, out.collect())) == [(1, 0), (5, 0)]
     assert out.where(F.col("status") != 0).count() == 0
+
+
+def test_all_files_of_a_batch_in_any_order(spark, tmp_path):
+    minutes = lambda n: AT + datetime.timedelta(minutes=n)
+    rows = [(k, -1, minutes(0)) for k in range(100)] + [(k, 1 if k % 3 else -1, minutes(20)) for k in range(0, 100, 2)] + [(200, 0, minutes(45))]
+    spark.createDataFrame(rows, BEAT).orderBy(F.desc("at")).repartition(8).write.parquet(f"{tmp_path}/beats")
+    out = release_run(spark, f"{tmp_path}/beats", str(tmp_path / "out"), 5, None)
+    assert sorted(map(tuple, out.collect())) == [(k, 0) for k in range(1, 100, 2)]
+
+
+def test_no_task_of_the_query_writes_all_heartbeats(spark, tmp_path, monkeypatch):
+    from zonalspark.plans import stream_queries
+
+    data, files = "/root/testdata/sf0.01", []
+    run = stream_queries.release_run
+    monkeypatch.setattr(stream_queries, "release_run", lambda s, source, *more: files.extend(Path(source).glob("1/*.parquet")) or run(s, source, *more))
+    monkeypatch.setattr(stream_queries, "view", lambda s, d, name: view(s, d, name).repartition(6))
+    assert stream_queries.heartbeat_release(spark, data).count() > 0
+    assert len(files) == 6

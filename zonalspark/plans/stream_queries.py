@@ -41,13 +41,14 @@ NOW = "1998-01-01"
 @query("heartbeat_release", f"SELECT task_id, CASE WHEN last.status = -1 AND last.at < TIMESTAMP '{NOW}' - INTERVAL 30 MINUTE THEN 0 ELSE last.status END AS status FROM (SELECT task_id, max({{'at': update_time, 'status': status}}) AS last FROM fx_tasks WHERE update_time <= TIMESTAMP '{NOW}' GROUP BY task_id)", "fx_tasks")
 def heartbeat_release(s, d):
     """Running tasks whose last heartbeat is more than half an hour before now wait again: heartbeats go through state and
-    timers, a clock that ticks at now moves the watermark."""
+    timers, a clock that ticks at now moves the watermark. Heartbeats lie in as many files as tasks write, in one batch, and
+    a group of tasks keeps its size as they grow in number."""
     at = f"{shared_dir(s)}/beats-{uuid.uuid4().hex}"
     now = F.lit(NOW).cast("timestamp")
     beats = view(s, d, "fx_tasks").select("task_id", F.col("status").cast("int").alias("status"), F.col("update_time").cast("timestamp").alias("at")).where(F.col("at") <= now)
-    beats.coalesce(1).write.parquet(f"{at}/beats/1")
-    for tick in ("2", "3"):
-        s.range(1).select(F.lit(-1).cast("long").alias("task_id"), F.lit(0).alias("status"), now.alias("at")).coalesce(1).write.parquet(f"{at}/beats/{tick}")
-    free = release_run(s, f"{at}/beats", at).withColumnRenamed("status", "new")
+    beats.write.parquet(f"{at}/beats/1")
+    s.range(1).select(F.lit(-1).cast("long").alias("task_id"), F.lit(0).alias("status"), now.alias("at")).coalesce(1).write.parquet(f"{at}/beats/2")
+    groups = max(64, s.read.parquet(f"{at}/beats/1").count() // 50_000)
+    free = release_run(s, f"{at}/beats", at, groups, None).withColumnRenamed("status", "new")
     last = beats.groupBy("task_id").agg(F.max(F.struct("at", "status")).alias("last"))
     return last.join(free, "task_id", "left").select("task_id", F.coalesce("new", "last.status").alias("status"))

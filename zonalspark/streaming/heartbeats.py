@@ -78,9 +78,9 @@ def released(beats: DataFrame, groups: int = 64) -> DataFrame:
     return timed.groupBy("grp").transformWithStateInPandas(Heartbeats(), "task_id long, status int", "Update", "EventTime")
 
 
-def release_run(spark: SparkSession, source: str, target: str, groups: int = 64) -> DataFrame:
-    """task_id of all tasks that a folder of heartbeat files (Parquet, read one file a batch, in the order of their times of
-    change) shows to be silent. Needs the state store on RocksDB, which is set for this run."""
+def release_run(spark: SparkSession, source: str, target: str, groups: int = 64, files: int | None = 1) -> DataFrame:
+    """task_id of all tasks that a folder of heartbeat files (Parquet, read `files` a batch, in the order of their times of
+    change; None: all at once, whatever their order) shows to be silent when the batch is read. Needs the state store on RocksDB, which is set for this run."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -90,7 +90,8 @@ def release_run(spark: SparkSession, source: str, target: str, groups: int = 64)
 
     try:
         schema = spark.read.option("recursiveFileLookup", True).parquet(source).schema
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(source)
+        reader = spark.readStream.schema(schema).option("recursiveFileLookup", True)
+        stream = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(source)
         run = released(stream, groups).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start()
         run.awaitTermination()
     finally:
