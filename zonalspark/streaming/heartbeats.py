@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,15 +17,25 @@ SILENCE, RUNNING, WAITING = 30 * 60 * 1000, -1, 0
 
 
 class Heartbeats(StatefulProcessor):
-    """Keeps of each group of running tasks when each was heard of last, and one timer, for the one that falls silent first.
-    What a group holds is bounded by the tasks that run in it."""
+    """Keeps of each group of running tasks when each was heard of last, as two columns of numbers that are read and written at
+    once, and one timer, for the one that falls silent first. What a group holds is bounded by the tasks that run in it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.heard = handle.getMapState("heard", "task_id long", "at long")
+        self.heard = handle.getValueState("heard", "tasks binary, ats binary")
         self.timer = handle.getValueState("timer", "at long")
 
-    def rearm(self, first: int | None) -> None:
+    def running(self) -> tuple[np.ndarray, np.ndarray]:
+        """Running tasks, ascending, and when they were heard of last."""
+        found = self.heard.get() if self.heard.exists() else (b"", b"")
+        return np.frombuffer(found[0], np.int64), np.frombuffer(found[1], np.int64)
+
+    def keep(self, tasks: np.ndarray, ats: np.ndarray) -> None:
+        if len(tasks):
+            self.heard.update((tasks.tobytes(), ats.tobytes()))
+        elif self.heard.exists():
+            self.heard.clear()
+        first = int(ats.min()) + SILENCE + 1 if len(ats) else None
         before = self.timer.get()[0] if self.timer.exists() else None
         if before != first:
             if before is not None:
@@ -35,36 +46,29 @@ class Heartbeats(StatefulProcessor):
                 self.timer.update((first,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last: dict[int, tuple[int, int]] = {}
+        own, heard = self.running()
+        tasks, ats, states, new = own, heard, np.full(len(own), RUNNING), np.zeros(len(own), np.int64)
         for part in rows:
-            for task, at, status in zip(part["task_id"].tolist(), part["ms"].tolist(), part["status"].tolist(), strict=True):
-                last[task] = max(last.get(task, (at, status)), (at, status))
-        own = {k[0]: v[0] for k, v in self.heard.iterator()} if self.heard.exists() else {}
-        for task, (at, status) in last.items():
-            if at < own.get(task, at):
+            if not len(part):
                 continue
-            if status == RUNNING:
-                own[task] = at
-                self.heard.updateValue((task,), (at,))
-            elif own.pop(task, None) is not None:
-                self.heard.removeKey((task,))
-        self.rearm(min(own.values()) + SILENCE + 1 if own else None)
+            more = [part[c].to_numpy(np.int64) for c in ("task_id", "ms", "status")]
+            tasks, ats, states = (np.concatenate(pair) for pair in zip((tasks, ats, states), more, strict=True))
+            new = np.concatenate([new, np.ones(len(part), np.int64)])
+            # of each task the last heartbeat stays, of equal times one of this batch, and of these the greatest status
+            order = np.lexsort((states, new, ats, tasks))
+            last = order[np.append(tasks[order][1:] != tasks[order][:-1], True)]
+            tasks, ats, states, new = tasks[last], ats[last], states[last], new[last]
+        run = states == RUNNING
+        self.keep(tasks[run], ats[run])
         yield pd.DataFrame({"task_id": pd.Series([], dtype="int64"), "status": pd.Series([], dtype="int32")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        clock = max(now, timerValues.getCurrentWatermarkInMs())
-        own = {k[0]: v[0] for k, v in self.heard.iterator()}
-        silent = [task for task, at in own.items() if at + SILENCE < clock]
-        for task in silent:
-            self.heard.removeKey((task,))
-            del own[task]
-        self.timer.clear()
-        if own:
-            first = min(own.values()) + SILENCE + 1
-            self.handle.registerTimer(first)
-            self.timer.update((first,))
-        yield pd.DataFrame({"task_id": pd.Series(silent, dtype="int64"), "status": pd.Series([WAITING] * len(silent), dtype="int32")})
+        clock = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        tasks, ats = self.running()
+        silent = ats + SILENCE < clock
+        self.timer.clear()  # this one is spent
+        self.keep(tasks[~silent], ats[~silent])
+        yield pd.DataFrame({"task_id": tasks[silent], "status": np.full(int(silent.sum()), WAITING, np.int32)})
 
     def close(self) -> None:
         pass
@@ -73,14 +77,15 @@ class Heartbeats(StatefulProcessor):
 def released(beats: DataFrame, groups: int = 64) -> DataFrame:
     """task_id, status: of a stream of heartbeats (task_id, status, at), tasks that run and are not heard of for longer than
     SILENCE of event time wait again. The watermark is the clock; task ids are dealt into groups, each with a state and a
-    timer of its own."""
-    timed = beats.withWatermark("at", "0 seconds").withColumns({"ms": F.unix_millis("at"), "grp": F.pmod(F.xxhash64("task_id"), F.lit(groups)).cast("int")})
+    timer of its own. Rows without a task or a time tell nothing; a null status is none of a running task."""
+    timed = beats.where("task_id is not null and at is not null").withWatermark("at", "0 seconds").withColumns({"status": F.coalesce("status", F.lit(WAITING)), "ms": F.unix_millis("at"), "grp": F.pmod(F.xxhash64("task_id"), F.lit(groups)).cast("int")})
     return timed.groupBy("grp").transformWithStateInPandas(Heartbeats(), "task_id long, status int", "Update", "EventTime")
 
 
 def release_run(spark: SparkSession, source: str, target: str, groups: int = 64, files: int | None = 1) -> DataFrame:
     """task_id of all tasks that a folder of heartbeat files (Parquet, read `files` a batch, in the order of their times of
-    change; None: all at once, whatever their order) shows to be silent when the batch is read. Needs the state store on RocksDB, which is set for this run."""
+    change; None: all at once, whatever their order) shows to be
+    silent. Needs the state store on RocksDB, which is set for this run."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
