@@ -1,5 +1,6 @@
 """Equal shapes are worked out once: what is joined grows with the different shapes, results with all."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_shapes import BOX, frame
@@ -119,3 +120,29 @@ def test_groups_of_the_same_shapes_are_united_once(spark, monkeypatch):
     area = {0: 16.0, 1: 21.0, 2: 21.0, 3: 7.0}
     assert got == {k: (1, area[k % 4]) for k in range(COPIES)} | {None: (1, 21.0)}
     assert held == [("united", [4])]  # one box, one strip, and both
+
+
+def test_shapes_meet_blocks_of_pixels_not_pixels(spark, monkeypatch):
+    held = []
+    step = cells.pixels_within
+    monkeypatch.setattr(cells, "pixels_within", lambda pixels, *a: held.append(pixels.where("level = 0").count()) or step(pixels, *a))
+    places = spark.range(64).select((F.col("id") % 8 + 0.5).alias("x"), (F.floor(F.col("id") / 8) + 0.5).alias("y"))
+    pixels = places.crossJoin(spark.range(10).select((F.col("id") + 1).cast("decimal(18,2)").alias("val"))).unionByName(places.withColumn("val", F.lit(None).cast("decimal(18,2)")))
+    pixels = pixels.unionByName(spark.sql("SELECT double('NaN') AS x, 0.5D AS y, CAST(99 AS decimal(18,2)) AS val"))
+    shapes_ = frame(spark, [(k, [[[(0, 0), (8 - k / 4, 0), (0, 8)]]]) for k in range(12)] + [(90, [[[(90, 90), (91, 90), (90, 91)]]])])
+    got = {x.geom_id: (x["count"], x["sum"], x["mean"], x["min"], x["max"]) for x in cells.zonal_shapes(shapes_, pixels, GRID).collect()}
+    at = [(x.x, x.y) for x in places.collect()]
+    for k in range(12):
+        n = sum(x / (8 - k / 4) + y / 8 < 1 for x, y in at)
+        assert got[k] == (10 * n, 55 * n, 5.5, 1, 10)
+    assert got[90] == (0, None, None, None, None)
+    assert held == [65 - 1]  # of 705 pixels
+
+
+def test_long_stretches_are_few_blocks(spark):
+    one = np.zeros(1)
+    owner, row, level, block, low, high = cells.blocks_of(one.astype(int), one.astype(int), one + 0.25, one + 9999.75, 0.0, 1.0)
+    assert len(block) < 9999 / cells.BASE**cells.LEVELS + 6 * (cells.LEVELS + 1)
+    columns = np.concatenate([np.arange(b * cells.BASE**n, (b + 1) * cells.BASE**n) for n, b in zip(level, block, strict=True)])
+    assert sorted(columns) == list(range(10000))
+    assert (low[block == 0].max(), high[(level == 0) & (block == 9999)].min()) == (0.25, 9999.75)

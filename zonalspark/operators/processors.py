@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonalspark.operators import cells, spatial
+from zonalspark.sources.shared import written
 
 REGISTRY: dict[str, Callable[..., DataFrame]] = {}
 
@@ -45,7 +46,8 @@ for stat in ("min", "max", "mean", "sum", "count"):
 def raster_categorical(features: DataFrame, layer: DataFrame, name: str, category_map: dict[str, str], grid=None, **_) -> DataFrame:
     if shaped(features):
         members, once = cells.forms(features.select("geom_id", "shape"), "geom_id")
-        found = cells.of_forms(members, spatial.zonal_categories(once, layer, category_map, cells.pixels_within(layer, once, *grid)), "geom_id")
+        blocks, _ = written(cells.pixel_blocks(layer.withColumn("val", F.lit(1)), ["class"], *grid), "pixel-blocks")
+        found = cells.of_forms(members, spatial.zonal_categories(once, layer, category_map, cells.pixels_within(blocks, once, *grid)), "geom_id")
     else:
         found = spatial.zonal_categories(features, layer, category_map)
     return found.select("geom_id", F.concat(F.lit(f"{name}_"), "class").alias("name"), F.col("n").cast("double").alias("value"))

@@ -79,11 +79,11 @@ def zonal_stats(features: DataFrame, pixels: DataFrame, by: list[str], nodata: C
 
 def zonal_categories(features: DataFrame, pixels: DataFrame, names: dict[str, str], met: DataFrame | None = None) -> DataFrame:
     """Pixels of each class in each feature, named by the mapping; mapped classes without pixels have 0, values outside the
-    mapping keep their own name. One row a feature and class. met: pixels with the geom_id of their features, where these
-    are no boxes."""
+    mapping keep their own name. One row a feature and class. met: pixels, or blocks of _rows pixels, with the geom_id of
+    their features, where these are no boxes."""
     named = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), F.col("class")), F.col("class")) if names else F.col("class")
     met = within(pixels, features.select("geom_id", *BOX), "x", "y") if met is None else met
-    counts = met.groupBy("geom_id", named.alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    counts = met.groupBy("geom_id", named.alias("class")).agg((F.sum("_rows") if "_rows" in met.columns else F.count(F.lit(1))).alias("n"))
     every = features.select("geom_id", F.explode(F.array(*map(F.lit, sorted(set(names.values()))))).alias("class"))
     return every.join(counts, ["geom_id", "class"], "full").select("geom_id", "class", F.coalesce("n", F.lit(0)).alias("n"))
 
