@@ -148,6 +148,30 @@ def test_long_stretches_are_few_blocks(spark):
     assert (low[block == 0].max(), high[(level == 0) & (block == 9999)].min()) == (0.25, 9999.75)
 
 
+def test_small_groups_are_united_without_cells(spark, monkeypatch):
+    held = []
+    step = overlay.cells_split
+    monkeypatch.setattr(overlay, "cells_split", lambda rows, by, *a: held.append({x[by] for x in rows.select(by).collect()}) or step(rows, by, *a))
+    rng = np.random.default_rng(3)
+    walk = lambda: [[[tuple(map(float, p)) for p in rng.integers(-12, 12, 2) + rng.integers(1, 9, (4, 2))]]]
+    rows = [(k, walk()) for k in range(6) for _ in range(4)] + [(3, []), (50, [])]
+    sums = lambda sides: {x.grp: (x.outer, x.holes, x.area) for x in overlay.union_shapes(frame(spark, rows, "grp long"), "grp", sides=sides).groupBy("grp").agg(F.count_if(~F.col("hole")).alias("outer"), F.count_if("hole").alias("holes"), F.round(F.sum(shapes.crossed(F.col("ring")) / 2), 4).alias("area")).collect()}
+    plain = sums(300)
+    assert held == [] and set(plain) == set(range(6))
+    cut = sums(15)
+    assert len(held[0]) == 6  # forms
+    assert plain == cut
+
+
+def test_large_groups_are_still_cut_to_cells(spark, monkeypatch):
+    held = []
+    step = overlay.cells_split
+    monkeypatch.setattr(overlay, "cells_split", lambda rows, by, *a: held.append(rows.count()) or step(rows, by, *a))
+    steps = [(7, [[[(2 * k, 0), (2 * k + 3, 0), (2 * k + 3, 1), (2 * k, 1)]]]) for k in range(90)]
+    got = {x.grp: x.area for x in overlay.union_shapes(frame(spark, [*steps, (1, [BOX]), (1, [CUT])], "grp long"), "grp").groupBy("grp").agg(F.round(F.sum(shapes.crossed(F.col("ring")) / 2), 6).alias("area")).collect()}
+    assert got == {7: 181.0, 1: 20.0} and held == [90]
+
+
 def test_buffers_are_united_without_cells(spark, monkeypatch):
     monkeypatch.setattr(overlay, "cells_split", None)
     rows = frame(spark, [(k, [[[(0, 0), (1 + k / 10, 0), (1 + k / 10, 0.5), (0.5, 0.5), (0.5, 1), (0, 1)]]]) for k in range(8)])
