@@ -177,3 +177,19 @@ def test_buffers_are_united_without_cells(spark, monkeypatch):
     rows = frame(spark, [(k, [[[(0, 0), (1 + k / 10, 0), (1 + k / 10, 0.5), (0.5, 0.5), (0.5, 1), (0, 1)]]]) for k in range(8)])
     found = overlay.buffers(rows, "geom_id", 5).collect()
     assert sorted(x.geom_id for x in found) == list(range(8)) and not any(x.hole for x in found)
+
+
+def test_pairs_of_few_sides_are_not_cut_and_meet_once(spark, monkeypatch):
+    held = {"rows": 0}
+    areas = cells.shared_areas
+    monkeypatch.setattr(cells, "shared_areas", lambda pairs, *a: held.update(rows=pairs.count()) or areas(pairs, *a))
+    cut = lambda k: [[[(k, 0), (k + 9, 0), (k, 9)]]]
+    left = frame(spark, [(k, cut(float(k))) for k in range(6)], "poly_id long")
+    many = [[[(np.cos(a) * 30.0, np.sin(a) * 30.0) for a in np.arange(200) * np.pi / 100]]]
+    right = frame(spark, [(1, [[[(-20, -20), (20, -20), (20, 20), (-20, 20)]]]), (2, [[[(0, -9), (3, -9), (3, 0), (0, 0)]]])])
+    got = {(x.poly_id, x.geom_id): x.area for x in cells.shape_overlaps(left, right, "poly_id", "geom_id").collect()}
+    assert got == {(k, 1): pytest.approx(40.5) for k in range(6)}  # what only touches has none
+    assert held["rows"] == 6  # once a pair, not once a cell
+    round_ = frame(spark, [(3, many)])
+    got = {(x.poly_id, x.geom_id): x.area for x in cells.shape_overlaps(left, round_, "poly_id", "geom_id").collect()}
+    assert got == {(k, 3): pytest.approx(40.5) for k in range(6)}
