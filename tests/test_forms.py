@@ -193,3 +193,21 @@ def test_pairs_of_few_sides_are_not_cut_and_meet_once(spark, monkeypatch):
     round_ = frame(spark, [(3, many)])
     got = {(x.poly_id, x.geom_id): x.area for x in cells.shape_overlaps(left, round_, "poly_id", "geom_id").collect()}
     assert got == {(k, 3): pytest.approx(40.5) for k in range(6)}
+
+
+def test_areas_of_many_pairs_are_those_of_each_pair():
+    rng = np.random.default_rng(5)
+    ring = lambda: rng.integers(-6, 7, (rng.integers(3, 7), 2)) / 2 if rng.integers(2) else rng.normal(0, 3, (5, 2))
+    shape = lambda: [[ring()] for _ in range(rng.integers(0, 3))] if rng.integers(9) else None
+    first, second = ([shape() for _ in range(600)] for _ in range(2))
+    calls = []
+    plain = shapes.common_area
+    want = [None if a is None or b is None else plain(a, b) for a, b in zip(first, second, strict=True)]
+    shapes.common_area = lambda a, b: calls.append(1) or plain(a, b)
+    try:
+        got = shapes.areas_of(first, second)
+    finally:
+        shapes.common_area = plain
+    assert [x is None for x in got] == [x is None for x in want]
+    assert all(x is None or (x == pytest.approx(y, abs=1e-9) and (x > 0) == (y > 0)) for x, y in zip(got, want, strict=True))
+    assert len(calls) < 400
