@@ -233,3 +233,20 @@ def test_small_unions_keep_coordinates_of_their_shapes(spark):
     crossing = overlay.union_shapes(frame(spark, [(1, [[[(0, 0), (3, 1), (0, 1)]]]), (1, [[[(1, 0), (2, 0), (1, 2)]]])], "grp long"), "grp").collect()
     want = [(0, 0), (1, 1 / 3), (1, 0), (2, 0), (12 / 7, 4 / 7), (3, 1), (1.5, 1), (1, 2), (1, 1), (0, 1)]
     assert len(crossing) == 1 and np.abs(np.array(sorted((p.x, p.y) for p in crossing[0].ring)) - sorted(want)).max() < 2 * overlay.QUANTUM
+
+
+def test_weights_are_rounded_as_their_sql_does(spark, tmp_path):
+    """Amounts so large that the tenth decimal of a share shows in the sums."""
+    import duckdb
+
+    from zonalspark.plans import shape_queries
+
+    tables = {t: spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("nation", "supplier")}
+    tables["supplier"] = tables["supplier"].withColumn("s_acctbal", F.col("s_acctbal") * 1e6)
+    duck = duckdb.connect()
+    for t, df in tables.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+        duck.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = shape_queries.triangle_weighted(spark, str(tmp_path)).select("geom_id", "weighted").collect()
+    want = duck.execute(f"select geom_id, weighted from ({shape_queries.SQL['triangle_weighted']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)

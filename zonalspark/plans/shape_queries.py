@@ -169,9 +169,9 @@ def triangle_overlaps(s, d):
 
 @query("triangle_weighted", f"SELECT geom_id, CAST(trunc(coalesce(sum(CAST(amount * round(2 * {COMMON}, 9) AS DECIMAL(38, 9))), 0)) AS BIGINT) AS weighted FROM fx_features f LEFT JOIN fx_polys p ON {COMMON} > 0 GROUP BY geom_id", "fx_polys", "fx_features")
 def triangle_weighted(s, d):
-    """Amounts of triangles by the share of their area that is inside each feature."""
+    """Amounts of triangles by the share of their area that is inside each feature, to nine decimals."""
     polys = view(s, d, "fx_polys").select("poly_id", "amount", triangle().alias("shape"))
-    return cells.area_weighted_shapes(feature_boxes(s, d), polys, "amount")
+    return cells.area_weighted_shapes(feature_boxes(s, d), polys, "amount", digits=9)
 
 
 AT_TRIANGLE = IN_TRIANGLE.replace("x >", "lon >").replace("(x -", "(lon -").replace("y >", "lat >").replace("(y -", "(lat -")
